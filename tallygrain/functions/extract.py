@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 
 from tallygrain.functions import patterns as P
 from tallygrain.functions.numeric import half_up, round_to
-from tallygrain.functions.text import ascii_digits, flatten, none_if_empty, plain_blanks
+from tallygrain.functions.text import ascii_digits, flatten, let, none_if_empty, plain_blanks
 
 
 def _find(text: Column, pattern: str, group: int = 1) -> Column:
@@ -18,116 +18,168 @@ def _find(text: Column, pattern: str, group: int = 1) -> Column:
     return none_if_empty(F.trim(F.regexp_extract(text, pattern, group)))
 
 
-def _first_line(text: Column, pattern: str) -> Column:
-    line = F.get(F.filter(F.split(text, "\n+"), lambda s: s.rlike(pattern)), F.lit(0))
+def _first_line(lines: Column, pattern: str) -> Column:
+    line = F.get(F.filter(lines, lambda s: s.rlike(pattern)), F.lit(0))
     return _find(line, pattern)
 
 
 def _number(digits: Column) -> Column:
     """Number written with thousands commas; only commas count as zero."""
-    value = F.replace(digits, F.lit(","), F.lit(""))
-    return F.when(value == "", F.lit(0.0)).otherwise(value.try_cast("double"))
+    return let(
+        F.replace(digits, F.lit(","), F.lit("")),
+        lambda v: F.when(v == "", F.lit(0.0)).otherwise(v.try_cast("double")),
+    )
+
+
+def _with_confidence(fields: Column, names: list[str], counted: list) -> Column:
+    """The fields plus the share of the counted ones that were found."""
+    def close(f: Column) -> Column:
+        found = sum((test(f).cast("int") for test in counted), F.lit(0))
+        share = round_to(found / F.lit(float(len(counted))), 2)
+        return F.struct(*[f[n].alias(n) for n in names], share.alias("confidence"))
 
+    return let(fields, close)
 
-def _share(fields: list[Column]) -> Column:
-    found = sum((f.isNotNull().cast("int") for f in fields), F.lit(0))
-    return round_to(found / F.lit(float(len(fields))), 2)
+
+def _has(name: str):
+    return lambda f: f[name].isNotNull()
 
 
 def identity_card(text: Column) -> Column:
     raw = plain_blanks(text)
-    flat = flatten(ascii_digits(text))
-    name = F.coalesce(_find(raw, P.CARD_LATIN_NAME), _find(flat, P.CARD_LABELLED_NAME))
-    deva = _find(raw, P.CARD_DEVA_NAME)
-    dob = F.coalesce(_find(flat, P.CARD_DOB), _find(flat, P.CARD_DOB_ISO))
-    # the full number never leaves this expression
-    digits = F.regexp_replace(F.regexp_extract(flat, P.CARD_NUMBER, 1), "[^0-9xX]", "")
-    masked = F.when(F.length(digits) >= 4, F.concat(F.lit("XXXX XXXX "), F.right(digits, F.lit(4))))
-    gender = F.when(raw.rlike(P.CARD_FEMALE), F.lit("female")).when(raw.rlike(P.CARD_MALE), F.lit("male"))
-    return F.struct(
-        name.alias("name"),
-        deva.alias("name_devanagari"),
-        dob.alias("dob"),
-        masked.alias("aadhaar_masked"),
-        gender.alias("gender"),
-        _share([F.coalesce(name, deva), dob, masked, gender]).alias("confidence"),
+
+    def fields(flat: Column) -> Column:
+        # the full number never leaves this expression
+        digits = F.regexp_replace(F.regexp_extract(flat, P.CARD_NUMBER, 1), "[^0-9xX]", "")
+        return F.struct(
+            F.coalesce(_find(raw, P.CARD_LATIN_NAME), _find(flat, P.CARD_LABELLED_NAME)).alias("name"),
+            _find(raw, P.CARD_DEVA_NAME).alias("name_devanagari"),
+            F.coalesce(_find(flat, P.CARD_DOB), _find(flat, P.CARD_DOB_ISO)).alias("dob"),
+            let(
+                digits, lambda d: F.when(F.length(d) >= 4, F.concat(F.lit("XXXX XXXX "), F.right(d, F.lit(4))))
+            ).alias("aadhaar_masked"),
+            F.when(raw.rlike(P.CARD_FEMALE), F.lit("female")).when(raw.rlike(P.CARD_MALE), F.lit("male")).alias("gender"),
+        )
+
+    return _with_confidence(
+        let(flatten(ascii_digits(text)), fields),
+        ["name", "name_devanagari", "dob", "aadhaar_masked", "gender"],
+        [
+            lambda f: f["name"].isNotNull() | f["name_devanagari"].isNotNull(),
+            _has("dob"),
+            _has("aadhaar_masked"),
+            _has("gender"),
+        ],
     )
 
 
-def land_record_owner(text: Column) -> tuple[Column, Column]:
-    """Owner name and whether it came from a relation marker."""
-    flat = flatten(ascii_digits(text))
-    buyer = _find(flat, P.DEED_BUYER)
-    relative = _find(flat, P.DEED_RELATION)
-    owner = F.coalesce(buyer, relative, _find(flat, P.DEED_LABELLED))
-    owner = F.when(~F.regexp_replace(owner, r"\s+", "").rlike(P.DEED_JUNK_OWNER), owner)
-    relation = F.when(buyer.isNull() & relative.isNotNull(), F.lit("relative"))
-    return owner, relation
+def _owner(flat: Column) -> Column:
+    """struct(name, relation) of the owner in a flattened land record."""
+    def choose(buyer: Column) -> Column:
+        relative = F.when(buyer.isNull(), _find(flat, P.DEED_RELATION))
+        return let(
+            relative,
+            lambda r: F.struct(
+                F.coalesce(buyer, r, _find(flat, P.DEED_LABELLED)).alias("name"),
+                F.when(r.isNotNull(), F.lit("relative")).alias("relation"),
+            ),
+        )
+
+    def clean(o: Column) -> Column:
+        junk = F.regexp_replace(o["name"], r"\s+", "").rlike(P.DEED_JUNK_OWNER)
+        return F.struct(F.when(~junk, o["name"]).alias("name"), o["relation"].alias("relation"))
+
+    return let(let(_find(flat, P.DEED_BUYER), choose), clean)
+
+
+def land_record_owner(text: Column) -> Column:
+    return let(flatten(ascii_digits(text)), _owner)["name"]
 
 
 def land_record(text: Column) -> Column:
-    flat = flatten(ascii_digits(text))
-    owner, relation = land_record_owner(text)
-    district = F.coalesce(_find(flat, P.DEED_DISTRICT), _find(flat, P.DEED_DISTRICT_KNOWN))
-    deed = _find(flat, P.DEED_TYPE)
-    executed = F.coalesce(_find(flat, P.DEED_DATE_WORDS), _find(flat, P.DEED_DATE_DIGITS))
-    khasra = _find(flat, P.DEED_KHASRA)
-    return F.struct(
-        owner.alias("owner_name"),
-        relation.alias("owner_relation"),
-        district.alias("district"),
-        _find(flat, P.DEED_VILLAGE).alias("village"),
-        deed.alias("deed_type"),
-        executed.alias("execution_date"),
-        _number(F.coalesce(_find(flat, P.DEED_AMOUNT), _find(flat, P.DEED_AMOUNT_SLASH))).alias("area_value"),
-        khasra.alias("khasra_no"),
-        _find(flat, P.DEED_AREA).alias("area_hectares"),
-        _find(flat, P.DEED_STATE).alias("state"),
-        _share([owner, district, deed, executed, khasra]).alias("confidence"),
+    def fields(flat: Column) -> Column:
+        return let(
+            _owner(flat),
+            lambda owner: F.struct(
+                owner["name"].alias("owner_name"),
+                owner["relation"].alias("owner_relation"),
+                F.coalesce(_find(flat, P.DEED_DISTRICT), _find(flat, P.DEED_DISTRICT_KNOWN)).alias("district"),
+                _find(flat, P.DEED_VILLAGE).alias("village"),
+                _find(flat, P.DEED_TYPE).alias("deed_type"),
+                F.coalesce(_find(flat, P.DEED_DATE_WORDS), _find(flat, P.DEED_DATE_DIGITS)).alias("execution_date"),
+                _number(F.coalesce(_find(flat, P.DEED_AMOUNT), _find(flat, P.DEED_AMOUNT_SLASH))).alias("area_value"),
+                _find(flat, P.DEED_KHASRA).alias("khasra_no"),
+                _find(flat, P.DEED_AREA).alias("area_hectares"),
+                _find(flat, P.DEED_STATE).alias("state"),
+            ),
+        )
+
+    return _with_confidence(
+        let(flatten(ascii_digits(text)), fields),
+        [
+            "owner_name", "owner_relation", "district", "village", "deed_type", "execution_date", "area_value",
+            "khasra_no", "area_hectares", "state",
+        ],
+        [_has("owner_name"), _has("district"), _has("deed_type"), _has("execution_date"), _has("khasra_no")],
     )
 
 
 def policy_paper(text: Column) -> Column:
-    lines = ascii_digits(plain_blanks(text))
-    flat = flatten(lines)
-    number = F.upper(
-        F.coalesce(
-            _first_line(lines, P.PAPER_NUMBER_LINE),
-            _find(flat, P.PAPER_NUMBER_SLASHES),
-            _find(flat, P.PAPER_NUMBER_DASHES),
+    def fields(t: Column) -> Column:
+        lines, flat = F.split(t["text"], "\n+"), t["flat"]
+        return F.struct(
+            F.upper(
+                F.coalesce(
+                    _first_line(lines, P.PAPER_NUMBER_LINE),
+                    _find(flat, P.PAPER_NUMBER_SLASHES),
+                    _find(flat, P.PAPER_NUMBER_DASHES),
+                )
+            ).alias("policy_number"),
+            F.coalesce(_first_line(lines, P.PAPER_INSURED_LINE), _find(flat, P.PAPER_INSURED_FLAT)).alias("insured_name"),
+            _number(F.coalesce(_find(flat, P.PAPER_SUM), _find(flat, P.PAPER_SUM_ANY))).alias("sum_insured"),
+            F.array_compact(
+                F.array(*[F.when(t["text"].rlike(pattern), F.lit(loss)) for loss, pattern in P.PAPER_COVERAGE])
+            ).alias("coverage"),
         )
+
+    texts = let(
+        ascii_digits(plain_blanks(text)),
+        lambda t: F.struct(t.alias("text"), F.regexp_replace(t, r"\s+", " ").alias("flat")),
     )
-    insured = F.coalesce(_first_line(lines, P.PAPER_INSURED_LINE), _find(flat, P.PAPER_INSURED_FLAT))
-    total = _number(F.coalesce(_find(flat, P.PAPER_SUM), _find(flat, P.PAPER_SUM_ANY)))
-    coverage = F.array_compact(
-        F.array(*[F.when(lines.rlike(pattern), F.lit(loss)) for loss, pattern in P.PAPER_COVERAGE])
-    )
-    return F.struct(
-        number.alias("policy_number"),
-        insured.alias("insured_name"),
-        total.alias("sum_insured"),
-        coverage.alias("coverage"),
-        _share(
-            [number, insured, F.when(total != 0, total), F.when(F.size(coverage) > 0, F.lit(1))]
-        ).alias("confidence"),
+    return _with_confidence(
+        let(texts, fields),
+        ["policy_number", "insured_name", "sum_insured", "coverage"],
+        [
+            _has("policy_number"),
+            _has("insured_name"),
+            lambda f: F.coalesce(f["sum_insured"] != 0, F.lit(False)),
+            lambda f: F.size(f["coverage"]) > 0,
+        ],
     )
 
 
 def bill(text: Column) -> Column:
-    flat = flatten(text)
-    number = F.upper(F.coalesce(*[_find(flat, p) for p in P.BILL_NUMBERS]))
-    amounts = []
-    for pattern in P.BILL_AMOUNTS:
-        value = _number(_find(flat, pattern))
-        amounts.append(F.when((value > 0) & (value < P.BILL_AMOUNT_LIMIT), half_up(value).cast("long")))
-    names = []
-    for pattern in P.BILL_NAMES:
-        name = _find(flat, pattern)
-        names.append(F.when((F.length(name) >= 3) & ~F.lower(name).isin(*P.BILL_NAME_STOPS), name))
-    amount, name = F.coalesce(*amounts), F.coalesce(*names)
-    return F.struct(
-        number.alias("policy_number"),
-        name.alias("name"),
-        amount.alias("amount"),
-        _share([number, amount, name]).alias("confidence"),
+    def amount(flat: Column, pattern: str) -> Column:
+        return let(
+            _number(_find(flat, pattern)),
+            lambda v: F.when((v > 0) & (v < P.BILL_AMOUNT_LIMIT), half_up(v).cast("long")),
+        )
+
+    def name(flat: Column, pattern: str) -> Column:
+        return let(
+            _find(flat, pattern),
+            lambda v: F.when((F.length(v) >= 3) & ~F.lower(v).isin(*P.BILL_NAME_STOPS), v),
+        )
+
+    def fields(flat: Column) -> Column:
+        return F.struct(
+            F.upper(F.coalesce(*[_find(flat, p) for p in P.BILL_NUMBERS])).alias("policy_number"),
+            F.coalesce(*[name(flat, p) for p in P.BILL_NAMES]).alias("name"),
+            F.coalesce(*[amount(flat, p) for p in P.BILL_AMOUNTS]).alias("amount"),
+        )
+
+    return _with_confidence(
+        let(flatten(text), fields),
+        ["policy_number", "name", "amount"],
+        [_has("policy_number"), _has("amount"), _has("name")],
     )

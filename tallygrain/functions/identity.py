@@ -41,10 +41,9 @@ def with_identity(df: DataFrame, card_name: str, card_name_deva: str, deed_text:
     """Add ``identity``: struct(matched, inconclusive, score, aadhaar_name,
     registry_name, transliterated, detail)."""
     holder = F.coalesce(F.col(card_name), F.col(card_name_deva))
-    owner, _ = land_record_owner(F.col(deed_text))
     out = (
         df.withColumn("_deed", plain_blanks(F.col(deed_text)))
-        .withColumn("_owner", owner)
+        .withColumn("_owner", land_record_owner(F.col(deed_text)))
         .withColumn("_latin", transliterate(holder))
         .withColumn("_a", name_tokens(F.col("_latin")))
         # candidates in order: parsed owner, then names before a relation marker

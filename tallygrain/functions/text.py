@@ -22,8 +22,17 @@ SPLIT_LETTERS = {
 JOINED_LETTERS = {"न": "\u0929", "र": "\u0931", "ळ": "\u0934"}
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    An expression that is used twice is otherwise evaluated twice wherever it
+    stands in a branch, and the plan grows with every use.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def none_if_empty(s: Column) -> Column:
-    return F.when(s != "", s)
+    return let(s, lambda v: F.when(v != "", v))
 
 
 def plain_blanks(s: Column) -> Column:
@@ -53,10 +62,17 @@ def short_hash(h: Column) -> Column:
 
 def indian_digits(n: Column) -> Column:
     """12,34,567 grouping of a whole number."""
-    digits = n.cast("long").cast("string")
-    head = F.regexp_replace(F.regexp_extract(digits, r"^(-?\d*?)(\d{1,3})$", 1), r"(?<=\d)(?=(\d\d)+$)", ",")
-    tail = F.regexp_extract(digits, r"^(-?\d*?)(\d{1,3})$", 2)
-    return F.when(head.isin("", "-"), digits).otherwise(F.concat(head, F.lit(","), tail))
+    def grouped(digits: Column) -> Column:
+        head = F.regexp_extract(digits, r"^(-?\d*?)(\d{1,3})$", 1)
+        tail = F.regexp_extract(digits, r"^(-?\d*?)(\d{1,3})$", 2)
+        return let(
+            head,
+            lambda h: F.when(h.isin("", "-"), digits).otherwise(
+                F.concat(F.regexp_replace(h, r"(?<=\d)(?=(\d\d)+$)", ","), F.lit(","), tail)
+            ),
+        )
+
+    return let(n.cast("long").cast("string"), grouped)
 
 
 def transliterate(s: Column) -> Column:
@@ -127,12 +143,20 @@ def word_hits(text: Column, words: list[str]) -> Column:
     return hits
 
 
-def document_role(text: Column, filename: Column) -> dict[str, Column]:
-    """Signature counts per role and the best role (ties: aadhaar, registry, policy)."""
+def document_role(text: Column, filename: Column) -> Column:
+    """struct of signature counts per role and the best role (ties: aadhaar, registry, policy)."""
     lowered = F.lower(F.concat(text, F.lit(" "), F.coalesce(filename, F.lit(""))))
-    hits = {role: word_hits(lowered, words) for role, words in C.ROLE_SIGNS.items()}
-    best = F.greatest(*hits.values())
-    role = F.when(best == 0, F.lit(None).cast("string"))
-    for name, count in hits.items():
-        role = role.when(count == best, F.lit(name))
-    return {**{f"{r}_hits": c for r, c in hits.items()}, "role": role}
+    names = list(C.ROLE_SIGNS)
+    hits = let(
+        lowered, lambda t: F.struct(*[word_hits(t, words).alias(f"{role}_hits") for role, words in C.ROLE_SIGNS.items()])
+    )
+
+    def choose(h: Column) -> Column:
+        counts = [h[f"{role}_hits"] for role in names]
+        best = F.greatest(*counts)
+        role = F.when(best == 0, F.lit(None).cast("string"))
+        for name, count in zip(names, counts):
+            role = role.when(count == best, F.lit(name))
+        return F.struct(*[c.alias(f"{n}_hits") for n, c in zip(names, counts)], role.alias("role"))
+
+    return let(hits, choose)

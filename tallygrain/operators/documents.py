@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallygrain import constants as C
 from tallygrain.functions import extract as E
 from tallygrain.functions.identity import with_identity
-from tallygrain.functions.text import document_role, indian_digits, is_hindi, word_hits
+from tallygrain.functions.text import document_role, indian_digits, is_hindi, let, word_hits
 from tallygrain.operators.spread import first_per_key
 
 
 def classify(texts: DataFrame, text: str = "text", filename: str | None = None) -> DataFrame:
     name = F.col(filename) if filename else F.lit("")
-    roles = document_role(F.col(text), name)
-    return texts.withColumns(roles)
+    roles = texts.withColumn("_r", document_role(F.col(text), name))
+    return roles.select(*texts.columns, "_r.*")
 
 
 def join_pages(pages: DataFrame, max_pages: int) -> DataFrame:
@@ -91,7 +91,10 @@ def claim_features(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
     kind, text, read = F.col("kind"), F.col("text"), F.length("text") > 0
     order = F.struct("seq", "file_id")
     photo = kind == "photo"
-    lowered = F.lower(text)
+    shows = let(
+        F.lower(text),
+        lambda t: F.struct(*[(word_hits(t, C.LOSS_META[loss]["terms"]) > 0).alias(loss) for loss in C.LOSS_TYPES]),
+    )
     parsed = files.select(
         "claim_id",
         "kind",
@@ -106,10 +109,7 @@ def claim_features(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
         F.when((kind == "policy") & read, E.policy_paper(text)).alias("paper"),
         F.when(kind == "registry", text).alias("deed_text"),
         F.when(kind.isin(*C.FARMER_DOCS) & read, document_role(text, F.col("filename"))["role"]).alias("role"),
-        *[
-            (photo & (word_hits(lowered, C.LOSS_META[loss]["terms"]) > 0)).alias(f"shows_{loss}")
-            for loss in C.LOSS_TYPES
-        ],
+        F.when(photo, shows).alias("shows"),
     )
     photo, read = F.col("kind") == "photo", F.col("read")
     software = F.col("exif.software")
@@ -138,7 +138,7 @@ def claim_features(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
         F.count_if(~photo).alias("n_docs"),
         # farmer papers are read by another pass and never count here
         F.count_if(F.col("kind").isin("bill", "id", "satellite") & read).alias("n_docs_read"),
-        *[F.count_if(F.col(f"shows_{loss}")).alias(f"shows_{loss}") for loss in C.LOSS_TYPES],
+        *[F.count_if(F.col(f"shows.{loss}")).alias(f"shows_{loss}") for loss in C.LOSS_TYPES],
         last("bill"),
         last("card"),
         last("deed"),

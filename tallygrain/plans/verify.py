@@ -140,27 +140,32 @@ def claim_rows(
 def run_stages(rows: DataFrame, strict_exif: bool = False, digest: Digest = sha2_digest) -> DataFrame:
     """Verdict, score, stage logs, reasons and document summary per claim."""
     out = (
-        rows.withColumn("s_exif", S.exif_integrity(strict_exif))
-        .withColumn("s_dup", S.duplicate_phash())
-        .withColumn("s_ocr", S.ocr_extract())
-        .withColumn("s_policy", S.policy_match())
-        .withColumn("s_docs", S.doc_cross())
-        .withColumn("s_damage", S.damage_assess())
-        .withColumn("s_fraud", S.fraud_rules(F.col("s_policy")))
+        rows.withColumns(
+            {
+                "s_exif": S.exif_integrity(strict_exif),
+                "s_dup": S.duplicate_phash(),
+                "s_ocr": S.ocr_extract(),
+                "s_policy": S.policy_match(),
+                "s_docs": S.doc_cross(),
+                "s_damage": S.damage_assess(),
+                "summary": D.document_summary(),
+            }
+        ).withColumn("s_fraud", S.fraud_rules(F.col("s_policy")))
     )
     names = ["s_exif", "s_dup", "s_ocr", "s_policy", "s_docs", "s_damage", "s_fraud"]
     fails = sum(((F.col(f"{n}.result") == "FAIL").cast("int") for n in names), F.lit(0))
     warns = sum(((F.col(f"{n}.result") == "WARN").cast("int") for n in names), F.lit(0))
     out = (
-        out.withColumn("fails", fails)
-        .withColumn("run_score", S.stage_score(F.col("fails"), warns))
-        .withColumn("run_verdict", S.verdict(F.col("fails"), F.col("run_score")))
-        .withColumn(
-            "run_reasons",
-            S.decision_reasons(
-                F.col("s_fraud.reasons"), F.col("s_policy.reasons"), F.col("s_damage.reasons"), F.col("s_docs.reasons")
-            ),
+        out.withColumns(
+            {
+                "fails": fails,
+                "run_score": S.stage_score(fails, warns),
+                "run_reasons": S.decision_reasons(
+                    F.col("s_fraud.reasons"), F.col("s_policy.reasons"), F.col("s_damage.reasons"), F.col("s_docs.reasons")
+                ),
+            }
         )
+        .withColumn("run_verdict", S.verdict(F.col("fails"), F.col("run_score")))
         .withColumn("s_decision", S.decision(F.col("run_score"), F.col("run_verdict"), F.col("run_reasons")))
         .withColumn("stages", F.array(*names, "s_decision"))
     )
@@ -175,7 +180,7 @@ def run_stages(rows: DataFrame, strict_exif: bool = False, digest: Digest = sha2
         F.col("run_score").alias("score"),
         F.col("run_reasons").alias("reasons"),
         "stages",
-        D.document_summary().alias("summary"),
+        "summary",
         run_digest(F.col("claim_id"), F.col("run_verdict"), F.col("run_score"), F.col("stages"), digest).alias("run_digest"),
     )
 

@@ -58,7 +58,8 @@ def claim_id(k: Column) -> Column:
     return F.concat(F.lit("CLM-"), k.cast("string"))
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claims(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Claims from ``orders``, which may also be a stream of them."""
     k = F.col("o_orderkey")
     status = _pick(C.STATUSES, k % 10)
     decided = status != "SUBMITTED"
@@ -71,7 +72,8 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(status == "REJECTED", "AI_REJECTED")
         .when(decided, "AI_FLAGGED")
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
+    orders = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     names = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return orders.join(names, F.col("o_custkey") == F.col("c_custkey"), "left").select(
         claim_id(k).alias("id"),
