@@ -11,7 +11,7 @@ from tallygrain.functions.digest import Digest, claim_key, sha2_digest
 from tallygrain.functions.timefn import epoch_to_iso
 
 
-def sealed_events(trail: DataFrame, records_per_block: int = 5, digest: Digest = sha2_digest) -> DataFrame:
+def sealed_events(trail: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
     """Trail rows as log events: claim id hashed, with block number and log index.
 
     Blocks follow time: one block per minute.
@@ -21,7 +21,7 @@ def sealed_events(trail: DataFrame, records_per_block: int = 5, digest: Digest =
         *[c for c in trail.columns if c != "claim_id"],
         digest(F.concat(F.col("record_hash"), F.lit("tx"))).alias("tx_hash"),
         F.floor(F.col("ts") / 60).cast("long").alias("block_number"),
-        F.pmod(F.xxhash64("record_hash"), F.lit(1_000_000)).cast("int").alias("log_index"),
+        F.pmod(F.col("seq"), F.lit(1_000_000)).cast("int").alias("log_index"),
     )
 
 
@@ -36,7 +36,7 @@ def recent_events(events: DataFrame, limit: int = C.RECENT_DEFAULT, from_block:
         lowest = F.lit(from_block)
     return (
         events.where(F.col("block_number") >= lowest)
-        .orderBy(F.desc("block_number"), F.desc("log_index"), F.desc("record_hash"))
+        .orderBy(F.desc("block_number"), F.desc("log_index"), F.desc("claim_key"))
         .limit(n)
         .withColumn("sealed_at_iso", epoch_to_iso(F.col("ts")))
     )
