@@ -29,8 +29,6 @@ from tallygrain.operators.spread import first_per_key
 
 # index rows of one (band, value) beyond which the bucket is split
 BUCKET_ROWS = 50_000
-# largest table of busy buckets that is sent to every task
-BUSY_LIMIT = 200_000
 
 
 def band_widths(bands: int, bits: int = C.PHASH_BITS) -> list[int]:
@@ -184,78 +182,79 @@ def near_duplicates(photos: DataFrame, runs: DataFrame | None = None, bands: int
     """
     extra = ["seq"] if "seq" in photos.columns else []
     photos = photos.select("claim_id", "file_id", *extra, "p_hash", "created_at")
+    index = _earliest_claims(photos.withColumn("hash", F.col("p_hash")), "p_hash")
+
+    # the question is the same for all files of a claim that share a hash
+    asked = photos.groupBy("p_hash", "claim_id").agg(F.lit(1).alias("_one")).drop("_one")
     if runs is None:
-        asked = photos.withColumn("run_at", F.lit(None).cast("timestamp"))
+        asked = asked.withColumn("run_at", F.lit(None).cast("timestamp"))
     else:
-        asked = photos.join(runs.select("claim_id", "run_at"), "claim_id")
+        asked = asked.join(runs.select("claim_id", "run_at"), "claim_id")
+
+    def entry() -> Column:
+        return _known(_other(F.col("claim_id"), F.col("e1"), F.col("e2")), F.col("run_at"))
 
     # tier 0: equal hashes
-    stored = photos.withColumn("hash", F.col("p_hash"))
-    index = _earliest_claims(stored, "p_hash")
-    same = index.where(F.col("e2").isNotNull())
-    entry = lambda: _known(_other(F.col("claim_id"), F.col("e1"), F.col("e2")), F.col("run_at"))
-    asked = asked.join(same, "p_hash", "left").withColumn("hit0", entry()).drop("e1", "e2")
+    first = asked.join(index.where(F.col("e2").isNotNull()), "p_hash", "left").withColumn("hit", entry()).drop("e1", "e2")
+    settled0 = first.where(F.col("hit").isNotNull()).select("claim_id", "p_hash", F.lit(0).alias("tier"), "hit")
+    open0 = first.where(F.col("hit").isNull()).drop("hit")
 
     # tier 1: equal but for one chunk of at most six bits
     pieces = chunks(C.PHASH_CROSS)
-
-    def masked() -> Column:
-        """Hash with one chunk blanked out, for each chunk."""
-        return F.array(
-            *[
-                F.concat(F.substring("p_hash", 1, start), F.repeat(F.lit("x"), length), F.substring("p_hash", start + length + 1, 64))
-                for start, length in pieces
-            ]
-        )
-
-    # one entry per hash and claim is enough; of those, two claims per hash
+    blanked = F.array(
+        *[
+            F.concat(
+                F.substring("p_hash", 1, start), F.repeat(F.lit("x"), length), F.substring("p_hash", start + length + 1, 64)
+            )
+            for start, length in pieces
+        ]
+    )
+    # the two earliest claims of a hash are enough, so a crowd sends two rows per hash
     members = (
         index.select("p_hash", F.explode(F.array_compact(F.array("e1", "e2"))).alias("e"))
         .select("p_hash", "e.*")
-        .withColumn("masked", F.explode(masked()))
+        .withColumn("masked", F.explode(blanked))
     )
     groups = _earliest_claims(members, "masked").where(F.col("e2").isNotNull())
-    open0 = asked.where(F.col("hit0").isNull()).select("claim_id", "p_hash", "run_at").distinct()
-    hit1 = (
-        open0.withColumn("masked", F.explode(masked()))
-        .join(groups, "masked")
+    second = (
+        open0.withColumn("masked", F.explode(blanked))
+        .join(groups, "masked", "left")
         .withColumn("hit", entry())
-        .where(F.col("hit").isNotNull())
-        .groupBy("claim_id", "p_hash")
+        .groupBy("claim_id", "p_hash", "run_at")
         .agg(F.min("hit").alias("hit1"))
     )
 
     # tier 2: the band join, for hashes that are still open
-    open1 = open0.join(hit1, ["claim_id", "p_hash"], "left_anti")
-    found = band_matches(open1.select("p_hash").distinct(), index, C.PHASH_CROSS, bands)
-    # earliest entries per probe hash: two claims are enough to leave out one's own
-    entries = found.where(F.col("p_hash") != F.col("other_hash")).select(
-        "p_hash",
-        F.explode(F.array_compact(F.array("e1", "e2"))).alias("e"),
-    ).groupBy("p_hash", F.col("e.claim_id").alias("claim_id")).agg(F.min("e").alias("e"))
-    earliest = first_per_key(entries, ["p_hash"], [F.col("e")], 2)
-    pair = earliest.groupBy("p_hash").agg(
-        F.max(F.when(F.col("rn") == 1, F.col("e"))).alias("e1"), F.max(F.when(F.col("rn") == 2, F.col("e"))).alias("e2")
+    probes = second.where(F.col("hit1").isNull()).select("p_hash").distinct()
+    found = band_matches(probes, index, C.PHASH_CROSS, bands).where(F.col("p_hash") != F.col("other_hash"))
+    # two claims per probe are enough to leave out one's own
+    entries = (
+        found.select("p_hash", F.explode(F.array_compact(F.array("e1", "e2"))).alias("e"))
+        .groupBy("p_hash", F.col("e.claim_id").alias("claim_id"))
+        .agg(F.min("e").alias("e"))
     )
-    hit2 = (
-        open1.join(pair, "p_hash")
-        .withColumn("hit2", entry())
-        .where(F.col("hit2").isNotNull())
-        .select("claim_id", "p_hash", "hit2")
+    pair = (
+        first_per_key(entries, ["p_hash"], [F.col("e")], 2)
+        .groupBy("p_hash")
+        .agg(
+            F.max(F.when(F.col("rn") == 1, F.col("e"))).alias("e1"),
+            F.max(F.when(F.col("rn") == 2, F.col("e"))).alias("e2"),
+        )
     )
+    third = second.join(pair, "p_hash", "left").withColumn("hit2", F.when(F.col("hit1").isNull(), entry()))
+    settled = third.select(
+        "claim_id",
+        "p_hash",
+        F.when(F.col("hit1").isNotNull(), 1).otherwise(2).alias("tier"),
+        F.coalesce("hit1", "hit2").alias("hit"),
+    ).where(F.col("hit").isNotNull())
 
-    flagged = (
-        asked.join(hit1, ["claim_id", "p_hash"], "left")
-        .join(hit2, ["claim_id", "p_hash"], "left")
-        .withColumn("hit", F.coalesce("hit0", "hit1", "hit2"))
-        .where(F.col("hit").isNotNull())
-    )
-    tier = F.when(F.col("hit0").isNotNull(), 0).when(F.col("hit1").isNotNull(), 1).otherwise(2)
+    flagged = photos.join(settled0.unionByName(settled), ["claim_id", "p_hash"])
     return flagged.select(
         "claim_id",
         "file_id",
         *extra,
-        tier.alias("tier"),
+        "tier",
         F.col("hit.claim_id").alias("match_claim_id"),
         F.col("hit.file_id").alias("match_file_id"),
         N.hamming(F.col("p_hash"), F.col("hit.hash")).alias("distance"),

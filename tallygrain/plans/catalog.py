@@ -30,7 +30,9 @@ from tallygrain.operators import (
 )
 from tallygrain.plans import explain as EP, verify as VP
 from tallygrain.session import configure, work_dir
+from tallygrain.schemas import EVENTS_RAW, LINEITEM_RAW, ORDERS_RAW
 from tallygrain.sources import driver_views as V, files as SF, snapshots as SN
+from tallygrain.streaming import jobs as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -979,3 +981,89 @@ def rul10_training_labels(spark, d):
         "id", ME.bulk_label(s).alias("bulk"), ME.human_label(s).alias("human"),
         F.when(F.col("verdict").isNotNull(), ME.verdict_label(F.col("verdict"))).alias("live"),
     )
+
+
+# --- streams: the same rows arrive as a stream, the result is read from its table ---------------------
+
+def _event_stream(spark, d) -> DataFrame:
+    events = ST.read_files(spark, f"{d}/events.parquet*", EVENTS_RAW)
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("pos", F.unix_micros("ts"))
+
+
+def _claim_stream(spark, d) -> DataFrame:
+    return V.claims(spark, d, ST.read_files(spark, f"{d}/orders.parquet*", ORDERS_RAW))
+
+
+@query
+def st1_verify_on_intake(spark, d):
+    runs, _ = ST.verify_on_intake(_claim_stream(spark, d), _tables(spark, d))
+    return runs.select("claim_id", "verdict", "score")
+
+
+@query
+def st2_sealing(spark, d):
+    records = _event_stream(spark, d).select(
+        V.claim_id(F.col("user_id")).alias("claim_id"), "pos",
+        H.sha2_digest(F.concat(F.lit("state-"), F.col("event_id").cast("string"))).alias("state_hash"),
+        V.event_status().alias("status"), F.unix_seconds("ts").alias("ts"), F.lit("svc").alias("recorded_by"),
+        F.col("props").alias("note"),
+    )
+    out = ST.drain(ST.seal_stream(records), "sealing")
+    return out.select("claim_id", "seq", "prev_record_hash", "record_hash")
+
+
+@query
+def st3_transition_guard(spark, d):
+    t = F.col("event_type")
+    requests = _event_stream(spark, d).select(
+        V.claim_id(F.col("user_id")).alias("claim_id"), "pos",
+        F.when(t == "purchase", "pay").when(t.isin("view", "signup"), "verdict").otherwise("human").alias("kind"),
+        F.when(t == "view", "AI_FLAGGED").when(t == "signup", "AI_APPROVED").when(t == "click", "HUMAN_APPROVED")
+        .when(t == "error", "HUMAN_REJECTED").otherwise("PAID").alias("requested"),
+        F.repeat(F.col("props"), (1 + F.col("event_id") % 3).cast("int")).alias("note"),
+    )
+    return ST.drain(ST.guard_stream(requests), "guard").select("claim_id", "pos", "requested", "previous", "code", "status")
+
+
+@query
+def st4_intake_velocity(spark, d):
+    """More than three requests of one source in a day."""
+    out = ST.too_fast(_event_stream(spark, d), "user_id", "ts", limit=3, seconds=86400)
+    return out.select("user_id", _ts("window_start").alias("window_start"), "n")
+
+
+def _audit_stream(spark, d) -> DataFrame:
+    return V.audit_rows(ST.read_files(spark, f"{d}/events.parquet*", EVENTS_RAW))
+
+
+@query
+def st5_audit_append(spark, d):
+    out = ST.drain(ST.audit_stream(_audit_stream(spark, d)), "audit")
+    return out.select("claim_id", "status", _ts("ts").alias("ts"))
+
+
+@query
+def st5_audit_forever(spark, d):
+    out = ST.audit_forever(_audit_stream(spark, d), work_dir(spark, "audit"))
+    return out.select("claim_id", "status", _ts("ts").alias("ts"), "event_id")
+
+
+@query
+def st6_late_evidence(spark, d):
+    files = V.evidence(spark, d, ST.read_files(spark, f"{d}/lineitem.parquet*", LINEITEM_RAW))
+    _, records = ST.late_evidence(files, V.claims(spark, d))
+    return records.select("claim_id", "n", "status", "note", _ts("ts").alias("ts"))
+
+
+@query
+def st7_memory_upkeep(spark, d):
+    decided = _claim_stream(spark, d).where(F.col("verdict").isNotNull()).select(
+        F.col("id").alias("claim_id"), ME.verdict_label(F.col("verdict")).alias("label"), F.col("decided_at").alias("at")
+    )
+    out = ST.memory_upkeep(decided, V.image_vectors(spark, d), V.memory(spark, d), "pipeline")
+    return out.select("claim_id", "file_id", "label")
+
+
+@query
+def st8_live_kpi(spark, d):
+    return ST.live_kpi(_claim_stream(spark, d), _now())

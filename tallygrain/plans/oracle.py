@@ -325,15 +325,15 @@ _CHUNK = " OR ".join(
     for s, w in _pieces
 )
 _add("jn2_near_duplicates", f"""SELECT claim_id, file_id, tier, match_claim_id, match_file_id, distance FROM (
-  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY tier, at, match_claim_id, match_file_id) AS rn FROM (
-    SELECT a.claim_id, a.file_id, CASE WHEN a.p_hash = b.p_hash THEN 0 WHEN {_CHUNK} THEN 1 ELSE 2 END AS tier, b.vec_id AS at,
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY tier, seen, match_claim_id, match_file_id) AS rn FROM (
+    SELECT a.claim_id, a.file_id, CASE WHEN a.p_hash = b.p_hash THEN 0 WHEN {_CHUNK} THEN 1 ELSE 2 END AS tier, b.vec_id AS seen,
       b.claim_id AS match_claim_id, b.file_id AS match_file_id,
       CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS BIGINT) AS distance
     FROM halves a JOIN halves b ON a.claim_id <> b.claim_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 6))
   WHERE rn = 1""")
 _add("jn2_near_duplicates_as_of", f"""SELECT claim_id, file_id, tier, match_claim_id, match_file_id, distance FROM (
-  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY tier, at, match_claim_id, match_file_id) AS rn FROM (
-    SELECT a.claim_id, a.file_id, CASE WHEN a.p_hash = b.p_hash THEN 0 WHEN {_CHUNK} THEN 1 ELSE 2 END AS tier, b.created_at AS at,
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY tier, seen, match_claim_id, match_file_id) AS rn FROM (
+    SELECT a.claim_id, a.file_id, CASE WHEN a.p_hash = b.p_hash THEN 0 WHEN {_CHUNK} THEN 1 ELSE 2 END AS tier, b.created_at AS seen,
       b.claim_id AS match_claim_id, b.file_id AS match_file_id, CAST(a.distance AS BIGINT) AS distance
     FROM (
       SELECT x.*, y.h AS other, bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS distance
@@ -486,7 +486,7 @@ _add("str3_transliterate", f"""SELECT o_orderkey AS claim_id, ({_list(V.FIRST_DE
   (['pandeya', 'kumara', 'pavara', 'sinha', 'rava', 'patila', 'shinde', 'joshi'])[(o_orderkey // 8) % 8 + 1] AS latin FROM orders""")
 _TM = """({x} = {y} OR (length({x}) >= 4 AND length({y}) >= 4 AND (starts_with({x}, {y}) OR starts_with({y}, {x})))
   OR levenshtein({x}, {y}) <= CASE WHEN length({x}) >= 5 AND length({y}) >= 5 THEN 2 ELSE 1 END)"""
-_add("str4_name_match", f"""SELECT claim_id, CAST(floor(100.0 * len(list_filter(a, x -> len(list_filter(b, y -> {_TM.format(x="x", y="y")})) > 0)) / 2 + 0.5) AS BIGINT) AS score
+_add("str4_name_match", f"""SELECT claim_id, CAST(floor(100.0 * len(list_filter(a, lambda x: len(list_filter(b, lambda y: {_TM.format(x="x", y="y")})) > 0)) / 2 + 0.5) AS BIGINT) AS score
   FROM (SELECT o_orderkey AS claim_id, [t FOR t IN string_split(lower({_person("o_orderkey")}), ' ')] AS a, string_split(lower({_person("o_custkey")}), ' ') AS b FROM orders)""".replace("/ 2 +", "/ least(len(a), len(b)) +"))
 _add("str6_devanagari_digits", f"SELECT o_orderkey AS k, translate(CAST(o_orderkey AS VARCHAR), '0123456789', '०१२३४५६७८९') AS deva, CAST(o_orderkey AS VARCHAR) AS ascii FROM orders")
 _TERMS = {loss: " OR ".join(f"contains(t, '{w}')" for w in m["terms"]) for loss, m in C.LOSS_META.items()}
@@ -531,8 +531,8 @@ _add("dt1_dt4_times", f"""SELECT id, submitted_at > TIMESTAMP '2001-08-01 12:00:
 _KM = f"2 * 6371 * asin(sqrt(pow(sin(radians(19.8697::DOUBLE - {_LAT}) / 2), 2) + cos(radians({_LAT})) * cos(radians(19.8697::DOUBLE)) * pow(sin(radians(77.3091::DOUBLE - {_LON}) / 2), 2)))"
 _add("ma1_ma2_geometry", f"""SELECT DISTINCT l_partkey, round({_KM}, 3) AS km, CAST(floor({_KM} + 0.5) AS BIGINT) AS km_whole,
   CAST(floor(2.5 - l_partkey % 7 + 0.5) AS BIGINT) AS half_up, {_TILE.format(lat=_LAT, lon=_LON)} AS tile_id FROM lineitem""")
-_add("ma3_ma5_vectors", """SELECT vec_id, round(list_dot_product(v, o), 3) AS dot, round(list_dot_product(v, o) / sqrt(list_dot_product(v, v)), 3) AS normalised_dot,
-  round(list_sum([floor(x * 1000 + 0.5) / 1000 FOR x IN v]), 3) AS rounded_sum
+_add("ma3_ma5_vectors", """SELECT vec_id, round(list_dot_product(v, o), 3) + 0.0 AS dot, round(list_dot_product(v, o) / sqrt(list_dot_product(v, v)), 3) + 0.0 AS normalised_dot,
+  round(list_sum([floor(x * 1000 + 0.5) / 1000 FOR x IN v]), 3) + 0.0 AS rounded_sum
   FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0) AS o FROM embeddings)""")
 _add("ma4_hamming", f"""SELECT vec_id AS k, vec_id % 9 AS distance, CAST(64 AS BIGINT) AS unequal_length FROM embeddings""")
 _SH = "length({c}) || ':' || {c}"
@@ -561,3 +561,35 @@ _add("rul7_file_reasons", f"""SELECT claim_id, count(*) FILTER (WHERE rule = 1)
   SELECT claim_id, 1 AS rule FROM geo_reasons WHERE reason IS NOT NULL UNION ALL SELECT claim_id, 2 FROM ({_FLAGGED})) GROUP BY 1""")
 _add("rul10_training_labels", f"""SELECT id, {_LABEL} AS bulk, CASE status WHEN 'HUMAN_APPROVED' THEN 'genuine' WHEN 'HUMAN_REJECTED' THEN 'fraud' END AS human,
   CASE WHEN verdict IS NOT NULL THEN CASE WHEN verdict = 'AI_APPROVED' THEN 'genuine' ELSE 'fraud' END END AS live FROM claims""")
+
+
+# streams give what the same rows give in a batch
+_add("st2_sealing", ORACLES["win2_trail_sealing"][len(VIEWS):])
+_add("st5_audit_forever", ORACLES["agg12_audit_dedup"][len(VIEWS):])
+_add("st5_audit_append", f"SELECT claim_id, status, ts FROM ({ORACLES['agg12_audit_dedup'][len(VIEWS):]})")
+_add("st6_late_evidence", ORACLES["set2_st6_addendum"][len(VIEWS):])
+_add("st8_live_kpi", f"SELECT * EXCLUDE (verification_p50_ms) FROM ({ORACLES['agg1_agg2_kpi_strip'][len(VIEWS):]})")
+_add("st4_intake_velocity", f"""SELECT user_id, {_SEC.format(t="CAST(CAST(ts AS DATE) AS TIMESTAMP)")} AS window_start, count(*) AS n
+  FROM events GROUP BY user_id, CAST(ts AS DATE) HAVING count(*) > 3""")
+_KINDS = """SELECT *, CASE WHEN event_type = 'purchase' THEN 'pay' WHEN event_type IN ('view', 'signup') THEN 'verdict' ELSE 'human' END AS kind,
+  CASE event_type WHEN 'view' THEN 'AI_FLAGGED' WHEN 'signup' THEN 'AI_APPROVED' WHEN 'click' THEN 'HUMAN_APPROVED' WHEN 'error' THEN 'HUMAN_REJECTED' ELSE 'PAID' END AS requested,
+  repeat(props, CAST(1 + event_id % 3 AS INTEGER)) AS note, epoch_us(ts) AS pos FROM event_rows"""
+_CODE = f"""CASE WHEN r.kind = 'verdict' THEN CASE WHEN cur IN {_in(C.TERMINAL)} THEN 'TERMINAL_STATE' ELSE 'OK' END
+  WHEN r.kind = 'pay' THEN CASE WHEN cur = 'AI_FLAGGED' THEN 'FLAGGED_LOCKED' WHEN cur NOT IN {_in(C.PAYABLE)} THEN 'INVALID_STATE' ELSE 'OK' END
+  ELSE {_guard("cur")} END"""
+_add("st3_transition_guard", f""", reqs AS ({_KINDS}), walk AS (
+  SELECT claim_id, CAST(-1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS pos, '' AS requested, '' AS previous, '' AS code, 'SUBMITTED' AS status
+  FROM (SELECT DISTINCT claim_id FROM reqs)
+  UNION ALL
+  SELECT claim_id, seq, pos, requested, cur, code, CASE WHEN code = 'OK' THEN requested ELSE cur END FROM (
+    SELECT r.claim_id, r.seq, r.pos, r.requested, w.cur, {_CODE} AS code
+    FROM (SELECT claim_id, seq, status AS cur FROM walk) w JOIN reqs r ON r.claim_id = w.claim_id AND r.seq = w.seq + 1)
+) SELECT claim_id, pos, requested, previous, code, status FROM walk WHERE seq >= 0""")
+_add("st7_memory_upkeep", f"""SELECT claim_id, file_id, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY seen DESC, seq DESC, file_id DESC) AS r FROM (
+    SELECT e.claim_id, e.file_id, CASE WHEN c.verdict = 'AI_APPROVED' THEN 'genuine' ELSE 'fraud' END AS label, c.decided_at AS seen, CAST(e.seq AS BIGINT) AS seq
+    FROM evidence e JOIN claims c ON c.id = e.claim_id WHERE e.kind IN ('photo', 'satellite') AND c.verdict IS NOT NULL
+    UNION ALL
+    SELECT claim_id, file_id, label, make_timestamp((820454400 + seq * 3600) * 1000000), seq FROM memory
+    WHERE claim_id NOT IN (SELECT e.claim_id FROM evidence e JOIN claims c ON c.id = e.claim_id WHERE e.kind IN ('photo', 'satellite') AND c.verdict IS NOT NULL)))
+  WHERE r <= 500""")

@@ -6,7 +6,7 @@ final joins are one-to-one and add no shuffle of the large tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,6 +33,22 @@ class ClaimTables:
     prompts: DataFrame
     memory: DataFrame
     policies: DataFrame
+    # all stored evidence, where ``evidence`` holds only that of the batch
+    archive: DataFrame | None = None
+
+    def only(self, claims: DataFrame) -> ClaimTables:
+        """The same tables cut down to the files of some claims; pictures are
+        still compared with the whole archive."""
+        ids = claims.select(F.col("id").alias("claim_id"))
+        evidence = self.evidence.join(ids, "claim_id", "left_semi")
+        return replace(
+            self,
+            claims=claims,
+            evidence=evidence,
+            ocr=self.ocr.join(evidence.select("file_id"), "file_id", "left_semi"),
+            image_vectors=self.image_vectors.join(ids, "claim_id", "left_semi"),
+            archive=self.evidence if self.archive is None else self.archive,
+        )
 
 
 def with_run_time(claims: DataFrame) -> DataFrame:
@@ -79,7 +95,9 @@ def image_signals(tables: ClaimTables, exclude_self: bool = True) -> tuple[DataF
 
 def duplicate_rows(tables: ClaimTables) -> DataFrame:
     runs = with_run_time(tables.claims).select(F.col("id").alias("claim_id"), "run_at")
-    return neardup.near_duplicates(neardup.photo_hashes(tables.evidence), runs)
+    return neardup.near_duplicates(
+        neardup.photo_hashes(tables.evidence if tables.archive is None else tables.archive), runs
+    )
 
 
 def collision_text() -> Column:

@@ -57,6 +57,13 @@ TRANSITIONS = _struct(
 REFLECTANCE = _struct(("tile_id", _s), ("obs_date", T.DateType()), ("band", _s), ("value", _d))
 
 STAGE_LOG = _struct(("stage", _s), ("result", _s), ("details", _s))
+RUN_STAGE = _struct(("stage", _s), ("result", _s), ("details", _s), ("reasons", T.ArrayType(_s)))
+# a verification run without its document summary
+RUNS = _struct(
+    ("claim_id", _s), ("run_id", _s), ("run_at", _ts), ("claimant_name", _s), ("loss_type", _s),
+    ("amount_requested", _i), ("verdict", _s), ("score", _i), ("reasons", T.ArrayType(_s)),
+    ("stages", T.ArrayType(RUN_STAGE)), ("run_digest", _s),
+)
 # one snapshot file: {savedAt, contract, claims: [...]}
 SNAPSHOT_CLAIM = _struct(
     ("id", _s), ("claimantName", _s), ("lossType", _s), ("amountRequested", _i), ("status", _s),
@@ -85,3 +92,8 @@ ORDERS_RAW = _struct(
     ("o_orderkey", _l), ("o_custkey", _l), ("o_orderstatus", _s), ("o_totalprice", _d),
     ("o_orderdate", T.TimestampNTZType()), ("o_orderpriority", _s),
 )
+LINEITEM_RAW = _struct(
+    ("l_orderkey", _l), ("l_partkey", _l), ("l_suppkey", _l), ("l_linenumber", _i), ("l_quantity", _d),
+    ("l_extendedprice", _d), ("l_discount", _d), ("l_tax", _d), ("l_returnflag", _s), ("l_linestatus", _s),
+    ("l_shipdate", T.TimestampNTZType()),
+)

@@ -153,7 +153,8 @@ def part_lon() -> Column:
     return F.lit(72.9) + (F.col("l_partkey") % 40 * 13 % 52).cast("double") / 10
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """Evidence files from ``lineitem``, which may also be a stream."""
     part, line = F.col("l_partkey"), F.col("l_linenumber")
     kind = _kind()
     # one part in ten stands for a picture that is used again with a few bits changed
@@ -163,7 +164,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     single = bit_string(F.sha2(file_key(), 256))
     gps = F.when(part % 5 != 0, F.struct(part_lat().alias("lat"), part_lon().alias("lon")))
-    return table(spark, sf_dir, "lineitem").select(
+    lineitem = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
+    return lineitem.select(
         file_key().alias("file_id"),
         claim_id(F.col("l_orderkey")).alias("claim_id"),
         line.alias("seq"),
@@ -258,6 +260,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(k, F.concat(header, F.col("text")).alias("text"))
 
 
+def event_status() -> Column:
+    return _by_key(EVENT_STATUS, F.col("event_type"))
+
+
 def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return dense_sequence(events, "user_id", F.to_date("ts"), [F.col("ts"), F.col("event_id")])
@@ -291,12 +297,12 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_rows(spark, sf_dir).select(*transition_columns())
 
 
-def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit rows with repeats: the same user, type and value on one day counts as one."""
-    return table(spark, sf_dir, "events").select(
+def audit_rows(events: DataFrame) -> DataFrame:
+    """Audit rows with repeats: the same user and type on one day counts as one."""
+    return events.select(
         claim_id(F.col("user_id")).alias("claim_id"),
         sha2_digest(F.col("event_type")).alias("state_hash"),
-        _by_key(EVENT_STATUS, F.col("event_type")).alias("status"),
+        event_status().alias("status"),
         F.lit("svc").alias("recorded_by"),
         F.col("props").alias("note"),
         F.to_date("ts").cast("timestamp").alias("ts"),
@@ -304,6 +310,10 @@ def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_rows(table(spark, sf_dir, "events"))
+
+
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
@@ -317,7 +327,8 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("bits"),
         lambda b, p: F.when(((p * 31 + v) % 64) < (v % 9), 1 - b).otherwise(b),
     )
-    both = base.select(v, "bits").unionByName(base.select((v + PLANTED).alias("vec_id"), flipped.alias("bits")))
+    copies = base.withColumn("bits", flipped).withColumn("vec_id", v + PLANTED)
+    both = base.unionByName(copies)
     return both.select(
         F.concat(F.lit("IMG-"), F.col("vec_id").cast("string")).alias("file_id"),
         claim_id(F.col("vec_id")).alias("claim_id"),

@@ -10,7 +10,6 @@ one task is bounded by the size of a micro-batch (``maxFilesPerTrigger``).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import replace
 from typing import Any
 
 import pandas as pd
@@ -21,6 +20,7 @@ from tallygrain import constants as C
 from tallygrain.operators import kpi, maintain, memory as M
 from tallygrain.operators.trail import payload_column, sealable, sha2_text
 from tallygrain.plans.verify import ClaimTables, verify_claims
+from tallygrain.schemas import RUNS
 from tallygrain.session import work_dir
 
 
@@ -233,13 +233,13 @@ def verify_on_intake(
     the stream goes on.  Returns the runs and the claims of failed batches."""
     spark = intake.sparkSession
     folder = folder or work_dir(spark, "intake")
-    shape = verify_claims(replace(tables, claims=tables.claims.limit(0))).drop("summary").schema
-    failed_schema = "claim_id string, error string"
+    shape = RUNS
+    failed_schema = T.StructType([T.StructField("claim_id", T.StringType()), T.StructField("error", T.StringType())])
 
     def handle(batch: DataFrame, epoch: int) -> None:
         runs_path, failed_path = f"{folder}/runs/epoch={epoch}", f"{folder}/failed/epoch={epoch}"
         try:
-            verify_claims(replace(tables, claims=batch)).drop("summary").write.mode("overwrite").parquet(runs_path)
+            verify_claims(tables.only(batch)).select(*shape.names).write.mode("overwrite").parquet(runs_path)
         except Exception as error:  # noqa: BLE001 - intake must not stop
             note = f"{type(error).__name__}: {error}"[:500]
             batch.select(F.col("id").alias("claim_id"), F.lit(note).alias("error")).write.mode("overwrite").parquet(failed_path)
@@ -249,7 +249,7 @@ def verify_on_intake(
     spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{folder}/runs/epoch=-1")
     drain_batches(intake, handle, folder)
     runs = spark.read.schema(shape).parquet(f"{folder}/runs")
-    failed = spark.read.schema(spark.createDataFrame([], failed_schema).schema).parquet(f"{folder}/failed")
+    failed = spark.read.schema(failed_schema).parquet(f"{folder}/failed")
     return runs, failed
 
 
