@@ -105,8 +105,10 @@ def collision_text() -> Column:
 
 
 def file_reasons(geo: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """All reasons that name a file, as rows: claim_id, rule, seq, file_id, reason."""
-    r4 = geo.select("claim_id", F.lit(1).alias("rule"), "seq", "file_id", "reason")
+    """All reasons that name a file, as rows: claim_id, rule, seq, file_id, reason, collision."""
+    r4 = geo.select(
+        "claim_id", F.lit(1).alias("rule"), "seq", "file_id", "reason", F.lit(None).cast("string").alias("collision")
+    )
     r2 = duplicates.select(
         "claim_id",
         F.lit(2).alias("rule"),
@@ -115,19 +117,29 @@ def file_reasons(geo: DataFrame, duplicates: DataFrame) -> DataFrame:
         F.format_string(
             "R2 duplicate-evidence: %s matches archived %s/%s", "file_id", "match_claim_id", "match_file_id"
         ).alias("reason"),
+        collision_text().alias("collision"),
     )
     return r4.unionByName(r2)
 
 
-def _shown(rows: DataFrame, order: list[Column], text: Column, count: str, shown: str) -> DataFrame:
-    """Row count per claim and the first few texts, in order."""
-    counts = rows.groupBy("claim_id").agg(F.count("*").alias(count))
-    # at most REASONS_SHOWN rows per claim are collected
+def reason_summary(rows: DataFrame) -> DataFrame:
+    """Per claim: how many file reasons and collisions, and the first few of each.
+
+    The full list stays in ``rows``; a run shows REASONS_SHOWN of them.
+    """
+    counts = rows.groupBy("claim_id").agg(
+        F.count("*").alias("n_file_reasons"), F.count_if(F.col("rule") == 2).alias("n_dup")
+    )
+    # at most REASONS_SHOWN rows of each of the two rules are collected
     first = (
-        first_per_key(rows.withColumn("_text", text), ["claim_id"], order, C.REASONS_SHOWN)
+        first_per_key(rows, ["claim_id", "rule"], [F.col("seq"), F.col("file_id")], C.REASONS_SHOWN)
         .groupBy("claim_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "_text"))).alias("_t"))
-        .select("claim_id", F.transform("_t", lambda t: t["_text"]).alias(shown))
+        .agg(F.array_sort(F.collect_list(F.struct("rule", "rn", "reason", "collision"))).alias("_t"))
+        .select(
+            "claim_id",
+            F.slice(F.transform("_t", lambda t: t["reason"]), 1, C.REASONS_SHOWN).alias("file_reasons"),
+            F.array_compact(F.transform("_t", lambda t: t["collision"])).alias("dup_shown"),
+        )
     )
     return counts.join(first, "claim_id")
 
@@ -140,16 +152,11 @@ def claim_rows(
     signals = image_signals(tables)[0] if signals is None else signals
     duplicates = duplicate_rows(tables) if duplicates is None else duplicates
     geo = geo_reasons(tables.evidence, tables.claims) if geo is None else geo
-    by_file = [F.col("seq"), F.col("file_id")]
-    dup = _shown(duplicates, by_file, collision_text(), "n_dup", "dup_shown")
-    reasons = _shown(
-        file_reasons(geo, duplicates), [F.col("rule"), *by_file], F.col("reason"), "n_file_reasons", "file_reasons"
-    )
+    reasons = reason_summary(file_reasons(geo, duplicates))
     features = D.with_cross_check(D.claim_features(tables.evidence, tables.ocr))
     wide = (
         claims.join(features, "claim_id", "left")
         .join(signals, "claim_id", "left")
-        .join(dup, "claim_id", "left")
         .join(reasons, "claim_id", "left")
     )
     return with_policy(wide.withColumn("paper_number", S.paper_number()), tables.policies, "paper_number")

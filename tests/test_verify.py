@@ -1,6 +1,5 @@
 """Whole runs over small planted stories."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from tallygrain import constants as C
@@ -58,7 +57,7 @@ def story(spark):
 
 
 def test_seed_story(spark):
-    runs = VP.verify_claims(story(spark))
+    runs = VP.verify_claims(story(spark)).cache()
     got, by_stage = {r.claim_id: r for r in runs.collect()}, logs(runs)
     assert got["CLM-8919"].verdict == "AI_FLAGGED"
     assert by_stage["CLM-8919", "DUPLICATE_PHASH"].result == "FAIL" == by_stage["CLM-8919", "FRAUD_RULES"].result
@@ -72,7 +71,7 @@ def test_seed_story(spark):
 
 
 def test_strict_exif_fails_and_text_is_built_in_both_languages(spark):
-    runs = VP.verify_claims(story(spark), strict_exif=True)
+    runs = VP.verify_claims(story(spark), strict_exif=True).cache()
     assert logs(runs)["CLM-4102", "EXIF_INTEGRITY"].result == "FAIL"
     english = {r.claim_id: r.explanation for r in EP.explain_runs(runs).collect()}
     hindi = {r.claim_id: r.explanation for r in EP.explain_runs(runs, "hi").collect()}
@@ -85,30 +84,33 @@ def test_strict_exif_fails_and_text_is_built_in_both_languages(spark):
 CARD = "GOVERNMENT OF INDIA\nName: Roshan Pandey\nDoB: 03/01/1995\nMALE\n5522 6616 4533"
 
 
-@pytest.mark.parametrize(
-    "deed, result, reason",
-    [
-        ("sale deed khasra\nowner: Roshan Pandey 7", "PASS", None),
-        ("sale deed khasra\nowner: Meera Joshi 7", "FAIL", "R-IDENTITY"),
-        ("## ## blurred", "WARN", None),
-        ("", "FAIL", "R-DOC registry could not be read"),
-        (None, "FAIL", "R-DOC registry missing"),
-    ],
-)
-def test_papers(spark, deed, result, reason):
-    evidence = [file("p", "A", 0, "photo", 0), file("a", "A", 1, "aadhaar", 0)]
-    texts = [("a", CARD), ("p", "flood")]
-    if deed is not None:
-        evidence.append(file("r", "A", 2, "registry", 0))
-        texts.append(("r", deed))
-    runs = VP.verify_claims(tables(spark, [claim("A", "Roshan Pandey", "flood", 100, 0)], evidence, texts))
-    row = logs(runs)["A", "DOC_CROSS"]
-    assert row.result == result
-    assert (not row.reasons) if reason is None else any(r.startswith(reason) for r in row.reasons)
-    summary = runs.first().summary
-    assert summary.aadhaar.aadhaar_masked == "XXXX XXXX 4533" and summary.registry.found == (deed is not None)
-    # farmer papers alone leave the plain document reading without text
-    assert logs(runs)["A", "OCR_EXTRACT"].result == "WARN"
+DEEDS = {
+    "same": ("sale deed khasra\nowner: Roshan Pandey 7", "PASS", None),
+    "other": ("sale deed khasra\nowner: Meera Joshi 7", "FAIL", "R-IDENTITY"),
+    "torn": ("## ## blurred", "WARN", None),
+    "blank": ("", "FAIL", "R-DOC registry could not be read"),
+    "none": (None, "FAIL", "R-DOC registry missing"),
+}
+
+
+def test_papers(spark):
+    evidence, texts, claims = [], [], []
+    for k, (deed, _, _) in DEEDS.items():
+        claims.append(claim(k, "Roshan Pandey", "flood", 100, 0))
+        evidence += [file(f"{k}-p", k, 0, "photo", 0), file(f"{k}-a", k, 1, "aadhaar", 0)]
+        texts += [(f"{k}-a", CARD), (f"{k}-p", "flood")]
+        if deed is not None:
+            evidence.append(file(f"{k}-r", k, 2, "registry", 0))
+            texts.append((f"{k}-r", deed))
+    runs = VP.verify_claims(tables(spark, claims, evidence, texts)).cache()
+    rows, found = logs(runs), {r.claim_id: r.summary for r in runs.collect()}
+    for k, (deed, result, reason) in DEEDS.items():
+        row = rows[k, "DOC_CROSS"]
+        assert row.result == result, k
+        assert (not row.reasons) if reason is None else any(r.startswith(reason) for r in row.reasons)
+        assert found[k].aadhaar.aadhaar_masked == "XXXX XXXX 4533" and found[k].registry.found == (deed is not None)
+        # farmer papers alone leave the plain document reading without text
+        assert rows[k, "OCR_EXTRACT"].result == "WARN"
 
 
 def test_policy_reasons_cost_two_stages_and_come_first(spark):
@@ -131,9 +133,11 @@ def test_claim_without_files(spark):
 
 
 def test_no_fail_means_approved_and_runs_repeat(spark):
-    first = VP.verify_claims(story(spark))
-    for r in first.collect():
+    tables = story(spark)
+    first = VP.verify_claims(tables).collect()
+    for r in first:
         fails = sum(s.result == "FAIL" for s in r.stages)
         assert (fails == 0) == (r.verdict == "AI_APPROVED")
-    again = {r.claim_id: r.run_digest for r in VP.verify_claims(story(spark)).collect()}
-    assert {r.claim_id: r.run_digest for r in first.collect()} == again
+    assert {r.claim_id: r.run_digest for r in first} == {
+        r.claim_id: r.run_digest for r in VP.verify_claims(tables).collect()
+    }
