@@ -46,9 +46,8 @@ def _has(name: str):
 
 
 def identity_card(text: Column) -> Column:
-    raw = plain_blanks(text)
-
-    def fields(flat: Column) -> Column:
+    def fields(t: Column) -> Column:
+        raw, flat = t["raw"], t["flat"]
         # the full number never leaves this expression
         digits = F.regexp_replace(F.regexp_extract(flat, P.CARD_NUMBER, 1), "[^0-9xX]", "")
         return F.struct(
@@ -61,8 +60,12 @@ def identity_card(text: Column) -> Column:
             F.when(raw.rlike(P.CARD_FEMALE), F.lit("female")).when(raw.rlike(P.CARD_MALE), F.lit("male")).alias("gender"),
         )
 
+    texts = let(
+        plain_blanks(text),
+        lambda t: F.struct(t.alias("raw"), F.regexp_replace(ascii_digits(t), r"\s+", " ").alias("flat")),
+    )
     return _with_confidence(
-        let(flatten(ascii_digits(text)), fields),
+        let(texts, fields),
         ["name", "name_devanagari", "dob", "aadhaar_masked", "gender"],
         [
             lambda f: f["name"].isNotNull() | f["name_devanagari"].isNotNull(),

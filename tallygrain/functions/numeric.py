@@ -68,8 +68,15 @@ def bits_low(p_hash: Column) -> Column:
     return F.conv(F.substring(p_hash, 33, 32), 2, 10).cast("long")
 
 
+def bit_text(hi: Column, lo: Column) -> Column:
+    """The bit string of two 32-bit halves."""
+    half = lambda x: F.lpad(F.bin(x), 32, "0")
+    return F.concat(half(hi), half(lo))
+
+
 def is_bit_hash(p_hash: Column) -> Column:
-    return p_hash.isNotNull() & (F.length(p_hash) == C.PHASH_BITS) & p_hash.rlike("^[01]{64}$")
+    """One look at the text: 64 characters, all 0 or 1; null is no hash."""
+    return F.coalesce(p_hash.rlike(f"^[01]{{{C.PHASH_BITS}}}$"), F.lit(False))
 
 
 def hamming_halves(hi1: Column, lo1: Column, hi2: Column, lo2: Column) -> Column:

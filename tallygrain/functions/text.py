@@ -116,19 +116,20 @@ def token_match(x: Column, y: Column) -> Column:
     return (x == y) | prefix | near
 
 
-def matched_tokens(a: Column, b: Column) -> Column:
-    """Tokens of the shorter list that have a partner in the longer one."""
-    def partners(short: Column, long: Column) -> Column:
-        return F.filter(short, lambda x: F.exists(long, lambda y: token_match(x, y)))
-
-    return F.when(F.size(a) <= F.size(b), partners(a, b)).otherwise(partners(b, a))
-
-
 def token_score(a: Column, b: Column) -> Column:
-    """0..100: share of the shorter token list that matched."""
-    n = F.least(F.size(a), F.size(b))
-    share = F.floor(F.size(matched_tokens(a, b)) * F.lit(100.0) / n + F.lit(0.5))
-    return F.when(n > 0, share).otherwise(F.lit(0)).cast("int")
+    """0..100: share of the shorter token list with a partner in the longer one."""
+    def score(p: Column) -> Column:
+        hits = F.size(F.filter(p["short"], lambda x: F.exists(p["long"], lambda y: token_match(x, y))))
+        n = F.size(p["short"])
+        return F.when(n > 0, F.floor(hits * F.lit(100.0) / n + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
+
+    def order(p: Column) -> Column:
+        swap = F.size(p["a"]) > F.size(p["b"])
+        return F.struct(
+            F.when(swap, p["b"]).otherwise(p["a"]).alias("short"), F.when(swap, p["a"]).otherwise(p["b"]).alias("long")
+        )
+
+    return let(let(F.struct(a.alias("a"), b.alias("b")), order), score)
 
 
 def name_score(name_a: Column, name_b: Column) -> Column:

@@ -101,7 +101,13 @@ def _known(entry: Column, run_at: Column) -> Column:
 
 def _salted_index(index: DataFrame, bands: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
     """Index rows by (band, value, salt) and the number of salts of busy buckets."""
-    rows = index.select("*", F.explode(_band_values(bands)).alias("bv")).select("*", "bv.band", "bv.value").drop("bv")
+    halves = {"other_hi": N.bits_high(F.col("p_hash")), "other_lo": N.bits_low(F.col("p_hash"))}
+    rows = (
+        index.withColumns(halves)
+        .select("*", F.explode(_band_values(bands)).alias("bv"))
+        .select("*", "bv.band", "bv.value")
+        .drop("bv")
+    )
     busy = (
         rows.groupBy("band", "value")
         .agg(F.count("*").alias("n"))
@@ -135,23 +141,25 @@ def band_matches(
     )
     widths = band_widths(bands)
     masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in probe_masks(w, radius)]) for w in widths])
+    # probes are laid out 68-fold, so they travel as two numbers, not as text
     asked = (
-        probes.select("p_hash", F.explode(_band_values(bands)).alias("bv"))
-        .select("p_hash", "bv.band", "bv.value")
+        # a step of its own: next to explode they would be worked out per exploded row
+        probes.select("p_hash").withColumns({"hi": N.bits_high(F.col("p_hash")), "lo": N.bits_low(F.col("p_hash"))})
+        .select("hi", "lo", F.explode(_band_values(bands)).alias("bv"))
+        .select("hi", "lo", "bv.band", "bv.value")
         .withColumn("mask", F.explode(F.element_at(masks, F.col("band") + 1)))
-        .select("p_hash", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        .select("hi", "lo", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         .join(busy, ["band", "value"], "left")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
         .drop("salts")
     )
-    asked = asked.withColumn("hi", N.bits_high(F.col("p_hash"))).withColumn("lo", N.bits_low(F.col("p_hash")))
-    rows = rows.withColumn("other_hi", N.bits_high(F.col("p_hash"))).withColumn("other_lo", N.bits_low(F.col("p_hash")))
     rows = rows.withColumnRenamed("p_hash", "other_hash")
     distance = N.hamming_halves(F.col("hi"), F.col("lo"), F.col("other_hi"), F.col("other_lo"))
     return (
         asked.join(rows, ["band", "value", "salt"])
         .withColumn("distance", distance)
         .where(F.col("distance") <= threshold)
+        .withColumn("p_hash", N.bit_text(F.col("hi"), F.col("lo")))
         .drop("hi", "lo", "other_hi", "other_lo", "band", "value", "salt")
     )
 
