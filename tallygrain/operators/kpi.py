@@ -11,7 +11,7 @@ from tallygrain.functions.timefn import within_last_hours
 
 def upper_median(column: str) -> Column:
     """Middle value, the upper one of an even number; null when there is none."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)").cast("long")
 
 
 def kpi_columns(now: Column) -> list[Column]:

@@ -835,9 +835,9 @@ def ma1_ma2_geometry(spark, d):
 @query
 def ma3_ma5_vectors(spark, d):
     e = V.table(spark, d, "embeddings")
-    first = e.where(F.col("vec_id") == 0).select(F.col("embedding").alias("other"))
+    other = e.where(F.col("vec_id") == 0).select("embedding").scalar()
     scaled = N.l2_normalise(F.transform("embedding", lambda x: x * 3))
-    return e.join(F.broadcast(first)).select(
+    return e.withColumn("other", other).select(
         "vec_id", F.round(N.dot(F.col("embedding"), F.col("other")), 3).alias("dot"),
         F.round(N.dot(scaled, F.col("other")), 3).alias("normalised_dot"),
         F.round(F.aggregate(N.round_vector(F.col("embedding"), 3), F.lit(0.0), lambda a, x: a + x), 3).alias("rounded_sum"),

@@ -103,7 +103,8 @@ def test_snapshot_reading_rules(spark, tmp_path):
 def test_csv_and_dossier(spark, tmp_path):
     SN.write_csv(claims(spark, [dict(id="A", claimant_name='O"Neil, Pat', status="PAID")]), str(tmp_path / "csv"))
     text = "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
-    assert text.splitlines()[1].startswith('A,"O""Neil, Pat",,,PAID,,,')
+    # the row may stand in any of the part files
+    assert any(line.startswith('A,"O""Neil, Pat",,,PAID,,,') for line in text.splitlines())
     from tallygrain.operators.trail import seal
 
     rows = spark.createDataFrame([("A", 0, "0x1", "PAID", 0, "svc", 'a "note"')], "claim_id string, seq long, state_hash string, status string, ts long, recorded_by string, note string")
