@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,9 +29,28 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application.
+
+    Spark copies the archive to every executor, so workers find the package
+    even where it was neither installed nor put on their path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tallygrain_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tallygrain-")) / "tallygrain.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(top.rglob("*.py")):
+            z.write(source, str(Path(top.name) / source.relative_to(top)))
+    context.addPyFile(str(archive))
+    context._tallygrain_shipped = True
+
+
 def get_session(master: str = "local[*]", app: str = "tallygrain", **conf: str) -> SparkSession:
     """Create a session for tests, benchmarks and notebooks."""
     builder = SparkSession.builder.master(master).appName(app)
@@ -44,18 +65,21 @@ def get_session(master: str = "local[*]", app: str = "tallygrain", **conf: str)
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared folder the cluster names.
+    """A fresh folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Streams keep their checkpoints and output there, so an executor or driver
-    that is lost can be replaced.  Only where ``spark.checkpoint.dir`` is unset
-    (tests on one machine) is a temporary folder used.
+    Tables and checkpoints go there, so an executor or driver that is lost can
+    be replaced.  Only on one machine, where the setting may be absent (tests),
+    is a temporary folder used; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tallygrain-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tallygrain/{purpose}-{uuid.uuid4().hex}"
