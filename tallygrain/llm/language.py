@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tallygrain.llm.shared import LETTER, crc_mod, raw_texts
 
 TRAIN_DOCS = 600  # texts per language that the trees are fitted on
+LANGUAGES = 256  # languages that get trees, the alphabetically first
+SALTS = 64
 MAX_CONTEXTS = 12_000  # contexts of three bytes that are kept, the most frequent first
 ORDER = 3
 START = b"\n" * ORDER  # every text is read as if it followed line ends
@@ -49,12 +51,23 @@ class Model:
 
 
 def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCS) -> DataFrame:
-    """A bounded sample (lang, text) of the rows whose remainder is not 1."""
+    """A bounded sample (lang, text) of the rows whose remainder is not 1.
+
+    The rows are chosen by short keys, ranked first within salted parts of a
+    language, so neither texts nor one language meet in a task.
+    """
     rows = docs.select("doc_id", "lang", "text").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & (crc_mod("doc_id", 3) != 1)
     )
-    w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_language).select("lang", "text")
+    rows = rows.withColumn("_h", F.xxhash64("doc_id", "text"))
+    keys = rows.select("lang", "_h", (F.col("_h") % SALTS).alias("_salt")).distinct()
+    for by in (["lang", "_salt"], ["lang"]):
+        w = W.partitionBy(*by).orderBy("_h")
+        keys = keys.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_language).drop("_rn")
+    # at most per_language keys for each of LANGUAGES languages, so the broadcast is bounded
+    first = keys.select("lang").distinct().orderBy("lang").limit(LANGUAGES)
+    chosen = keys.drop("_salt").join(F.broadcast(first), "lang", "left_semi")
+    return rows.join(F.broadcast(chosen), ["lang", "_h"], "left_semi").select("lang", "text")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

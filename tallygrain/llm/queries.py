@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrain.llm import language
+from tallygrain.llm import language, simhash
 from tallygrain.llm.shared import documents
 from tallygrain.session import configure
 
@@ -26,3 +26,8 @@ def query(fn: Query) -> Query:
 @query
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(documents(spark, sf_dir))
+
+
+@query
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
