@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrain.llm import language, simhash
+from tallygrain.llm import language, repeats, simhash
 from tallygrain.llm.shared import documents
 from tallygrain.session import configure
 
@@ -31,3 +31,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
