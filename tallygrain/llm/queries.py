@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrain.llm import language, repeats, simhash
+from tallygrain.llm import language, packing, repeats, simhash
 from tallygrain.llm.shared import documents
 from tallygrain.session import configure
 
@@ -36,3 +36,8 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_spans(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir)).drop("source")
