@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrain.llm import language, packing, quality, repeats, simhash, tokencount
+from tallygrain.llm import cells, chat, language, packing, quality, repeats, simhash, tokencount
 from tallygrain.llm.shared import documents, table
 from tallygrain.session import configure
 
@@ -51,3 +51,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir))
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.conversation_digests(chat.rendered_turns(turns.unionByName(chat.probe(spark))))
+
+
+@query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.embedding_dedup(table(spark, sf_dir, "embeddings"))
