@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrain.llm import cells, chat, language, packing, quality, repeats, simhash, tokencount
+from tallygrain.llm import cells, chat, language, packing, quality, repeats, shards, simhash, tokencount
 from tallygrain.llm.shared import documents, table
 from tallygrain.session import configure
 
@@ -62,3 +62,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.kd_shards(documents(spark, sf_dir))
