@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrain.llm import cells, chat, language, packing, quality, repeats, shards, simhash, tokencount
+import corpus_pipeline
+from tallygrain.llm import cells, chat, language, packing, quality, repeats, shards, simhash, templates, tokencount
 from tallygrain.llm.shared import documents, table
 from tallygrain.session import configure
 
@@ -67,3 +68,13 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.kd_shards(documents(spark, sf_dir))
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

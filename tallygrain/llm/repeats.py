@@ -411,6 +411,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) ->
     spans = spans.select(F.coalesce("doc_id", F.lit(LARGEST)).alias("_id"), F.col("text_hash").alias("_th"), F.col("gone").alias("_gone")).distinct()
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)), "_th": F.xxhash64("text")})
     rows = keyed.join(spans, ["_id", "_th"], "left").drop("_id", "_th")
+    names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -421,8 +422,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) ->
                     keep = ~_mask(gone, len(words))
                     texts[i] = b" ".join([words[j] for j in np.flatnonzero(keep)]).decode()
             keep = pa.array([bool(t) or g is None for t, g in zip(texts, b["_gone"].to_pylist())])
-            columns = [pa.array(texts, pa.string()) if c == "text" else b[c] for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns).filter(keep)
+            columns = [pa.array(texts, pa.string()) if c == "text" else b[c] for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(keep)
 
     out = rows.mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
