@@ -1,8 +1,8 @@
 """Token ids of whole texts by the public word tokenizer, with a bounded cache of chunks.
 
-The tokenizer splits at white space, and between a letter and a full stop or a
-comma, before it merges anything, so the ids of a text are those of its chunks
-one after the other.  Texts for which that is not certain go to the library
+The tokenizer splits at white space and between letters and other signs before
+it merges anything, so the ids of a text are those of its chunks one after the
+other.  Texts for which that is not certain go to the library
 whole.  What the library returns for a chunk is kept until the cache is full.
 """
 
@@ -14,28 +14,60 @@ import unicodedata
 
 import numpy as np
 
-CACHED = 400_000  # chunks a worker remembers
+CACHED = 1_000_000  # chunks a worker remembers
 LONG = 64  # longer chunks are not remembered
 # letters that lower case and composition leave alone, signs that never join a letter, plain white space
 _SAFE = re.compile(r"[\t\n\r\x20-\x7eß-öø-ÿ\u2010-\u2027]*")
-_PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[^\sa-zß-öø-ÿ]+")
+_CHUNK = re.compile(r"[a-zß-öø-ÿ]+|[^\sa-zß-öø-ÿ]+")
 _tokenizer = None
-_cache: dict[str, bytes] = {}
+
+
+class _Cache(dict):
+    """Ids by chunk; what is asked for in vain is noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.missing: list[str] = []
+
+    def __missing__(self, chunk: str) -> None:
+        self.missing.append(chunk)
+
+
+_cache = _Cache()
 
 
 def _library():
+    """The tokenizer, and which of its ids end a word."""
     global _tokenizer
     if _tokenizer is None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        _tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        ends = np.zeros(t.get_vocab_size(), bool)
+        ends[[i for piece, i in t.get_vocab().items() if piece.endswith("</w>")]] = True
+        _tokenizer = t, ends
     return _tokenizer
 
 
-def _encode(text: str) -> bytes:
-    return np.array(_library().encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+def _encode(text: str) -> np.ndarray:
+    return np.array(_library()[0].encode(text, add_special_tokens=False).ids, np.uint16)
+
+
+def _learn(chunks: list[str]) -> dict[str, bytes]:
+    """Ids of chunks; words are encoded together and told apart by the ids that end a word."""
+    found = {c: _encode(c).tobytes() for c in chunks if not c[0].isalpha()}
+    words = [c for c in chunks if c[0].isalpha()]
+    ids = _encode(" ".join(words))
+    ends = np.flatnonzero(_library()[1][ids]) + 1
+    if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+        return found | {c: _encode(c).tobytes() for c in words}
+    data, at = ids.tobytes(), 0
+    for c, e in zip(words, (2 * ends).tolist()):
+        found[c] = data[at:e]
+        at = e
+    return found
 
 
 def encoded_ids(text: str) -> np.ndarray:
@@ -43,16 +75,15 @@ def encoded_ids(text: str) -> np.ndarray:
     low = text.lower()
     # within these letters lower case and composition work letter by letter
     if "<|" in text or "'" in text or not _SAFE.fullmatch(low) or not unicodedata.is_normalized("NFC", text):
-        return np.frombuffer(_encode(text), np.uint16)
-    chunks = _PLAIN.findall(low)
-    missing = [c for c in set(chunks) if c not in _cache]
-    if missing:
+        return _encode(text)
+    chunks = _CHUNK.findall(low)
+    parts = list(map(_cache.__getitem__, chunks))
+    if _cache.missing:
+        missing = list(dict.fromkeys(_cache.missing))
+        _cache.missing.clear()
+        found = _learn(missing)
+        parts = [found[c] if p is None else p for p, c in zip(parts, chunks)]
         if len(_cache) + len(missing) > CACHED:
             _cache.clear()
-            missing = list(set(chunks))
-        short = [c for c in missing if len(c) <= LONG]
-        for c, e in zip(short, _library().encode_batch_fast(short, add_special_tokens=False)):
-            _cache[c] = np.array(e.ids, np.uint16).tobytes()
-    own = {c: _encode(c) for c in missing if len(c) > LONG}
-    get = _cache.__getitem__ if not own else (lambda c: own[c] if c in own else _cache[c])
-    return np.frombuffer(b"".join(map(get, chunks)), np.uint16)
+        _cache.update((c, found[c]) for c in missing if len(c) <= LONG)
+    return np.frombuffer(b"".join(parts), np.uint16)
