@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallygrain.llm import language, packing, repeats, simhash, templates
-from tallygrain.llm.shared import documents, saved, table
+from tallygrain.llm.shared import documents, quoted, saved, table
 from tallygrain.session import configure
 
 # a text that no language's trees code in fewer bits a byte than this is no text in any of them
@@ -22,7 +22,8 @@ MOST_BITS = 7.0
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those that no language can code, go."""
     found = language.identify(docs, language.fit(docs), docs.columns)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS)).select(*docs.columns)
+    language_, _, bits = quoted(found.columns[len(docs.columns) :])
+    return found.where((language_ != language.UNKNOWN) & (bits <= MOST_BITS)).select(*quoted(docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

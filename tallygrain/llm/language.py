@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallygrain.llm.shared import LETTER, crc_mod, raw_texts
+from tallygrain.llm.shared import LETTER, crc_mod, fresh, quoted, raw_texts
 
 TRAIN_DOCS = 600  # texts per language that the trees are fitted on
 LANGUAGES = 256  # languages that get trees, the alphabetically first
@@ -204,19 +204,22 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred, score (0 to 1) and bits_per_byte to the columns ``keep``.
+    """The columns ``keep`` and three more: lang_pred, score (0 to 1) and bits_per_byte.
 
+    Where ``keep`` has such a name, the new one is lengthened by underscores.
     A text that is null or has no letter gets ``und``, score 0.  Of equally
     short codes the alphabetically first language wins.  Without a model every
     text is ``und``.  Rows are never merged, so repeated rows and null ids stay.
     """
     keep = keep or ["doc_id"]
+    added = fresh(keep, "lang_pred", "score", "bits_per_byte")
+    inner = [f"c{i}" for i in range(len(keep))]  # any name may stand in a table, but not in a Python stage
     spark, has_letter = docs.sparkSession, re.compile(LETTER)
     shared = spark.sparkContext.broadcast(model) if model else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = raw_texts(b["_text"])
+            texts = raw_texts(b["whole"])
             lang = [UNKNOWN] * len(texts)
             points, rate = np.zeros(len(texts)), np.zeros(len(texts))
             todo = [i for i, t in enumerate(texts) if shared and t and has_letter.search(t.decode("utf-8", "replace"))]
@@ -231,13 +234,13 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                 for i, j in zip(todo, best):
                     lang[i] = m.languages[j]
             yield pa.RecordBatch.from_arrays(
-                [*(b[c] for c in keep), pa.array(lang, pa.string()), pa.array(points), pa.array(rate)],
-                [*keep, "lang_pred", "score", "bits_per_byte"],
+                [*(b[c] for c in inner), pa.array(lang, pa.string()), pa.array(points), pa.array(rate)],
+                [*inner, "lang", "score", "bits"],
             )
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    return rows.mapInArrow(score, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    rows = docs.select(*quoted(keep), F.col("text")).toDF(*inner, "whole")
+    schema = rows.drop("whole").schema.add("lang", "string").add("score", "double").add("bits", "double")
+    return rows.mapInArrow(score, schema).toDF(*keep, *added)
 
 
 def language_id(docs: DataFrame, per_language: int = TRAIN_DOCS) -> DataFrame:

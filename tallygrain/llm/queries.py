@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tallygrain.llm import cells, chat, language, packing, quality, repeats, shards, simhash, templates, tokencount
+from tallygrain.llm.oracles import ORACLES as ORACLES
 from tallygrain.llm.shared import documents, table
 from tallygrain.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:

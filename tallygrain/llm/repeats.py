@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallygrain.llm.shared import MIX_A, MIX_B, batches_of, mixed, raw_texts, saved
+from tallygrain.llm.shared import MIX_A, MIX_B, batches_of, fresh, mixed, quoted, raw_texts, saved
 
 BASE = 5
 WINDOW = 20
@@ -305,6 +305,10 @@ class Repeats:
                 value, check, key, copy, at = (np.concatenate(x) for x in zip(*held))
                 order = np.lexsort((at, copy, key, check, value))
                 value, check, key, copy, at = (x[order] for x in (value, check, key, copy, at))
+                # a row that is repeated whole is one document, not a later one
+                new = np.ones(len(at), bool)
+                new[1:] = np.any([x[1:] != x[:-1] for x in (value, check, key, copy, at)], axis=0)
+                value, check, key, copy, at = (x[new] for x in (value, check, key, copy, at))
                 later = np.concatenate([[False], (value[1:] == value[:-1]) & (check[1:] == check[:-1])])
                 packed = (check.astype(np.int64) << 39) | at  # positions below 2^39
                 return pa.RecordBatch.from_arrays(
@@ -407,23 +411,26 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) ->
     A text without repeats is unchanged; otherwise its kept words are joined by
     one space.  ``n_chars`` follows the text where the column exists.
     """
-    spans = repeated_spans(docs, window, base).where("n_removed > 0")
-    spans = spans.select(F.coalesce("doc_id", F.lit(LARGEST)).alias("_id"), F.col("text_hash").alias("_th"), F.col("gone").alias("_gone")).distinct()
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)), "_th": F.xxhash64("text")})
-    rows = keyed.join(spans, ["_id", "_th"], "left").drop("_id", "_th")
     names = docs.columns
+    key, digest_, gone_ = fresh(names, "_id", "_th", "_gone")
+    spans = repeated_spans(docs, window, base).where("n_removed > 0")
+    spans = spans.select(F.coalesce("doc_id", F.lit(LARGEST)).alias(key), F.col("text_hash").alias(digest_), F.col("gone").alias(gone_)).distinct()
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)), digest_: F.xxhash64("text")})
+    inner = [f"c{i}" for i in range(len(names))]  # any name may stand in a table, but not in a Python stage
+    rows = keyed.join(spans, [key, digest_], "left").select(*quoted([*names, gone_])).toDF(*inner, "gone")
+    at = inner[names.index("text")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["text"].to_pylist()
-            for i, gone in enumerate(b["_gone"].to_pylist()):
+            texts, spans = b[at].to_pylist(), b["gone"].to_pylist()
+            for i, gone in enumerate(spans):
                 if gone:
                     words = texts[i].encode().split()
                     keep = ~_mask(gone, len(words))
                     texts[i] = b" ".join([words[j] for j in np.flatnonzero(keep)]).decode()
-            keep = pa.array([bool(t) or g is None for t, g in zip(texts, b["_gone"].to_pylist())])
-            columns = [pa.array(texts, pa.string()) if c == "text" else b[c] for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(keep)
+            keep = pa.array([bool(t) or g is None for t, g in zip(texts, spans)])
+            columns = [pa.array(texts, pa.string()) if c == at else b[c] for c in inner]
+            yield pa.RecordBatch.from_arrays(columns, inner).filter(keep)
 
-    out = rows.mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = rows.mapInArrow(cut, rows.drop("gone").schema).toDF(*names)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -62,3 +62,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary()).to_pylist()
+
+
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, lengthened until no name in ``taken`` equals one, whatever the case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and blanks included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrain.llm.links import components
-from tallygrain.llm.shared import raw_texts, saved
+from tallygrain.llm.shared import fresh, quoted, raw_texts, saved
 
 SHINGLE = 3
 SEED = 42
@@ -206,6 +206,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
         F.min(F.struct(F.coalesce("doc_id", F.lit(LARGEST)).alias("id"), "text_hash")).alias("best")
     )
     kept = best.select("best.id", "best.text_hash")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)), "_th": F.xxhash64("text")})
-    chosen = kept.select(F.col("id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
-    return keyed.join(chosen, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).drop("_id", "_th")
+    a, b = fresh(docs.columns, "_id", "_th")
+    keyed = docs.withColumns({a: F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)), b: F.xxhash64("text")})
+    chosen = kept.select(F.col("id").alias(a), F.col("text_hash").alias(b)).distinct()
+    return keyed.join(chosen, [a, b], "left_semi").dropDuplicates([a, b]).select(*quoted(docs.columns))

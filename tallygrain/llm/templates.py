@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallygrain.llm.repeats import hashed, inside, level
+from tallygrain.llm.shared import fresh
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -100,7 +101,7 @@ def _bitmap(items: DataFrame) -> np.ndarray:
     parts = parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("b") + 1)).alias("bits")).collect()
     full = np.zeros(1 << BITS, bool)
     for r in parts:
-        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")[: 1 << BITS]
         full[(r["part"] - 1) * len(bits) :][: len(bits)] = bits
     return full
 
@@ -159,5 +160,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document leaks no item."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    leak = fresh(docs.columns, "_leak")[0]
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad[leak]), "left_anti")
