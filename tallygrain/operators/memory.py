@@ -8,14 +8,19 @@ from tallygrain import constants as C
 from tallygrain.functions.numeric import round_vector
 from tallygrain.operators.spread import first_per_key
 
+PARTS = 64
+
 
 def cap_memory(memory: DataFrame, per_label: int = C.MEMORY_PER_LABEL) -> DataFrame:
     """Newest ``per_label`` vectors of each label.
 
-    The limit runs before the shuffle (see first_per_key), so a task sends at
-    most ``per_label`` rows of a label.
+    Parts of a label are cut first, so a label of any size is spread over PARTS
+    tasks and at most PARTS times ``per_label`` rows of it meet in the end.
     """
-    return first_per_key(memory, ["label"], [F.desc("at"), F.desc("seq"), F.desc("file_id")], per_label, "_rn").drop("_rn")
+    order = [F.desc("at"), F.desc("seq"), F.desc("file_id")]
+    parts = memory.withColumn("_part", F.spark_partition_id() % PARTS)
+    parts = first_per_key(parts, ["label", "_part"], order, per_label, "_rn").drop("_rn", "_part")
+    return first_per_key(parts, ["label"], order, per_label, "_rn").drop("_rn")
 
 
 def latest_batches(entries: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Scores of image vectors: nearest remembered cases and prompt margins.
 
-Images are a large table, the memory and the prompts are small ones with a
-bound that the rules themselves set: at most 500 remembered vectors per label
-and a fixed list of prompts.  The small side therefore goes to every task as one
-NumPy matrix, and each Arrow batch of images is scored by one matrix product.
+Images are a large table and so may be the memory: what a run sees of it is
+bounded, but differs with the run's time, so images meet pages of the memory in
+an equi-join and are scored by one matrix product per page.  The prompts are a
+fixed list (MAX_PROMPTS at most, a documented bound) that goes to every task.
 """
 
 from __future__ import annotations
@@ -12,21 +12,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tallygrain import constants as C
-from tallygrain.operators.memory import cap_memory
+from tallygrain.operators.spread import dense_sequence
 
 # far above the fixed prompt list, far below what a task can hold
 MAX_PROMPTS = 10_000
-MAX_MEMORY = 20 * C.MEMORY_PER_LABEL
+LABELS = ("fraud", "genuine")
+DAY = 86_400_000_000  # microseconds
 
 
 def _small_side(df: DataFrame, limit: int, what: str) -> pd.DataFrame:
     """Bring a bounded table to the driver; refuse one that breaks its bound."""
     rows = df.limit(limit + 1).toPandas()
     if len(rows) > limit:
-        raise ValueError(f"{what}: more than {limit} rows; thin it out first (see cap_memory)")
+        raise ValueError(f"{what}: more than {limit} rows")
     return rows
 
 
@@ -46,19 +47,7 @@ def _half_up(x: np.ndarray) -> np.ndarray:
     return np.floor(x + 0.5)
 
 
-def load_memory(memory: DataFrame, per_label: int = C.MEMORY_PER_LABEL) -> pd.DataFrame:
-    """The capped memory in enrolment order."""
-    if 2 * per_label > MAX_MEMORY:
-        raise ValueError(f"per_label above {MAX_MEMORY // 2} is not meant to be sent to every task")
-    kept = cap_memory(memory, per_label).select(
-        "claim_id", "file_id", "label", F.unix_micros("at").alias("at"), "seq", "vec"
-    )
-    return _small_side(kept, MAX_MEMORY, "memory").sort_values(["seq", "file_id"]).reset_index(drop=True)
-
-
-def _nearest(
-    sims: np.ndarray, usable: np.ndarray, k: int
-) -> list[np.ndarray]:
+def _nearest(sims: np.ndarray, usable: np.ndarray, k: int) -> list[np.ndarray]:
     """Positions of the k largest usable similarities per row; the earlier wins ties."""
     masked = np.where(usable, sims, -np.inf)
     # a stable sort on the negated similarity keeps enrolment order for ties
@@ -67,6 +56,37 @@ def _nearest(
     return [row[:n] for row, n in zip(order, counts)]
 
 
+# rows of one memory page that one task scores; busier pages are copied to several tasks
+PAGE_QUERIES = 20_000
+_ALWAYS = 2**62  # a run without a time sees the whole memory
+
+
+def _numbered(memory: DataFrame) -> DataFrame:
+    """Entries numbered per label in the order of enrolment in time."""
+    at = F.unix_micros("at")
+    rows = memory.select("claim_id", "file_id", "label", "seq", "vec", at.alias("at"))
+    return dense_sequence(rows, "label", F.floor(F.col("at") / DAY), [F.col("at"), F.col("seq"), F.col("file_id")], "n")
+
+
+def _known_before(entries: DataFrame, times: DataFrame) -> DataFrame:
+    """(time, label, m): how many entries of each label were there before each time.
+
+    Whole days are counted first; only entries and times of one day meet.
+    """
+    asked = times.select("time", F.explode(F.lit(list(LABELS))).alias("label"))
+    both = entries.select("label", F.col("at").alias("time"), F.lit(1).alias("entry")).unionByName(asked.select("label", "time", F.lit(0).alias("entry")))
+    both = both.withColumn("day", F.floor(F.col("time") / DAY))
+    days = both.groupBy("label", "day").agg(F.sum("entry").alias("_new"))
+    before = W.partitionBy("label").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    days = days.select("label", "day", F.coalesce(F.sum("_new").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("label", "day").orderBy("time", "entry").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = both.withColumn("_inside", F.sum("entry").over(inside)).where("entry = 0").join(days, ["label", "day"])
+    return counted.select("time", "label", (F.col("_inside") + F.col("_before")).alias("m"))
+
+
+_VOTE = "claim_id string, file_id string, seq int, run_at long, found array<struct<sim:double,seq:long,file:string,claim_id:string,label:string>>"
+
+
 def knn_votes(
     queries: DataFrame, memory: DataFrame, k: int = C.KNN_K, exclude_self: bool = True,
     per_label: int = C.MEMORY_PER_LABEL,
@@ -74,59 +94,73 @@ def knn_votes(
     """Vote of the k nearest remembered vectors for every query vector.
 
     ``queries`` has claim_id, file_id, seq, vec and, for as-of semantics, run_at:
-    only vectors remembered before ``run_at`` count.  Output: claim_id, file_id,
-    seq, fraud_score, knn, matches (array of claim_id, label, similarity, pos).
+    a run sees the newest ``per_label`` vectors of each label among those
+    remembered before ``run_at``; without a time it sees the newest of all.
+    Output: claim_id, file_id, seq, fraud_score, knn, matches (array of
+    claim_id, label, similarity, pos).
+
+    The memory is cut into pages of ``per_label`` entries per label; what a run
+    sees lies on two neighbouring pages, so each query meets two pages of each
+    label, however long the memory is.
     """
-    spark = queries.sparkSession
-    mem = load_memory(memory, per_label)
-    shared = spark.sparkContext.broadcast(
-        (_matrix(mem["vec"]), mem["label"].to_numpy(dtype=object), mem["claim_id"].to_numpy(dtype=object), mem["at"].to_numpy())
+    time = F.coalesce(F.unix_micros("run_at"), F.lit(_ALWAYS)) if "run_at" in queries.columns else F.lit(_ALWAYS)
+    asked = queries.select("claim_id", "file_id", F.col("seq").cast("int").alias("seq"), "vec", time.cast("long").alias("run_at"))
+    entries = _numbered(memory).withColumn("page", F.floor(F.col("n") / per_label))
+    known = _known_before(entries, asked.select(F.col("run_at").alias("time")).distinct()).where("m > 0")
+    last = F.floor((F.col("m") - 1) / per_label)
+    first = F.floor(F.greatest(F.col("m") - per_label, F.lit(0)) / per_label)
+    pages = known.select(F.col("time").alias("run_at"), "label", "m", F.explode(F.sequence(first, last)).alias("page"))
+    meets = asked.join(pages, "run_at")
+    busy = meets.groupBy("label", "page").count().select("label", "page", F.ceil(F.col("count") / PAGE_QUERIES).alias("copies"))
+    meets = meets.join(busy, ["label", "page"]).withColumn("copy", F.pmod(F.xxhash64("file_id", "claim_id"), "copies")).drop("copies")
+    copied = entries.join(busy, ["label", "page"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+
+    def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.rename(columns=lambda c: c.removeprefix("m_")).sort_values(["seq", "file_id"]).reset_index(drop=True)
+        vectors, owners, n = _matrix(right["vec"]), right["claim_id"].to_numpy(dtype=object), right["n"].to_numpy()
+        out = []
+        for at in range(0, len(left), 1024) if len(right) else ():
+            part = left.iloc[at : at + 1024]
+            sims = _dot(_matrix(part["vec"]), vectors)
+            m = part["m"].to_numpy()[:, None]
+            usable = (n[None, :] < m) & (n[None, :] >= m - per_label)
+            if exclude_self:
+                usable &= part["claim_id"].to_numpy(dtype=object)[:, None] != owners[None, :]
+            for i, (row, picks) in enumerate(zip(part.itertuples(), _nearest(sims, usable, k))):
+                found = [
+                    {"sim": float(sims[i, j]), "seq": int(right["seq"][j]), "file": right["file_id"][j], "claim_id": owners[j], "label": key[0]}
+                    for j in picks
+                ]
+                out.append((row.claim_id, row.file_id, row.seq, row.run_at, found))
+        return pd.DataFrame(out, columns=["claim_id", "file_id", "seq", "run_at", "found"])
+
+    keys = ["label", "page", "copy"]
+    other = copied.select(*[F.col(c).alias(f"m_{c}") for c in (*keys, "claim_id", "file_id", "seq", "n", "vec")])
+    parts = meets.groupBy(*keys).cogroup(other.groupBy(*[f"m_{c}" for c in keys])).applyInPandas(score, _VOTE)
+    # a query that sees nothing has a vote as well
+    none = asked.select("claim_id", "file_id", "seq", "run_at").withColumn("found", F.from_json(F.lit("[]"), parts.schema["found"].dataType))
+    each = parts.unionByName(none).groupBy("claim_id", "file_id", "seq", "run_at").agg(F.flatten(F.collect_list("found")).alias("found"))
+    # nearest first; of equal ones the earlier enrolment
+    ranked = F.array_sort(F.transform("found", lambda x: F.struct((-x["sim"]).alias("far"), x["seq"].alias("seq"), x["file"].alias("file"), x.alias("x"))))
+    each = each.withColumn("best", F.slice(ranked, 1, k))
+    knn = F.size("best")
+    fraud = F.size(F.filter("best", lambda b: b["x"]["label"] == "fraud"))
+    matches = F.transform(
+        "best",
+        lambda b, i: F.struct(
+            b["x"]["claim_id"].alias("claim_id"),
+            b["x"]["label"].alias("label"),
+            (F.floor(b["x"]["sim"] * 1000 + 0.5) / 1000).alias("similarity"),
+            i.alias("pos"),
+        ),
     )
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors, labels, owners, at = shared.value
-        fraud = labels == "fraud"
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            if len(owners):
-                sims = _dot(_matrix(batch["vec"]), vectors)
-                usable = np.ones_like(sims, dtype=bool)
-                if exclude_self:
-                    usable &= batch["claim_id"].to_numpy(dtype=object)[:, None] != owners[None, :]
-                run_at = batch["run_at"].to_numpy()
-                timed = ~pd.isna(run_at)
-                usable[timed] &= at[None, :] < run_at[timed].astype("int64")[:, None]
-                picks = _nearest(sims, usable, k)
-            else:
-                sims, picks = np.zeros((len(batch), 0)), [np.zeros(0, dtype=int)] * len(batch)
-            yield pd.DataFrame(
-                {
-                    "claim_id": batch["claim_id"],
-                    "file_id": batch["file_id"],
-                    "seq": batch["seq"],
-                    "fraud_score": [int(_half_up(100.0 * fraud[p].sum() / max(1, len(p)))) for p in picks],
-                    "knn": [len(p) for p in picks],
-                    "matches": [
-                        [
-                            {
-                                "claim_id": owners[j],
-                                "label": labels[j],
-                                "similarity": float(_half_up(sims[i, j] * 1000) / 1000),
-                                "pos": pos,
-                            }
-                            for pos, j in enumerate(p)
-                        ]
-                        for i, p in enumerate(picks)
-                    ],
-                }
-            )
-
-    run_at = F.unix_micros("run_at") if "run_at" in queries.columns else F.lit(None).cast("long")
-    return queries.select("claim_id", "file_id", "seq", "vec", run_at.alias("run_at")).mapInPandas(
-        score,
-        "claim_id string, file_id string, seq int, fraud_score int, knn int, "
-        "matches array<struct<claim_id:string,label:string,similarity:double,pos:int>>",
+    return each.select(
+        "claim_id",
+        "file_id",
+        "seq",
+        F.floor(100.0 * fraud / F.greatest(knn, F.lit(1)) + 0.5).cast("int").alias("fraud_score"),
+        knn.alias("knn"),
+        matches.alias("matches"),
     )
 
 

@@ -155,12 +155,17 @@ memory AS (
 asked AS (
   SELECT 'CLM-' || vec_id AS claim_id, 'IMG-' || vec_id AS file_id, CAST(embedding AS DOUBLE[]) AS vec, vec_id FROM embeddings WHERE vec_id % 2 = 1
 ),
-capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS rn FROM memory) WHERE rn <= 500),
+seen AS (
+  SELECT * FROM (
+    SELECT a.claim_id AS asked_by, a.file_id, a.vec AS avec, m.claim_id, m.label, m.vec, m.seq, row_number() OVER (PARTITION BY a.file_id, m.label ORDER BY m.seq DESC) AS age
+    FROM asked a JOIN memory m ON m.seq < a.vec_id)
+  WHERE age <= 40
+),
 near AS (
   SELECT * FROM (
-    SELECT a.claim_id, a.file_id, m.claim_id AS matched, m.label, list_dot_product(a.vec, m.vec) AS sim, m.seq,
-      row_number() OVER (PARTITION BY a.file_id ORDER BY list_dot_product(a.vec, m.vec) DESC, m.seq) AS rn
-    FROM asked a JOIN capped m ON m.seq < a.vec_id AND m.claim_id <> a.claim_id)
+    SELECT asked_by AS claim_id, file_id, claim_id AS matched, label, list_dot_product(avec, vec) AS sim, seq,
+      row_number() OVER (PARTITION BY file_id ORDER BY list_dot_product(avec, vec) DESC, seq) AS rn
+    FROM seen WHERE claim_id <> asked_by)
   WHERE rn <= 5
 ),
 prompts AS (

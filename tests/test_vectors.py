@@ -52,9 +52,25 @@ def test_ties_go_to_the_earlier_enrolment_and_empty_memory_scores_zero(spark):
     assert (none.fraud_score, none.knn, none.matches) == (0, 0, [])
 
 
-def test_memory_bound_is_enforced(spark):
-    with pytest.raises(ValueError):
-        VE.load_memory(memory(spark, [("C", "fraud", [1.0], 1)]), per_label=10**6)
+def test_cap_applies_as_of_each_run(spark):
+    """1 200 remembered vectors: a run after the 100th sees those before it, a late one the newest 500 of a label."""
+    rng = np.random.default_rng(3)
+    mem = [(f"C{i}", "fraud" if i % 4 else "genuine", unit(rng, 4), i // 3) for i in range(1200)]
+    ask = [(f"Q{i}", unit(rng, 4), t) for i, t in enumerate([0, 1, 33, 34, 150, 222, 223, 399, 400, 10_000, None])]
+    for cap in (7, 500):
+        got = {r.file_id: r for r in VE.knn_votes(queries(spark, ask), memory(spark, mem), per_label=cap).collect()}
+        for i, (_, vec, t) in enumerate(ask):
+            pool = []
+            for label in ("fraud", "genuine"):
+                own = [j for j, m in enumerate(mem) if m[1] == label and (t is None or m[3] < t)]
+                pool += own[-cap:]
+            best = sorted(pool, key=lambda j: (-float(np.dot(np.float32(vec).astype(float), np.float32(mem[j][2]).astype(float))), j))[:5]
+            assert [m.claim_id for m in got[f"q{i}"].matches] == [f"C{j}" for j in best], (cap, t)
+
+
+def test_busy_pages_are_split(spark, monkeypatch):
+    monkeypatch.setattr(VE, "PAGE_QUERIES", 3)
+    test_cap_applies_as_of_each_run(spark)
 
 
 def test_cap_and_upsert(spark):
