@@ -17,15 +17,11 @@ def classify(texts: DataFrame, text: str = "text", filename: str | None = None)
     return roles.select(*texts.columns, "_r.*")
 
 
-def join_pages(pages: DataFrame, max_pages: int) -> DataFrame:
-    """Page texts of a file as one text; empty pages are skipped, numbers stay.
-
-    ``max_pages`` bounds what is read per file, as the scan of a file does.
-    """
+def join_pages(pages: DataFrame) -> DataFrame:
+    """Page texts of a file as one text; empty pages are skipped, numbers stay."""
     page = F.concat(F.lit("[Page "), F.col("page").cast("string"), F.lit("]\n"), F.col("text"))
     return (
-        pages.where(F.col("page") <= max_pages)
-        .groupBy("file_id")
+        pages.groupBy("file_id")
         .agg(
             F.array_sort(
                 F.collect_list(F.when(F.trim("text") != "", F.struct("page", page.alias("text"))))

@@ -21,7 +21,7 @@ def sealed_events(trail: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
         *[c for c in trail.columns if c != "claim_id"],
         digest(F.concat(F.col("record_hash"), F.lit("tx"))).alias("tx_hash"),
         F.floor(F.col("ts") / 60).cast("long").alias("block_number"),
-        F.pmod(F.col("seq"), F.lit(1_000_000)).cast("int").alias("log_index"),
+        F.col("seq").cast("long").alias("log_index"),
     )
 
 

@@ -8,32 +8,29 @@ from tallygrain import constants as C
 from tallygrain.functions.numeric import half_up, haversine_km, tile_id
 
 
-def district_fix(lat: Column, lon: Column) -> Column:
-    """struct(nearest, km, nearest_km, resolved, out_of_area) of a point.
+def with_district(df: DataFrame, lat: Column, lon: Column) -> DataFrame:
+    """nearest, nearest_km, resolved, out_of_area of a point.
 
     The centroids are a handful of fixed values, so they are part of the
-    expression and need no join.  Ties go to table order.
+    expression and need no join.  Ties go to table order.  Distances are plain
+    columns, so the whole stays inside generated code.
     """
-    distances = F.array(
-        *[
-            F.struct(
-                haversine_km(lat, lon, F.lit(d_lat), F.lit(d_lon)).alias("km"), F.lit(i).alias("pos"), F.lit(name).alias("name")
-            )
-            for i, (name, d_lat, d_lon) in enumerate(C.DISTRICTS)
-        ]
-    )
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.array_min(distances))
-
-
-def with_district(df: DataFrame, lat: Column, lon: Column) -> DataFrame:
-    km = F.col("_fix.km")
+    names = [f"_km{i}" for i in range(len(C.DISTRICTS))]
+    rows = df.withColumns({"_lat": lat, "_lon": lon})
+    known = F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
+    rows = rows.withColumns(
+        {n: haversine_km(F.col("_lat"), F.col("_lon"), F.lit(a), F.lit(b)) for n, (_, a, b) in zip(names, C.DISTRICTS)}
+    ).withColumn("_km", F.when(known, F.least(*names)))
+    nearest = F.lit(None).cast("string")
+    for n, (name, _, _) in reversed(list(zip(names, C.DISTRICTS))):
+        nearest = F.when(F.col(n) == F.col("_km"), name).otherwise(nearest)
+    km = F.col("_km")
     return (
-        df.withColumn("_fix", district_fix(lat, lon))
-        .withColumn("nearest", F.col("_fix.name"))
+        rows.withColumn("nearest", nearest)
         .withColumn("nearest_km", half_up(km).cast("long"))
-        .withColumn("resolved", F.when(km <= C.NEAR_KM, F.col("_fix.name")))
+        .withColumn("resolved", F.when(km <= C.NEAR_KM, F.col("nearest")))
         .withColumn("out_of_area", km > C.SERVICE_KM)
-        .drop("_fix")
+        .drop("_lat", "_lon", "_km", *names)
     )
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallygrain import constants as C
 from tallygrain.functions.digest import Digest, sha2_digest, state_hash
-from tallygrain.operators.guard import may_reopen, payout_code, transition_code
+from tallygrain.operators.guard import may_reopen, payout_code, walk_requests
 from tallygrain.operators.memory import human_label
 
 KEPT_ON_UPDATE = ["submitted_at", "assigned_to"]
@@ -115,10 +115,15 @@ def _record(status: Column, note: Column, by: Column, ts: Column) -> list[Column
 def pay(claims: DataFrame, requests: DataFrame) -> DataFrame:
     """Payout requests (claim_id, reference, amount?, ts) with their outcome.
 
-    Accepted rows carry the record to seal; refused rows carry the code.
+    The first request of a payable claim, by ts, reference and amount, is
+    accepted; those after it meet a paid claim.  Accepted rows carry the record
+    to seal; refused rows carry the code.
     """
-    now = claims.select(F.col("id").alias("claim_id"), F.col("status").alias("current"), "amount_requested")
-    joined = requests.join(now, "claim_id")
+    now = claims.select(F.col("id").alias("claim_id"), F.col("status").alias("before"), "amount_requested")
+    turn = F.row_number().over(W.partitionBy("claim_id").orderBy("ts", "reference", "amount"))
+    joined = requests.join(now, "claim_id").withColumn("turn", turn)
+    paid = (F.col("turn") > 1) & (payout_code(F.col("before")) == "OK")
+    joined = joined.withColumn("current", F.when(paid, "PAID").otherwise(F.col("before")))
     code = payout_code(F.col("current"))
     amount = F.coalesce(F.col("amount"), F.col("amount_requested"))
     note = F.format_string("UPI payout ₹%d · ref %s · sealed by disbursement", amount, "reference")
@@ -129,16 +134,16 @@ def pay(claims: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def rerun_records(claims: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records to append for a second run, and claims with the new verdict.
+    """Records to append for a second run (claim_id, verdict, score, run_at), and claims with the new verdict.
 
     Terminal claims are left alone.
     """
     open_claims = claims.where(may_reopen(F.col("status")))
-    fresh = runs.select(F.col("claim_id").alias("id"), F.col("verdict").alias("_verdict"), F.col("score").alias("_score"))
+    fresh = runs.select(F.col("claim_id").alias("id"), F.col("verdict").alias("_verdict"), F.col("score").alias("_score"), "run_at")
     joined = open_claims.join(fresh, "id")
     note = F.format_string("RETRY · AI %s · score %d (re-run appended, history intact)", "_verdict", "_score")
     records = joined.select(
-        F.col("id").alias("claim_id"), *_record(F.col("_verdict"), note, F.lit("pipeline"), F.col("submitted_at"))
+        F.col("id").alias("claim_id"), *_record(F.col("_verdict"), note, F.lit("pipeline"), F.col("run_at"))
     )
     updated = (
         claims.join(fresh, "id", "left")
@@ -153,17 +158,17 @@ def rerun_records(claims: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFr
 
 def human_decisions(claims: DataFrame, requests: DataFrame) -> DataFrame:
     """Decision requests (claim_id, requested, note, reviewer, ts) with outcome,
-    the record to seal and the label for the memory."""
-    now = claims.select(F.col("id").alias("claim_id"), F.col("status").alias("current"))
-    code = transition_code(F.col("current"), F.col("requested"), F.col("note"))
+    the record to seal and the label for the memory.  Requests of one claim
+    follow each other: each meets the status that the one before it left."""
     note = F.format_string("[%s] %s: %s", "reviewer", "requested", "note")
-    return requests.join(now, "claim_id").select(
+    accepted = F.col("code") == "OK"
+    return walk_requests(claims, requests).select(
         "claim_id",
         "current",
         "requested",
-        code.alias("code"),
-        F.when(code == "OK", human_label(F.col("requested"))).alias("label"),
-        *_record(F.when(code == "OK", F.col("requested")).otherwise(F.col("current")), note, F.col("reviewer"), F.col("ts")),
+        "code",
+        F.when(accepted, human_label(F.col("requested"))).alias("label"),
+        *_record(F.when(accepted, F.col("requested")).otherwise(F.col("current")), note, F.col("reviewer"), F.col("ts")),
     )
 
 

@@ -2,8 +2,8 @@
 
 A tree is built in rounds.  One round groups a level's nodes by
 ``(claim, index div FAN)`` and folds up to ten levels inside each group, so a
-group never holds more than FAN nodes however long a trail is, and three rounds
-reach 2**30 records.
+group never holds more than FAN nodes however long a trail is, and as many
+rounds follow as the longest trail needs.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from tallygrain.functions.digest import Digest, sha2_digest
 
 FAN_BITS = 10
 FAN = 1 << FAN_BITS
-ROUNDS = 3
 
 
 def leaf_hash(leaf: Column, digest: Digest = sha2_digest) -> Column:
@@ -40,13 +39,19 @@ def _levels_above(n: Column) -> Column:
     return F.when(n <= 1, 0).otherwise(F.length(F.bin(n - 1))).cast("int")
 
 
-def _rounds(leaves: DataFrame, digest: Digest):
+def rounds_for(trail: DataFrame) -> int:
+    """Rounds that the longest trail needs; one job that counts records per claim."""
+    longest = trail.groupBy("claim_id").count().agg(F.max("count")).first()[0] or 1
+    return max(1, -(-(longest - 1).bit_length() // FAN_BITS))
+
+
+def _rounds(leaves: DataFrame, digest: Digest, rounds: int):
     """Yield (nodes of a level, grouped nodes with all inner levels), round by round.
 
     ``leaves`` has claim_id, idx, hash and the claim's leaf count n.
     """
     nodes = leaves
-    for k in range(ROUNDS):
+    for k in range(rounds):
         todo = F.greatest(F.lit(0), F.least(F.lit(FAN_BITS), _levels_above(F.col("n")) - FAN_BITS * k))
         chunks = (
             nodes.groupBy("claim_id", F.shiftright("idx", FAN_BITS).alias("chunk"))
@@ -80,7 +85,7 @@ def _leaves(trail: DataFrame, digest: Digest) -> DataFrame:
 def merkle_roots(trail: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
     """claim_id, leaves, root; ``seq`` must number each claim 0, 1, 2, ..."""
     chunks = None
-    for _, chunks in _rounds(_leaves(trail, digest).drop("leaf"), digest):
+    for _, chunks in _rounds(_leaves(trail, digest).drop("leaf"), digest, rounds_for(trail)):
         pass
     return chunks.select(
         "claim_id", F.col("n").alias("leaves"), F.get(F.element_at("levels", -1), F.lit(0)).alias("root")
@@ -97,8 +102,8 @@ def roots_of(claim_ids: DataFrame, trail: DataFrame, digest: Digest = sha2_diges
 def merkle_proofs(trail: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
     """One row per record: claim_id, leaf_index, leaf, siblings, root."""
     leaves = _leaves(trail, digest)
-    paths, roots = [], None
-    for _, chunks in _rounds(leaves.drop("leaf"), digest):
+    paths, roots, rounds = [], None, rounds_for(trail)
+    for _, chunks in _rounds(leaves.drop("leaf"), digest, rounds):
         levels, steps = F.col("levels"), F.col("steps")
 
         def sibling(i: Column, step: Column) -> Column:
@@ -127,14 +132,14 @@ def merkle_proofs(trail: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
     out = leaves.select("claim_id", "idx", "leaf").join(
         paths[0].select("claim_id", F.col("node").alias("idx"), F.col("path").alias("p0")), ["claim_id", "idx"]
     )
-    for k in range(1, ROUNDS):
+    for k in range(1, rounds):
         upper = paths[k].select("claim_id", F.col("node").alias("up"), F.col("path").alias(f"p{k}"))
         out = out.withColumn("up", F.shiftright("idx", FAN_BITS * k)).join(upper, ["claim_id", "up"]).drop("up")
     return out.join(roots, "claim_id").select(
         "claim_id",
         F.col("idx").alias("leaf_index"),
         "leaf",
-        F.concat(*[F.col(f"p{k}") for k in range(ROUNDS)]).alias("siblings"),
+        F.concat(*[F.col(f"p{k}") for k in range(rounds)]).alias("siblings"),
         "root",
     )
 

@@ -161,7 +161,7 @@ def src10_ocr_pages(spark, d):
     pages = docs.select(
         F.col("doc_id").cast("string").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("p", "text")
     ).withColumn("page", (F.col("p") + 1).cast("int"))
-    out = D.join_pages(pages, 6)
+    out = D.join_pages(pages)
     return out.select("file_id", F.md5("text").alias("text_md5"), _long(F.length("text")).alias("n_chars"))
 
 
@@ -316,7 +316,7 @@ def jn6_knn_vote(spark, d):
 
 @query
 def jn7_prompt_margin(spark, d):
-    scored = VE.prompt_scores(V.query_vectors(spark, d).drop("run_at"), V.prompt_vectors(spark, d))
+    scored = VE.prompt_scores(V.all_vectors(spark, d), V.prompt_vectors(spark, d))
     return scored.select("file_id", _long("staged").alias("staged"), _long("ai_gen").alias("ai_gen"), _long("rel_flood").alias("rel_flood"))
 
 
@@ -474,7 +474,7 @@ def agg14_agg15_merkle_proofs(spark, d):
 
 @query
 def agg16_destruction_ladder(spark, d):
-    scored = VE.prompt_scores(V.query_vectors(spark, d).drop("run_at"), V.prompt_vectors(spark, d))
+    scored = VE.prompt_scores(V.all_vectors(spark, d), V.prompt_vectors(spark, d))
     return scored.select("file_id", _long("destruction_pct").alias("destruction_pct"), "rung")
 
 
@@ -486,7 +486,7 @@ def agg17_ndvi_drop(spark, d):
 
 @query
 def agg18_calibration_table(spark, d):
-    out = VE.calibration_table(V.query_vectors(spark, d), V.prompt_vectors(spark, d))
+    out = VE.calibration_table(V.all_vectors(spark, d), V.prompt_vectors(spark, d))
     return out.select("file_id", *[_long(c).alias(c) for c in out.columns if c != "file_id"])
 
 
@@ -669,22 +669,28 @@ def mnt4_payout_records(spark, d):
         F.when(F.col("o_orderkey") % 2 == 0, F.lit(500)).alias("amount"),
         F.col("o_orderdate").cast("timestamp").alias("ts"),
     )
-    out = MT.pay(V.claims(spark, d), requests)
-    return out.select("claim_id", "code", _long("paid_inr").alias("paid_inr"), "status", "note")
+    # every claim asks twice, the second time a day later and in full
+    again = requests.select(
+        "claim_id", F.concat("reference", F.lit("-again")).alias("reference"), F.lit(None).cast("int").alias("amount"),
+        F.date_add(F.col("ts").cast("date"), 1).cast("timestamp").alias("ts"),
+    )
+    out = MT.pay(V.claims(spark, d), requests.unionByName(again))
+    return out.select("claim_id", "code", _long("paid_inr").alias("paid_inr"), "status", "note", _ts("ts").alias("ts"))
 
 
 @query
 def mnt5_rerun_records(spark, d):
     claims = V.claims(spark, d)
-    runs = claims.where(F.col("verdict").isNotNull()).select(F.col("id").alias("claim_id"), "verdict", "score")
+    later = F.date_add(F.col("submitted_at").cast("date"), 3).cast("timestamp").alias("run_at")
+    runs = claims.where(F.col("verdict").isNotNull()).select(F.col("id").alias("claim_id"), "verdict", "score", later)
     records, _ = MT.rerun_records(claims, runs)
-    return records.select("claim_id", "status", "note")
+    return records.select("claim_id", "status", "note", _ts("ts").alias("ts"))
 
 
 @query
 def mnt6_human_decisions(spark, d):
     out = MT.human_decisions(V.claims(spark, d), V.transitions(spark, d))
-    return out.select("claim_id", "requested", "code", "status", "note", F.coalesce("label", F.lit("")).alias("label"))
+    return out.select("claim_id", "requested", "current", "code", "status", "note", F.coalesce("label", F.lit("")).alias("label"), _ts("ts").alias("ts"))
 
 
 @query

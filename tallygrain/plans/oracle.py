@@ -177,7 +177,8 @@ prompts AS (
     (vec_id - 49) // 2 AS rung
   FROM embeddings WHERE vec_id <= 60
 ),
-sims AS (SELECT a.file_id, p.signal, p.positive, p.rung, list_dot_product(a.vec, p.vec) AS s FROM asked a, prompts p),
+sims AS (SELECT a.file_id, p.signal, p.positive, p.rung, list_dot_product(a.vec, p.vec) AS s
+  FROM (SELECT 'IMG-' || vec_id AS file_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings) a, prompts p),
 margins AS (
   SELECT file_id, signal, CAST(floor(100 * greatest(0, least(1,
       (max(s) FILTER (WHERE positive) - max(s) FILTER (WHERE NOT positive) + 1) / 2)) + 0.5) AS BIGINT) AS score
@@ -262,7 +263,7 @@ def _add(name: str, sql: str) -> None:
 def _guard(current: str) -> str:
     steps = " ".join(
         f"WHEN requested = '{t}' AND {current} NOT IN {_in(a)} THEN 'INVALID_TRANSITION' "
-        f"WHEN requested = '{t}' AND length(trim(note)) < {n} THEN 'REASON_TOO_SHORT'"
+        f"WHEN requested = '{t}' AND length(trim(note, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160))) < {n} THEN 'REASON_TOO_SHORT'"
         for t, (a, n) in C.HUMAN_STEPS.items()
     )
     return f"""CASE WHEN requested IN {_in(C.COMPUTED_VERDICTS)} THEN 'AI_VERDICTS_ARE_COMPUTED'
@@ -287,7 +288,7 @@ _add("src9_dossier_records", f"""SELECT claim_id, seq, '{{"index":' || seq || ',
 _add("src10_ocr_pages", """SELECT CAST(doc_id AS VARCHAR) AS file_id, md5(t) AS text_md5, length(t) AS n_chars FROM (
   SELECT doc_id, trim(coalesce(string_agg('[Page ' || page || ']' || chr(10) || line, chr(10) || chr(10) ORDER BY page) FILTER (WHERE trim(line) <> ''), '')) AS t FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents)
-  WHERE page <= 6 GROUP BY doc_id)""")
+  GROUP BY doc_id)""")
 
 _add("flt1_intake_validation", """SELECT id, concat_ws('|', CASE WHEN claimant_name IS NULL OR length(claimant_name) NOT BETWEEN 1 AND 120 THEN 'claimant_name' END,
   CASE WHEN amount_requested NOT BETWEEN 1 AND 100000 THEN 'amount_requested' END, CASE WHEN score * 4 > 280 THEN 'note' END,
@@ -474,15 +475,28 @@ _add("mnt2_evidence_insert", """SELECT 'p' || part AS file_id, claim_id, kind FR
 _add("mnt3_assignment_sync", """SELECT c.id, coalesce(a.assigned_to, c.assigned_to, '') AS assigned_to FROM claims c LEFT JOIN (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY assigned_at DESC, assigned_to DESC) AS r FROM assignments
     WHERE assigned_to IN (SELECT id FROM users)) WHERE r = 1) a ON a.claim_id = c.id""")
+_PAYS = """SELECT o_orderkey AS k, 'UPI-' || o_custkey AS ref, CASE WHEN o_orderkey % 2 = 0 THEN 500 END AS amount, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders
+  UNION ALL SELECT o_orderkey, 'UPI-' || o_custkey || '-again', NULL, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY FROM orders"""
 _add("mnt4_payout_records", f"""SELECT id AS claim_id, {_PAY} AS code, paid AS paid_inr, CASE WHEN {_PAY} = 'OK' THEN 'PAID' ELSE status END AS status,
-  'UPI payout ₹' || paid || ' · ref UPI-' || o_custkey || ' · sealed by disbursement' AS note FROM (
-  SELECT c.*, o_custkey, CASE WHEN k % 2 = 0 THEN 500 ELSE amount_requested END AS paid FROM claims c JOIN orders ON o_orderkey = k)""")
-_add("mnt5_rerun_records", """SELECT id AS claim_id, verdict AS status, 'RETRY · AI ' || verdict || ' · score ' || score || ' (re-run appended, history intact)' AS note
+  'UPI payout ₹' || paid || ' · ref ' || ref || ' · sealed by disbursement' AS note, {_SEC.format(t="ts")} AS ts FROM (
+  SELECT c.id, CASE WHEN earlier > 0 AND c.status IN ('AI_APPROVED', 'HUMAN_APPROVED') THEN 'PAID' ELSE c.status END AS status, ref, ts,
+    coalesce(amount, amount_requested) AS paid
+  FROM claims c JOIN (SELECT *, count(*) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM ({_PAYS})) p ON p.k = c.k)""")
+_add("mnt5_rerun_records", f"""SELECT id AS claim_id, verdict AS status, 'RETRY · AI ' || verdict || ' · score ' || score || ' (re-run appended, history intact)' AS note,
+  {_SEC.format(t="CAST(CAST(submitted_at AS DATE) + 3 AS TIMESTAMP)")} AS ts
   FROM claims WHERE verdict IS NOT NULL AND status NOT IN ('PAID', 'HUMAN_REJECTED')""")
-_add("mnt6_human_decisions", """SELECT claim_id, requested, code, CASE WHEN code = 'OK' THEN requested ELSE status END AS status,
-  substr('[ops-agent] ' || requested || ': ' || note, 1, 280) AS note,
-  CASE WHEN code = 'OK' AND requested = 'HUMAN_APPROVED' THEN 'genuine' WHEN code = 'OK' AND requested = 'HUMAN_REJECTED' THEN 'fraud' ELSE '' END AS label
-  FROM (SELECT t.*, c.status, """ + _guard("status") + """ AS code FROM transitions t JOIN claims c ON c.id = t.claim_id)""")
+_add("mnt6_human_decisions", f""", ordered AS (
+  SELECT t.*, c.status AS begun, row_number() OVER (PARTITION BY t.claim_id ORDER BY t.ts, t.seq) AS turn FROM transitions t JOIN claims c ON c.id = t.claim_id
+), walk AS (
+  SELECT claim_id, CAST(0 AS BIGINT) AS turn, begun AS after, '' AS requested, '' AS met, '' AS code, '' AS note, CAST(NULL AS TIMESTAMP) AS ts
+  FROM (SELECT DISTINCT claim_id, begun FROM ordered)
+  UNION ALL
+  SELECT claim_id, turn, CASE WHEN code = 'OK' THEN requested ELSE met END, requested, met, code, note, ts FROM (
+    SELECT o.claim_id, o.turn, o.requested, w.after AS met, o.note, o.ts, {_guard("w.after").replace("requested", "o.requested").replace("(note,", "(o.note,")} AS code
+    FROM walk w JOIN ordered o ON o.claim_id = w.claim_id AND o.turn = w.turn + 1)
+) SELECT claim_id, requested, met AS current, code, after AS status, substr('[ops-agent] ' || requested || ': ' || note, 1, 280) AS note,
+  CASE WHEN code = 'OK' AND requested = 'HUMAN_APPROVED' THEN 'genuine' WHEN code = 'OK' AND requested = 'HUMAN_REJECTED' THEN 'fraud' ELSE '' END AS label,
+  {_SEC.format(t="ts")} AS ts FROM walk WHERE turn > 0""")
 _add("mnt7_resync", """SELECT count(*) AS n, CAST(sum(amount_requested) AS BIGINT) AS total, 'claims' AS what FROM claims
   UNION ALL SELECT count(*), CAST(sum(size_bytes) AS BIGINT), 'evidence' FROM evidence""")
 

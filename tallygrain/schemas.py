@@ -41,7 +41,7 @@ TRAIL = _struct(
     ("status", _s), ("ts", _l), ("recorded_by", _s), ("note", _s),
 )
 SEALED_EVENTS = T.StructType(
-    TRAIL.fields + _struct(("tx_hash", _s), ("block_number", _l), ("log_index", _i)).fields
+    TRAIL.fields + _struct(("tx_hash", _s), ("block_number", _l), ("log_index", _l)).fields
 )
 AUDIT_RECORDS = _struct(
     ("claim_id", _s), ("state_hash", _s), ("status", _s), ("recorded_by", _s), ("note", _s), ("ts", _ts)

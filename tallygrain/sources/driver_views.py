@@ -350,7 +350,14 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a photo; prompt scores need no memory kept apart."""
+    v = F.col("vec_id")
+    return _embeddings(spark, sf_dir).select(F.concat(F.lit("IMG-"), v.cast("string")).alias("file_id"), F.col("embedding").alias("vec"))
+
+
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the vectors ask; the other half is what the memory holds."""
     v = F.col("vec_id")
     return _embeddings(spark, sf_dir).where(v % 2 == 1).select(
         claim_id(v).alias("claim_id"),

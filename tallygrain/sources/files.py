@@ -85,8 +85,8 @@ def labelled_folder(spark: SparkSession, root: str) -> DataFrame:
     return rows.join(note, "claim_id", "left")
 
 
-def read_ocr_pages(spark: SparkSession, path: str, max_pages: int = 6) -> DataFrame:
-    return join_pages(spark.read.schema(OCR_PAGES).parquet(path), max_pages)
+def read_ocr_pages(spark: SparkSession, path: str) -> DataFrame:
+    return join_pages(spark.read.schema(OCR_PAGES).parquet(path))
 
 
 EmbedImages = Callable[[list[bytes]], list[list[float]]]

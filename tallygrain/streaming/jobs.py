@@ -2,8 +2,10 @@
 
 Every job is a Structured Streaming query with a checkpoint, so it goes on
 where it stopped when an executor or the driver is lost.  Jobs that keep state
-per claim need rows whose ``pos`` grows within each claim; a replayed row has a
-``pos`` that was seen before and is ignored.  How many rows of one claim meet in
+per claim take rows in the order of ``pos`` inside a micro-batch.  A row is a
+replay only if the very same row was among the claim's last REMEMBERED ones;
+rows that tie or come late are appended in the order of their arrival, never
+dropped.  How many rows of one claim meet in
 one task is bounded by the size of a micro-batch (``maxFilesPerTrigger``).
 """
 
@@ -12,18 +14,31 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallygrain import constants as C
 from tallygrain.operators import kpi, maintain, memory as M
+from tallygrain.operators.guard import judge
 from tallygrain.operators.trail import payload_column, sealable, sha2_text
 from tallygrain.plans.verify import ClaimTables, verify_claims
 from tallygrain.schemas import RUNS
 from tallygrain.session import work_dir
 
 
+REMEMBERED = 10_000  # rows of a claim whose replay is recognised
+
+
+def _unseen(rows: pd.DataFrame, seen: bytes) -> tuple[pd.DataFrame, bytes]:
+    """Rows in the order of (pos, id) without replays, and the ids to remember."""
+    known = np.frombuffer(seen, np.int64)
+    rows = rows.drop_duplicates("row_id").sort_values(["pos", "row_id"])
+    rows = rows[~np.isin(rows["row_id"].to_numpy(np.int64), known)]
+    return rows, np.concatenate([known, rows["row_id"].to_numpy(np.int64)])[-REMEMBERED:].tobytes()
+
+
 def read_files(spark: SparkSession, path: str, schema: Any, files_per_trigger: int = 1000) -> DataFrame:
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_trigger)).parquet(path)
@@ -73,31 +88,30 @@ SEALED = (
 
 
 def seal_stream(records: DataFrame) -> DataFrame:
-    """Chain each claim's records as they arrive; state is (head hash, length, last pos)."""
+    """Chain each claim's records as they arrive; state is (head hash, length, ids of the last rows)."""
 
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        head, length, last = state.get if state.exists else (C.ZERO_HASH, 0, -1)
-        rows = pd.concat(list(batches)).sort_values("pos").drop_duplicates("pos")
-        rows = rows[rows["pos"] > last]
+        head, length, seen = state.get if state.exists else (C.ZERO_HASH, 0, b"")
+        rows, seen = _unseen(pd.concat(list(batches)), bytes(seen))
         prevs, hashes = [], []
         for payload in rows["payload"]:
             prevs.append(head)
             head = sha2_text(head + "|" + payload)
             hashes.append(head)
         if len(rows):
-            out = rows.drop(columns=["payload"])
+            out = rows.drop(columns=["payload", "row_id"])
             out["seq"] = range(length, length + len(rows))
             out["prev_record_hash"], out["record_hash"] = prevs, hashes
-            state.update((head, length + len(rows), int(rows["pos"].iloc[-1])))
+            state.update((head, length + len(rows), seen))
             yield out[[c.strip().split(" ")[0] for c in SEALED.split(",")]]
 
     ready = sealable(records).select(
         "claim_id", "pos", "state_hash", "status", "ts", "recorded_by", "note", payload_column().alias("payload")
-    )
+    ).withColumn("row_id", F.xxhash64("pos", "payload"))
     return ready.groupBy("claim_id").applyInPandasWithState(
-        step, SEALED, "head string, length long, last long", "append", GroupStateTimeout.NoTimeout
+        step, SEALED, "head string, length long, seen binary", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -106,40 +120,18 @@ def seal_stream(records: DataFrame) -> DataFrame:
 GUARDED = "claim_id string, pos long, kind string, requested string, previous string, code string, status string"
 
 
-def judge(current: str, kind: str, requested: str, note: str | None) -> str:
-    """The rules of ``operators.guard`` for one request."""
-    if kind == "verdict":
-        return "OK" if current not in C.TERMINAL else "TERMINAL_STATE"
-    if kind == "pay":
-        if current == "AI_FLAGGED":
-            return "FLAGGED_LOCKED"
-        return "OK" if current in C.PAYABLE else "INVALID_STATE"
-    if requested in C.COMPUTED_VERDICTS:
-        return "AI_VERDICTS_ARE_COMPUTED"
-    if requested == "PAID":
-        return "USE_PAY_ENDPOINT"
-    if requested in C.NEVER_REQUESTED:
-        return "INVALID_TRANSITION"
-    if current in C.TERMINAL:
-        return "TERMINAL_STATE"
-    allowed, least = C.HUMAN_STEPS.get(requested, ([], 0))
-    if current not in allowed:
-        return "INVALID_TRANSITION"
-    return "OK" if len((note or "").strip()) >= least else "REASON_TOO_SHORT"
-
-
 def guard_stream(requests: DataFrame) -> DataFrame:
     """Accept or refuse requests (claim_id, pos, kind, requested, note) in order.
 
-    ``kind`` is verdict (computed), human or pay.  State is (status, last pos).
+    ``kind`` is verdict (computed), human or pay.  State is (status, ids of the
+    last rows); a late request is judged when it arrives.
     """
 
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        status, last = state.get if state.exists else ("SUBMITTED", -1)
-        rows = pd.concat(list(batches)).sort_values("pos").drop_duplicates("pos")
-        rows = rows[rows["pos"] > last]
+        status, seen = state.get if state.exists else ("SUBMITTED", b"")
+        rows, seen = _unseen(pd.concat(list(batches)), bytes(seen))
         out = []
         for pos, kind, requested, note in zip(rows["pos"], rows["kind"], rows["requested"], rows["note"]):
             code, before = judge(status, kind, requested, note), status
@@ -147,11 +139,13 @@ def guard_stream(requests: DataFrame) -> DataFrame:
                 status = "PAID" if kind == "pay" else requested
             out.append((key[0], pos, kind, requested, before, code, status))
         if out:
-            state.update((status, int(rows["pos"].iloc[-1])))
+            state.update((status, seen))
             yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in GUARDED.split(",")])
 
-    return requests.select("claim_id", "pos", "kind", "requested", "note").groupBy("claim_id").applyInPandasWithState(
-        step, GUARDED, "status string, last long", "append", GroupStateTimeout.NoTimeout
+    rows = requests.select("claim_id", "pos", "kind", "requested", "note")
+    rows = rows.withColumn("row_id", F.xxhash64("pos", "kind", "requested", F.coalesce("note", F.lit(""))))
+    return rows.groupBy("claim_id").applyInPandasWithState(
+        step, GUARDED, "status string, seen binary", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrain.operators import geo, guard, kpi, policy, stages as S
-from tallygrain.streaming.jobs import judge
+from tallygrain.operators.guard import judge
 
 SCORES = [
     (0, 0, 100, "AI_APPROVED"), (0, 4, 52, "AI_APPROVED"), (1, 0, 75, "AI_FLAGGED"), (2, 2, 26, "AI_FLAGGED"),
