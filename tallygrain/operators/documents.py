@@ -129,7 +129,10 @@ def claim_features(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
         F.count_if(photo).alias("n_photos"),
         F.count_if(photo & ~F.coalesce(F.col("exif.present"), F.lit(False))).alias("n_no_exif"),
         F.count_if(edited).alias("n_edited"),
-        F.min_by(F.when(edited, software), F.when(edited, F.col("ord"))).alias("software"),
+        # an accepted claim holds a few photos (see validate)
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.when(edited, F.struct("ord", software.alias("tag"))))), lambda x: x["tag"]), ", "
+        ).alias("software"),
         F.count_if(photo & F.col("exif.gps").isNotNull()).alias("n_geotagged"),
         F.count_if(~photo).alias("n_docs"),
         # farmer papers are read by another pass and never count here

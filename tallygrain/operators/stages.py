@@ -47,7 +47,7 @@ def exif_integrity(strict: bool = False) -> Column:
         F.when(missing > 0, _cat(missing, " photo(s) missing EXIF")),
         F.when(
             edited > 0,
-            _cat("edit signature: ", F.col("software"), F.when(edited > 1, _cat(" (", edited, " photos)")).otherwise("")),
+            _cat("edit signature: ", F.col("software")),
         ),
     )
     bad = (edited > 0) | ((missing > 0) & F.lit(strict))
@@ -127,20 +127,23 @@ def doc_cross() -> Column:
     total = _n("n_registry") + _n("n_aadhaar") + _n("n_policy")
     amount = F.col("amount_requested")
     has_card, has_deed = _n("n_aadhaar") > 0, _n("n_registry") > 0
-    # unreadable papers in evidence order, one reason per kind
+    # unreadable papers by kind, in the order of each kind's first one; one reason per paper
     unread = F.array_sort(
         _list(
             *[
                 F.when(
                     F.col(f"first_unread_{k}").isNotNull(),
-                    F.struct(F.col(f"first_unread_{k}").alias("at"), F.lit(k).alias("kind")),
+                    F.struct(F.col(f"first_unread_{k}").alias("at"), F.lit(k).alias("kind"), _n(f"unread_{k}").cast("int").alias("n")),
                 )
                 for k in C.FARMER_DOCS
             ]
         )
     )
-    unread_reasons = F.transform(
-        unread, lambda u: _cat("R-DOC ", u["kind"], " could not be read (photo unclear or unsupported scan)")
+    unread_reasons = F.flatten(
+        F.transform(
+            unread,
+            lambda u: F.array_repeat(_cat("R-DOC ", u["kind"], " could not be read (photo unclear or unsupported scan)"), u["n"]),
+        )
     )
     no_deed = identity.isNull() & has_card & ~has_deed
     others = _list(

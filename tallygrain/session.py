@@ -22,6 +22,8 @@ RUNTIME_CONF = {
     # small inputs with costly expressions keep their parallelism
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # long texts: what a Python worker holds at a time is bounded by bytes, not by rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 

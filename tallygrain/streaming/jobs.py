@@ -28,6 +28,7 @@ from tallygrain.schemas import RUNS
 from tallygrain.session import work_dir
 
 
+HALVINGS = 12  # times that a failed micro-batch is halved
 REMEMBERED = 10_000  # rows of a claim whose replay is recognised
 
 
@@ -221,41 +222,58 @@ def live_kpi(claims: DataFrame, now: Column, folder: str | None = None) -> DataF
 # --- intake, late evidence, memory ---------------------------------------------
 
 def verify_on_intake(
-    intake: DataFrame, tables: ClaimTables, folder: str | None = None
+    intake: DataFrame, tables: ClaimTables | Callable[[], ClaimTables], folder: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Verify each micro-batch of new claims.  A batch that fails is noted and
-    the stream goes on.  Returns the runs and the claims of failed batches."""
+    """Verify each micro-batch of new claims.
+
+    ``tables`` may be a function; it is called for every micro-batch, so that
+    files, memory and policies that came since are seen.  A batch that fails is
+    halved until the claims that fail stand alone; they are noted and the
+    stream goes on.  Returns the runs and the claims that failed.
+    """
     spark = intake.sparkSession
     folder = folder or work_dir(spark, "intake")
     shape = RUNS
     failed_schema = T.StructType([T.StructField("claim_id", T.StringType()), T.StructField("error", T.StringType())])
 
-    def handle(batch: DataFrame, epoch: int) -> None:
-        runs_path, failed_path = f"{folder}/runs/epoch={epoch}", f"{folder}/failed/epoch={epoch}"
+    def attempt(part: DataFrame, epoch: int, name: str) -> None:
+        at = f"epoch={epoch}/part={name}"
         try:
-            verify_claims(tables.only(batch)).select(*shape.names).write.mode("overwrite").parquet(runs_path)
+            now = tables() if callable(tables) else tables
+            verify_claims(now.only(part)).select(*shape.names).write.mode("overwrite").parquet(f"{folder}/runs/{at}")
         except Exception as error:  # noqa: BLE001 - intake must not stop
+            if len(name) <= HALVINGS and part.select("id").distinct().limit(2).count() > 1:
+                side = F.pmod(F.xxhash64("id", F.lit(len(name))), F.lit(2))
+                attempt(part.where(side == 0), epoch, name + "0")
+                attempt(part.where(side == 1), epoch, name + "1")
+                return
             note = f"{type(error).__name__}: {error}"[:500]
-            batch.select(F.col("id").alias("claim_id"), F.lit(note).alias("error")).write.mode("overwrite").parquet(failed_path)
+            rows = part.select(F.col("id").alias("claim_id"), F.lit(note).alias("error"))
+            rows.write.mode("overwrite").parquet(f"{folder}/failed/{at}")
 
     # both folders exist from the start, so they can be read when empty
-    spark.createDataFrame([], failed_schema).write.mode("overwrite").parquet(f"{folder}/failed/epoch=-1")
-    spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{folder}/runs/epoch=-1")
-    drain_batches(intake, handle, folder)
-    runs = spark.read.schema(shape).parquet(f"{folder}/runs")
-    failed = spark.read.schema(failed_schema).parquet(f"{folder}/failed")
+    spark.createDataFrame([], failed_schema).write.mode("overwrite").parquet(f"{folder}/failed/epoch=-1/part=b")
+    spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{folder}/runs/epoch=-1/part=b")
+    drain_batches(intake, lambda batch, epoch: attempt(batch, epoch, "b"), folder)
+    runs = spark.read.schema(shape).parquet(f"{folder}/runs").select(*shape.names)
+    failed = spark.read.schema(failed_schema).parquet(f"{folder}/failed").select(*failed_schema.names)
     return runs, failed
 
 
-def late_evidence(files: DataFrame, claims: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+def late_evidence(files: DataFrame, claims: DataFrame | Callable[[], DataFrame], folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Late files: rows appended to the evidence table and one ADDENDUM record per
-    claim and batch; the records' claims are to be verified again."""
+    claim and batch; the records' claims are to be verified again.  ``claims``
+    may be a function that reads the claims anew for every micro-batch."""
     spark = files.sparkSession
     folder = folder or work_dir(spark, "addenda")
-    empty_rows, empty_records = maintain.addenda(claims, claims.sparkSession.createDataFrame([], files.schema))
+
+    def present() -> DataFrame:
+        return claims() if callable(claims) else claims
+
+    empty_rows, empty_records = maintain.addenda(present(), spark.createDataFrame([], files.schema))
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        rows, records = maintain.addenda(claims, batch)
+        rows, records = maintain.addenda(present(), batch)
         rows.write.mode("overwrite").parquet(f"{folder}/evidence/epoch={epoch}")
         records.write.mode("overwrite").parquet(f"{folder}/records/epoch={epoch}")
 

@@ -91,3 +91,44 @@ def test_intake_goes_on_after_a_failure(spark, tmp_path):
     broken.policies = broken.policies.withColumn("limit_inr", F.raise_error(F.lit("no table")).cast("int"))
     runs, failed = ST.verify_on_intake(stream, broken, str(tmp_path / "bad"))
     assert failed.select("claim_id").distinct().count() + runs.count() == 4 and failed.count() > 0
+
+
+def test_ties_and_late_records_are_sealed(spark, tmp_path):
+    rows = [("A", 5, "s5", "SUBMITTED", 5, "svc", "a"), ("A", 5, "s5b", "PAID", 5, "svc", "b"), ("A", 9, "s9", "PAID", 9, "svc", "c"), ("A", 2, "s2", "PAID", 2, "svc", "late")]
+    df = spark.createDataFrame(rows, RECORDS)
+    folder = str(tmp_path / "out")
+    stream = lambda: ST.seal_stream(ST.read_files(spark, f"{tmp_path}/in", df.schema, 1))
+    write_parts(df, str(tmp_path), ["pos >= 5"])
+    ST.drain(stream(), "t", folder)
+    write_parts(df, str(tmp_path), ["pos = 2 OR pos = 5"])
+    got = ST.drain(stream(), "t", folder).orderBy("seq").collect()
+    assert [r.seq for r in got] == [0, 1, 2, 3] and got[3].note == "late" and {got[0].note, got[1].note} == {"a", "b"}
+    assert all(b.prev_record_hash == a.record_hash for a, b in zip(got, got[1:]))
+
+
+def test_late_requests_are_judged(spark, tmp_path):
+    rows = [("A", 3, "verdict", "AI_APPROVED", ""), ("A", 3, "pay", "PAID", ""), ("A", 1, "pay", "PAID", "late")]
+    df = spark.createDataFrame(rows, "claim_id string, pos long, kind string, requested string, note string")
+    write_parts(df, str(tmp_path), ["pos = 3", "pos = 1"])
+    out = ST.drain(ST.guard_stream(ST.read_files(spark, f"{tmp_path}/in", df.schema, 1)), "t", str(tmp_path / "out")).collect()
+    assert len(out) == 3 and sum(r.kind == "pay" and r.code == "OK" for r in out) == 1
+
+
+def test_one_bad_claim_does_not_take_its_batch_along(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(f"C{i}",) for i in range(9)], "id string")
+    write_parts(df, str(tmp_path), ["id <> ''"])
+
+    class Tables:
+        def only(self, batch):
+            return batch
+
+    def verify(batch):
+        if batch.where("id = 'C4'").count():
+            raise ValueError("bad claim")
+        return batch.select(*[(F.col("id") if f.name == "claim_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in ST.RUNS.fields])
+
+    monkeypatch.setattr(ST, "verify_claims", verify)
+    called = []
+    runs, failed = ST.verify_on_intake(ST.read_files(spark, f"{tmp_path}/in", df.schema, 1), lambda: called.append(1) or Tables(), str(tmp_path / "out"))
+    assert {r.claim_id for r in runs.collect()} == {f"C{i}" for i in range(9) if i != 4}
+    assert [(r.claim_id, "bad claim" in r.error) for r in failed.collect()] == [("C4", True)] and called
