@@ -8,6 +8,7 @@ from tallygrain import constants as C
 from tallygrain.functions.digest import Digest, sha2_digest, state_hash
 from tallygrain.operators.guard import may_reopen, payout_code, walk_requests
 from tallygrain.operators.memory import human_label
+from tallygrain.operators.merkle import merkle_roots
 
 KEPT_ON_UPDATE = ["submitted_at", "assigned_to"]
 
@@ -75,22 +76,18 @@ def distinct_audit(records: DataFrame) -> DataFrame:
 
 
 def claim_digests(evidence: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
-    """One digest over all file and picture hashes of each claim, in order.
+    """One commitment over all file and picture hashes of each claim, in evidence order.
 
-    Every file's digests are folded in as ``digest(place | file | picture)`` and
-    combined by a sum that does not depend on the order of arrival, so a claim
-    with very many files needs no list in one task.
+    It is the Merkle root of ``digest(place | file | picture)`` of each file, so
+    it binds every file and its place, and no group holds more than one fan of
+    nodes.
     """
     entry = digest(
         F.concat_ws("|", F.col("seq").cast("string"), "file_id", "sha256", F.when(F.col("p_hash").isNotNull(), digest(F.col("p_hash"))))
     )
-    # eight 32-bit slices of the digest, summed separately
-    slices = [
-        F.sum(F.conv(F.substring(entry, 3 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(8)
-    ]
-    return evidence.groupBy("claim_id").agg(
-        F.count("*").alias("n_files"), digest(F.concat_ws("-", *slices)).alias("evidence_digest")
-    )
+    place = F.row_number().over(W.partitionBy("claim_id").orderBy("seq", "file_id", "record_hash")) - 1
+    files = evidence.select("claim_id", "seq", "file_id", entry.alias("record_hash")).withColumn("seq", place.cast("long"))
+    return merkle_roots(files, digest).select("claim_id", F.col("leaves").alias("n_files"), F.col("root").alias("evidence_digest"))
 
 
 def claim_states(claims: DataFrame, digests: DataFrame, sealed_at: Column, run: Column | None = None) -> DataFrame:

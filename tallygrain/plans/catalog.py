@@ -321,12 +321,11 @@ def jn7_prompt_margin(spark, d):
 
 
 def _identity_pairs(spark, d) -> DataFrame:
-    """Card and land record of the same or of the next person, with whole texts."""
+    """The card read from every document, and the next document as its land record (none for the last)."""
     docs = V.documents(spark, d)
-    k = F.col("doc_id")
-    cards = docs.where(k % 4 == 0).select((k / 4).cast("long").alias("pair"), E.identity_card(F.col("text")).alias("card"))
-    deeds = docs.where(k % 4 == 1).select(((k - 1) / 4).cast("long").alias("pair"), F.col("text").alias("deed_text"))
-    return cards.join(deeds, "pair").select("pair", "card.name", "card.name_devanagari", "deed_text")
+    cards = docs.select(F.col("doc_id").alias("pair"), E.identity_card(F.col("text")).alias("card"))
+    deeds = docs.select((F.col("doc_id") - 1).alias("pair"), F.col("text").alias("deed_text"))
+    return cards.join(deeds, "pair", "left").select("pair", "card.name", "card.name_devanagari", "deed_text")
 
 
 @query

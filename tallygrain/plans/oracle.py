@@ -459,9 +459,15 @@ _add("set1_evidence_list", f"SELECT claim_id, CAST(list_position({_list(C.KIND_O
 _add("set2_st6_addendum", f"""SELECT claim_id, count(*) AS n, 'SUBMITTED' AS status,
   'ADDENDUM · +' || count(*) || ' evidence file(s) appended (immutable addendum, re-verification queued)' AS note, {_SEC.format(t="max(created_at)")} AS ts
   FROM evidence WHERE claim_id IN (SELECT id FROM claims WHERE status NOT IN ('PAID', 'HUMAN_REJECTED')) GROUP BY 1""")
-_SLICES = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {3 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
-_add("set4_evidence_digests", f"""SELECT claim_id, count(*) AS n_files, '0x' || sha256(concat_ws('-', {_SLICES})) AS evidence_digest FROM (
-  SELECT claim_id, '0x' || sha256(concat_ws('|', seq, file_id, sha256, CASE WHEN p_hash IS NOT NULL THEN '0x' || sha256(p_hash) END)) AS h FROM evidence) GROUP BY 1""")
+_add("set4_evidence_digests", f""", files AS (
+  SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY seq, file_id) - 1 AS idx,
+    '0x' || sha256(concat_ws('|', seq, file_id, sha256, CASE WHEN p_hash IS NOT NULL THEN '0x' || sha256(p_hash) END)) AS h FROM evidence
+), tree AS (
+  SELECT claim_id, 0 AS lvl, idx, '0x' || sha256('0x' || sha256(h)) AS h, count(*) OVER (PARTITION BY claim_id) AS n FROM files
+  UNION ALL
+  SELECT claim_id, lvl + 1, idx // 2, '0x' || sha256(h || h2), (n + 1) // 2 FROM (
+    SELECT *, coalesce(lead(h) OVER (PARTITION BY claim_id ORDER BY idx), h) AS h2 FROM tree WHERE n > 1) WHERE idx % 2 = 0
+) SELECT t.claim_id, c.n_files, t.h AS evidence_digest FROM tree t JOIN (SELECT claim_id, count(*) AS n_files FROM files GROUP BY 1) c USING (claim_id) WHERE t.n = 1""")
 
 _UPD = """(SELECT CASE WHEN k % 2 = 0 THEN id ELSE 'NEW-' || k END AS id, amount_requested + 1 AS amount_requested FROM claims WHERE k % 3 = 0)"""
 _add("mnt1_claim_upsert", f"""SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN 'HUMAN_REVIEW' ELSE o.status END AS status,

@@ -120,7 +120,7 @@ def test_second_payment_and_contrary_decision_are_refused(spark):
 
     from tallygrain.operators import maintain as MT
 
-    claims = spark.createDataFrame([("A", "HUMAN_APPROVED", 10), ("B", "AI_FLAGGED", 20), ("C", "HUMAN_REVIEW", 30)], "id string, status string, amount_requested int")
+    claims = spark.createDataFrame([("A", "HUMAN_APPROVED", 10), ("B", "AI_FLAGGED", 20), ("C", "AI_FLAGGED", 30)], "id string, status string, amount_requested int")
     day = lambda n: dt.datetime(2024, 1, n)
     asked = [("A", "r1", None, day(2)), ("A", "r1", None, day(2)), ("A", "r0", 5, day(3)), ("B", "r2", None, day(1))]
     out = MT.pay(claims, spark.createDataFrame(asked, "claim_id string, reference string, amount int, ts timestamp")).collect()
@@ -128,5 +128,5 @@ def test_second_payment_and_contrary_decision_are_refused(spark):
     long = "x" * 40
     steps = [("C", "HUMAN_APPROVED", long, "u", day(1)), ("C", "HUMAN_REJECTED", long, "u", day(2)), ("C", "HUMAN_APPROVED", "\n\t" + "x" * 3 + "　", "u", day(3))]
     got = MT.human_decisions(claims, spark.createDataFrame(steps, "claim_id string, requested string, note string, reviewer string, ts timestamp")).orderBy("ts").collect()
-    assert [r.current for r in got][:2] == ["HUMAN_REVIEW", "HUMAN_APPROVED"] and got[0].code == "OK"
+    assert [r.current for r in got][:2] == ["AI_FLAGGED", "HUMAN_APPROVED"] and got[0].code == "OK"
     assert sum(r.label is not None for r in got) == sum(r.code == "OK" for r in got)
