@@ -16,6 +16,7 @@ from tallygrain.operators import documents as D, neardup, stages as S, vectors a
 from tallygrain.operators.geo import geo_reasons
 from tallygrain.operators.policy import with_policy
 from tallygrain.operators.spread import first_per_key
+from tallygrain.session import work_dir
 
 
 @dataclass
@@ -78,7 +79,7 @@ def image_signals(tables: ClaimTables, exclude_self: bool = True) -> tuple[DataF
         F.max(F.when(~photo, F.struct("destruction_pct", "rung"))).alias("sat"),
     )
     asked = chosen.where(photo & (F.col("rank") <= 2)).join(runs, "claim_id")
-    votes = V.knn_votes(asked, tables.memory, exclude_self=exclude_self)
+    votes = stored(V.knn_votes(asked, tables.memory, exclude_self=exclude_self), "votes")
     matched = F.transform(
         F.slice("matches", 1, 2), lambda m: F.concat(m["claim_id"], F.lit(":"), m["label"], F.lit("@"), m["similarity"].cast("string"))
     )
@@ -144,15 +145,17 @@ def reason_summary(rows: DataFrame) -> DataFrame:
     return counts.join(first, "claim_id")
 
 
-def claim_rows(
-    tables: ClaimTables, signals: DataFrame | None = None, duplicates: DataFrame | None = None, geo: DataFrame | None = None
-) -> DataFrame:
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """A table in the shared folder, written once for the several branches that read it."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def claim_rows(tables: ClaimTables, signals: DataFrame, reason_rows: DataFrame) -> DataFrame:
     """The wide row of every claim that the stage expressions read."""
     claims = with_run_time(tables.claims).withColumnRenamed("id", "claim_id")
-    signals = image_signals(tables)[0] if signals is None else signals
-    duplicates = duplicate_rows(tables) if duplicates is None else duplicates
-    geo = geo_reasons(tables.evidence, tables.claims) if geo is None else geo
-    reasons = reason_summary(file_reasons(geo, duplicates))
+    reasons = reason_summary(reason_rows)
     features = D.with_cross_check(D.claim_features(tables.evidence, tables.ocr))
     wide = (
         claims.join(features, "claim_id", "left")
@@ -210,10 +213,32 @@ def run_stages(rows: DataFrame, strict_exif: bool = False, digest: Digest = sha2
     )
 
 
+@dataclass(frozen=True)
+class Verification:
+    """What a batch of runs yields: one row per claim, per stage, per reason that
+    names a file (all of them), and per similar remembered case."""
+
+    runs: DataFrame
+    logs: DataFrame
+    reasons: DataFrame
+    similar: DataFrame
+
+
+def verification(tables: ClaimTables, strict_exif: bool = False, exclude_self: bool = True) -> Verification:
+    """All outputs of one batch.
+
+    The reasons that name files, and with them the near-duplicate search, are
+    computed once and kept in the shared folder, as are the votes.
+    """
+    signals, similar = image_signals(tables, exclude_self)
+    reasons = stored(file_reasons(geo_reasons(tables.evidence, tables.claims), duplicate_rows(tables)), "file-reasons")
+    runs = run_stages(claim_rows(tables, signals, reasons), strict_exif)
+    return Verification(runs, stage_logs(runs), reasons, similar)
+
+
 def verify_claims(tables: ClaimTables, strict_exif: bool = False, exclude_self: bool = True) -> DataFrame:
     """Runs of all claims in the batch."""
-    signals, _ = image_signals(tables, exclude_self)
-    return run_stages(claim_rows(tables, signals), strict_exif)
+    return verification(tables, strict_exif, exclude_self).runs
 
 
 def stage_logs(runs: DataFrame) -> DataFrame:

@@ -141,3 +141,10 @@ def test_no_fail_means_approved_and_runs_repeat(spark):
     assert {r.claim_id: r.run_digest for r in first} == {
         r.claim_id: r.run_digest for r in VP.verify_claims(tables).collect()
     }
+
+
+def test_all_outputs_of_a_batch(spark):
+    out = VP.verification(story(spark))
+    assert out.runs.count() == 4 and out.logs.count() == 4 * len(C.STAGES)
+    assert {(r.claim_id, r.file_id, r.rule) for r in out.reasons.collect()} == {("CLM-8919", f"CLM-8919-p{i}", 2) for i in range(2)}
+    assert out.similar.collect() == []
