@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrain.llm.links import components
-from tallygrain.llm.shared import saved
+from tallygrain.llm.shared import saved, tidy
 
 SIMILARITY = 0.98
 CELL = 512  # vectors that a cell should hold
@@ -107,7 +107,7 @@ def assigned(classes: DataFrame, similarity: float) -> DataFrame:
 
     kind = dict(classes.dtypes)
     return classes.select("label", "dim", "cid", "weight", "vec").mapInArrow(
-        run, f"label {kind['label']}, dim int, cid long, weight long, vec {kind['vec']}, home int, visits array<int>"
+        tidy(run), f"label {kind['label']}, dim int, cid long, weight long, vec {kind['vec']}, home int, visits array<int>"
     )
 
 
@@ -208,7 +208,7 @@ def compared(rows: DataFrame, similarity: float) -> DataFrame:
 
     keys = ["label", "dim", "cell", "block"]
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "role", "cid")
-    return ordered.mapInArrow(run, "a long, b long, n long")
+    return ordered.mapInArrow(tidy(run), "a long, b long, n long")
 
 
 def _found(rows: list) -> pa.RecordBatch:

@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallygrain.llm.shared import tidy
+
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 MARK = "\\"  # stands before the bar of a control string inside a text
 # a control string's head with any number of marks between its signs
@@ -99,7 +101,7 @@ def rendered_turns(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, segment string")
+    return rows.mapInArrow(tidy(run), "conv_id long, turn long, role string, text string, segment string")
 
 
 def probe(spark: SparkSession) -> DataFrame:
@@ -136,7 +138,7 @@ def conversation_digests(rendered: DataFrame) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_pylist([_row(state)], _DIGESTS)
 
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 _DIGESTS = pa.schema(

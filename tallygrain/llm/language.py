@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallygrain.llm.shared import LETTER, crc_mod, fresh, quoted, raw_texts
+from tallygrain.llm.shared import LETTER, crc_mod, fresh, quoted, raw_texts, tidy
 
 TRAIN_DOCS = 600  # texts per language that the trees are fitted on
 LANGUAGES = 256  # languages that get trees, the alphabetically first
@@ -93,7 +93,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, per_language: int = TRAIN_DOCS, max_contexts: int = MAX_CONTEXTS) -> Model | None:
     """Count in Spark over the bounded sample, then freeze the trees; None when nothing is labelled."""
-    counts = training_rows(docs, per_language).mapInArrow(_count, "lang string, gram long, n long")
+    counts = training_rows(docs, per_language).mapInArrow(tidy(_count), "lang string, gram long, n long")
     rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(rows):
         return None
@@ -240,7 +240,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
 
     rows = docs.select(*quoted(keep), F.col("text")).toDF(*inner, "whole")
     schema = rows.drop("whole").schema.add("lang", "string").add("score", "double").add("bits", "double")
-    return rows.mapInArrow(score, schema).toDF(*keep, *added)
+    return rows.mapInArrow(tidy(score), schema).toDF(*keep, *added)
 
 
 def language_id(docs: DataFrame, per_language: int = TRAIN_DOCS) -> DataFrame:

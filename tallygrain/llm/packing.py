@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallygrain.llm.shared import saved
-from tallygrain.llm.wordpiece import encoded_ids
+from tallygrain.llm.shared import saved, tidy
+from tallygrain.llm.wordpiece import encoded_ids, forget
 
 LENGTH = 2048
 END = 1
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, ids: DataFrame | None = None, shares: dict[str, int] |
             )
 
     return placed.mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+        tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
     )
 
 
@@ -184,7 +184,8 @@ def token_rows(docs: DataFrame) -> DataFrame:
                 [b["doc_id"], b["source"], pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())],
                 ["doc_id", "source", "part", "at", "n", "ids"],
             )
+        forget()
 
     # a null source is told from every text by a character that ends no name
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("\x00")).alias("source"), F.col("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, part int, at long, n long, ids binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, source string, part int, at long, n long, ids binary")

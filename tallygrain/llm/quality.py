@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallygrain.llm.shared import crc_mod, raw_texts
+from tallygrain.llm.shared import crc_mod, raw_texts, tidy
 
 SAMPLE = 1500  # rows per label, half for the dictionaries and half for the curve
 SAMPLE_BYTES = 20_000  # longer texts are not chosen for fitting
@@ -124,5 +124,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE,
 
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long"), held, "text")
-    found = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, difference double")
+    found = rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, difference double")
     return found.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "difference")

@@ -23,12 +23,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallygrain.llm.shared import MIX_A, MIX_B, batches_of, fresh, mixed, quoted, raw_texts, saved
+from tallygrain.llm.shared import MIX_A, MIX_B, batches_of, fresh, mixed, quoted, raw_texts, saved, swept, tidy
 
 BASE = 5
 WINDOW = 20
 CHUNK = 1 << 20  # bytes of text that are hashed together
-FOLD = 2_000_000  # lookup rows that a task folds at a time
+FOLD = 600_000  # lookup rows that a task folds at a time
 LARGEST = 2**63 - 1
 CHECK_BITS = 24  # bits of a second hash beside the 64 of a full window
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * MIX_A)
@@ -221,7 +221,7 @@ class Repeats:
 
             return _lookups(pieces())
 
-        rows = keyed.select("id", "text").mapInArrow(emit, "value long, id long, copy int, state byte")
+        rows = keyed.select("id", "text").mapInArrow(tidy(emit), "value long, id long, copy int, state byte")
         found = _repeated(rows).select("id", "values", F.lit(None).cast("long").alias("th"))
         # whole copies: all but the smallest id of equal texts
         names = keyed.where(F.length("text") >= 2 * window - 1).select("id", "th", "th2").distinct()
@@ -235,7 +235,7 @@ class Repeats:
                 blobs = pa.array([press.compress(t) for t in raw_texts(b["text"])], pa.binary())
                 yield pa.RecordBatch.from_arrays([b["id"], b["th"], blobs], ["id", "th", "blob"])
 
-        packed = keyed.select("id", "th", "text").mapInArrow(squeeze, "id long, th long, blob binary")
+        packed = keyed.select("id", "th", "text").mapInArrow(tidy(squeeze), "id long, th long, blob binary")
         joined = packed.join(known, "id", "left").sortWithinPartitions("id", "th")
 
         def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +264,7 @@ class Repeats:
                     out.append((key[0], key[1], copy, len(words), b"", None if going else digest(words), blobs[i] if going else None, runs if going else None))
                 yield pa.RecordBatch.from_pylist([dict(zip(_STARTED.names, r)) for r in out], _STARTED)
 
-        state = saved(joined.mapInArrow(narrow, _STARTED_SQL), "repeats")
+        state = saved(joined.mapInArrow(tidy(narrow), _STARTED_SQL), "repeats")
         candidates = state.where(F.col("blob").isNotNull()).select("id", "copy", "blob", "runs")
         return state, candidates
 
@@ -281,7 +281,7 @@ class Repeats:
 
             return _lookups(pieces())
 
-        found = _repeated(candidates.mapInArrow(emit, "value long, id long, copy int, state byte"))
+        found = _repeated(candidates.mapInArrow(tidy(emit), "value long, id long, copy int, state byte"))
 
         def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -292,7 +292,7 @@ class Repeats:
                     runs.append(_runs(member(values, low) & (low > 0)))
                 yield pa.RecordBatch.from_arrays([b["id"], b["copy"], b["blob"], pa.array(runs, pa.binary())], ["id", "copy", "blob", "runs"])
 
-        return candidates.join(found, ["id", "copy"]).mapInArrow(narrow, "id long, copy int, blob binary, runs binary")
+        return candidates.join(found, ["id", "copy"]).mapInArrow(tidy(narrow), "id long, copy int, blob binary, runs binary")
 
     def decided(self, candidates: DataFrame) -> DataFrame:
         """(id, copy, starts): the full windows of each text whose words also start earlier."""
@@ -328,7 +328,7 @@ class Repeats:
             if held:
                 yield fold(held)
 
-        rows = candidates.mapInArrow(emit, "value long, packed long, id long, copy int, state byte")
+        rows = candidates.mapInArrow(tidy(emit), "value long, packed long, id long, copy int, state byte")
         rows = rows.select("value", F.shiftright("packed", 39).alias("check"), "packed", "id", "copy", "state")
         # rows that a task has found to be later ones are spread by their text
         met = W.partitionBy(F.when(F.col("state") == 1, F.xxhash64("id", "copy")).otherwise(F.col("value")), "value", "check", "state")
@@ -367,6 +367,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
     """
     search = Repeats(window, base)
     state, candidates = search.start(docs)
+    swept(docs.sparkSession)
     for length in search.lengths[1:-1]:
         if length > search.lengths[1]:
             candidates = saved(candidates, "narrowed")
@@ -400,7 +401,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
     open_rows = state.where(F.col("blob").isNotNull()).select(*columns).join(decided, ["id", "copy"], "left")
     settled = state.where(F.col("blob").isNull()).select(*columns, F.lit(None).cast("array<long>").alias("starts"))
     rows = open_rows.unionByName(settled).mapInArrow(
-        finish, "id long, text_hash long, n_words long, n_removed long, gone binary, kept_sha256 string"
+        tidy(finish), "id long, text_hash long, n_words long, n_removed long, gone binary, kept_sha256 string"
     )
     return rows.withColumn("doc_id", F.when(F.col("id") != LARGEST, F.col("id"))).drop("id")
 
@@ -432,5 +433,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) ->
             columns = [pa.array(texts, pa.string()) if c == at else b[c] for c in inner]
             yield pa.RecordBatch.from_arrays(columns, inner).filter(keep)
 
-    out = rows.mapInArrow(cut, rows.drop("gone").schema).toDF(*names)
+    out = rows.mapInArrow(tidy(cut), rows.drop("gone").schema).toDF(*names)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

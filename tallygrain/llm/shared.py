@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,16 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of phases that are done.
+
+    It does so once the driver's garbage collectors have found that nothing
+    refers to them; a phase whose result is written says when that is.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of the key written as text, modulo n; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % n
@@ -78,3 +90,22 @@ def fresh(taken: list[str], *wanted: str) -> list[str]:
 def quoted(names: list[str]) -> list[Column]:
     """Columns by their exact names, dots and blanks included."""
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that gives free memory back when it ends.
+
+    Spark keeps idle Python workers for the next task, so what allocators hold
+    on to would count against the executor for as long.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied

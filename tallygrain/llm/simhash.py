@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrain.llm.links import components
-from tallygrain.llm.shared import fresh, quoted, raw_texts, saved
+from tallygrain.llm.shared import fresh, quoted, raw_texts, saved, tidy
 
 SHINGLE = 3
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, fp long")
 
 
 class Tree:
@@ -146,7 +146,7 @@ def links(values: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -
                 a, b = (np.array(x, np.uint64).view(np.int64) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[list[int], list[bool]]]]:

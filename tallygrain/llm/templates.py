@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallygrain.llm.repeats import hashed, inside, level
-from tallygrain.llm.shared import fresh
+from tallygrain.llm.shared import fresh, tidy
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -87,7 +87,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, _ITEMS)
 
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull())
-    return rows.mapInArrow(run, "item_id long, at long, value long, slots array<string>, n long")
+    return rows.mapInArrow(tidy(run), "item_id long, at long, value long, slots array<string>, n long")
 
 
 _ITEMS = pa.schema([("item_id", pa.int64()), ("at", pa.int64()), ("value", pa.int64()), ("slots", pa.list_(pa.string())), ("n", pa.int64())])
@@ -131,7 +131,7 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, window: int = WINDOW)
                 at = end
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())
-    return rows.mapInArrow(run, "doc_id long, place long, value long, doc_slots array<string>")
+    return rows.mapInArrow(tidy(run), "doc_id long, place long, value long, doc_slots array<string>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrain.llm.shared import raw_texts
+from tallygrain.llm.shared import raw_texts, tidy
 from tallygrain.session import work_dir
 
 LIMIT = 4096
@@ -94,9 +94,9 @@ def encode_missing(docs: DataFrame, path: str) -> None:
             )
 
     known = cached(docs.sparkSession, path, tokenizer).select("digest")
-    texts = _content(docs).select("digest", "text").mapInArrow(squeeze, "digest binary, blob binary")
+    texts = _content(docs).select("digest", "text").mapInArrow(tidy(squeeze), "digest binary, blob binary")
     misses = texts.join(known, "digest", "left_anti").repartition("digest").sortWithinPartitions("digest")
-    misses.mapInArrow(count, CACHE_SCHEMA).write.mode("append").parquet(path)
+    misses.mapInArrow(tidy(count), CACHE_SCHEMA).write.mode("append").parquet(path)
 
 
 def token_counts(docs: DataFrame, cache: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-CACHED = 1_000_000  # chunks a worker remembers
+GENERATION = 250_000  # chunks in one generation of a worker's cache
 LONG = 64  # longer chunks are not remembered
 # letters that lower case and composition leave alone, signs that never join a letter, plain white space
 _SAFE = re.compile(r"[\t\n\r\x20-\x7eß-öø-ÿ\u2010-\u2027]*")
@@ -23,14 +23,35 @@ _tokenizer = None
 
 
 class _Cache(dict):
-    """Ids by chunk; what is asked for in vain is noted."""
+    """Ids by chunk in two generations; what is asked for in vain is noted.
+
+    A full generation becomes the old one, and a chunk that is met again moves
+    to the young one, so frequent chunks stay while rare ones pass through.
+    """
 
     def __init__(self) -> None:
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.missing: list[str] = []
 
-    def __missing__(self, chunk: str) -> None:
-        self.missing.append(chunk)
+    def __missing__(self, chunk: str) -> bytes | None:
+        ids = self.old.get(chunk)
+        if ids is None:
+            self.missing.append(chunk)
+        else:
+            self[chunk] = ids
+        return ids
+
+    def learn(self, found: dict[str, bytes]) -> None:
+        if len(self) + len(found) > GENERATION:
+            self.old = dict(self)
+            self.clear()
+        self.update(found)
+
+    def forget(self) -> None:
+        """A worker lives longer than a task; what it learned need not."""
+        self.old = {}
+        self.clear()
 
 
 _cache = _Cache()
@@ -83,7 +104,9 @@ def encoded_ids(text: str) -> np.ndarray:
         _cache.missing.clear()
         found = _learn(missing)
         parts = [found[c] if p is None else p for p, c in zip(parts, chunks)]
-        if len(_cache) + len(missing) > CACHED:
-            _cache.clear()
-        _cache.update((c, found[c]) for c in missing if len(c) <= LONG)
+        _cache.learn({c: found[c] for c in missing if len(c) <= LONG})
     return np.frombuffer(b"".join(parts), np.uint16)
+
+
+def forget() -> None:
+    _cache.forget()
