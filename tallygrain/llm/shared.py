@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,10 +42,13 @@ def swept(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of phases that are done.
 
     It does so once the driver's garbage collectors have found that nothing
-    refers to them; a phase whose result is written says when that is.
+    refers to them; a phase whose result is written says when that is.  What the
+    first round lets go of keeps other things alive until the second.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def crc_mod(key: str, n: int) -> Column:
