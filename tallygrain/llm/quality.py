@@ -5,7 +5,9 @@ is compressed with either; the difference of the two sizes, divided by the
 size without a dictionary, tells which kind of text it resembles.  A logistic
 curve fitted on labelled rows that were not used for the dictionaries turns the
 difference into a probability.  Dictionaries and curve are fitted on a bounded
-sample (SAMPLE rows per label); every text is scored whole.
+sample (SAMPLE rows per label); the curve's rows weigh as much as the eligible
+rows of their label that they stand for, so the share of each label is that of
+the whole table.  Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallygrain.llm.shared import crc_mod, raw_texts, tidy
 
@@ -52,18 +54,26 @@ class Gauge:
         return (bad - good) / plain
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataFrame:
-    """(quality, half, text): a bounded sample of labelled rows whose remainder is not 0, chosen by key."""
+def _usable() -> Column:
+    return (F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)
+
+
+def eligible(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): every labelled document that may be chosen for fitting, once."""
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & (crc_mod("doc_id", 5) != 0))
     marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    usable = (F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)
-    sizes = docs.select("doc_id", usable.alias("usable")).where("usable").select("doc_id").distinct()
-    keys = marks.join(sizes, "doc_id").withColumn("_h", F.xxhash64("doc_id")).withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
+    sizes = docs.select("doc_id", _usable().alias("usable")).where("usable").select("doc_id").distinct()
+    return marks.join(sizes, "doc_id")
+
+
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataFrame:
+    """(doc_id, quality, half, text): a bounded sample of labelled rows whose remainder is not 0, chosen by key."""
+    keys = eligible(docs, labels).withColumn("_h", F.xxhash64("doc_id")).withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
     for by in (["quality", "_salt"], ["quality"]):
         w = W.partitionBy(*by).orderBy("_h", "doc_id")
         keys = keys.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_label)
     chosen = keys.select("doc_id", "quality", (F.col("_rn") % 2).alias("half"))  # two labels times per_label rows
-    return docs.where(usable).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "half", "text")
+    return docs.where(_usable()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "half", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model | None:
@@ -77,7 +87,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model |
     gauge = Gauge(*dictionaries)
     curve = second if len(set(second["quality"])) == 2 else rows
     x = np.array([gauge.difference(t) for t in curve["text"]])
-    return Model(*dictionaries, *_logistic(x, curve["quality"].to_numpy(float)))
+    counts = {r["quality"]: r["count"] for r in eligible(docs, labels).groupBy("quality").count().collect()}
+    chosen = curve.groupby("quality")["doc_id"].nunique()
+    weight = curve["quality"].map({q: counts[q] / n for q, n in chosen.items()}).to_numpy(float)
+    return Model(*dictionaries, *_logistic(x, curve["quality"].to_numpy(float), weight))
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -90,14 +103,15 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(texts)[-DICTIONARY:].ljust(8, b" ")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of the logistic curve by Newton's method, with a small ridge; labels weigh as they occur."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of the logistic curve by Newton's method, with a small ridge; rows count by ``weight``."""
     scale = x.std() or 1.0
+    weight = weight / weight.mean()  # the ridge keeps its strength
     a = np.stack([x / scale, np.ones_like(x)], 1)
     w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), a.T @ (y - p) - 1e-2 * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), a.T @ (weight * (y - p)) - 1e-2 * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break

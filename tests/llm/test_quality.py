@@ -57,3 +57,17 @@ def test_long_texts_are_read_to_the_end():
     gauge = Q.Gauge(b"good words of prose " * 50, b"bad | junk | rows | " * 50)
     text = cases.sentence(random.Random(1), 20_000).encode()
     assert gauge.difference(text + b"bad | junk | rows | " * 20_000) < gauge.difference(text)
+
+
+def test_share_of_labels_does_not_depend_on_the_sample(spark):
+    rng, docs, marks = random.Random(2), [], []
+    for i in range(1200):
+        good = i % 6 > 0
+        # one in four looks like the other kind, so that the curve cannot part them
+        looks = good if rng.random() < 0.75 else not good
+        docs.append((i, cases.sentence(rng, 30) if looks else " | ".join(cases.sentence(rng, 1, "abcdxyz") for _ in range(30))))
+        marks.append((i, int(good)))
+    table = cases.documents(spark, docs)
+    for per_label in (1500, 100):
+        found = Q.quality_scores(table, labels(spark, marks), per_label).toPandas()
+        assert abs(found.score.mean() - 5 / 6) < 0.06, per_label
