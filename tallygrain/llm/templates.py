@@ -3,9 +3,13 @@
 Texts are canonicalised: numbers, names and units become typed placeholders,
 other words are lower-cased.  Windows of WINDOW template tokens are hash-joined
 with the benchmark's, so a question whose numbers or names were changed still
-meets its source.  A meeting counts only where the slots are consistent: along
-one alignment of document and item, equal values of the item must stand for
-equal values of the document, and different ones for different ones.  A document
+meets its source.  Names have three forms, and a window is met if any of them
+meets: capitalised words inside a sentence are typed; none is typed, so that a
+copy in other case meets; every capitalised word is typed, also where a sentence
+begins or after a quote, colon or bracket.  A meeting counts only where the slots
+are consistent: along one alignment of document and item, equal values of the
+item must stand for equal values of the document, and different ones for
+different ones; windows that hold a slot which conflicts are left out.  A document
 leaks an item when consistent windows cover COVERAGE of it.
 
 Documents send only windows that a fixed-size bitmap of the benchmark's hashes
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrain.llm.repeats import hashed, inside, level
 from tallygrain.llm.shared import fresh, tidy
@@ -29,6 +33,9 @@ COVERAGE = 0.8
 BITS = 22  # the bitmap has 2^BITS bits, whatever the size of the benchmark
 CHUNK = 1 << 20
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
+INNER, OTHER = "\x04", "\x05"  # before a name inside a sentence, and before any other capitalised word
+TYPED = (INNER, "", INNER + OTHER)  # which marked words are names in each form
+_SIGNS = re.compile("[\x01-\x05]")
 # fixed values: words that count as units after a number
 UNITS = (
     "mm cm dm km mg kg lb lbs oz ml cl dl mi ft yd sec secs min mins hr hrs second seconds minute minutes hour hours day days week weeks "
@@ -39,58 +46,100 @@ UNITS = (
 _NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
 # a capital and small letters after a small letter, a comma or a placeholder, and a blank: no first word of a
 # sentence, and no text in capitals
-_NAME = re.compile(r"(?<=[a-zß-öø-ÿ,;\x01\x02] )[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?![^\W\d_])")
-_UNIT = re.compile(rf"(?<=\x01 )\s*(?:{'|'.join(UNITS)})(?![^\W_])", re.IGNORECASE)
-_GAPS = re.compile(r"[^\w\x01-\x03]+|_+")
+_NAME = re.compile(r"[A-ZÀ-ÖØ-Þ](?<=[a-zß-öø-ÿ,;\x01\x02] .)[a-zß-öø-ÿ]+(?![^\W\d_])")
+_CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-Þ](?<![^\W_].)(?<!\x04.)[a-zß-öø-ÿ]+(?![^\W_])")
+_UNIT = re.compile(rf"(?<=\x01 )\s*[\x04\x05]?(?:{'|'.join(UNITS)})(?![^\W_])", re.IGNORECASE)
+_GAPS = re.compile(r"(?:[^\w\x01-\x05 ]|_)+")
 
 
-def canonical(text: str, values: dict[str, list[str]] | None = None) -> str:
-    """Template tokens with a blank between them; ``values`` receives what the placeholders replaced, in order."""
-    for sign, pattern in ((NUMBER, _NUMBER), (NAME, _NAME), (UNIT, _UNIT)):
+def marked(text: str, values: dict[str, list[str]] | None = None) -> str:
+    """Tokens with blanks between them: numbers and units as placeholders, names and other capitalised words with
+    a mark before them; ``values`` receives what the placeholders replaced, in order."""
+    text = _SIGNS.sub(" ", text)
+
+    def placed(sign: str, pattern: re.Pattern, text: str) -> str:
         if values is None:
-            text = pattern.sub(f" {sign} ", text)
-        else:
-            values[sign] = []
-            text = pattern.sub(lambda m, s=sign: values[s].append(m[0].strip().lower()) or f" {s} ", text)
-    return _GAPS.sub(" ", text).lower().strip()
+            return pattern.sub(f" {sign} ", text)
+        values[sign] = []
+        return pattern.sub(lambda m: values[sign].append(m[0].strip(" \t\r\n" + INNER + OTHER).lower()) or f" {sign} ", text)
 
+    text = _NAME.sub(INNER + r"\g<0>", placed(NUMBER, _NUMBER, text))
+    text = placed(UNIT, _UNIT, _CAPITALISED.sub(OTHER + r"\g<0>", text))
+    return _GAPS.sub(" ", text).lower()
 
-def slots(text: str, window: int = WINDOW) -> list[list[str]]:
-    """The placeholders' values in the window at each token."""
+
+def canonical(text: str) -> str:
+    """Template tokens of the first form with a blank between them."""
+    return " ".join(NAME if t[0] == INNER else t.lstrip(OTHER) for t in marked(text).split())
+
+
+def _slots(text: str) -> list[list[str | None]]:
+    """For each form, the value that each token stands for; null where it is a plain word."""
     values: dict[str, list[str]] = {}
-    tokens = canonical(text, values).split()
+    tokens = marked(text, values).split()
     left = {k: iter(v) for k, v in values.items()}
-    own = [f"{ord(t)}{next(left[t])}" if t in left else None for t in tokens]
-    return [[v for v in own[i : i + window] if v is not None] for i in range(len(tokens))]
+    own = [(t[0], f"{ord(t)}{next(left[t])}" if t in left else f"{ord(NAME)}{t[1:]}") for t in tokens]
+    return [[v if kind in (NUMBER, UNIT) or kind in typed else None for kind, v in own] for typed in map(tuple, TYPED)]
+
+
+def _at(own: list[str | None], i: int, window: int) -> list[str]:
+    return [v for v in own[i : i + window] if v is not None]
+
+
+def slots(text: str, window: int = WINDOW) -> list[list[str]]:
+    """The placeholders' values in the window at each token, in the first form."""
+    own = _slots(text)[0]
+    return [_at(own, i, window) for i in range(len(own))]
+
+
+_NAME_HASH = hashed([NAME.encode()])[0][0]
 
 
-def _windows(texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window hashes, whether they are whole, and where each text begins."""
-    words, bounds = hashed([canonical(t).encode() for t in texts])
-    return level(words, window, window), inside(bounds, window), bounds
+def _windows(texts: list[str], window: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each form window hashes, and whether they are whole and new in that form; and where each text begins."""
+    tokens = [marked(t).encode() for t in texts]
+    words, bounds = hashed([t.translate(None, (INNER + OTHER).encode()) for t in tokens])
+    letters = np.frombuffer(b" " + b" ".join(tokens), np.uint8)
+    gap = letters == ord(" ")
+    first = letters[1:][gap[:-1] & ~gap[1:]]
+    hashes, fresh_ = [], []
+    for typed in TYPED:
+        h = level(np.where(np.isin(first, [ord(c) for c in typed]), _NAME_HASH, words), window, window)
+        new = inside(bounds, window)
+        for other in hashes:
+            new &= h != other
+        hashes.append(h)
+        fresh_.append(new)
+    return hashes, fresh_, bounds
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, at, value, slots, n: the windows of each item; items shorter than a window have none.
+    """item_id, at, value, slots, n, loose: the windows of each item, in each form in which they differ.
 
-    A window of placeholders alone says nothing and is left out.
+    Items shorter than a window have none.  A window of placeholders alone says
+    nothing and is left out; ``n`` counts the others by the first form.  ``loose``
+    windows have every capitalised word typed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for item, text in zip(b["item_id"].to_pylist(), b["text"].to_pylist()):
-                h, whole, _ = _windows([text], window)
-                each = slots(text, window)
-                at = [i for i in np.flatnonzero(whole).tolist() if len(each[i]) < window]
-                out += [{"item_id": item, "at": i, "value": int(h[i].view(np.int64)), "slots": each[i], "n": len(at)} for i in at]
+                hashes, new, _ = _windows([text], window)
+                own = _slots(text)
+                at = [i for i in np.flatnonzero(new[0]).tolist() if len(_at(own[0], i, window)) < window]
+                for form, (h, those) in enumerate(zip(hashes, new)):
+                    for i in at:
+                        held = _at(own[form], i, window)
+                        if those[i] and len(held) < window:
+                            out.append({"item_id": item, "at": i, "value": int(h[i].view(np.int64)), "slots": held, "n": len(at), "loose": form == 2})
             yield pa.RecordBatch.from_pylist(out, _ITEMS)
 
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull())
-    return rows.mapInArrow(tidy(run), "item_id long, at long, value long, slots array<string>, n long")
+    return rows.mapInArrow(tidy(run), "item_id long, at long, value long, slots array<string>, n long, loose boolean")
 
 
-_ITEMS = pa.schema([("item_id", pa.int64()), ("at", pa.int64()), ("value", pa.int64()), ("slots", pa.list_(pa.string())), ("n", pa.int64())])
+_ITEMS = pa.schema([("item_id", pa.int64()), ("at", pa.int64()), ("value", pa.int64()), ("slots", pa.list_(pa.string())), ("n", pa.int64()), ("loose", pa.bool_())])
 _HITS = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("value", pa.int64()), ("doc_slots", pa.list_(pa.string()))])
 
 
@@ -107,7 +156,7 @@ def _bitmap(items: DataFrame) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, bitmap: np.ndarray, window: int = WINDOW) -> DataFrame:
-    """doc_id, place, value, doc_slots: the windows of whole texts that the bitmap lets through."""
+    """doc_id, place, value, doc_slots: the windows of whole texts, in each form, that the bitmap lets through."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,14 +168,17 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, window: int = WINDOW)
                 while end < len(texts) and (size < CHUNK or end == at):
                     size += len(texts[end])
                     end += 1
-                h, whole, bounds = _windows(texts[at:end], window)
-                hits = np.flatnonzero(known[h >> np.uint64(64 - BITS)] & whole)
+                hashes, new, bounds = _windows(texts[at:end], window)
+                met = [np.flatnonzero(known[h >> np.uint64(64 - BITS)] & those) for h, those in zip(hashes, new)]
+                form = np.repeat(np.arange(len(met)), [len(hits) for hits in met])
+                hits = np.concatenate(met)
                 owner = np.searchsorted(bounds, hits, "right") - 1
                 out = []
                 for doc in np.unique(owner).tolist():
-                    each = slots(texts[at + doc], window)
-                    begin = int(bounds[doc])
-                    out += [{"doc_id": ids[at + doc], "place": i - begin, "value": int(h[i].view(np.int64)), "doc_slots": each[i - begin]} for i in hits[owner == doc].tolist()]
+                    own = _slots(texts[at + doc])
+                    begin, mine = int(bounds[doc]), owner == doc
+                    for f, i in zip(form[mine].tolist(), hits[mine].tolist()):
+                        out.append({"doc_id": ids[at + doc], "place": i - begin, "value": int(hashes[f][i].view(np.int64)), "doc_slots": _at(own[f], i - begin, window)})
                 yield pa.RecordBatch.from_pylist(out, _HITS)
                 at = end
 
@@ -134,6 +186,17 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, window: int = WINDOW)
     return rows.mapInArrow(tidy(run), "doc_id long, place long, value long, doc_slots array<string>")
 
 
+def _conflicts(windows: Column) -> Column:
+    """The item's values that stand for several values of the document, and the other way round."""
+    pairs = F.array_distinct(F.flatten(F.transform(windows, lambda w: w["pairs"])))
+
+    def twice(values: Column) -> Column:
+        # the array of one binds the sorted values, so that they are sorted once
+        return F.transform(F.array(F.array_sort(values)), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))))[0]
+
+    return F.transform(F.array(pairs), lambda p: F.struct(twice(p["slots"]).alias("slots"), twice(p["doc_slots"]).alias("doc_slots")))[0]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage, n_windows, reparameterised: one row for each item that a document leaks.
 
@@ -144,14 +207,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     # repeated rows of an item are one item
     items = item_windows(benchmark.select("item_id", "text").distinct(), window)
     met = document_windows(docs, _bitmap(items), window).join(items, "value")
-    aligned = met.groupBy("doc_id", "item_id", "n", (F.col("place") - F.col("at")).alias("shift"), "at").agg(F.min(F.struct("slots", "doc_slots")).alias("s"))
-    # one alignment has at most the item's windows
-    lines = aligned.groupBy("doc_id", "item_id", "n", "shift").agg(
-        F.collect_list("at").alias("at"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("s.slots", "s.doc_slots")))).alias("pairs")
-    )
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.slots"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.doc_slots")))
-    changed = F.exists("pairs", lambda p: p["slots"] != p["doc_slots"])
-    found = lines.where(one_to_one).select("doc_id", "item_id", "n", F.explode("at").alias("at"), changed.alias("changed"))
+    aligned = met.groupBy("doc_id", "item_id", "n", (F.col("place") - F.col("at")).alias("shift"), "at", "value", "loose").agg(F.min(F.struct("slots", "doc_slots")).alias("s"))
+    # one alignment has at most the item's windows, each in three forms
+    windows = F.collect_list(F.struct("at", "loose", F.arrays_zip("s.slots", "s.doc_slots").alias("pairs")))
+    lines = aligned.groupBy("doc_id", "item_id", "n", "shift").agg(windows.alias("windows"))
+    # names typed loosely may hide no conflict, nor make one between other windows
+    lines = lines.withColumn("strict", _conflicts(F.filter("windows", lambda w: ~w["loose"]))).withColumn("all", _conflicts(F.col("windows")))
+
+    def consistent(w: Column) -> Column:
+        against = F.when(w["loose"], F.col("all")).otherwise(F.col("strict"))
+        return ~F.arrays_overlap(w["pairs"]["slots"], against["slots"]) & ~F.arrays_overlap(w["pairs"]["doc_slots"], against["doc_slots"])
+
+    lines = lines.select("doc_id", "item_id", "n", F.filter("windows", consistent).alias("windows"))
+    changed = F.exists("windows", lambda w: F.exists(w["pairs"], lambda p: p["slots"] != p["doc_slots"]))
+    found = lines.select("doc_id", "item_id", "n", F.explode("windows.at").alias("at"), changed.alias("changed"))
     each = found.groupBy("doc_id", "item_id", "n", "at").agg(F.min(F.col("changed").cast("int")).alias("changed"))
     total = each.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_windows"), F.max("changed").alias("changed"))
     share = F.col("n_windows") / F.col("n")

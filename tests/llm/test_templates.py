@@ -73,3 +73,27 @@ def test_edges(spark):
     assert left.columns == docs.columns and left.count() == docs.count() - 6
     assert T.leaks(docs.limit(0), bench).collect() == [] and T.leaks(docs, bench.limit(0)).collect() == []
     assert T.without_leaks(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_names_anywhere_and_copies_in_other_case(spark):
+    first = "Anna bought {} apples. Anna ate {}. How many are left?"
+    inner = "on some days we see that Anna walks slowly to the old mill and then comes back home again"
+    docs = [
+        (1, first.format(12, 3).replace("Anna", "Tom")),
+        (2, 'They said: "' + first.format(12, 3).replace("Anna", "Tom") + '"'),
+        (3, inner.lower()),
+        (4, inner.upper()),
+        (5, "Tom bought 12 apples. Jim ate 3. How many are left?"),  # one name for two
+        (6, "Nobody bought many apples and nobody ate them"),
+    ]
+    bench = [(7, first.format(9, 4)), (8, inner)]
+    found = {(r["doc_id"], r["item_id"]): r for r in T.leaks(cases.documents(spark, docs), items(spark, bench)).collect()}
+    assert set(found) == {(1, 7), (2, 7), (3, 8), (4, 8)}
+    assert found[1, 7]["reparameterised"] and not found[3, 8]["reparameterised"] and found[4, 8]["coverage"] == 1
+
+
+def test_a_conflicting_slot_costs_only_its_windows(spark):
+    story = "a long walk begins at {} in the early morning and leads past many quiet farms with red roofs and some tall trees and fields and barns and along a cold stream to the old town at {}"
+    docs = [(1, story.format(7, 8)), (2, story.format(7, 7))]
+    found = T.leaks(cases.documents(spark, docs), items(spark, [(9, story.format(5, 5))])).collect()
+    assert {r["doc_id"]: r["n_windows"] for r in found} == {1: 28, 2: 34}
