@@ -152,30 +152,39 @@ def guard_stream(requests: DataFrame) -> DataFrame:
 
 # --- velocity, audit, key figures ----------------------------------------------
 
+def _per_window(requests: DataFrame, source: str, ts: str, seconds: int) -> DataFrame:
+    counts = requests.groupBy(F.col(source), F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("n"))
+    return counts.select(source, F.col("w.start").alias("window_start"), "n")
+
+
 def velocity(requests: DataFrame, source: str, ts: str, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
-    """Requests per source and window; compare ``n`` with the limit."""
-    return (
-        requests.withWatermark(ts, late)
-        .groupBy(F.col(source), F.window(ts, f"{seconds} seconds").alias("w"))
-        .agg(F.count("*").alias("n"))
-        .select(source, F.col("w.start").alias("window_start"), "n")
-    )
+    """Requests per source and window; compare ``n`` with the limit.  Rows that
+    come later than the watermark are lost."""
+    return _per_window(requests.withWatermark(ts, late), source, ts, seconds)
 
 
-def too_fast(requests: DataFrame, source: str, ts: str, limit: int = C.INTAKES_PER_MINUTE, seconds: int = 60) -> DataFrame:
-    """Windows over the limit.  Counts are written as they change, so a window
-    that is still open is reported as well; the last count of a window holds."""
+def too_fast(
+    requests: DataFrame, source: str, ts: str, limit: int = C.INTAKES_PER_MINUTE, seconds: int = 60, late: str | None = None
+) -> DataFrame:
+    """Windows over the limit, those that are still open as well.
+
+    Each micro-batch writes its counts, and a window's counts are summed over all
+    of them, so rows count in whatever order they come.  With ``late`` the counts
+    are those of ``velocity``, which keeps less and loses rows that come later;
+    the last count of a window holds.
+    """
     spark = requests.sparkSession
     folder = work_dir(spark, "velocity")
-    counts = velocity(requests, source, ts, seconds)
+    counts = velocity(requests, source, ts, seconds, late) if late else _per_window(requests, source, ts, seconds)
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/counts/epoch={epoch}")
+        rows = batch if late else _per_window(batch, source, ts, seconds)
+        rows.write.mode("overwrite").parquet(f"{folder}/counts/epoch={epoch}")
 
-    drain_batches(counts, save, folder, mode="update")
+    drain_batches(counts if late else requests, save, folder, mode="update" if late else "append")
     saved = spark.read.schema(_with(counts.schema, "epoch")).parquet(f"{folder}/counts")
-    last = saved.groupBy(source, "window_start").agg(F.max_by("n", "epoch").alias("n"))
-    return last.where(F.col("n") > limit)
+    total = F.max_by("n", "epoch") if late else F.sum("n")
+    return saved.groupBy(source, "window_start").agg(total.alias("n")).where(F.col("n") > limit)
 
 
 def audit_stream(records: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:

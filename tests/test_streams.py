@@ -132,3 +132,13 @@ def test_one_bad_claim_does_not_take_its_batch_along(spark, tmp_path, monkeypatc
     runs, failed = ST.verify_on_intake(ST.read_files(spark, f"{tmp_path}/in", df.schema, 1), lambda: called.append(1) or Tables(), str(tmp_path / "out"))
     assert {r.claim_id for r in runs.collect()} == {f"C{i}" for i in range(9) if i != 4}
     assert [(r.claim_id, "bad claim" in r.error) for r in failed.collect()] == [("C4", True)] and called
+
+
+def test_velocity_counts_files_in_any_order_of_time(spark, tmp_path):
+    rows = [("s1", i) for i in range(6)] + [("s2", 90_000 + i) for i in range(12)] + [("s1", 20 + i) for i in range(6)]
+    df = spark.createDataFrame(rows, "source string, t long").select("source", F.timestamp_seconds("t").alias("ts"))
+    # the newest rows come first and again in between
+    write_parts(df, str(tmp_path), ["unix_seconds(ts) >= 90006", "unix_seconds(ts) < 20", "unix_seconds(ts) BETWEEN 90000 AND 90005", "unix_seconds(ts) BETWEEN 20 AND 80000"])
+    stream = lambda: ST.read_files(spark, f"{tmp_path}/in", df.schema, 1)
+    assert {(r.source, r.n) for r in ST.too_fast(stream(), "source", "ts", limit=6).collect()} == {("s1", 12), ("s2", 12)}
+    assert ("s1", 12) not in {(r.source, r.n) for r in ST.too_fast(stream(), "source", "ts", limit=6, late="10 minutes").collect()}
