@@ -28,7 +28,6 @@ from tallygrain.schemas import RUNS
 from tallygrain.session import work_dir
 
 
-HALVINGS = 12  # times that a failed micro-batch is halved
 REMEMBERED = 10_000  # rows of a claim whose replay is recognised
 
 
@@ -237,8 +236,8 @@ def verify_on_intake(
 
     ``tables`` may be a function; it is called for every micro-batch, so that
     files, memory and policies that came since are seen.  A batch that fails is
-    halved until the claims that fail stand alone; they are noted and the
-    stream goes on.  Returns the runs and the claims that failed.
+    halved, whatever its size, until the claims that fail stand alone; they are
+    noted and the stream goes on.  Returns the runs and the claims that failed.
     """
     spark = intake.sparkSession
     folder = folder or work_dir(spark, "intake")
@@ -251,7 +250,8 @@ def verify_on_intake(
             now = tables() if callable(tables) else tables
             verify_claims(now.only(part)).select(*shape.names).write.mode("overwrite").parquet(f"{folder}/runs/{at}")
         except Exception as error:  # noqa: BLE001 - intake must not stop
-            if len(name) <= HALVINGS and part.select("id").distinct().limit(2).count() > 1:
+            if part.select("id").distinct().limit(2).count() > 1:
+                # other hash bits at each level, so that any two claims part
                 side = F.pmod(F.xxhash64("id", F.lit(len(name))), F.lit(2))
                 attempt(part.where(side == 0), epoch, name + "0")
                 attempt(part.where(side == 1), epoch, name + "1")

@@ -142,3 +142,25 @@ def test_velocity_counts_files_in_any_order_of_time(spark, tmp_path):
     stream = lambda: ST.read_files(spark, f"{tmp_path}/in", df.schema, 1)
     assert {(r.source, r.n) for r in ST.too_fast(stream(), "source", "ts", limit=6).collect()} == {("s1", 12), ("s2", 12)}
     assert ("s1", 12) not in {(r.source, r.n) for r in ST.too_fast(stream(), "source", "ts", limit=6, late="10 minutes").collect()}
+
+
+def test_halving_goes_on_until_one_claim_is_left(spark, tmp_path, monkeypatch):
+    bits = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)).cast("string") for k in range(1, 14)]
+    ids = spark.range(40_000).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("id")).withColumn("path", F.concat(*bits))
+    # two claims that thirteen halvings leave together
+    pair = ids.groupBy("path").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1).orderBy("path").first()["ids"][:2]
+    df = spark.createDataFrame([(i,) for i in pair], "id string")
+    write_parts(df, str(tmp_path), ["id <> ''"])
+
+    class Tables:
+        def only(self, batch):
+            return batch
+
+    def verify(batch):
+        if batch.where(F.col("id") == pair[0]).count():
+            raise ValueError("bad claim")
+        return batch.select(*[(F.col("id") if f.name == "claim_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in ST.RUNS.fields])
+
+    monkeypatch.setattr(ST, "verify_claims", verify)
+    runs, failed = ST.verify_on_intake(ST.read_files(spark, f"{tmp_path}/in", df.schema, 1), Tables(), str(tmp_path / "out"))
+    assert [r.claim_id for r in runs.collect()] == [pair[1]] and [r.claim_id for r in failed.collect()] == [pair[0]]
