@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tallygrain.llm import audit, cells, chat, language, manifest, packing, quality, repeats, shards, simhash, templates, tokencount
+from tallygrain.llm import audit, cells, chat, language, manifest, packing, quality, repeats, shards, simhash, templates, tokencount, toxicity
 from tallygrain.llm.oracles import ORACLES as ORACLES
 from tallygrain.llm.shared import documents, table
 from tallygrain.session import configure
@@ -80,6 +80,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(documents(spark, sf_dir))
 
 
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))

@@ -53,5 +53,5 @@ def test_stages_stand_edges(spark, folder):
 
 def test_registered_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
-    assert numbers == [*range(1, 12), 13] and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
     assert set(ORACLES) <= set(QUERIES) and [n for n, _ in P.STAGES] == ["language", "near_duplicates", "repeated_text", "decontamination", "packing"]
