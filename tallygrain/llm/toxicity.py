@@ -200,7 +200,8 @@ def measures(total: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _sums(x: np.ndarray, words: Words) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(x)])
-    return total[words.bounds[1:]] - total[words.bounds[:-1]]
+    # rounded, so that equal texts have equal sums whatever stands beside them
+    return np.round(total[words.bounds[1:]] - total[words.bounds[:-1]], 6)
 
 
 @dataclass
