@@ -331,8 +331,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model |
         w = W.partitionBy(*by).orderBy("_h", "doc_id")
         keys = keys.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_label)
     chosen = keys.select(F.col("doc_id").alias("_id"), "toxic", (F.col("_rn") % 3 == 0).alias("second"))  # two labels times per_label rows
-    texts = docs.where(_usable()).select(F.col("doc_id").cast("long").alias("_id"), "text").distinct()
-    rows = texts.join(F.broadcast(chosen), "_id").toPandas().sort_values(["_id", "text"])
+    texts = docs.where(_usable()).select(F.col("doc_id").cast("long").alias("_id"), "text")
+    rows = texts.join(F.broadcast(chosen), "_id").distinct().toPandas().sort_values(["_id", "text"])
     first = rows[~rows["second"]]
     if first["toxic"].nunique() < 2:
         first = rows
