@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tallygrain.llm.shared import MIX_A, MIX_B, batches_of, fresh, mixed, quoted, raw_texts, saved, swept, tidy
+from tallygrain.llm.shared import MIX_A, MIX_B, batches_of, mixed, raw_texts, saved, swept, tidy
 
 BASE = 5
 WINDOW = 20
@@ -151,9 +152,10 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return seen.groupBy("id", "copy").agg(F.collect_set("value").alias("values"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """id (a null one last), two text digests, text."""
+def _keyed(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """id (a null one last), two text digests, text, and columns that are carried along."""
     return docs.select(
+        *carried,
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)).alias("id"),
         F.xxhash64("text").alias("th"),
         F.xxhash64(F.lit(1), F.col("text")).alias("th2"),
@@ -161,6 +163,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def _with(fields: list[StructField], ddl: str) -> StructType:
+    """A schema of carried columns, whatever their types, and of one's own."""
+    return StructType([*fields, *StructType.fromDDL(ddl).fields])
+
+
 def _sets(lists: pa.Array) -> list[np.ndarray | None]:
     """The values of a list column as sorted arrays."""
     flat, offsets = lists.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), lists.offsets.to_numpy()
@@ -178,6 +185,21 @@ def _runs(mask: np.ndarray) -> bytes:
     return np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).view(np.int8))).astype(np.int64).tobytes()
 
 
+def _runs_of(key: np.ndarray, copy: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Each text's positions as runs: (key, copy, begin and end of its runs)."""
+    order = np.lexsort((at, copy, key))
+    key, copy, at = key[order], copy[order], at[order]
+    other = np.ones(len(at), bool)
+    other[1:] = (key[1:] != key[:-1]) | (copy[1:] != copy[:-1])
+    new = other.copy()
+    new[1:] |= at[1:] != at[:-1] + 1
+    begin = np.flatnonzero(new)
+    last = np.concatenate([begin[1:] - 1, [len(at) - 1]])[: len(begin)]
+    both = np.stack([at[begin], at[last] + 1], 1).astype(np.int64)
+    cut = np.searchsorted(begin, np.flatnonzero(other))
+    return key[other], copy[other], [both[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(both)])]
+
+
 def _mask(runs: bytes, n: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int8)
     both = np.frombuffer(runs, np.int64)
@@ -201,10 +223,13 @@ class Repeats:
             raise ValueError("window must be base doubled some times")
         self.window, self.base, self.lengths = window, base, lengths
 
-    def start(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(settled, candidates): texts that are done after the shortest length, and those that go on."""
+    def start(self, docs: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(state, candidates): all texts after the shortest length, and those that go on.
+
+        With ``carried`` columns, every text stays in the state, to be written in the end.
+        """
         window, base = self.window, self.base
-        keyed = _keyed(docs)
+        keyed, extra = _keyed(docs, carried), [docs.schema[c] for c in carried]
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def pieces() -> Iterator:
@@ -233,9 +258,9 @@ class Repeats:
             press = zstandard.ZstdCompressor(level=3)
             for b in batches:
                 blobs = pa.array([press.compress(t) for t in raw_texts(b["text"])], pa.binary())
-                yield pa.RecordBatch.from_arrays([b["id"], b["th"], blobs], ["id", "th", "blob"])
+                yield pa.RecordBatch.from_arrays([*[b[c] for c in carried], b["id"], b["th"], blobs], [*carried, "id", "th", "blob"])
 
-        packed = keyed.select("id", "th", "text").mapInArrow(tidy(squeeze), "id long, th long, blob binary")
+        packed = keyed.select(*carried, "id", "th", "text").mapInArrow(tidy(squeeze), _with(extra, "id long, th long, blob binary"))
         joined = packed.join(known, "id", "left").sortWithinPartitions("id", "th")
 
         def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +278,7 @@ class Repeats:
                     text = _text(blobs[i])
                     words = text.split()
                     if len(words) >= window and copied[i] and key[1] in copied[i]:
-                        out.append((key[0], key[1], copy, len(words), np.array([0, len(words)], np.int64).tobytes(), digest([]), None, None))
+                        out.append((key[0], key[1], copy, len(words), np.array([0, len(words)], np.int64).tobytes(), digest([]), blobs[i] if carried else None, None))
                         continue
                     runs = b""
                     if len(words) >= window and values[i] is not None:
@@ -261,11 +286,12 @@ class Repeats:
                         low, _ = parts(level(h, base, base), base, window, inside(bounds, window))
                         runs = _runs(member(values[i], low) & (low > 0))
                     going = bool(runs)
-                    out.append((key[0], key[1], copy, len(words), b"", None if going else digest(words), blobs[i] if going else None, runs if going else None))
-                yield pa.RecordBatch.from_pylist([dict(zip(_STARTED.names, r)) for r in out], _STARTED)
+                    out.append((key[0], key[1], copy, len(words), b"", None if going else digest(words), blobs[i] if going or carried else None, runs if going else None))
+                own = pa.RecordBatch.from_pylist([dict(zip(_STARTED.names, r)) for r in out], _STARTED)
+                yield pa.RecordBatch.from_arrays([*[b[c] for c in carried], *own.columns], [*carried, *own.schema.names])
 
-        state = saved(joined.mapInArrow(tidy(narrow), _STARTED_SQL), "repeats")
-        candidates = state.where(F.col("blob").isNotNull()).select("id", "copy", "blob", "runs")
+        state = saved(joined.mapInArrow(tidy(narrow), _with(extra, _STARTED_SQL)), "repeats")
+        candidates = state.where(F.col("runs").isNotNull()).select("id", "copy", "blob", "runs")
         return state, candidates
 
     def narrowed(self, candidates: DataFrame, length: int) -> DataFrame:
@@ -295,13 +321,14 @@ class Repeats:
         return candidates.join(found, ["id", "copy"]).mapInArrow(tidy(narrow), "id long, copy int, blob binary, runs binary")
 
     def decided(self, candidates: DataFrame) -> DataFrame:
-        """(id, copy, starts): the full windows of each text whose words also start earlier."""
+        """(id, copy, starts, found): the full windows of each text whose words also start earlier, as single
+        starts and as runs of them."""
         window, base = self.window, self.base
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["value", "packed", "id", "copy", "state"]
+            names = ["value", "packed", "id", "copy", "state", "runs"]
 
-            def fold(held: list) -> pa.RecordBatch:
+            def fold(held: list) -> list[pa.RecordBatch]:
                 value, check, key, copy, at = (np.concatenate(x) for x in zip(*held))
                 order = np.lexsort((at, copy, key, check, value))
                 value, check, key, copy, at = (x[order] for x in (value, check, key, copy, at))
@@ -310,10 +337,19 @@ class Repeats:
                 new[1:] = np.any([x[1:] != x[:-1] for x in (value, check, key, copy, at)], axis=0)
                 value, check, key, copy, at = (x[new] for x in (value, check, key, copy, at))
                 later = np.concatenate([[False], (value[1:] == value[:-1]) & (check[1:] == check[:-1])])
+                first = ~later
                 packed = (check.astype(np.int64) << 39) | at  # positions below 2^39
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(value.view(np.int64)), pa.array(packed), pa.array(key), pa.array(copy), pa.array(later.astype(np.int8))], names
-                )
+                n, (owners, copies, runs) = int(first.sum()), _runs_of(key[later], copy[later], at[later])
+                blank = pa.nulls(len(runs), pa.int64())
+                columns = [
+                    pa.chunked_array([pa.array(value[first].view(np.int64)), blank]),
+                    pa.chunked_array([pa.array(packed[first]), blank]),
+                    pa.array(np.concatenate([key[first], owners])),
+                    pa.array(np.concatenate([copy[first], copies])),
+                    pa.array(np.repeat(np.array([0, 1], np.int8), [n, len(runs)])),
+                    pa.chunked_array([pa.nulls(n, pa.binary()), pa.array(runs, pa.binary())]),
+                ]
+                return pa.table(columns, names).combine_chunks().to_batches()
 
             held, size = [], 0
             for key, copy, words, valid in _open(batches):
@@ -323,19 +359,19 @@ class Repeats:
                 held.append((value, check, np.full(len(where), key, np.int64), np.full(len(where), copy, np.int32), where))
                 size += len(where)
                 if size >= FOLD:
-                    yield fold(held)
+                    yield from fold(held)
                     held, size = [], 0
             if held:
-                yield fold(held)
+                yield from fold(held)
 
-        rows = candidates.mapInArrow(tidy(emit), "value long, packed long, id long, copy int, state byte")
-        rows = rows.select("value", F.shiftright("packed", 39).alias("check"), "packed", "id", "copy", "state")
-        # rows that a task has found to be later ones are spread by their text
+        rows = candidates.mapInArrow(tidy(emit), "value long, packed long, id long, copy int, state byte, runs binary")
+        rows = rows.select("value", F.shiftright("packed", 39).alias("check"), "packed", "id", "copy", "state", "runs")
+        # what a task has found to be later ones is one row a text, and spread by it
         met = W.partitionBy(F.when(F.col("state") == 1, F.xxhash64("id", "copy")).otherwise(F.col("value")), "value", "check", "state")
         me = F.struct("id", "copy", "packed")
         later = rows.withColumn("first", F.min(me).over(met)).where((F.col("state") == 1) | (me > F.col("first")))
         place = F.col("packed").bitwiseAND((1 << 39) - 1)
-        return later.select("id", "copy", place.alias("at")).groupBy("id", "copy").agg(F.collect_list("at").alias("starts"))
+        return later.select("id", "copy", place.alias("at"), "runs").groupBy("id", "copy").agg(F.collect_list("at").alias("starts"), F.collect_list("runs").alias("found"))
 
 
 _STARTED = pa.schema(
@@ -355,6 +391,37 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndar
             yield key, copy, words, _mask(runs, len(words))
 
 
+def _searched(docs: DataFrame, window: int, base: int, carried: list[str]) -> DataFrame:
+    """The state of every row, with the windows that were found to be repeated."""
+    search = Repeats(window, base)
+    state, candidates = search.start(docs, carried)
+    swept(docs.sparkSession)
+    for length in search.lengths[1:-1]:
+        if length > search.lengths[1]:
+            candidates = saved(candidates, "narrowed")
+        candidates = search.narrowed(candidates, length)
+    decided = search.decided(candidates)
+    columns = [*carried, "id", "th", "copy", "n_words", "gone", "kept_sha256", "blob"]
+    going = F.col("runs").isNotNull()
+    open_rows = state.where(going).select(*columns).join(decided, ["id", "copy"], "left").withColumn("open", F.lit(True))
+    none = [F.lit(None).cast("array<long>").alias("starts"), F.lit(None).cast("array<binary>").alias("found"), F.lit(False).alias("open")]
+    return open_rows.unionByName(state.where(~going).select(*columns, *none))
+
+
+def _kept(words: int, window: int, starts: pa.Scalar, found: pa.Scalar) -> np.ndarray:
+    """Which words are in no repeated window."""
+    edge = np.zeros(words + 1, np.int64)
+    if starts.is_valid:
+        at = starts.values.to_numpy()
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + window, -1)
+        for runs in found.as_py():
+            both = np.frombuffer(runs, np.int64)
+            np.add.at(edge, both[::2], 1)
+            np.add.at(edge, both[1::2] - 1 + window, -1)
+    return np.cumsum(edge[:-1]) == 0
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
     """doc_id, text_hash, n_words, n_removed, gone, kept_sha256: one row for every row of ``docs``.
 
@@ -365,31 +432,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
     greatest.  Rows that share id and text are one document and get equal
     results; rows that share only the id are ordered by their text's hash.
     """
-    search = Repeats(window, base)
-    state, candidates = search.start(docs)
-    swept(docs.sparkSession)
-    for length in search.lengths[1:-1]:
-        if length > search.lengths[1]:
-            candidates = saved(candidates, "narrowed")
-        candidates = search.narrowed(candidates, length)
-    decided = search.decided(candidates)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             gone, sha = b["gone"].to_pylist(), b["kept_sha256"].to_pylist()
-            for i, (blob, starts) in enumerate(zip(b["blob"].to_pylist(), b["starts"])):
-                if blob is None:
-                    continue
-                words = _text(blob).split()
-                keep = np.ones(len(words), bool)
-                if starts.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    at = starts.values.to_numpy()
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                gone[i] = _runs(~keep)
-                sha[i] = digest([words[j] for j in np.flatnonzero(keep)])
+            for i, (is_open, blob, starts, found) in enumerate(zip(b["open"].to_pylist(), b["blob"].to_pylist(), b["starts"], b["found"])):
+                if is_open:
+                    words = _text(blob).split()
+                    keep = _kept(len(words), window, starts, found)
+                    gone[i] = _runs(~keep)
+                    sha[i] = digest([words[j] for j in np.flatnonzero(keep)])
             pairs = [np.frombuffer(g, np.int64) for g in gone]
             removed = [int((p[1::2] - p[::2]).sum()) for p in pairs]
             yield pa.RecordBatch.from_arrays(
@@ -397,10 +449,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
                 ["id", "text_hash", "n_words", "n_removed", "gone", "kept_sha256"],
             )
 
-    columns = ["id", "th", "copy", "n_words", "gone", "kept_sha256", "blob"]
-    open_rows = state.where(F.col("blob").isNotNull()).select(*columns).join(decided, ["id", "copy"], "left")
-    settled = state.where(F.col("blob").isNull()).select(*columns, F.lit(None).cast("array<long>").alias("starts"))
-    rows = open_rows.unionByName(settled).mapInArrow(
+    rows = _searched(docs, window, base, []).mapInArrow(
         tidy(finish), "id long, text_hash long, n_words long, n_removed long, gone binary, kept_sha256 string"
     )
     return rows.withColumn("doc_id", F.when(F.col("id") != LARGEST, F.col("id"))).drop("id")
@@ -410,28 +459,33 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) ->
     """``docs`` with repeated spans cut from the texts; texts of which no word is left are dropped.
 
     A text without repeats is unchanged; otherwise its kept words are joined by
-    one space.  ``n_chars`` follows the text where the column exists.
+    one space.  ``n_chars`` follows the text where the column exists.  All other
+    columns travel with the compressed text, so that no text is joined again.
     """
     names = docs.columns
-    key, digest_, gone_ = fresh(names, "_id", "_th", "_gone")
-    spans = repeated_spans(docs, window, base).where("n_removed > 0")
-    spans = spans.select(F.coalesce("doc_id", F.lit(LARGEST)).alias(key), F.col("text_hash").alias(digest_), F.col("gone").alias(gone_)).distinct()
-    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)), digest_: F.xxhash64("text")})
-    inner = [f"c{i}" for i in range(len(names))]  # any name may stand in a table, but not in a Python stage
-    rows = keyed.join(spans, [key, digest_], "left").select(*quoted([*names, gone_])).toDF(*inner, "gone")
-    at = inner[names.index("text")]
+    inner = [f"c{i}_" for i in range(len(names))]  # any name may stand in a table, but not in a Python stage
+    at, key = inner[names.index("text")], inner[names.index("doc_id")]
+    carried = [*[c for c in inner if c != at], "null_"]
+    plain = docs.toDF(*inner).withColumns({"text": F.col(at), "doc_id": F.col(key), "null_": F.col(at).isNull()}).drop(at)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans = b[at].to_pylist(), b["gone"].to_pylist()
-            for i, gone in enumerate(spans):
-                if gone:
-                    words = texts[i].encode().split()
-                    keep = ~_mask(gone, len(words))
-                    texts[i] = b" ".join([words[j] for j in np.flatnonzero(keep)]).decode()
-            keep = pa.array([bool(t) or g is None for t, g in zip(texts, spans)])
-            columns = [pa.array(texts, pa.string()) if c == at else b[c] for c in inner]
-            yield pa.RecordBatch.from_arrays(columns, inner).filter(keep)
-
-    out = rows.mapInArrow(tidy(cut), rows.drop("gone").schema).toDF(*names)
+            texts, keep_row = [], []
+            columns = (b["open"].to_pylist(), b["null_"].to_pylist(), b["gone"].to_pylist(), b["n_words"].to_pylist(), b["blob"].to_pylist(), b["starts"], b["found"])
+            for is_open, is_null, gone, n, blob, starts, found in zip(*columns):
+                keep = _kept(n, window, starts, found) if is_open else ~_mask(gone, n)
+                whole = bool(keep.all())
+                if whole:
+                    text = None if is_null else _text(blob).decode()
+                else:
+                    words = _text(blob).split() if keep.any() else []
+                    text = b" ".join([words[j] for j in np.flatnonzero(keep)]).decode() if words else ""
+                texts.append(text)
+                keep_row.append(whole or bool(text))
+            out = [pa.array(texts, pa.string()) if c == at else b[c] for c in inner]
+            yield pa.RecordBatch.from_arrays(out, inner).filter(pa.array(keep_row, pa.bool_()))
+
+    schema = StructType([StructField(c, f.dataType) for c, f in zip(inner, docs.schema)])
+    rows = _searched(plain, window, base, carried).mapInArrow(tidy(cut), schema)
+    out = rows.toDF(*names)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

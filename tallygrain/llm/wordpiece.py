@@ -49,9 +49,8 @@ class _Cache(dict):
         self.update(found)
 
     def forget(self) -> None:
-        """A worker lives longer than a task; what it learned need not."""
+        """A worker lives longer than a task: the young generation, which is bounded, stays for the next one."""
         self.old = {}
-        self.clear()
 
 
 _cache = _Cache()
