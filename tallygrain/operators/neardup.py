@@ -8,27 +8,32 @@ three tiers, each exact, each on fewer rows than the one before:
 1. equal but for one chunk of at most six bits: one aggregation per masked
    hash.  Members of such a group are within six bits of each other by
    construction, so a crowd of near-copies is settled in linear time;
-2. everything else: the multi-index join of Norouzi, Punjani and Fleet (CVPR
-   2012).  Two hashes within ``t`` bits agree in one of ``b`` bands up to
-   ``t // b`` bits, so an equi-join on (band, value) finds every pair; busy
-   bands are salted.
-
-The result has one row per flagged picture with one witness, never the list of
-all pairs of a crowd.
+2. everything else: an index of block combinations.  Cut into ``b`` blocks, two
+   hashes within ``t`` bits agree in some ``b - t`` of them, so an equi-join on
+   the bits of every such choice finds every pair.  More blocks make more and
+   longer keys: fewer candidates for more rows, so ``b`` follows the number of
+   hashes (:func:`blocks_for`); it changes the work and not the result.
+
+Hashes travel as 64-bit numbers.  The result has one row per flagged picture
+with one witness, never the list of all pairs of a crowd.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrain import constants as C
 from tallygrain.functions import numeric as N
 from tallygrain.operators.spread import first_per_key
+from tallygrain.session import work_dir
 
 # index rows of one (band, value) beyond which the bucket is split
 BUCKET_ROWS = 50_000
+# what meeting a candidate costs, measured in keys sent
+CANDIDATE_COST = 0.05
 
 
 def band_widths(bands: int, bits: int = C.PHASH_BITS) -> list[int]:
@@ -164,23 +169,76 @@ def band_matches(
     )
 
 
-def hash_pairs(hashes: DataFrame, threshold: int = C.PHASH_CROSS, bands: int = 4) -> DataFrame:
+def code(p_hash: Column) -> Column:
+    """A bit string as a 64-bit number."""
+    return F.shiftleft(N.bits_high(p_hash), 32).bitwiseOR(N.bits_low(p_hash))
+
+
+def block_masks(blocks: int, threshold: int, bits: int = C.PHASH_BITS) -> list[int]:
+    """For every choice of ``blocks - threshold`` blocks the bits it looks at."""
+    if not threshold < blocks <= bits:
+        raise ValueError("there must be more blocks than bits that may differ")
+    cuts = [0]
+    for width in band_widths(blocks, bits):
+        cuts.append(cuts[-1] + width)
+    one = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+    return [sum(pick) for pick in combinations(one, blocks - threshold)]
+
+
+def blocks_for(n: int, threshold: int = C.PHASH_CROSS, bits: int = C.PHASH_BITS) -> int:
+    """The number of blocks at which ``n`` evenly spread hashes cost least: keys a hash, and candidates it meets."""
+
+    def cost(blocks: int) -> float:
+        keys, told = comb(blocks, threshold), min(m.bit_count() for m in block_masks(blocks, threshold, bits))
+        return keys + CANDIDATE_COST * keys * n / 2**told
+
+    return min(range(threshold + 1, threshold + 5), key=cost)
+
+
+def block_keys(c: Column, blocks: int, threshold: int = C.PHASH_CROSS) -> Column:
+    """Array with one key for each choice of blocks; different choices make different keys."""
+    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, threshold)]
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.xxhash64(c.bitwiseAND(m), m))
+
+
+def block_matches(probes: DataFrame, index: DataFrame, threshold: int = C.PHASH_CROSS, blocks: int | None = None) -> DataFrame:
+    """(code, other, distance): numbers of ``probes`` and of ``index``, both distinct, within ``threshold`` bits.
+
+    Keys are digests of the agreeing bits, so the distance is checked.  A key
+    that many hashes share is split by adaptive execution, on either side.
+    """
+    blocks = blocks or blocks_for(index.count(), threshold)
+    asked = probes.select("code", F.explode(block_keys(F.col("code"), blocks, threshold)).alias("key"))
+    stored = index.select(F.col("code").alias("other"), F.explode(block_keys(F.col("code"), blocks, threshold)).alias("key"))
+    distance = F.bit_count(F.col("code").bitwiseXOR(F.col("other")))
+    met = asked.join(stored, "key").where(distance <= threshold)
+    # a pair that agrees in several choices is one
+    return met.groupBy("code", "other").agg(F.first(distance).alias("distance"))
+
+
+def hash_pairs(hashes: DataFrame, threshold: int = C.PHASH_CROSS, blocks: int | None = None) -> DataFrame:
     """How many other distinct hashes lie within the threshold, and the nearest.
 
     One row per distinct hash that has a neighbour.
     """
-    distinct = hashes.select("p_hash").distinct()
-    found = band_matches(distinct, distinct, threshold, bands).where(F.col("p_hash") != F.col("other_hash"))
-    # a pair found in several bands is counted once
-    once = found.groupBy("p_hash", "other_hash").agg(F.min("distance").alias("distance"))
-    return once.groupBy("p_hash").agg(
-        F.count("*").alias("n_neighbours"),
-        F.min("distance").alias("least_distance"),
-        F.min_by("other_hash", F.struct("distance", "other_hash")).alias("nearest_hash"),
+    distinct = hashes.select("p_hash").distinct().select(code(F.col("p_hash")).alias("code"))
+    found = block_matches(distinct, distinct, threshold, blocks).where(F.col("code") != F.col("other"))
+    # bit strings sort as unsigned numbers
+    order = F.struct("distance", F.col("other") < 0, "other")
+    near = found.groupBy("code").agg(
+        F.count("*").alias("n_neighbours"), F.min("distance").alias("least_distance"), F.min_by("other", order).alias("nearest")
     )
+    text = lambda c: N.bit_text(F.shiftrightunsigned(c, 32), F.col(c).bitwiseAND(0xFFFFFFFF))
+    return near.select(text("code").alias("p_hash"), "n_neighbours", "least_distance", text("nearest").alias("nearest_hash"))
 
 
-def near_duplicates(photos: DataFrame, runs: DataFrame | None = None, bands: int = 4) -> DataFrame:
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def near_duplicates(photos: DataFrame, runs: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
     """Flagged pictures: claim_id, file_id, tier, match_claim_id, match_file_id, distance.
 
     ``photos`` has claim_id, file_id, p_hash, created_at.  ``runs`` has claim_id
@@ -189,11 +247,12 @@ def near_duplicates(photos: DataFrame, runs: DataFrame | None = None, bands: int
     claim in the lowest tier that has one.
     """
     extra = ["seq"] if "seq" in photos.columns else []
-    photos = photos.select("claim_id", "file_id", *extra, "p_hash", "created_at")
-    index = _earliest_claims(photos.withColumn("hash", F.col("p_hash")), "p_hash")
+    # read by every tier, so written once
+    photos = stored(photos.select("claim_id", "file_id", *extra, code(F.col("p_hash")).alias("code"), "created_at"), "photo-codes")
+    index = stored(_earliest_claims(photos.withColumn("hash", F.col("code")), "code"), "photo-index")
 
     # the question is the same for all files of a claim that share a hash
-    asked = photos.groupBy("p_hash", "claim_id").agg(F.lit(1).alias("_one")).drop("_one")
+    asked = photos.select("code", "claim_id").distinct()
     if runs is None:
         asked = asked.withColumn("run_at", F.lit(None).cast("timestamp"))
     else:
@@ -203,61 +262,60 @@ def near_duplicates(photos: DataFrame, runs: DataFrame | None = None, bands: int
         return _known(_other(F.col("claim_id"), F.col("e1"), F.col("e2")), F.col("run_at"))
 
     # tier 0: equal hashes
-    first = asked.join(index.where(F.col("e2").isNotNull()), "p_hash", "left").withColumn("hit", entry()).drop("e1", "e2")
-    settled0 = first.where(F.col("hit").isNotNull()).select("claim_id", "p_hash", F.lit(0).alias("tier"), "hit")
+    first = asked.join(index.where(F.col("e2").isNotNull()), "code", "left").withColumn("hit", entry()).drop("e1", "e2")
+    first = stored(first, "photo-equal")
+    settled0 = first.where(F.col("hit").isNotNull()).select("claim_id", "code", F.lit(0).alias("tier"), "hit")
     open0 = first.where(F.col("hit").isNull()).drop("hit")
 
     # tier 1: equal but for one chunk of at most six bits
-    pieces = chunks(C.PHASH_CROSS)
-    blanked = F.array(
-        *[
-            F.concat(
-                F.substring("p_hash", 1, start), F.repeat(F.lit("x"), length), F.substring("p_hash", start + length + 1, 64)
-            )
-            for start, length in pieces
-        ]
-    )
+    rest = [(1 << C.PHASH_BITS) - 1 - (((1 << length) - 1) << (C.PHASH_BITS - start - length)) for start, length in chunks(C.PHASH_CROSS)]
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in rest])
+    # bits outside the chunk; the chunk itself says which one it is
+    blanked = F.explode(F.transform(masks, lambda m: F.struct(m.alias("mask"), F.col("code").bitwiseAND(m).alias("bits")))).alias("masked")
+    keys = index.select("code", blanked).select("code", "masked.mask", "masked.bits")
+    # few groups have more than one hash, and only their members' claims are looked at
+    shared = keys.groupBy("mask", "bits").agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    members = stored(keys.join(shared, ["mask", "bits"]).withColumn("masked", F.struct("mask", "bits")).select("code", "masked"), "photo-groups")
     # the two earliest claims of a hash are enough, so a crowd sends two rows per hash
-    members = (
-        index.select("p_hash", F.explode(F.array_compact(F.array("e1", "e2"))).alias("e"))
-        .select("p_hash", "e.*")
-        .withColumn("masked", F.explode(blanked))
+    claims = (
+        members.join(index, "code")
+        .select("masked", F.explode(F.array_compact(F.array("e1", "e2"))).alias("e"))
+        .select("masked", "e.*")
     )
-    groups = _earliest_claims(members, "masked").where(F.col("e2").isNotNull())
-    second = (
-        open0.withColumn("masked", F.explode(blanked))
-        .join(groups, "masked", "left")
-        .withColumn("hit", entry())
-        .groupBy("claim_id", "p_hash", "run_at")
-        .agg(F.min("hit").alias("hit1"))
-    )
-
-    # tier 2: the band join, for hashes that are still open
-    probes = second.where(F.col("hit1").isNull()).select("p_hash").distinct()
-    found = band_matches(probes, index, C.PHASH_CROSS, bands).where(F.col("p_hash") != F.col("other_hash"))
+    groups = _earliest_claims(claims, "masked").where(F.col("e2").isNotNull())
+    # a hash has one group for each chunk at most
+    near = members.join(groups, "masked").groupBy("code").agg(F.collect_list(F.struct("e1", "e2")).alias("groups"))
+    hits = F.transform("groups", lambda g: _known(_other(F.col("claim_id"), g["e1"], g["e2"]), F.col("run_at")))
+    second = open0.join(near, "code", "left").select("claim_id", "code", "run_at", F.array_min(hits).alias("hit1"))
+    second = stored(second, "photo-chunks")
+
+    # tier 2: block combinations, for hashes that are still open
+    probes = second.where(F.col("hit1").isNull()).select("code").distinct()
+    found = block_matches(probes, index, C.PHASH_CROSS, blocks).where(F.col("code") != F.col("other"))
     # two claims per probe are enough to leave out one's own
     entries = (
-        found.select("p_hash", F.explode(F.array_compact(F.array("e1", "e2"))).alias("e"))
-        .groupBy("p_hash", F.col("e.claim_id").alias("claim_id"))
+        found.join(index.select(F.col("code").alias("other"), "e1", "e2"), "other")
+        .select("code", F.explode(F.array_compact(F.array("e1", "e2"))).alias("e"))
+        .groupBy("code", F.col("e.claim_id").alias("claim_id"))
         .agg(F.min("e").alias("e"))
     )
     pair = (
-        first_per_key(entries, ["p_hash"], [F.col("e")], 2)
-        .groupBy("p_hash")
+        first_per_key(entries, ["code"], [F.col("e")], 2)
+        .groupBy("code")
         .agg(
             F.max(F.when(F.col("rn") == 1, F.col("e"))).alias("e1"),
             F.max(F.when(F.col("rn") == 2, F.col("e"))).alias("e2"),
         )
     )
-    third = second.join(pair, "p_hash", "left").withColumn("hit2", F.when(F.col("hit1").isNull(), entry()))
+    third = second.join(pair, "code", "left").withColumn("hit2", F.when(F.col("hit1").isNull(), entry()))
     settled = third.select(
         "claim_id",
-        "p_hash",
+        "code",
         F.when(F.col("hit1").isNotNull(), 1).otherwise(2).alias("tier"),
         F.coalesce("hit1", "hit2").alias("hit"),
     ).where(F.col("hit").isNotNull())
 
-    flagged = photos.join(settled0.unionByName(settled), ["claim_id", "p_hash"])
+    flagged = photos.join(settled0.unionByName(settled), ["claim_id", "code"])
     return flagged.select(
         "claim_id",
         "file_id",
@@ -265,7 +323,7 @@ def near_duplicates(photos: DataFrame, runs: DataFrame | None = None, bands: int
         "tier",
         F.col("hit.claim_id").alias("match_claim_id"),
         F.col("hit.file_id").alias("match_file_id"),
-        N.hamming(F.col("p_hash"), F.col("hit.hash")).alias("distance"),
+        F.bit_count(F.col("code").bitwiseXOR(F.col("hit.hash"))).alias("distance"),
     )
 
 

@@ -65,6 +65,36 @@ def test_band_join_loses_nothing(spark, threshold, bands):
     assert {tuple(r) for r in found} == expected
 
 
+@pytest.mark.parametrize("threshold, blocks", [(2, 3), (4, 6), (6, 7), (6, 8), (6, 9), (6, 10)])
+def test_block_combinations_lose_nothing(spark, threshold, blocks):
+    rows = crowd(threshold * 10 + blocks, n_copies=60)
+    hashes = sorted({r[2] for r in rows} | {"0" * 64, "1" * 64, "1" + "0" * 63})
+    df = spark.createDataFrame([(h,) for h in hashes], "p_hash string").select(ND.code(F.col("p_hash")).alias("code"))
+    found = {tuple(r) for r in ND.block_matches(df, df, threshold, blocks).collect()}
+    number = {h: int(h, 2) - (1 << 64 if h[0] == "1" else 0) for h in hashes}
+    assert found == {(number[a], number[b], distance(a, b)) for a in hashes for b in hashes if distance(a, b) <= threshold}
+
+
+def test_more_hashes_take_more_blocks():
+    picked = [ND.blocks_for(10**e) for e in range(2, 11)]
+    assert picked == sorted(picked) and picked[0] == 7 and picked[-1] == 10
+    # candidates a hash meets: 68 probes of bands of 16 bits met n / 964
+    for n, at_most in ((10**6, 430), (10**7, 410), (10**8, 500)):
+        assert sum(n / 2 ** m.bit_count() for m in ND.block_masks(ND.blocks_for(n), 6)) < at_most < n / 964
+
+
+@pytest.mark.parametrize("blocks", [7, 9])
+def test_neighbour_counts_equal_brute_force(spark, blocks):
+    hashes = sorted({r[2] for r in crowd(5, n_copies=60)})
+    found = ND.hash_pairs(spark.createDataFrame([(h,) for h in hashes], "p_hash string"), blocks=blocks).collect()
+    want = []
+    for a in hashes:
+        near = sorted((distance(a, b), b) for b in hashes if b != a and distance(a, b) <= 6)
+        if near:
+            want.append((a, len(near), near[0][0], near[0][1]))
+    assert sorted(map(tuple, found)) == want
+
+
 def test_null_and_short_hashes_never_match(spark):
     evidence = spark.createDataFrame(
         [("A", "1", 1, "photo", None), ("B", "2", 1, "photo", "01"), ("C", "3", 1, "photo", "01"), ("D", "4", 1, "bill", "0" * 64)],
