@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallygrain import constants as C
-from tallygrain.functions.digest import Digest, sha2_digest, state_hash
+from tallygrain.functions.digest import Digest, packed, sha2_digest, state_hash
 from tallygrain.operators.guard import may_reopen, payout_code, walk_requests
 from tallygrain.operators.memory import human_label
 from tallygrain.operators.merkle import merkle_roots
+from tallygrain.operators.spread import dense_sequence
 
 KEPT_ON_UPDATE = ["submitted_at", "assigned_to"]
+PLACES = 256  # file numbers that are sorted together
 
 
 def newest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -78,16 +80,17 @@ def distinct_audit(records: DataFrame) -> DataFrame:
 def claim_digests(evidence: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
     """One commitment over all file and picture hashes of each claim, in evidence order.
 
-    It is the Merkle root of ``digest(place | file | picture)`` of each file, so
-    it binds every file and its place, and no group holds more than one fan of
-    nodes.
+    It is the Merkle root of a digest of each file: its number, name, content and
+    picture with their lengths, a missing one told from every other.  So it binds
+    every file and its place, and no group holds more than one fan of nodes.
+    Places are counted in stretches of PLACES numbers, so that one claim's files
+    need not meet in one task.
     """
-    entry = digest(
-        F.concat_ws("|", F.col("seq").cast("string"), "file_id", "sha256", F.when(F.col("p_hash").isNotNull(), digest(F.col("p_hash"))))
-    )
-    place = F.row_number().over(W.partitionBy("claim_id").orderBy("seq", "file_id", "record_hash")) - 1
-    files = evidence.select("claim_id", "seq", "file_id", entry.alias("record_hash")).withColumn("seq", place.cast("long"))
-    return merkle_roots(files, digest).select("claim_id", F.col("leaves").alias("n_files"), F.col("root").alias("evidence_digest"))
+    entry = digest(packed(F.col("seq"), F.col("file_id"), F.col("sha256"), digest(F.col("p_hash"))))
+    files = evidence.select("claim_id", F.col("seq").alias("number"), "file_id", entry.alias("record_hash"))
+    stretch = F.coalesce(F.floor(F.col("number") / PLACES), F.lit(-(2**62)))
+    files = dense_sequence(files, "claim_id", stretch, [F.col("number"), F.col("file_id"), F.col("record_hash")])
+    return merkle_roots(files, digest, counted=evidence).select("claim_id", F.col("leaves").alias("n_files"), F.col("root").alias("evidence_digest"))
 
 
 def claim_states(claims: DataFrame, digests: DataFrame, sealed_at: Column, run: Column | None = None) -> DataFrame:

@@ -82,10 +82,14 @@ def _leaves(trail: DataFrame, digest: Digest) -> DataFrame:
     )
 
 
-def merkle_roots(trail: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
-    """claim_id, leaves, root; ``seq`` must number each claim 0, 1, 2, ..."""
+def merkle_roots(trail: DataFrame, digest: Digest = sha2_digest, counted: DataFrame | None = None) -> DataFrame:
+    """claim_id, leaves, root; ``seq`` must number each claim 0, 1, 2, ...
+
+    ``counted`` may be the same records before they were sealed: the longest
+    trail is then counted there, without sealing twice.
+    """
     chunks = None
-    for _, chunks in _rounds(_leaves(trail, digest).drop("leaf"), digest, rounds_for(trail)):
+    for _, chunks in _rounds(_leaves(trail, digest).drop("leaf"), digest, rounds_for(trail if counted is None else counted)):
         pass
     return chunks.select(
         "claim_id", F.col("n").alias("leaves"), F.get(F.element_at("levels", -1), F.lit(0)).alias("root")
@@ -99,10 +103,10 @@ def roots_of(claim_ids: DataFrame, trail: DataFrame, digest: Digest = sha2_diges
     )
 
 
-def merkle_proofs(trail: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
-    """One row per record: claim_id, leaf_index, leaf, siblings, root."""
+def merkle_proofs(trail: DataFrame, digest: Digest = sha2_digest, counted: DataFrame | None = None) -> DataFrame:
+    """One row per record: claim_id, leaf_index, leaf, siblings, root; ``counted`` as for the roots."""
     leaves = _leaves(trail, digest)
-    paths, roots, rounds = [], None, rounds_for(trail)
+    paths, roots, rounds = [], None, rounds_for(trail if counted is None else counted)
     for _, chunks in _rounds(leaves.drop("leaf"), digest, rounds):
         levels, steps = F.col("levels"), F.col("steps")
 

@@ -36,8 +36,6 @@ from tallygrain.streaming import jobs as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-# the benchmark tables remember a few hundred vectors; with this cap per label it binds at every size
-SMALL_MEMORY = 40
 
 
 def _now() -> Column:
@@ -306,7 +304,7 @@ def jn5_nearest_district(spark, d):
 
 @query
 def jn6_knn_vote(spark, d):
-    votes = VE.knn_votes(V.query_vectors(spark, d), V.memory(spark, d), per_label=SMALL_MEMORY)
+    votes = VE.knn_votes(V.query_vectors(spark, d), V.memory(spark, d))
     best = F.get("matches", F.lit(0))
     return votes.select(
         "claim_id", _long("fraud_score").alias("fraud_score"), _long("knn").alias("knn"),
@@ -335,7 +333,7 @@ def jn8_str5_identity(spark, d):
 
 
 def _similar(spark, d) -> DataFrame:
-    return VE.similar_rows(VE.knn_votes(V.query_vectors(spark, d), V.memory(spark, d), per_label=SMALL_MEMORY))
+    return VE.similar_rows(VE.knn_votes(V.query_vectors(spark, d), V.memory(spark, d)))
 
 
 @query
@@ -459,12 +457,12 @@ def agg12_audit_dedup(spark, d):
 
 @query
 def agg13_merkle_roots(spark, d):
-    return MK.merkle_roots(_sealed(spark, d))
+    return MK.merkle_roots(_sealed(spark, d), counted=V.trail_input(spark, d))
 
 
 @query
 def agg14_agg15_merkle_proofs(spark, d):
-    proofs = MK.merkle_proofs(_sealed(spark, d))
+    proofs = MK.merkle_proofs(_sealed(spark, d), counted=V.trail_input(spark, d))
     return proofs.select(
         "claim_id", "leaf_index", "leaf", F.size("siblings").alias("path_length"), "root",
         MK.proof_holds(F.col("leaf"), F.col("siblings"), F.col("root")).alias("verifies"),
@@ -526,7 +524,7 @@ def win3_chain_head(spark, d):
 
 @query
 def win4_memory_cap(spark, d):
-    return ME.cap_memory(V.memory(spark, d), 100).select("claim_id", "label")
+    return ME.cap_memory(V.memory(spark, d)).select("claim_id", "label")
 
 
 @query

@@ -159,7 +159,7 @@ seen AS (
   SELECT * FROM (
     SELECT a.claim_id AS asked_by, a.file_id, a.vec AS avec, m.claim_id, m.label, m.vec, m.seq, row_number() OVER (PARTITION BY a.file_id, m.label ORDER BY m.seq DESC) AS age
     FROM asked a JOIN memory m ON m.seq < a.vec_id)
-  WHERE age <= 40
+  WHERE age <= 500
 ),
 near AS (
   SELECT * FROM (
@@ -431,7 +431,7 @@ _add("win1_trail_verification", """SELECT c.id AS claim_id, coalesce(n, 0) AS re
   NOT coalesce(c.id LIKE '%7' AND n > 3, false) AS valid FROM claims c LEFT JOIN (SELECT claim_id, count(*) AS n FROM trail GROUP BY 1) t ON t.claim_id = c.id""")
 _add("win2_trail_sealing", "SELECT claim_id, seq, prev_record_hash, record_hash FROM sealed")
 _add("win3_chain_head", "SELECT claim_id, arg_max(status, seq) AS status, arg_max(state_hash, seq) AS state_hash FROM trail GROUP BY 1")
-_add("win4_memory_cap", "SELECT claim_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS r FROM memory) WHERE r <= 100")
+_add("win4_memory_cap", "SELECT claim_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS r FROM memory) WHERE r <= 500")
 _add("win5_memory_upsert", """, fresh AS (
   SELECT *, rank() OVER (PARTITION BY claim_id ORDER BY batch DESC) AS r FROM (
     SELECT 'CLM-' || CAST(floor(vec_id / 4.0 + 0.5) AS BIGINT) AS claim_id, file_id, vec_id AS batch FROM asked)
@@ -461,7 +461,8 @@ _add("set2_st6_addendum", f"""SELECT claim_id, count(*) AS n, 'SUBMITTED' AS sta
   FROM evidence WHERE claim_id IN (SELECT id FROM claims WHERE status NOT IN ('PAID', 'HUMAN_REJECTED')) GROUP BY 1""")
 _add("set4_evidence_digests", f""", files AS (
   SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY seq, file_id) - 1 AS idx,
-    '0x' || sha256(concat_ws('|', seq, file_id, sha256, CASE WHEN p_hash IS NOT NULL THEN '0x' || sha256(p_hash) END)) AS h FROM evidence
+    '0x' || sha256(coalesce(length(CAST(seq AS VARCHAR)) || ':' || seq, '-') || coalesce(length(file_id) || ':' || file_id, '-')
+      || coalesce(length(sha256) || ':' || sha256, '-') || coalesce('66:0x' || sha256(p_hash), '-')) AS h FROM evidence
 ), tree AS (
   SELECT claim_id, 0 AS lvl, idx, '0x' || sha256('0x' || sha256(h)) AS h, count(*) OVER (PARTITION BY claim_id) AS n FROM files
   UNION ALL

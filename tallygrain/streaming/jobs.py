@@ -28,6 +28,12 @@ from tallygrain.schemas import RUNS
 from tallygrain.session import work_dir
 
 
+RETRIES = 2  # of a micro-batch that failed for reasons which no claim causes
+# signs of such reasons in an error's text: storage, missing tables and files, lost executors
+ENVIRONMENT = (
+    "No space left on device", "FileNotFoundException", "FAILED_READ_FILE", "PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "ExecutorLostFailure",
+    "OutOfMemoryError", "SparkContext was shut down", "Connection refused", "java.io.IOException",
+)
 REMEMBERED = 10_000  # rows of a claim whose replay is recognised
 
 
@@ -163,17 +169,19 @@ def velocity(requests: DataFrame, source: str, ts: str, seconds: int = 60, late:
 
 
 def too_fast(
-    requests: DataFrame, source: str, ts: str, limit: int = C.INTAKES_PER_MINUTE, seconds: int = 60, late: str | None = None
+    requests: DataFrame, source: str, ts: str, limit: int = C.INTAKES_PER_MINUTE, seconds: int = 60, late: str | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Windows over the limit, those that are still open as well.
 
     Each micro-batch writes its counts, and a window's counts are summed over all
     of them, so rows count in whatever order they come.  With ``late`` the counts
     are those of ``velocity``, which keeps less and loses rows that come later;
-    the last count of a window holds.
+    the last count of a window holds.  A job that gives ``folder`` again goes on
+    where it stopped.
     """
     spark = requests.sparkSession
-    folder = work_dir(spark, "velocity")
+    folder = folder or work_dir(spark, "velocity")
     counts = velocity(requests, source, ts, seconds, late) if late else _per_window(requests, source, ts, seconds)
 
     def save(batch: DataFrame, epoch: int) -> None:
@@ -235,21 +243,29 @@ def verify_on_intake(
     """Verify each micro-batch of new claims.
 
     ``tables`` may be a function; it is called for every micro-batch, so that
-    files, memory and policies that came since are seen.  A batch that fails is
-    halved, whatever its size, until the claims that fail stand alone; they are
-    noted and the stream goes on.  Returns the runs and the claims that failed.
+    files, memory and policies that came since are seen.  A batch that fails for
+    want of disk, tables or executors is tried again, and if that does not help
+    the stream stops with the error and later starts at this batch; no claim is
+    to blame.  Any other batch that fails is halved, whatever its size, until the
+    claims that fail stand alone; they are noted and the stream goes on.  Returns
+    the runs and the claims that failed.
     """
     spark = intake.sparkSession
     folder = folder or work_dir(spark, "intake")
     shape = RUNS
     failed_schema = T.StructType([T.StructField("claim_id", T.StringType()), T.StructField("error", T.StringType())])
 
-    def attempt(part: DataFrame, epoch: int, name: str) -> None:
+    def attempt(part: DataFrame, epoch: int, name: str, retries: int = RETRIES) -> None:
         at = f"epoch={epoch}/part={name}"
         try:
             now = tables() if callable(tables) else tables
             verify_claims(now.only(part)).select(*shape.names).write.mode("overwrite").parquet(f"{folder}/runs/{at}")
-        except Exception as error:  # noqa: BLE001 - intake must not stop
+        except Exception as error:  # noqa: BLE001 - intake must not stop for one claim
+            if any(sign in f"{type(error).__name__}: {error}" for sign in ENVIRONMENT):
+                if not retries:
+                    raise
+                attempt(part, epoch, name, retries - 1)
+                return
             if part.select("id").distinct().limit(2).count() > 1:
                 # other hash bits at each level, so that any two claims part
                 side = F.pmod(F.xxhash64("id", F.lit(len(name))), F.lit(2))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallygrain.operators import memory as ME, trail as TR
@@ -134,6 +135,43 @@ def test_one_bad_claim_does_not_take_its_batch_along(spark, tmp_path, monkeypatc
     assert [(r.claim_id, "bad claim" in r.error) for r in failed.collect()] == [("C4", True)] and called
 
 
+def test_a_full_disk_is_no_bad_claim(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(f"C{i}",) for i in range(5)], "id string")
+    write_parts(df, str(tmp_path), ["id <> ''"])
+    calls = []
+
+    class Tables:
+        def only(self, batch):
+            return batch
+
+    def verify(batch):
+        calls.append(1)
+        if len(calls) <= broken:
+            raise OSError("No space left on device")
+        return batch.select(*[(F.col("id") if f.name == "claim_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in ST.RUNS.fields])
+
+    monkeypatch.setattr(ST, "verify_claims", verify)
+    intake = lambda: ST.read_files(spark, f"{tmp_path}/in", df.schema, 1)
+    broken = 99
+    with pytest.raises(Exception, match="No space left"):
+        ST.verify_on_intake(intake(), Tables(), str(tmp_path / "out"))
+    assert len(calls) == 1 + ST.RETRIES  # the batch is neither halved nor noted
+    # the same job goes on at the batch where it stopped, and a second try is enough
+    calls.clear()
+    broken = 1
+    runs, failed = ST.verify_on_intake(intake(), Tables(), str(tmp_path / "out"))
+    assert {r.claim_id for r in runs.collect()} == {f"C{i}" for i in range(5)} and failed.count() == 0 and len(calls) == 2
+
+
+def test_velocity_goes_on_where_it_stopped(spark, tmp_path):
+    df = spark.createDataFrame([("s1", i) for i in range(9)], "source string, t long").select("source", F.timestamp_seconds("t").alias("ts"))
+    run = lambda: ST.too_fast(ST.read_files(spark, f"{tmp_path}/in", df.schema, 1), "source", "ts", limit=3, folder=str(tmp_path / "out"))
+    write_parts(df, str(tmp_path), ["unix_seconds(ts) < 4"])
+    assert [(r.source, r.n) for r in run().collect()] == [("s1", 4)]
+    write_parts(df, str(tmp_path), ["unix_seconds(ts) >= 4"])
+    assert [(r.source, r.n) for r in run().collect()] == [("s1", 9)]
+
+
 def test_velocity_counts_files_in_any_order_of_time(spark, tmp_path):
     rows = [("s1", i) for i in range(6)] + [("s2", 90_000 + i) for i in range(12)] + [("s1", 20 + i) for i in range(6)]
     df = spark.createDataFrame(rows, "source string, t long").select("source", F.timestamp_seconds("t").alias("ts"))

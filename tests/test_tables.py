@@ -130,3 +130,17 @@ def test_second_payment_and_contrary_decision_are_refused(spark):
     got = MT.human_decisions(claims, spark.createDataFrame(steps, "claim_id string, requested string, note string, reviewer string, ts timestamp")).orderBy("ts").collect()
     assert [r.current for r in got][:2] == ["AI_FLAGGED", "HUMAN_APPROVED"] and got[0].code == "OK"
     assert sum(r.label is not None for r in got) == sum(r.code == "OK" for r in got)
+
+
+def test_evidence_digest_tells_missing_fields_and_separators_apart(spark):
+    schema = "claim_id string, seq long, file_id string, sha256 string, p_hash string"
+    from tallygrain.functions.digest import sha2_digest
+
+    bits = "01" * 32
+    hashed = spark.range(1).select(sha2_digest(F.lit(bits)).alias("h")).first()["h"]
+    rows = [("A", 1, "f", "x", None), ("B", 1, "f", None, bits), ("C", 1, "f", hashed, None), ("D", 1, "f|x", "y", None), ("E", 1, "f", "x|y", None)]
+    # the same files in another order of rows, and places beyond one stretch
+    rows += [("F", i, f"f{i}", "x", None) for i in range(600)] + [("G", i, f"f{i}", "x", None) for i in reversed(range(600))] + [("H", None, "f", "x", None)]
+    found = {r["claim_id"]: r for r in MT.claim_digests(spark.createDataFrame(rows, schema)).collect()}
+    assert len({found[c]["evidence_digest"] for c in "ABCDEFH"}) == 7
+    assert found["F"]["evidence_digest"] == found["G"]["evidence_digest"] and found["F"]["n_files"] == 600
