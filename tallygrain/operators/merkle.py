@@ -96,6 +96,92 @@ def merkle_roots(trail: DataFrame, digest: Digest = sha2_digest, counted: DataFr
     )
 
 
+# --- trees that grow by appending -------------------------------------------------
+
+LEVELS = 60  # slots of a frontier, more than any trail needs
+FRONTIER = "claim_id string, n long, frontier array<string>"
+
+
+def frontier_of(trail: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
+    """The state of a first batch: claim_id, n, and the root of the complete subtree of every level, if there is one."""
+    empty = trail.sparkSession.createDataFrame([], FRONTIER)
+    return append_leaves(empty, trail, digest)
+
+
+def append_leaves(state: DataFrame, batch: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
+    """The state after a batch (claim_id, seq, record_hash); a claim's seq goes on at its n.
+
+    Level by level the new nodes, with the stored root of that level before them
+    where there is one, are paired; one that is left over is the level's new
+    root.  Older records are not read.  Nodes of ten levels meet by
+    ``(claim, index div FAN)``, so a group never holds more than FAN.
+    """
+    counts = batch.groupBy("claim_id").agg(F.count("*").alias("m"))
+    sizes = state.join(counts, "claim_id", "full_outer").select(
+        "claim_id", F.coalesce("n", F.lit(0)).alias("n0"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n1"),
+        F.coalesce("frontier", F.array_repeat(F.lit(None).cast("string"), LEVELS)).alias("frontier"),
+    )
+    longest = sizes.agg(F.max("n1")).first()[0] or 1
+    rounds = max(1, -(-longest.bit_length() // FAN_BITS))
+    nodes = batch.select("claim_id", F.col("seq").alias("idx"), leaf_hash(F.col("record_hash"), digest).alias("hash"))
+    out = sizes
+    for k in range(rounds):
+        base = FAN_BITS * k
+        groups = nodes.groupBy("claim_id", F.shiftright("idx", FAN_BITS).alias("chunk")).agg(
+            F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("_m")
+        )
+        # the stored roots of these levels stand before the first new node
+        first = F.shiftright(F.shiftright("n0", base), FAN_BITS) == F.col("chunk")
+        groups = groups.join(sizes, "claim_id").select(
+            "claim_id", "chunk", F.transform("_m", lambda m: m["hash"]).alias("new"),
+            F.when(first, F.slice("frontier", base + 1, FAN_BITS)).otherwise(F.array_repeat(F.lit(None).cast("string"), FAN_BITS)).alias("old"),
+        )
+        folded = groups.withColumn("f", _folded(F.col("new"), F.col("old"), digest)).select("claim_id", "chunk", "f.*")
+        last = folded.groupBy("claim_id").agg(F.max_by("left", "chunk").alias(f"left{k}"))
+        out = out.join(last, "claim_id", "left")
+        nodes = folded.where(F.size("list") > 0).select("claim_id", F.col("chunk").alias("idx"), F.get("list", F.lit(0)).alias("hash"))
+    kept = [F.coalesce(F.col(f"left{k}"), F.slice("frontier", FAN_BITS * k + 1, FAN_BITS)) for k in range(rounds)]
+    rest = F.slice("frontier", FAN_BITS * rounds + 1, LEVELS - FAN_BITS * rounds)
+    return out.select("claim_id", F.col("n1").alias("n"), F.concat(*kept, rest).alias("frontier"))
+
+
+def _folded(new: Column, old: Column, digest: Digest) -> Column:
+    """Struct (list: nodes ten levels up, at most one; left: what each level keeps)."""
+    nothing = F.array().cast("array<string>")
+
+    def after(root: Column, nodes: Column) -> Column:
+        return F.when(root.isNotNull(), F.concat(F.array(root), nodes)).otherwise(nodes)
+
+    def step(acc: Column, j: Column) -> Column:
+        nodes = acc["list"]
+        half = F.floor(F.size(nodes) / 2).cast("int")
+        up = F.when(half > 0, F.transform(F.sequence(F.lit(1), half), lambda i: _pair(F.get(nodes, 2 * i - 2), F.get(nodes, 2 * i - 1), digest))).otherwise(nothing)
+        alone = F.when(F.size(nodes) % 2 == 1, F.element_at(nodes, -1))
+        return F.struct(after(F.get(old, j + 1), up).alias("list"), F.concat(acc["left"], F.array(alone)).alias("left"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(FAN_BITS - 1)), F.struct(after(F.get(old, F.lit(0)), new).alias("list"), nothing.alias("left")), step)
+
+
+def frontier_roots(state: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
+    """claim_id, leaves, root of a state; equal to ``merkle_roots`` over all its records.
+
+    From the lowest stored root upwards: a level without one pairs what has come
+    up with itself, as an odd last node is.
+    """
+    state = state.where(F.col("n") > 0)
+    top = _levels_above(F.col("n"))
+    low = F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda l: F.get("frontier", l).isNotNull())[0]
+
+    def step(h: Column, level: Column) -> Column:
+        root = F.get("frontier", level)
+        return F.when((level == F.col("low")) | root.isNull(), _pair(h, h, digest)).otherwise(_pair(root, h, digest))
+
+    climbed = F.aggregate(F.sequence(F.col("low"), F.col("top") - 1), F.get("frontier", F.col("low")), step)
+    return state.withColumns({"low": low, "top": top}).select(
+        "claim_id", F.col("n").alias("leaves"), F.when(F.col("top") > F.col("low"), climbed).otherwise(F.get("frontier", F.col("low"))).alias("root")
+    )
+
+
 def roots_of(claim_ids: DataFrame, trail: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
     """Roots for a list of claims; a claim without records has the zero hash."""
     return claim_ids.join(merkle_roots(trail, digest), "claim_id", "left").select(

@@ -115,6 +115,75 @@ def chain_breaks(trail: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
     )
 
 
+def checkpoints(trail: DataFrame, checked: DataFrame) -> DataFrame:
+    """(claim_id, mark, head): the last record of every claim that ``checked`` found intact."""
+    intact = checked.where("valid").select("claim_id")
+    heads = trail.groupBy("claim_id").agg(F.max("seq").alias("mark"), F.max_by("record_hash", "seq").alias("head"))
+    return heads.join(intact, "claim_id", "left_semi")
+
+
+def check_since(newer: DataFrame, marks: DataFrame, prefix: DataFrame | None = None, turn: int = 0, parts: int = 16, digest: Digest = sha2_digest) -> DataFrame:
+    """Chain check that goes on from checkpoints (claim_id, mark, head).
+
+    ``newer`` holds the records appended since, all of them; they are checked, the
+    first against the stored head.  A record at or below its claim's mark does not
+    belong there and breaks the chain.  ``prefix`` holds the older records: their
+    number and the record at the mark are compared with the checkpoint, and one
+    part in ``parts`` is checked again, another one at every ``turn``, so that
+    ``parts`` checks in a row cover the whole prefix.  Only these and the records
+    before them are shuffled.  A claim whose prefix lacks records that nothing
+    else names breaks where it ends.
+
+    Returns claim_id, records, break_at, valid and how many records were checked.
+    """
+    after = F.coalesce("mark", F.lit(-1))
+    rows = newer.join(marks, "claim_id", "left")
+    before = newer.select("claim_id", (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("_before"))
+    linked = rows.join(before, ["claim_id", "seq"], "left")
+    expected = record_hash(F.col("prev_record_hash"), payload_column(digest), digest)
+    whole = F.coalesce(expected == F.col("record_hash"), F.lit(False))
+    link = F.coalesce(F.col("prev_record_hash") == F.when(F.col("seq") == after + 1, F.coalesce("head", F.lit(C.ZERO_HASH))).otherwise(F.col("_before")), F.lit(False))
+    good = whole & link & (F.col("seq") > after)
+    found = linked.groupBy("claim_id").agg(
+        F.count("*").alias("n_new"), F.count("*").alias("checked"), F.min(F.when(~good, F.col("seq"))).alias("break_at")
+    )
+    out = marks.select("claim_id", "mark").join(found, "claim_id", "full_outer").select(
+        "claim_id", (after + 1 + F.coalesce("n_new", F.lit(0))).alias("records"), "break_at", F.coalesce("checked", F.lit(0)).alias("checked")
+    )
+    if prefix is not None:
+        again = _checked_again(prefix, marks, turn % parts, parts, digest)
+        out = out.join(again, "claim_id", "left").select(
+            "claim_id", "records", F.least("break_at", "prefix_break").alias("break_at"), (F.col("checked") + F.coalesce("again", F.lit(0))).alias("checked")
+        )
+    return out.withColumn("valid", F.col("break_at").isNull())
+
+
+def _checked_again(prefix: DataFrame, marks: DataFrame, turn: int, parts: int, digest: Digest) -> DataFrame:
+    """(claim_id, again, prefix_break) for every checkpoint: one part of the records before it."""
+    def drawn(seq):
+        return F.pmod(F.xxhash64("claim_id", seq.cast("long")), F.lit(parts)) == turn
+
+    rows = prefix.join(marks, "claim_id")
+    seq = F.col("seq")
+    # what stands at the mark, and how many there are, costs no digest
+    last = rows.groupBy("claim_id").agg(
+        F.count("*").alias("n"), F.max("seq").alias("top"), F.first("mark").alias("mark"),
+        F.max(F.when(seq == F.col("mark"), F.col("record_hash") == F.col("head"))).alias("same"),
+    )
+    picked = rows.where(drawn(seq))
+    before = prefix.where(drawn(seq + 1)).select("claim_id", (seq + 1).alias("seq"), F.col("record_hash").alias("_before"))
+    linked = picked.join(before, ["claim_id", "seq"], "left")
+    expected = record_hash(F.col("prev_record_hash"), payload_column(digest), digest)
+    link = F.col("prev_record_hash") == F.when(seq == 0, F.lit(C.ZERO_HASH)).otherwise(F.col("_before"))
+    good = F.coalesce(expected == F.col("record_hash"), F.lit(False)) & F.coalesce(link, F.lit(False)) & (seq <= F.col("mark"))
+    bad = linked.groupBy("claim_id").agg(F.count("*").alias("again"), F.min(F.when(~good, seq)).alias("sampled_break"))
+    wrong = F.when(F.col("n").isNull(), 0).when(
+        (F.col("n") != F.col("mark") + 1) | (F.col("top") != F.col("mark")) | ~F.coalesce("same", F.lit(False)), F.col("mark")
+    )
+    all_marks = marks.select("claim_id").join(last, "claim_id", "left").join(bad, "claim_id", "left")
+    return all_marks.select("claim_id", F.coalesce("again", F.lit(0)).alias("again"), F.least("sampled_break", wrong).alias("prefix_break"))
+
+
 def verify_claims(claim_ids: DataFrame, trail: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
     """Chain check for a list of claims; a claim without records is valid."""
     checked = chain_breaks(trail, digest)

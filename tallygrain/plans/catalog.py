@@ -20,6 +20,7 @@ from tallygrain.operators import (
     memory as ME,
     merkle as MK,
     neardup as ND,
+    photoindex as PI,
     plots as PL,
     policy as PO,
     spread as SP,
@@ -273,6 +274,20 @@ def jn2_near_duplicates_as_of(spark, d):
     )
 
 
+@query
+def jn2_stored_index_as_of(spark, d):
+    """The index is filled by three batches; then every picture is looked up."""
+    runs = VP.with_run_time(V.claims(spark, d)).select(F.col("id").alias("claim_id"), "run_at")
+    photos = ND.photo_hashes(V.evidence(spark, d))
+    index = PI.PhotoIndex(spark, work_dir(spark, "photos"))
+    for epoch in range(3):
+        index.append(photos.where(F.pmod(F.xxhash64("claim_id"), F.lit(3)) == epoch), epoch)
+    return index.duplicates(photos, runs).select(
+        "claim_id", "file_id", _long("tier").alias("tier"), "match_claim_id", "match_file_id",
+        _long("distance").alias("distance"),
+    )
+
+
 @query
 def jn2_hash_neighbours(spark, d):
     out = ND.hash_pairs(V.hashes(spark, d))
@@ -460,6 +475,15 @@ def agg13_merkle_roots(spark, d):
     return MK.merkle_roots(_sealed(spark, d), counted=V.trail_input(spark, d))
 
 
+@query
+def agg13_merkle_frontier(spark, d):
+    """The trail comes in three batches; the state of the trees is stored between them."""
+    sealed = ND.stored(_sealed(spark, d).select("claim_id", "seq", "record_hash"), "sealed")
+    state = ND.stored(MK.frontier_of(sealed.where("seq < 2")), "frontier")
+    state = ND.stored(MK.append_leaves(state, sealed.where("seq BETWEEN 2 AND 6")), "frontier")
+    return MK.frontier_roots(MK.append_leaves(state, sealed.where("seq > 6")))
+
+
 @query
 def agg14_agg15_merkle_proofs(spark, d):
     proofs = MK.merkle_proofs(_sealed(spark, d), counted=V.trail_input(spark, d))
@@ -511,6 +535,20 @@ def win1_trail_verification(spark, d):
     return out.select("claim_id", "records", F.coalesce(_long("break_at"), F.lit(-1)).alias("break_at"), "valid")
 
 
+@query
+def win1_check_since(spark, d):
+    """The first three records of each claim were checked before; later ones and a part of these are now."""
+    trail = ND.stored(_tampered(spark, d), "trail")
+    old, new = trail.where("seq < 3"), trail.where("seq >= 3")
+    marks = ND.stored(TR.checkpoints(old, TR.chain_breaks(old)), "marks")
+    out = TR.check_since(new, marks, old)
+    ids = V.claims(spark, d).select(F.col("id").alias("claim_id"))
+    return ids.join(out, "claim_id", "left").select(
+        "claim_id", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce(_long("break_at"), F.lit(-1)).alias("break_at"),
+        F.coalesce("valid", F.lit(True)).alias("valid"),
+    )
+
+
 @query
 def win2_trail_sealing(spark, d):
     return _sealed(spark, d).select("claim_id", _long("seq").alias("seq"), "prev_record_hash", "record_hash")

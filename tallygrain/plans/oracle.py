@@ -348,6 +348,7 @@ _add("jn2_near_duplicates_as_of", f"""SELECT claim_id, file_id, tier, match_clai
     JOIN photo_hash b ON b.p_hash = a.other AND b.claim_id <> a.claim_id AND b.created_at <= a.run_at))
   WHERE rn = 1""".replace("photo_hash", f"""(SELECT e.*, coalesce(c.decided_at, c.submitted_at) AS run_at,
       {_B32.format(o=0)} AS hi, {_B32.format(o=32)} AS lo FROM evidence e JOIN claims c ON c.id = e.claim_id WHERE p_hash IS NOT NULL)"""))
+_add("jn2_stored_index_as_of", ORACLES["jn2_near_duplicates_as_of"][len(VIEWS):])
 _add("jn2_hash_neighbours", """SELECT p_hash, count(*) AS n_neighbours, min(dist) AS least_distance, arg_min(other, (dist, other)) AS nearest_hash FROM (
   SELECT a.p_hash, b.p_hash AS other, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS BIGINT) AS dist
   FROM (SELECT DISTINCT p_hash, hi, lo FROM halves) a, (SELECT DISTINCT p_hash, hi, lo FROM halves) b WHERE a.p_hash <> b.p_hash)
@@ -412,6 +413,7 @@ _add("agg13_merkle_roots", f""", tree AS (
   SELECT claim_id, lvl + 1, idx // 2, '0x' || sha256(h || h2), (n + 1) // 2 FROM (
     SELECT *, coalesce(lead(h) OVER (PARTITION BY claim_id ORDER BY idx), h) AS h2 FROM tree WHERE n > 1) WHERE idx % 2 = 0
 ) SELECT t.claim_id, c.leaves, t.h AS root FROM tree t JOIN (SELECT claim_id, count(*) AS leaves FROM sealed GROUP BY 1) c USING (claim_id) WHERE t.n = 1""")
+_add("agg13_merkle_frontier", ORACLES["agg13_merkle_roots"][len(VIEWS):])
 _add("agg16_destruction_ladder", f"""SELECT file_id, greatest(0, least(100, CAST(floor(sum(e * w) / sum(e) + 0.5) AS BIGINT))) AS destruction_pct,
   ({_list([r for r, _ in C.LADDER])})[arg_max(rung, s) + 1] AS rung FROM (
     SELECT file_id, rung, s, exp((s - min(s) OVER (PARTITION BY file_id)) * 12) AS e, ({[w for _, w in C.LADDER]})[rung + 1] AS w FROM rungs) GROUP BY 1""")
@@ -429,6 +431,7 @@ _add("agg19_integrity_report", """SELECT claim_id, NOT (claim_id LIKE '%7' AND c
 
 _add("win1_trail_verification", """SELECT c.id AS claim_id, coalesce(n, 0) AS records, CAST(CASE WHEN c.id LIKE '%7' AND n > 3 THEN 3 ELSE -1 END AS BIGINT) AS break_at,
   NOT coalesce(c.id LIKE '%7' AND n > 3, false) AS valid FROM claims c LEFT JOIN (SELECT claim_id, count(*) AS n FROM trail GROUP BY 1) t ON t.claim_id = c.id""")
+_add("win1_check_since", ORACLES["win1_trail_verification"][len(VIEWS):])
 _add("win2_trail_sealing", "SELECT claim_id, seq, prev_record_hash, record_hash FROM sealed")
 _add("win3_chain_head", "SELECT claim_id, arg_max(status, seq) AS status, arg_max(state_hash, seq) AS state_hash FROM trail GROUP BY 1")
 _add("win4_memory_cap", "SELECT claim_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS r FROM memory) WHERE r <= 500")

@@ -14,6 +14,7 @@ from tallygrain import constants as C
 from tallygrain.functions.digest import Digest, run_digest, sha2_digest
 from tallygrain.operators import documents as D, neardup, stages as S, vectors as V
 from tallygrain.operators.geo import geo_reasons
+from tallygrain.operators.photoindex import PhotoIndex
 from tallygrain.operators.policy import with_policy
 from tallygrain.operators.spread import first_per_key
 from tallygrain.session import work_dir
@@ -36,6 +37,8 @@ class ClaimTables:
     policies: DataFrame
     # all stored evidence, where ``evidence`` holds only that of the batch
     archive: DataFrame | None = None
+    # pictures stored by earlier batches and by this one, in place of ``archive``
+    index: PhotoIndex | None = None
 
     def only(self, claims: DataFrame) -> ClaimTables:
         """The same tables cut down to the files of some claims; pictures are
@@ -96,6 +99,8 @@ def image_signals(tables: ClaimTables, exclude_self: bool = True) -> tuple[DataF
 
 def duplicate_rows(tables: ClaimTables) -> DataFrame:
     runs = with_run_time(tables.claims).select(F.col("id").alias("claim_id"), "run_at")
+    if tables.index is not None:
+        return tables.index.duplicates(neardup.photo_hashes(tables.evidence), runs)
     return neardup.near_duplicates(
         neardup.photo_hashes(tables.evidence if tables.archive is None else tables.archive), runs
     )

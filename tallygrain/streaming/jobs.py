@@ -12,6 +12,7 @@ one task is bounded by the size of a micro-batch (``maxFilesPerTrigger``).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from typing import Any
 
 import numpy as np
@@ -20,8 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallygrain import constants as C
-from tallygrain.operators import kpi, maintain, memory as M
+from tallygrain.operators import kpi, maintain, memory as M, neardup
 from tallygrain.operators.guard import judge
+from tallygrain.operators.photoindex import PhotoIndex
 from tallygrain.operators.trail import payload_column, sealable, sha2_text
 from tallygrain.plans.verify import ClaimTables, verify_claims
 from tallygrain.schemas import RUNS
@@ -238,7 +240,10 @@ def live_kpi(claims: DataFrame, now: Column, folder: str | None = None) -> DataF
 # --- intake, late evidence, memory ---------------------------------------------
 
 def verify_on_intake(
-    intake: DataFrame, tables: ClaimTables | Callable[[], ClaimTables], folder: str | None = None
+    intake: DataFrame,
+    tables: ClaimTables | Callable[[], ClaimTables],
+    folder: str | None = None,
+    index: PhotoIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Verify each micro-batch of new claims.
 
@@ -249,6 +254,11 @@ def verify_on_intake(
     to blame.  Any other batch that fails is halved, whatever its size, until the
     claims that fail stand alone; they are noted and the stream goes on.  Returns
     the runs and the claims that failed.
+
+    With ``index`` the pictures of a batch are added to it first and then compared
+    with it alone, so a batch does not go through the whole archive; pictures that
+    are in it before the stream starts count as well.  Without it they are compared
+    with all stored evidence.
     """
     spark = intake.sparkSession
     folder = folder or work_dir(spark, "intake")
@@ -258,8 +268,10 @@ def verify_on_intake(
     def attempt(part: DataFrame, epoch: int, name: str, retries: int = RETRIES) -> None:
         at = f"epoch={epoch}/part={name}"
         try:
-            now = tables() if callable(tables) else tables
-            verify_claims(now.only(part)).select(*shape.names).write.mode("overwrite").parquet(f"{folder}/runs/{at}")
+            batch = (tables() if callable(tables) else tables).only(part)
+            if index is not None:
+                batch = replace(batch, index=index.until(epoch))
+            verify_claims(batch).select(*shape.names).write.mode("overwrite").parquet(f"{folder}/runs/{at}")
         except Exception as error:  # noqa: BLE001 - intake must not stop for one claim
             if any(sign in f"{type(error).__name__}: {error}" for sign in ENVIRONMENT):
                 if not retries:
@@ -276,10 +288,16 @@ def verify_on_intake(
             rows = part.select(F.col("id").alias("claim_id"), F.lit(note).alias("error"))
             rows.write.mode("overwrite").parquet(f"{folder}/failed/{at}")
 
+    def handle(batch: DataFrame, epoch: int) -> None:
+        if index is not None:
+            now = tables() if callable(tables) else tables
+            index.append(neardup.photo_hashes(now.only(batch).evidence), epoch)
+        attempt(batch, epoch, "b")
+
     # both folders exist from the start, so they can be read when empty
     spark.createDataFrame([], failed_schema).write.mode("overwrite").parquet(f"{folder}/failed/epoch=-1/part=b")
     spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{folder}/runs/epoch=-1/part=b")
-    drain_batches(intake, lambda batch, epoch: attempt(batch, epoch, "b"), folder)
+    drain_batches(intake, handle, folder)
     runs = spark.read.schema(shape).parquet(f"{folder}/runs").select(*shape.names)
     failed = spark.read.schema(failed_schema).parquet(f"{folder}/failed").select(*failed_schema.names)
     return runs, failed

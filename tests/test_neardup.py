@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallygrain.operators import neardup as ND
+from tallygrain.operators import neardup as ND, photoindex as PI
+from tallygrain.operators.photoindex import PhotoIndex
 
 
 def flip(bits, places):
@@ -114,3 +116,51 @@ def test_within_claim(spark):
 def test_probe_masks():
     assert len(ND.probe_masks(16, 1)) == 17 and len(ND.probe_masks(16, 2)) == 137
     assert sum(length for _, length in ND.chunks(6)) == 64 and max(length for _, length in ND.chunks(6)) == 6
+
+
+def index_rows(out):
+    return sorted(map(tuple, out.select("claim_id", "file_id", "tier", "match_claim_id", "match_file_id", "distance").collect()))
+
+
+@pytest.mark.parametrize("seed, as_of", [(1, True), (2, False)])
+def test_stored_index_equals_a_search_over_all(spark, tmp_path, seed, as_of):
+    rows = crowd(seed, n_copies=60)
+    photos = frame(spark, rows).cache()
+    part = F.pmod(F.xxhash64("claim_id"), F.lit(2))
+    run_at = {c: random.Random(c + str(seed)).randrange(50) for c in {r[0] for r in rows}}
+    runs = spark.createDataFrame(list(run_at.items()), "claim_id string, r int").select("claim_id", F.timestamp_seconds("r").alias("run_at"))
+    if not as_of:
+        runs = runs.withColumn("run_at", F.lit(None).cast("timestamp"))
+    index = PhotoIndex(spark, str(tmp_path / "index"), blocks=8, buckets=4)
+    for epoch in range(2):
+        batch = photos.where(part == epoch)
+        index.append(batch, epoch)
+        got = index_rows(index.duplicates(batch, runs))
+        assert got == index_rows(ND.near_duplicates(photos.where(part <= epoch), runs.join(batch.select("claim_id").distinct(), "claim_id"), blocks=8))
+    # a batch that is repeated changes nothing, and an earlier state can be asked again
+    first = photos.where(part == 0)
+    before = index_rows(index.until(0).duplicates(first, runs))
+    index.append(first, 0)
+    assert index_rows(index.until(0).duplicates(first, runs)) == before
+    assert index_rows(index.compacted(str(tmp_path / "new")).duplicates(photos, runs)) == index_rows(index.duplicates(photos, runs))
+
+
+def test_a_search_reads_the_buckets_of_its_keys_only(spark, tmp_path):
+    index = PhotoIndex(spark, str(tmp_path / "index"), blocks=7, buckets=512)
+    photos = frame(spark, [("A", "1", "01" * 32, 1), ("B", "2", "01" * 31 + "10", 2)])
+    index.append(photos, 0)
+    codes = photos.limit(1).select(ND.code(F.col("p_hash")).alias("code"))
+    asked = codes.select(F.explode(ND.block_keys(F.col("code"), 7)).alias("key")).withColumn("bucket", index._bucket("key"))
+    read = index._read("blocks", PI.BLOCKS, asked)
+    files = {Path(r[0]).parent.name for r in read.select(F.input_file_name()).distinct().collect()}
+    assert files and files <= {f"bucket={r.bucket}" for r in asked.collect()}
+    assert {r.claim_id for r in index._blocks_met(codes).collect()} <= {"A", "B"}
+
+
+def test_pictures_without_an_earlier_batch_and_empty_batches(spark, tmp_path):
+    index = PhotoIndex(spark, str(tmp_path / "index"), buckets=2)
+    none = frame(spark, [])
+    index.append(none, 0)
+    assert index_rows(index.duplicates(none)) == []
+    index.append(frame(spark, [("A", "1", "01" * 32, 1)]), 1)
+    assert index_rows(index.duplicates(frame(spark, [("B", "2", "01" * 32, 2)]))) == [("B", "2", 0, "A", "1", 0)]
