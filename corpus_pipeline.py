@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallygrain.llm import language, packing, repeats, simhash, templates
 from tallygrain.llm.shared import documents, quoted, saved, table
@@ -20,8 +20,15 @@ MOST_BITS = 7.0
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those that no language can code, go."""
-    found = language.identify(docs, language.fit(docs), docs.columns)
+    """Documents without letters, and those that no language can code, go.
+
+    Where no document names its language there is nothing to learn from, and all
+    documents with letters stay.
+    """
+    model = language.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.identify(docs, model, docs.columns)
     language_, _, bits = quoted(found.columns[len(docs.columns) :])
     return found.where((language_ != language.UNKNOWN) & (bits <= MOST_BITS)).select(*quoted(docs.columns))
 
