@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tallygrain.llm.shared import LETTER, crc_mod, fresh, quoted, raw_texts, tidy
 
 TRAIN_DOCS = 600  # texts per language that the trees are fitted on
-LANGUAGES = 256  # languages that get trees, the alphabetically first
+LANGUAGES = 256  # languages that get trees, those with most labelled texts
 SALTS = 64
-MAX_CONTEXTS = 12_000  # contexts of three bytes that are kept, the most frequent first
+MAX_CONTEXTS = 12_000  # contexts of three bytes that are kept, every language's most frequent in turn
+TABLE_BYTES = 256 << 20  # size of the frozen table; many languages or symbols leave room for fewer contexts
 ORDER = 3
 START = b"\n" * ORDER  # every text is read as if it followed line ends
 CHUNK = 1 << 20
@@ -54,18 +55,20 @@ def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCS) -> DataFrame:
     """A bounded sample (lang, text) of the rows whose remainder is not 1.
 
     The rows are chosen by short keys, ranked first within salted parts of a
-    language, so neither texts nor one language meet in a task.
+    language, so neither texts nor one language meet in a task.  Of more than
+    LANGUAGES labels those with most different texts are taken (ties: the
+    alphabetically first), so mistyped labels cannot push a language out.
     """
     rows = docs.select("doc_id", "lang", "text").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & (crc_mod("doc_id", 3) != 1)
     )
     rows = rows.withColumn("_h", F.xxhash64("doc_id", "text"))
     keys = rows.select("lang", "_h", (F.col("_h") % SALTS).alias("_salt")).distinct()
+    first = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
     for by in (["lang", "_salt"], ["lang"]):
         w = W.partitionBy(*by).orderBy("_h")
         keys = keys.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_language).drop("_rn")
     # at most per_language keys for each of LANGUAGES languages, so the broadcast is bounded
-    first = keys.select("lang").distinct().orderBy("lang").limit(LANGUAGES)
     chosen = keys.drop("_salt").join(F.broadcast(first), "lang", "left_semi")
     return rows.join(F.broadcast(chosen), ["lang", "_h"], "left_semi").select("lang", "text")
 
@@ -109,12 +112,11 @@ def freeze(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int
     letter[seen] = np.arange(1, len(seen) + 1)  # symbol 0: any byte never met
     a, (p, q, r, x), k = len(seen) + 1, [letter[v] for v in parts], len(languages)
 
-    # contexts by length; the longest are kept by frequency, and all of their suffixes with them
-    deep = (p * a + q) * a + r
-    keys, inverse = np.unique(deep, return_inverse=True)
-    weight = np.bincount(inverse, n)
-    keys = np.sort(keys[np.lexsort((keys, -weight))[:max_contexts]])
-    two = np.unique(q * a + r)
+    # contexts by length; the longer ones are kept by frequency in each language, and all of their suffixes with them
+    room = max(TABLE_BYTES // (4 * a * k) - a, 0)
+    deep, short = (p * a + q) * a + r, q * a + r
+    keys = _most_frequent(deep, which, n, min(max_contexts, room // 3))
+    two = _most_frequent(short, which, n, room // 3)
     two = np.union1d(two, keys % (a * a))
     base2, base3 = 1 + a, 1 + a + len(two)
     nodes = base3 + len(keys)
@@ -125,28 +127,47 @@ def freeze(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int
     triple[0] = np.arange(1, a + 1)
     triple[1 : 1 + a] = pair.reshape(a, a)
     triple[base2:] = pair.reshape(a, a)[two % a]
-    owner = np.searchsorted(two, keys // a)
-    right = two[np.minimum(owner, len(two) - 1)] == keys // a
+    owner, right = _places(two, keys // a)
     triple[base2 + owner[right], keys[right] % a] = base3 + np.flatnonzero(right)
     suffix = np.zeros(nodes, np.int64)
     suffix[base2:base3] = 1 + two % a
     suffix[base3:] = base2 + np.searchsorted(two, keys % (a * a))
 
     bits = np.empty((nodes, a, k), np.float32)
-    at3 = np.searchsorted(keys, deep)
-    kept = keys[np.minimum(at3, len(keys) - 1)] == deep
+    (at2, known), (at3, kept) = _places(two, short), _places(keys, deep)
     for j in range(k):
         own = which == j
         c = np.zeros((nodes, a), np.float64)
         np.add.at(c[0], x[own], n[own])
         np.add.at(c, (1 + r[own], x[own]), n[own])
-        np.add.at(c, (base2 + np.searchsorted(two, (q * a + r)[own]), x[own]), n[own])
+        both = own & known
+        np.add.at(c, (base2 + at2[both], x[both]), n[both])
         both = own & kept
         np.add.at(c, (base3 + at3[both], x[both]), n[both])
         bits[:, :, j] = _code_lengths(c, suffix)
     return Model(languages, letter, pair, triple.ravel(), bits.reshape(nodes * a, k))
 
 
+def _most_frequent(context: np.ndarray, which: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` contexts, sorted: every language's first, every language's second, and so on."""
+    pairs, inverse = np.unique(np.stack([which, context]), axis=1, return_inverse=True)
+    weight = np.bincount(inverse.ravel(), n)
+    order = np.lexsort((pairs[1], -weight, pairs[0]))
+    lang, own = pairs[0][order], pairs[1][order]
+    rank = np.arange(len(lang)) - np.searchsorted(lang, lang)
+    own = own[np.lexsort((lang, rank))]
+    _, first = np.unique(own, return_index=True)
+    return np.sort(own[np.sort(first)[:most]])
+
+
+def _places(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value stands in a sorted table, and whether it does."""
+    if not len(table):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at, table[at] == wanted
+
+
 def _code_lengths(c: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """Bits per (node, symbol): escape to the suffix node, whose seen symbols lose those ruled out before."""
     total = np.zeros(c.shape)

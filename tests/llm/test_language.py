@@ -87,3 +87,33 @@ def test_edges(spark):
     assert L.language_id(docs.limit(0)).collect() == []
     unlabelled = L.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
+
+
+def test_languages_with_most_texts_get_trees(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    rows = [(i, "zz", f"zed {i}") for i in range(30)] + [(100 + i, "yy", f"why {i}") for i in range(20)] + [(200 + i, f"a{i}", f"dirt {i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert L.fit(docs).languages == ["yy", "zz"]
+
+
+def test_every_language_keeps_contexts():
+    lang = np.array(["big"] * 50 + ["small"] * 5)
+    gram = np.concatenate([np.arange(50), 1000 + np.arange(5)])
+    n = np.array([1000] * 50 + [1] * 5)
+    kept = L._most_frequent(gram, np.searchsorted(["big", "small"], lang), n, 10)
+    assert len(kept) == 10 and sum(k >= 1000 for k in kept) == 5
+
+
+def test_a_small_table_still_gives_finite_lengths(monkeypatch):
+    model, rows = model_and_rows()
+    monkeypatch.setattr(L, "TABLE_BYTES", 4 * model.symbols * len(model.languages) * (model.symbols + 9))
+    grams = {}
+    for lang, t in rows:
+        s = L.START + t
+        for i in range(len(s) - 3):
+            g = int.from_bytes(s[i : i + 4], "big")
+            grams[lang, g] = grams.get((lang, g), 0) + 1
+    small = L.freeze(np.array([k[0] for k in grams]), np.array([k[1] for k in grams]), np.array([*grams.values()]))
+    bits = L.code_lengths(small, [b"abc de", b"gfed fed"])
+    assert small.bits.nbytes <= 2 * L.TABLE_BYTES and np.isfinite(bits).all()
+    assert bits[0].argmin() == 0 and bits[1].argmin() == 1

@@ -51,6 +51,11 @@ def test_stages_stand_edges(spark, folder):
         assert stage(spark, docs.limit(0), path).collect() == []
 
 
+def test_documents_stay_where_no_language_is_named(spark):
+    docs = spark.createDataFrame([(1, None, "some words"), (2, None, "слова"), (3, None, "12 34"), (4, None, None)], "doc_id long, lang string, text string")
+    assert {r.doc_id for r in P.language_stage(spark, docs, "").collect()} == {1, 2}
+
+
 def test_registered_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
