@@ -1,16 +1,21 @@
 """Fields of identity cards, land records, policy papers and bills.
 
 Every function takes a text column and returns one struct column, built from
-ordered ``coalesce`` chains of pattern extracts.
+ordered ``coalesce`` chains of pattern extracts.  A pattern runs only on texts
+that hold one of its anchor words (``patterns.ANCHORS``), which a byte search in
+the lower-cased text tells; digits are looked for once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 from tallygrain.functions import patterns as P
 from tallygrain.functions.numeric import half_up, round_to
-from tallygrain.functions.text import ascii_digits, flatten, let, none_if_empty, plain_blanks
+from tallygrain.functions.text import ascii_digits, flatten, is_hindi, let, none_if_empty, plain_blanks
 
 
 def _find(text: Column, pattern: str, group: int = 1) -> Column:
@@ -18,6 +23,29 @@ def _find(text: Column, pattern: str, group: int = 1) -> Column:
     return none_if_empty(F.trim(F.regexp_extract(text, pattern, group)))
 
 
+def _searched(texts: Column) -> Column:
+    """A struct with ``flat`` and what the anchors are looked for in."""
+    def more(t: Column) -> Column:
+        return F.struct(t.alias("t"), F.lower(t["flat"]).alias("low"), t["flat"].rlike("[0-9]").alias("digit"))
+
+    return let(texts, more)
+
+
+def _worth(s: Column, pattern: str) -> Column:
+    """Does a text hold an anchor of the pattern?"""
+    words = P.ANCHORS.get(pattern)
+    if words is None:
+        return F.lit(True)
+    if words is P.ANCHORS[P.CARD_DOB]:
+        return s["digit"]
+    return reduce(or_, [F.contains(s["low"], F.lit(w)) for w in words])
+
+
+def _seek(s: Column, pattern: str, text: str = "flat") -> Column:
+    """``_find`` in one of the texts, where it can find anything."""
+    return F.when(_worth(s, pattern), _find(s["t"][text], pattern))
+
+
 def _first_line(lines: Column, pattern: str) -> Column:
     line = F.get(F.filter(lines, lambda s: s.rlike(pattern)), F.lit(0))
     return _find(line, pattern)
@@ -46,18 +74,19 @@ def _has(name: str):
 
 
 def identity_card(text: Column) -> Column:
-    def fields(t: Column) -> Column:
-        raw, flat = t["raw"], t["flat"]
+    def fields(s: Column) -> Column:
+        raw, flat = s["t"]["raw"], s["t"]["flat"]
         # the full number never leaves this expression
         digits = F.regexp_replace(F.regexp_extract(flat, P.CARD_NUMBER, 1), "[^0-9xX]", "")
         return F.struct(
-            F.coalesce(_find(raw, P.CARD_LATIN_NAME), _find(flat, P.CARD_LABELLED_NAME)).alias("name"),
-            _find(raw, P.CARD_DEVA_NAME).alias("name_devanagari"),
-            F.coalesce(_find(flat, P.CARD_DOB), _find(flat, P.CARD_DOB_ISO)).alias("dob"),
+            F.coalesce(_seek(s, P.CARD_LATIN_NAME, "raw"), _seek(s, P.CARD_LABELLED_NAME)).alias("name"),
+            F.when(is_hindi(raw), _find(raw, P.CARD_DEVA_NAME)).alias("name_devanagari"),
+            F.coalesce(_seek(s, P.CARD_DOB), _seek(s, P.CARD_DOB_ISO)).alias("dob"),
             let(
                 digits, lambda d: F.when(F.length(d) >= 4, F.concat(F.lit("XXXX XXXX "), F.right(d, F.lit(4))))
             ).alias("aadhaar_masked"),
-            F.when(raw.rlike(P.CARD_FEMALE), F.lit("female")).when(raw.rlike(P.CARD_MALE), F.lit("male")).alias("gender"),
+            F.when(_worth(s, P.CARD_FEMALE) & raw.rlike(P.CARD_FEMALE), F.lit("female"))
+            .when(_worth(s, P.CARD_MALE) & raw.rlike(P.CARD_MALE), F.lit("male")).alias("gender"),
         )
 
     texts = let(
@@ -65,7 +94,7 @@ def identity_card(text: Column) -> Column:
         lambda t: F.struct(t.alias("raw"), F.regexp_replace(ascii_digits(t), r"\s+", " ").alias("flat")),
     )
     return _with_confidence(
-        let(texts, fields),
+        let(_searched(texts), fields),
         ["name", "name_devanagari", "dob", "aadhaar_masked", "gender"],
         [
             lambda f: f["name"].isNotNull() | f["name_devanagari"].isNotNull(),
@@ -76,14 +105,14 @@ def identity_card(text: Column) -> Column:
     )
 
 
-def _owner(flat: Column) -> Column:
+def _owner(s: Column) -> Column:
     """struct(name, relation) of the owner in a flattened land record."""
     def choose(buyer: Column) -> Column:
-        relative = F.when(buyer.isNull(), _find(flat, P.DEED_RELATION))
+        relative = F.when(buyer.isNull(), _seek(s, P.DEED_RELATION))
         return let(
             relative,
             lambda r: F.struct(
-                F.coalesce(buyer, r, _find(flat, P.DEED_LABELLED)).alias("name"),
+                F.coalesce(buyer, r, _seek(s, P.DEED_LABELLED)).alias("name"),
                 F.when(r.isNotNull(), F.lit("relative")).alias("relation"),
             ),
         )
@@ -92,33 +121,37 @@ def _owner(flat: Column) -> Column:
         junk = F.regexp_replace(o["name"], r"\s+", "").rlike(P.DEED_JUNK_OWNER)
         return F.struct(F.when(~junk, o["name"]).alias("name"), o["relation"].alias("relation"))
 
-    return let(let(_find(flat, P.DEED_BUYER), choose), clean)
+    return let(let(_seek(s, P.DEED_BUYER), choose), clean)
+
+
+def _flat(text: Column) -> Column:
+    return F.struct(flatten(ascii_digits(text)).alias("flat"))
 
 
 def land_record_owner(text: Column) -> Column:
-    return let(flatten(ascii_digits(text)), _owner)["name"]
+    return let(_searched(_flat(text)), _owner)["name"]
 
 
 def land_record(text: Column) -> Column:
-    def fields(flat: Column) -> Column:
+    def fields(s: Column) -> Column:
         return let(
-            _owner(flat),
+            _owner(s),
             lambda owner: F.struct(
                 owner["name"].alias("owner_name"),
                 owner["relation"].alias("owner_relation"),
-                F.coalesce(_find(flat, P.DEED_DISTRICT), _find(flat, P.DEED_DISTRICT_KNOWN)).alias("district"),
-                _find(flat, P.DEED_VILLAGE).alias("village"),
-                _find(flat, P.DEED_TYPE).alias("deed_type"),
-                F.coalesce(_find(flat, P.DEED_DATE_WORDS), _find(flat, P.DEED_DATE_DIGITS)).alias("execution_date"),
-                _number(F.coalesce(_find(flat, P.DEED_AMOUNT), _find(flat, P.DEED_AMOUNT_SLASH))).alias("area_value"),
-                _find(flat, P.DEED_KHASRA).alias("khasra_no"),
-                _find(flat, P.DEED_AREA).alias("area_hectares"),
-                _find(flat, P.DEED_STATE).alias("state"),
+                F.coalesce(_seek(s, P.DEED_DISTRICT), _seek(s, P.DEED_DISTRICT_KNOWN)).alias("district"),
+                _seek(s, P.DEED_VILLAGE).alias("village"),
+                _seek(s, P.DEED_TYPE).alias("deed_type"),
+                F.coalesce(_seek(s, P.DEED_DATE_WORDS), _seek(s, P.DEED_DATE_DIGITS)).alias("execution_date"),
+                _number(F.coalesce(_seek(s, P.DEED_AMOUNT), _seek(s, P.DEED_AMOUNT_SLASH))).alias("area_value"),
+                _seek(s, P.DEED_KHASRA).alias("khasra_no"),
+                _seek(s, P.DEED_AREA).alias("area_hectares"),
+                _seek(s, P.DEED_STATE).alias("state"),
             ),
         )
 
     return _with_confidence(
-        let(flatten(ascii_digits(text)), fields),
+        let(_searched(_flat(text)), fields),
         [
             "owner_name", "owner_relation", "district", "village", "deed_type", "execution_date", "area_value",
             "khasra_no", "area_hectares", "state",
@@ -128,18 +161,23 @@ def land_record(text: Column) -> Column:
 
 
 def policy_paper(text: Column) -> Column:
-    def fields(t: Column) -> Column:
-        lines, flat = F.split(t["text"], "\n+"), t["flat"]
+    def fields(s: Column) -> Column:
+        t = s["t"]
+        lines = F.split(t["text"], "\n+")
+
+        def line(pattern: str) -> Column:
+            return F.when(_worth(s, pattern), _first_line(lines, pattern))
+
         return F.struct(
             F.upper(
                 F.coalesce(
-                    _first_line(lines, P.PAPER_NUMBER_LINE),
-                    _find(flat, P.PAPER_NUMBER_SLASHES),
-                    _find(flat, P.PAPER_NUMBER_DASHES),
+                    line(P.PAPER_NUMBER_LINE),
+                    _seek(s, P.PAPER_NUMBER_SLASHES),
+                    _seek(s, P.PAPER_NUMBER_DASHES),
                 )
             ).alias("policy_number"),
-            F.coalesce(_first_line(lines, P.PAPER_INSURED_LINE), _find(flat, P.PAPER_INSURED_FLAT)).alias("insured_name"),
-            _number(F.coalesce(_find(flat, P.PAPER_SUM), _find(flat, P.PAPER_SUM_ANY))).alias("sum_insured"),
+            F.coalesce(line(P.PAPER_INSURED_LINE), _seek(s, P.PAPER_INSURED_FLAT)).alias("insured_name"),
+            _number(F.coalesce(_seek(s, P.PAPER_SUM), _seek(s, P.PAPER_SUM_ANY))).alias("sum_insured"),
             F.array_compact(
                 F.array(*[F.when(t["text"].rlike(pattern), F.lit(loss)) for loss, pattern in P.PAPER_COVERAGE])
             ).alias("coverage"),
@@ -150,7 +188,7 @@ def policy_paper(text: Column) -> Column:
         lambda t: F.struct(t.alias("text"), F.regexp_replace(t, r"\s+", " ").alias("flat")),
     )
     return _with_confidence(
-        let(texts, fields),
+        let(_searched(texts), fields),
         ["policy_number", "insured_name", "sum_insured", "coverage"],
         [
             _has("policy_number"),
@@ -162,27 +200,27 @@ def policy_paper(text: Column) -> Column:
 
 
 def bill(text: Column) -> Column:
-    def amount(flat: Column, pattern: str) -> Column:
+    def amount(s: Column, pattern: str) -> Column:
         return let(
-            _number(_find(flat, pattern)),
+            _number(_seek(s, pattern)),
             lambda v: F.when((v > 0) & (v < P.BILL_AMOUNT_LIMIT), half_up(v).cast("long")),
         )
 
-    def name(flat: Column, pattern: str) -> Column:
+    def name(s: Column, pattern: str) -> Column:
         return let(
-            _find(flat, pattern),
+            _seek(s, pattern),
             lambda v: F.when((F.length(v) >= 3) & ~F.lower(v).isin(*P.BILL_NAME_STOPS), v),
         )
 
-    def fields(flat: Column) -> Column:
+    def fields(s: Column) -> Column:
         return F.struct(
-            F.upper(F.coalesce(*[_find(flat, p) for p in P.BILL_NUMBERS])).alias("policy_number"),
-            F.coalesce(*[name(flat, p) for p in P.BILL_NAMES]).alias("name"),
-            F.coalesce(*[amount(flat, p) for p in P.BILL_AMOUNTS]).alias("amount"),
+            F.upper(F.coalesce(*[_seek(s, p) for p in P.BILL_NUMBERS])).alias("policy_number"),
+            F.coalesce(*[name(s, p) for p in P.BILL_NAMES]).alias("name"),
+            F.coalesce(*[amount(s, p) for p in P.BILL_AMOUNTS]).alias("amount"),
         )
 
     return _with_confidence(
-        let(flatten(text), fields),
+        let(_searched(F.struct(flatten(text).alias("flat"))), fields),
         ["policy_number", "name", "amount"],
         [_has("policy_number"), _has("amount"), _has("name")],
     )

@@ -1,9 +1,8 @@
 """The patterns that find fields in scanned documents.
 
-Written for java.util.regex.  ``{B}`` is a word boundary that knows ASCII only,
-``{L}`` and ``{R}`` are its left and right halves; the fields are filled in at
-the bottom.  Devanagari alternatives stand without a boundary, since an ASCII
-boundary would never match beside them.
+Written for java.util.regex, with boundaries that know ASCII only.  Devanagari
+alternatives stand without a boundary, since an ASCII boundary would never match
+beside them.
 """
 
 from tallygrain.constants import KNOWN_DISTRICTS
@@ -98,3 +97,44 @@ BILL_NAMES = [
 ]
 BILL_NAME_STOPS = ["total", "amount", "bill", "rs", "inr"]
 BILL_AMOUNT_LIMIT = 10_000_000
+
+# words of which one stands, lower-cased, in every match of a pattern; patterns are tried only where it does
+_DIGITS, _KIN = list("0123456789"), ["पुत्र", "पत्नी", "s/o", "d/o", "w/o"]
+_RUPEES = ["₹", "rs", "रू", "रु"]
+ANCHORS = {
+    CARD_LATIN_NAME: ["dob", "जन्म"],
+    CARD_LABELLED_NAME: ["name", "naam", "नाम"],
+    CARD_DOB: _DIGITS,
+    CARD_DOB_ISO: _DIGITS,
+    CARD_FEMALE: ["female", "महिला"],
+    CARD_MALE: ["male", "पुरुष"],
+    DEED_BUYER: ["क्रेता", "खरीदार", "प्रथम", "हकदार"],
+    DEED_RELATION: [*_KIN, "son of", "daughter of", "wife of"],
+    DEED_LABELLED: ["नाम", "स्वामी", "खातेदार", "owner", "name"],
+    DEED_DISTRICT: ["जिला", "dist"],
+    DEED_DISTRICT_KNOWN: KNOWN_DISTRICTS,
+    DEED_VILLAGE: ["ग्राम", "गांव", "मौजा", "village"],
+    DEED_TYPE: ["विक्रय विलेख", "खतौनी", "खसरा", "फर्द", "sale deed", "registry", "khatauni", "khasra", "इकरारनामा"],
+    DEED_DATE_WORDS: _DIGITS,
+    DEED_KHASRA: ["खसरा", "khasra", "survey", "गाटा"],
+    DEED_AREA: ["रकबा", "क्षेत्रफल", "area"],
+    DEED_STATE: ["प्रदेश", "महाराष्ट्र", "राजस्थान", "बिहार", "हरियाणा", "गुजरात", "pradesh", "maharashtra", "bihar"],
+    DEED_AMOUNT: _RUPEES,
+    DEED_AMOUNT_SLASH: ["/"],
+    PAPER_NUMBER_LINE: ["policy"],
+    PAPER_NUMBER_SLASHES: ["/"],
+    PAPER_NUMBER_DASHES: ["/", "-"],
+    PAPER_INSURED_LINE: ["insured", "claimant", "farmer", "नाम"],
+    PAPER_INSURED_FLAT: ["insured", "claimant", "farmer"],
+    PAPER_SUM: ["insured", "राशि"],
+    PAPER_SUM_ANY: ["₹", "rs"],
+    BILL_NUMBERS[0]: ["mh-"],
+    BILL_NUMBERS[1]: ["pmfby/"],
+    BILL_NUMBERS[2]: ["pol", "cover", "cert"],
+    BILL_NUMBERS[3]: ["-", "/"],
+    BILL_AMOUNTS[0]: [*_RUPEES, "inr"],
+    BILL_AMOUNTS[1]: ["claim", "bill", "total", "loss", "net", "insured"],
+    BILL_NAMES[0]: ["insured", "claimant", "farmer", "holder", "beneficiary", "नाम", "क्रेता"],
+    BILL_NAMES[1]: ["shri", "smt", "mr"],
+    BILL_NAMES[2]: ["name", "naam"],
+}

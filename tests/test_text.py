@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,26 @@ def test_identity_finds_the_best_window_of_a_long_text(spark):
     rows = spark.createDataFrame([("Devendra Singh", None, f"{filler} devendr sing {filler}")], "n string, nd string, t string")
     got = with_identity(rows, "n", "nd", "t").first()["identity"]
     assert got.matched and got.score == 100 and "devendr sing" in got.registry_name
+
+
+def test_anchors_change_no_field(spark, monkeypatch):
+    from tallygrain.functions import extract as E, patterns as P
+
+    words = sorted({w for ws in P.ANCHORS.values() for w in ws}) + [
+        "Name: Ram Kumar", "DOB 01/02/1990", "1999-03-04", "9999 8888 7777", "oooo XXXX 1234", "राम कुमार\nRam", "FEMALE", "Male", "Owner: Sita Devi",
+        "12 March 2020", "District: Pune", "Dist. Nanded", "Village Rampur", "Khasra no. 12/3", "area 2.5 hectare", "Rs. 45,000", "₹ 1,20,000", "1234567/-",
+        "Policy No: AB/12/CD/3456", "MH-12-3456", "PMFBY/MH/2020-1", "Insured: Ram Kumar Sum Insured: 50,000", "Sum insured 1,000", "flood", "पशु", "Mr. Ram Kumar",
+        "Total: 4,500", "certificate # AB-1234", "प्रथम पक्ष: सीता देवी निवासी", "पुत्र राम लाल", "UTTAR PRADESH", "\n", " ", "K", "ſ",
+    ]
+    rng = random.Random(4)
+    texts = ["", None] + words + [rng.choice([" ", "\n", ""]).join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(400)]
+    texts += [t.upper() for t in texts[2:200]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).cache()
+    parsers = [E.identity_card, E.land_record, E.land_record_owner, E.policy_paper, E.bill]
+
+    def fields():
+        return sorted(map(str, df.select("t", *[p(F.col("t")).alias(p.__name__) for p in parsers]).collect()))
+
+    gated = fields()
+    monkeypatch.setattr(E, "_worth", lambda s, pattern: F.lit(True))
+    assert gated == fields()
