@@ -22,6 +22,10 @@ def _case(key: str, mapping: dict[str, str]) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
 
 
+def _person_deva(k: str) -> str:
+    return f"({_list(V.FIRST_DEVA)})[({k}) % 8 + 1] || ' ' || ({_list(V.LAST_DEVA)})[(({k}) // 8) % 8 + 1]"
+
+
 def _person(k: str) -> str:
     return f"({_list(V.FIRST_NAMES)})[({k}) % 8 + 1] || ' ' || ({_list(V.LAST_NAMES)})[(({k}) // 8) % 8 + 1]"
 
@@ -96,8 +100,14 @@ ocr AS (
     WHEN kind = 'bill' THEN 'policy ' || number || ' insured: ' || {_person("l_orderkey")} || ' claim amount '
       || CAST(trunc(l_extendedprice / 4) AS BIGINT)
     WHEN kind = 'id' THEN 'Name: ' || {_person("l_orderkey")} || chr(10) || 'voter card'
-    WHEN kind IN ('registry', 'aadhaar', 'policy') THEN 'x' ELSE '' END AS text
-  FROM (SELECT *, ({_list([p[0] for p in C.POLICIES] + ["MH-99-0001"])})[part % 5 + 1] AS number FROM evidence)
+    WHEN kind = 'registry' THEN 'sale deed khasra no 45/' || (part % 90 + 1) || chr(10) || 'District Nanded' || chr(10) || CASE
+      WHEN part % 7 = 1 THEN '## ## ##' WHEN part % 2 = 0 THEN 'क्रेता: ' || {_person_deva("owner")} || ' पुत्र ' ELSE 'owner: ' || {_person("owner")} END
+    WHEN kind = 'aadhaar' THEN 'GOVERNMENT OF INDIA' || chr(10) || 'Name: ' || {_person("l_orderkey")} || chr(10) || 'DoB: 03/01/1995' || chr(10) || 'MALE' || chr(10)
+      || '5522 6616 ' || lpad(CAST(part % 10000 AS VARCHAR), 4, '0')
+    WHEN kind = 'policy' THEN 'Policy No: ' || number || chr(10) || 'Insured Name: ' || {_person("l_orderkey")} || chr(10) || 'Sum Insured: Rs '
+      || (part * 50 + 5000) || chr(10) || 'flood drought'
+    ELSE '' END AS text
+  FROM (SELECT *, CASE WHEN part % 3 = 0 THEN l_orderkey + 9 ELSE l_orderkey END AS owner, ({_list([p[0] for p in C.POLICIES] + ["MH-99-0001"])})[part % 5 + 1] AS number FROM evidence)
 ),
 docs AS (
   SELECT doc_id, CASE doc_id % 4
@@ -554,6 +564,44 @@ _add("str2c_policy_paper", r"""SELECT doc_id, upper(coalesce(
   concat_ws('|', CASE WHEN regexp_matches(text, '(?i)\bflood|बाढ़') THEN 'flood' END, CASE WHEN regexp_matches(text, '(?i)\bdrought|सूखा|अनावृष्टि') THEN 'drought' END,
     CASE WHEN regexp_matches(text, '(?i)\blivestock|पशु|cattle') THEN 'livestock' END) AS coverage FROM flat""")
 
+_V = r"[\x{0900}-\x{097F}]"
+_VS = r"[\x{0900}-\x{097F}\s]"
+
+
+def _found(pattern: str, text: str = "flat") -> str:
+    return f"nullif(trim(regexp_extract({text}, '{pattern}', 1)), '')"
+
+
+_add("str2b_land_record_owner", f"""SELECT doc_id, owner_name, owner_relation, CAST(CASE WHEN amount = '' THEN '0' ELSE amount END AS DOUBLE) AS area_value,
+  floor(((owner_name IS NOT NULL)::INT + (district IS NOT NULL)::INT + (deed_type IS NOT NULL)::INT + (execution_date IS NOT NULL)::INT + (khasra_no IS NOT NULL)::INT) / 5.0 * 100 + 0.5) / 100.0 AS confidence
+  FROM (SELECT *, CASE WHEN NOT regexp_matches(regexp_replace(raw_name, '\\s+', '', 'g'), '(?i)^(?:wo|go0|af|urpha|shri|sri|mr|the|and|[a-z]{{1,2}})$') THEN raw_name END AS owner_name
+    FROM (SELECT *, coalesce(buyer, relative, labelled) AS raw_name, CASE WHEN relative IS NOT NULL THEN 'relative' END AS owner_relation
+      FROM (SELECT *, CASE WHEN buyer IS NULL THEN kin END AS relative FROM (
+        SELECT doc_id, {_found(rf"(?i)(?:क्रेता|खरीदार|प्रथम\s*पक्ष|हकदार)\s*[:\-]?\s*([A-Za-z{_V[1:-1]}][A-Za-z{_VS[1:-1]}]{{2,35}}?)(?:\s+(?:पुत्र|पुत्री|पत्नी|निवासी|उम्र|जाति|पार्टी)|\z)")} AS buyer,
+          {_found(rf"(?i)(?:पुत्र|पुत्री|पत्नी|s/o|d/o|w/o|son of|daughter of|wife of)\s*[:\-]?\s*({_V}{_VS}{{2,40}}|[A-Z][A-Za-z\s]{{2,40}})")} AS kin,
+          {_found(rf"(?:नाम|स्वामी|खातेदार|owner|name)\s*[:\-]?\s*({_V}{_VS}{{2,40}}|[A-Z][A-Za-z\s]{{2,40}})")} AS labelled,
+          replace(coalesce({_found(r"(?i)(?:₹|rs\.?|रू0?|रु)\s*([\d,]{4,12})")}, {_found(r"\b([\d,]{6,12})\s*/")}), ',', '') AS amount FROM flat))))
+  JOIN (__FIELDS__) USING (doc_id)""".replace("__FIELDS__", ORACLES["str2b_land_record"][len(VIEWS):]))
+_BILL_AMOUNT = "CASE WHEN CAST(replace({a}, ',', '') AS DOUBLE) > 0 AND CAST(replace({a}, ',', '') AS DOUBLE) < 10000000 THEN CAST(floor(CAST(replace({a}, ',', '') AS DOUBLE) + 0.5) AS BIGINT) END"
+_add("str2d_bill", f"""SELECT doc_id, upper(coalesce(n1, n2, n3, n4)) AS policy_number, coalesce({_BILL_AMOUNT.format(a="nullif(replace(a1, ',', ''), '')")}, {_BILL_AMOUNT.format(a="nullif(replace(a2, ',', ''), '')")}, -1) AS amount
+  FROM (SELECT doc_id, {_found(r"(?i)\b(MH-\d{2}-\d{4})\b")} AS n1, {_found(r"(?i)\b(PMFBY/[A-Z0-9/-]{4,28})\b")} AS n2,
+    {_found(r"(?i)\b(?:policy|pol|cover|cert(?:ificate)?)\s*(?:no\.?|num|#)?\s*[:\-]?\s*([A-Z0-9][A-Z0-9/-]{4,24})\b")} AS n3,
+    {_found(r"(?i)\b([A-Z]{2,5}[-/]\d{2,4}[-/][A-Z0-9/-]{4,16})\b")} AS n4,
+    {_found(r"(?i)(?:rs\.?|inr|₹|रू0?|रु)\s*([\d,]+(?:\.\d{1,2})?)")} AS a1,
+    {_found(r"(?i)(?:claim|bill|total|loss|net|insured|sum insured)\s*(?:amount|value|sum)?\s*[:\-]?\s*(?:rs\.?|inr|₹|रू)?\s*([\d,]+(?:\.\d{1,2})?)")} AS a2 FROM flat)""")
+_add("str4_name_match_bilingual", f"""SELECT claim_id, CAST(floor(100.0 * len(list_filter(a, lambda x: len(list_filter(b, lambda y: {_TM.format(x="x", y="y")})) > 0)) / 2 + 0.5) AS BIGINT) AS score
+  FROM (SELECT o_orderkey AS claim_id, string_split(lower({_person("o_orderkey")}), ' ') AS a,
+    [(['roshana', 'ramesha', 'sunita', 'devendra', 'vitthala', 'anita', 'kishora', 'mira'])[o_custkey % 8 + 1],
+     (['pandeya', 'kumara', 'pavara', 'sinha', 'rava', 'patila', 'shinde', 'joshi'])[(o_custkey // 8) % 8 + 1]] AS b FROM orders)""")
+_add("top6_text_snippets", f"""SELECT claim_id, file_id, kind, md5(substr(text, 1, CASE WHEN kind IN {_in(C.FARMER_DOCS)} THEN 2000 ELSE 1500 END)) AS snippet
+  FROM evidence JOIN (SELECT file_id, text FROM ocr WHERE length(text) > 0) USING (file_id)
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'doc', 'bill', md5(substr(text, 1, 1500)) FROM documents""")
+_TREE, _, _ROOTS = ORACLES["agg13_merkle_roots"][len(VIEWS):].rpartition("\n) SELECT ")
+_add("agg14_agg15_merkle_proofs", f"""{_TREE}
+), roots AS (SELECT {_ROOTS}) SELECT s.claim_id, s.seq AS leaf_index, s.record_hash AS leaf,
+  CAST(CASE WHEN r.leaves > 1 THEN length(bin(r.leaves - 1)) ELSE 0 END AS BIGINT) AS path_length, r.root, true AS verifies
+  FROM sealed s JOIN roots r USING (claim_id)""")
+
 _add("dt1_dt4_times", f"""SELECT id, submitted_at > TIMESTAMP '2001-08-01 12:00:00' - INTERVAL 24 HOUR AS today, CAST(CAST(submitted_at AS DATE) - 10 AS VARCHAR) AS window_start,
   CAST(CAST(submitted_at AS DATE) AS VARCHAR) AS event_day, CAST(CAST(submitted_at AS DATE) + 5 AS VARCHAR) AS window_end, {_SNAP} AS iso,
   coalesce(duration_ms, -1) AS duration_ms FROM claims""")
