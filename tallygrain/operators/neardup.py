@@ -23,7 +23,7 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallygrain import constants as C
 from tallygrain.functions import numeric as N
@@ -331,38 +331,55 @@ def within_claim(photos: DataFrame, seq: str = "seq", threshold: int = C.PHASH_W
     """Pictures of one claim that nearly equal an earlier picture of it.
 
     For information only.  One row per later picture, with the nearest earlier
-    one (ties: the first).  Bands of the hash join the key, so the pictures of a
-    large claim do not all meet.
+    one (ties: the first).  An equal picture's nearest is the first of its hash,
+    so copies never meet; bands of the hash join the key, so the different
+    pictures of a large claim do not all meet either.
     """
-    bands = threshold + 1
-    cut = photos.select(
-        "claim_id", "file_id", seq, "p_hash", F.explode(F.array_distinct(_band_values(bands))).alias("bv")
-    ).select("*", "bv.band", "bv.value").drop("bv")
-    later = cut.select(
-        "claim_id", "band", "value", "file_id", F.col(seq).alias("_seq"), "p_hash"
-    )
-    earlier = cut.select(
-        "claim_id",
-        "band",
-        "value",
-        F.col("file_id").alias("earlier_file_id"),
-        F.col(seq).alias("_earlier_seq"),
-        F.col("p_hash").alias("_earlier_hash"),
-    )
-    joined = later.join(earlier, ["claim_id", "band", "value"]).where(
-        F.struct("_seq", "file_id") > F.struct(F.col("_earlier_seq"), F.col("earlier_file_id"))
-    )
-    return (
-        joined.withColumn("distance", N.hamming(F.col("p_hash"), F.col("_earlier_hash")))
+    rows = photos.select("claim_id", "file_id", F.col(seq).alias("_seq"), "p_hash")
+    firsts = rows.groupBy("claim_id", "p_hash").agg(F.min(F.struct("_seq", "file_id")).alias("_first"))
+    mine = F.struct("_seq", "file_id")
+    copies = rows.join(firsts, ["claim_id", "p_hash"]).where(mine > F.col("_first"))
+    equal = copies.select("claim_id", "file_id", F.col("_first.file_id").alias("earlier_file_id"), F.lit(0).alias("distance"))
+
+    band = F.explode(_band_values(threshold + 1)).alias("bv")
+    later = firsts.select("claim_id", "p_hash", "_first", band).select("claim_id", "bv", "_first", "p_hash")
+    earlier = later.select("claim_id", "bv", F.col("_first").alias("_earlier"), F.col("p_hash").alias("_earlier_hash"))
+    near = (
+        later.join(earlier, ["claim_id", "bv"])
+        .where(F.col("_first") > F.col("_earlier"))
+        .withColumn("distance", N.hamming(F.col("p_hash"), F.col("_earlier_hash")))
         .where(F.col("distance") <= threshold)
-        .groupBy("claim_id", "file_id")
-        .agg(
-            F.min_by(
-                F.struct("earlier_file_id", "distance"), F.struct("distance", "_earlier_seq", "earlier_file_id")
-            ).alias("m")
-        )
-        .select("claim_id", "file_id", "m.earlier_file_id", "m.distance")
+        .groupBy("claim_id", "_first")
+        .agg(F.min(F.struct("distance", "_earlier")).alias("m"))
+        .select("claim_id", F.col("_first.file_id").alias("file_id"), F.col("m._earlier.file_id").alias("earlier_file_id"), "m.distance")
+    )
+    return equal.unionByName(near)
+
+
+def foreign_counts(photos: DataFrame, own: DataFrame, runs: DataFrame) -> DataFrame:
+    """claim_id, n_hashes (its pictures in ``own``), n_foreign (pictures of other claims in ``photos`` that its run could see).
+
+    Pictures are counted per moment and summed in order within each day, then
+    over the days, so no task sees more than the moments of a day.  Without a
+    time of the run all pictures count.
+    """
+    marks = photos.groupBy(F.col("created_at").alias("at")).agg(F.count("*").alias("n"))
+    asked = runs.where(F.col("run_at").isNotNull()).select(F.col("run_at").alias("at"), F.lit(0).cast("long").alias("n")).distinct()
+    rows = marks.where(F.col("at").isNotNull()).unionByName(asked).withColumn("day", F.to_date("at"))
+    until = W.partitionBy("day").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    # one row a day
+    days = rows.groupBy("day").agg(F.sum("n").alias("n"))
+    before = days.select("day", F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    seen = rows.withColumn("inside", F.sum("n").over(until)).join(before, "day").groupBy(F.col("at").alias("run_at")).agg(
+        F.max(F.col("inside") + F.col("before")).alias("n_seen")
     )
+    total = photos.agg(F.lit(None).cast("timestamp").alias("run_at"), F.count("*").alias("n_seen"))
+    seen = seen.unionByName(total).withColumnRenamed("run_at", "_at")
+    known = F.col("run_at").isNull() | (F.col("created_at") <= F.col("run_at"))
+    mine = own.join(runs, "claim_id").groupBy("claim_id").agg(F.count("*").alias("n_hashes"), F.count_if(known).alias("n_own"))
+    per_claim = runs.join(seen, F.col("run_at").eqNullSafe(F.col("_at")), "left").join(mine, "claim_id", "left")
+    n_foreign = F.coalesce("n_seen", F.lit(0)) - F.coalesce("n_own", F.lit(0))
+    return per_claim.select("claim_id", F.coalesce("n_hashes", F.lit(0)).alias("n_hashes"), n_foreign.alias("n_foreign"))
 
 
 def shared_files(evidence: DataFrame) -> DataFrame:

@@ -65,11 +65,19 @@ def exif_integrity(strict: bool = False) -> Column:
 
 
 def duplicate_phash() -> Column:
-    """Expects n_dup, dup_shown (first collisions as text) and n_hashes."""
+    """Expects n_dup, dup_shown (first collisions as text), n_inner, inner_shown (the same
+    within the claim, for information only), n_hashes and n_foreign; the last may be null."""
+    def listed(label: str, n: Column, shown: Column) -> Column:
+        more = F.when(n > F.size(shown), _cat(" (+", n - F.size(shown), " more)")).otherwise("")
+        return F.concat(F.lit(label), F.array_join(shown, "; "), more)
+
     hits, shown = _n("n_dup"), F.coalesce("dup_shown", _none())
-    more = F.when(hits > F.size(shown), _cat(" (+", hits - F.size(shown), " more)")).otherwise("")
-    details = F.when(hits > 0, F.concat(F.lit("cross-claim collision: "), F.array_join(shown, "; "), more)).otherwise(
-        "photo pHash(es) unique across stored foreign photos"
+    inner, inner_shown = _n("n_inner"), F.coalesce("inner_shown", _none())
+    foreign = F.coalesce(F.concat(F.col("n_foreign").cast("string"), F.lit(" ")), F.lit(""))
+    details = (
+        F.when(hits > 0, listed("cross-claim collision: ", hits, shown))
+        .when(inner > 0, listed("intra-claim duplicates: ", inner, inner_shown))
+        .otherwise(_cat(_n("n_hashes"), " photo pHash(es) unique across ", foreign, "stored foreign photos"))
     )
     return _stage("DUPLICATE_PHASH", F.when(hits > 0, "FAIL").otherwise("PASS"), details, shown)
 

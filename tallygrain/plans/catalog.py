@@ -945,11 +945,16 @@ def rul1_exif_integrity(spark, d):
 def rul2_duplicate_phash(spark, d):
     claims = V.claims(spark, d)
     runs = VP.with_run_time(claims).select(F.col("id").alias("claim_id"), "run_at")
-    hits = ND.near_duplicates(ND.photo_hashes(V.evidence(spark, d)), runs).groupBy("claim_id").agg(F.count("*").alias("n_dup"))
-    wide = claims.select(F.col("id").alias("claim_id")).join(hits, "claim_id", "left").withColumn(
-        "dup_shown", F.lit(None).cast("array<string>")
+    photos = ND.photo_hashes(V.evidence(spark, d))
+    hits = ND.near_duplicates(photos, runs).groupBy("claim_id").agg(F.count("*").alias("n_dup"))
+    wide = runs.join(hits, "claim_id", "left").join(ND.foreign_counts(photos, photos, runs), "claim_id", "left")
+    wide = wide.withColumns({name: F.lit(None).cast("array<string>") for name in ("dup_shown", "inner_shown")})
+    inner = ND.within_claim(photos).groupBy("claim_id").agg(F.count("*").alias("n_inner"))
+    stage = S.duplicate_phash()
+    return wide.join(inner, "claim_id", "left").select(
+        "claim_id", stage["result"].alias("result"), F.coalesce("n_dup", F.lit(0)).alias("n_dup"), F.coalesce("n_inner", F.lit(0)).alias("n_inner"),
+        F.when(F.coalesce("n_dup", "n_inner").isNull(), stage["details"]).alias("unique"),
     )
-    return wide.select("claim_id", S.duplicate_phash()["result"].alias("result"), F.coalesce("n_dup", F.lit(0)).alias("n_dup"))
 
 
 @query

@@ -347,6 +347,8 @@ _add("jn2_near_duplicates", f"""SELECT claim_id, file_id, tier, match_claim_id,
       CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS BIGINT) AS distance
     FROM halves a JOIN halves b ON a.claim_id <> b.claim_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 6))
   WHERE rn = 1""")
+_PHOTOS = f"""(SELECT e.*, coalesce(c.decided_at, c.submitted_at) AS run_at,
+      {_B32.format(o=0)} AS hi, {_B32.format(o=32)} AS lo FROM evidence e JOIN claims c ON c.id = e.claim_id WHERE p_hash IS NOT NULL)"""
 _add("jn2_near_duplicates_as_of", f"""SELECT claim_id, file_id, tier, match_claim_id, match_file_id, distance FROM (
   SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY tier, seen, match_claim_id, match_file_id) AS rn FROM (
     SELECT a.claim_id, a.file_id, CASE WHEN a.p_hash = b.p_hash THEN 0 WHEN {_CHUNK} THEN 1 ELSE 2 END AS tier, b.created_at AS seen,
@@ -356,8 +358,7 @@ _add("jn2_near_duplicates_as_of", f"""SELECT claim_id, file_id, tier, match_clai
       FROM photo_hash x JOIN (SELECT DISTINCT p_hash AS h, hi, lo FROM photo_hash) y
         ON bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) <= 6) a
     JOIN photo_hash b ON b.p_hash = a.other AND b.claim_id <> a.claim_id AND b.created_at <= a.run_at))
-  WHERE rn = 1""".replace("photo_hash", f"""(SELECT e.*, coalesce(c.decided_at, c.submitted_at) AS run_at,
-      {_B32.format(o=0)} AS hi, {_B32.format(o=32)} AS lo FROM evidence e JOIN claims c ON c.id = e.claim_id WHERE p_hash IS NOT NULL)"""))
+  WHERE rn = 1""".replace("photo_hash", _PHOTOS))
 _add("jn2_stored_index_as_of", ORACLES["jn2_near_duplicates_as_of"][len(VIEWS):])
 _add("jn2_hash_neighbours", """SELECT p_hash, count(*) AS n_neighbours, min(dist) AS least_distance, arg_min(other, (dist, other)) AS nearest_hash FROM (
   SELECT a.p_hash, b.p_hash AS other, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS BIGINT) AS dist
@@ -625,8 +626,14 @@ _EXIF = """SELECT claim_id, count(*) FILTER (WHERE kind = 'photo') AS p, count(*
 _add("rul1_exif_integrity", f"""SELECT id AS claim_id, CASE WHEN coalesce(p, 0) = 0 OR e > 0 THEN 'FAIL' WHEN m > 0 THEN 'WARN' ELSE 'PASS' END AS result,
   CAST(CASE WHEN coalesce(p, 0) = 0 THEN 1 ELSE CAST(m > 0 AS INTEGER) + CAST(e > 0 AS INTEGER) END AS BIGINT) AS n_reasons FROM claims LEFT JOIN ({_EXIF}) x ON x.claim_id = id""")
 _FLAGGED = ORACLES["jn2_near_duplicates_as_of"][len(VIEWS):]
-_add("rul2_duplicate_phash", f"""SELECT id AS claim_id, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS result, coalesce(n, 0) AS n_dup
-  FROM claims LEFT JOIN (SELECT claim_id, count(*) AS n FROM ({_FLAGGED}) GROUP BY 1) f ON f.claim_id = id""")
+_add("rul2_duplicate_phash", f""", photo_hash AS {_PHOTOS} SELECT id AS claim_id, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS result, coalesce(n, 0) AS n_dup, coalesce(n_inner, 0) AS n_inner,
+  CASE WHEN coalesce(n, n_inner) IS NULL THEN coalesce(own, 0) || ' photo pHash(es) unique across ' || (coalesce(seen, 0) - coalesce(own_seen, 0)) || ' stored foreign photos' END AS "unique"
+  FROM (SELECT *, coalesce(decided_at, submitted_at) AS run_at FROM claims) c LEFT JOIN (SELECT claim_id, count(*) AS n FROM ({_FLAGGED}) GROUP BY 1) f ON f.claim_id = id
+  LEFT JOIN (SELECT b.claim_id, count(DISTINCT b.file_id) AS n_inner FROM photo_hash a JOIN photo_hash b ON a.claim_id = b.claim_id AND (b.seq, b.file_id) > (a.seq, a.file_id)
+    AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 2 GROUP BY 1) i ON i.claim_id = id
+  ASOF LEFT JOIN (SELECT created_at, sum(count(*)) OVER (ORDER BY created_at)::BIGINT AS seen FROM photo_hash GROUP BY 1) s ON c.run_at >= s.created_at
+  LEFT JOIN (SELECT p.claim_id, count(*) AS own, count(*) FILTER (WHERE p.created_at <= coalesce(k.decided_at, k.submitted_at)) AS own_seen
+    FROM photo_hash p JOIN claims k ON k.id = p.claim_id GROUP BY 1) o ON o.claim_id = id""")
 _add("rul3_ocr_extract", """SELECT id AS claim_id, CASE WHEN coalesce(docs, 0) = 0 THEN 'INFO' WHEN read = 0 THEN 'WARN' ELSE 'PASS' END AS result
   FROM claims LEFT JOIN (SELECT claim_id, count(*) FILTER (WHERE kind <> 'photo') AS docs, count(*) FILTER (WHERE kind IN ('bill', 'id', 'satellite') AND text <> '') AS read
     FROM ocr GROUP BY 1) x ON x.claim_id = id""")

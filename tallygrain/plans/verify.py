@@ -150,6 +150,25 @@ def reason_summary(rows: DataFrame) -> DataFrame:
     return counts.join(first, "claim_id")
 
 
+def photo_facts(tables: ClaimTables) -> DataFrame:
+    """Per claim: how many pictures it has, how many of other claims they were compared
+    with (not counted where an index stands for the archive), and those that repeat
+    within the claim, the first few of them as text."""
+    runs = with_run_time(tables.claims).select(F.col("id").alias("claim_id"), "run_at")
+    own = neardup.photo_hashes(tables.evidence)
+    if tables.index is not None:
+        counts = own.groupBy("claim_id").agg(F.count("*").alias("n_hashes")).withColumn("n_foreign", F.lit(None).cast("long"))
+    else:
+        archive = own if tables.archive is None else neardup.photo_hashes(tables.archive)
+        counts = neardup.foreign_counts(archive, own, runs)
+    text = F.format_string("%s≈%s (d=%d)", "earlier_file_id", "file_id", "distance").alias("text")
+    again = neardup.within_claim(own).select("claim_id", "file_id", text)
+    first = first_per_key(again, ["claim_id"], [F.col("file_id")], C.REASONS_SHOWN)
+    shown = first.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "text"))), lambda t: t["text"]).alias("inner_shown"))
+    inner = again.groupBy("claim_id").agg(F.count("*").alias("n_inner")).join(shown, "claim_id")
+    return counts.join(inner, "claim_id", "full_outer")
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """A table in the shared folder, written once for the several branches that read it."""
     path = work_dir(df.sparkSession, purpose)
@@ -166,6 +185,7 @@ def claim_rows(tables: ClaimTables, signals: DataFrame, reason_rows: DataFrame)
         claims.join(features, "claim_id", "left")
         .join(signals, "claim_id", "left")
         .join(reasons, "claim_id", "left")
+        .join(photo_facts(tables), "claim_id", "left")
     )
     return with_policy(wide.withColumn("paper_number", S.paper_number()), tables.policies, "paper_number")
 

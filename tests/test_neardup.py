@@ -164,3 +164,22 @@ def test_pictures_without_an_earlier_batch_and_empty_batches(spark, tmp_path):
     assert index_rows(index.duplicates(none)) == []
     index.append(frame(spark, [("A", "1", "01" * 32, 1)]), 1)
     assert index_rows(index.duplicates(frame(spark, [("B", "2", "01" * 32, 2)]))) == [("B", "2", 0, "A", "1", 0)]
+
+
+def test_copies_within_a_claim_name_the_first(spark):
+    a = "01" * 32
+    rows = [("A", f"f{i}", i, a) for i in range(30)] + [("A", "g", 40, flip(a, {0, 1})), ("A", "h", 41, flip(a, {0, 1, 2})), ("A", "i", 42, flip(a, {0, 1, 2, 3, 4}))]
+    df = spark.createDataFrame(rows, "claim_id string, file_id string, seq int, p_hash string")
+    got = {r.file_id: (r.earlier_file_id, r.distance) for r in ND.within_claim(df).collect()}
+    assert got == {**{f"f{i}": ("f0", 0) for i in range(1, 30)}, "g": ("f0", 2), "h": ("g", 1), "i": ("h", 2)}
+
+
+def test_foreign_counts_equal_brute_force(spark):
+    rows = [(c, f, h, t * 20_000) for c, f, h, t in crowd(9)]
+    run_at = {c: (random.Random(c).randrange(50) * 20_000 if c != "C1" else None) for c in {r[0] for r in rows} | {"none"}}
+    runs = spark.createDataFrame(list(run_at.items()), "claim_id string, r long").select("claim_id", F.timestamp_seconds("r").alias("run_at"))
+    photos = frame(spark, [(c, f, h, t) for c, f, h, t in rows])
+    got = {r.claim_id: (r.n_hashes, r.n_foreign) for r in ND.foreign_counts(photos, photos, runs).collect()}
+    assert got == {
+        c: (sum(r[0] == c for r in rows), sum(r[0] != c and (at is None or r[3] <= at) for r in rows)) for c, at in run_at.items()
+    }

@@ -148,3 +148,14 @@ def test_all_outputs_of_a_batch(spark):
     assert out.runs.count() == 4 and out.logs.count() == 4 * len(C.STAGES)
     assert {(r.claim_id, r.file_id, r.rule) for r in out.reasons.collect()} == {("CLM-8919", f"CLM-8919-p{i}", 2) for i in range(2)}
     assert out.similar.collect() == []
+
+
+def test_duplicate_stage_names_copies_within_a_claim_and_counts(spark):
+    near = "10" + PADDY[2:]
+    claims = [claim("CLM-1", "Ram Rao", "flood", 100, 0), claim("CLM-2", "Sita Rao", "flood", 100, 10)]
+    evidence = [file("a", "CLM-1", 0, "photo", 0, PADDY), file("b", "CLM-1", 1, "photo", 0, PADDY), file("c", "CLM-1", 2, "photo", 0, near),
+                file("d", "CLM-2", 0, "photo", 10, "0" * 64)]
+    found = logs(VP.verify_claims(tables(spark, claims, evidence, [])))
+    assert found["CLM-1", "DUPLICATE_PHASH"].details == "intra-claim duplicates: a≈b (d=0); a≈c (d=2)"
+    assert found["CLM-1", "DUPLICATE_PHASH"].result == "PASS"
+    assert found["CLM-2", "DUPLICATE_PHASH"].details == "1 photo pHash(es) unique across 3 stored foreign photos"
