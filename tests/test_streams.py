@@ -202,3 +202,19 @@ def test_halving_goes_on_until_one_claim_is_left(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ST, "verify_claims", verify)
     runs, failed = ST.verify_on_intake(ST.read_files(spark, f"{tmp_path}/in", df.schema, 1), Tables(), str(tmp_path / "out"))
     assert [r.claim_id for r in runs.collect()] == [pair[1]] and [r.claim_id for r in failed.collect()] == [pair[0]]
+
+
+def test_intake_with_a_stored_index_finds_what_came_two_batches_ago(spark, tmp_path):
+    from test_verify import story
+    from tallygrain.operators.photoindex import PhotoIndex
+
+    tables = story(spark)
+    # the pictures of CLM-4102 come again with CLM-8919, two batches later
+    for ids in (("CLM-4102",), ("CLM-8920",), ("CLM-8919", "CLM-8930")):
+        tables.claims.where(F.col("id").isin(*ids)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = ST.read_files(spark, f"{tmp_path}/in", tables.claims.schema, 1)
+    index = PhotoIndex(spark, str(tmp_path / "photos"), blocks=7, buckets=2)
+    runs, failed = ST.verify_on_intake(stream, tables, str(tmp_path / "out"), index)
+    stage = {r.claim_id: {s.stage: s for s in r.stages}["DUPLICATE_PHASH"] for r in runs.collect()}
+    assert failed.count() == 0 and {c: s.result for c, s in stage.items()} == {"CLM-4102": "PASS", "CLM-8920": "PASS", "CLM-8919": "FAIL", "CLM-8930": "PASS"}
+    assert "CLM-4102" in stage["CLM-8919"].details
