@@ -1,8 +1,8 @@
 """Scores of image vectors: nearest remembered cases and prompt margins.
 
 Images are a large table and so may be the memory: what a run sees of it is
-bounded, but differs with the run's time, so images meet pages of the memory in
-an equi-join and are scored by one matrix product per page.  The prompts are a
+bounded, but differs with the run's time, so entries carry the interval in which
+they are seen, and images meet those of their epoch in one group.  The prompts are a
 fixed list (MAX_PROMPTS at most, a documented bound) that goes to every task.
 """
 
@@ -12,14 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallygrain import constants as C
 from tallygrain.operators.spread import dense_sequence
 
 # far above the fixed prompt list, far below what a task can hold
 MAX_PROMPTS = 10_000
-LABELS = ("fraud", "genuine")
 DAY = 86_400_000_000  # microseconds
 
 
@@ -47,44 +47,65 @@ def _half_up(x: np.ndarray) -> np.ndarray:
     return np.floor(x + 0.5)
 
 
-def _nearest(sims: np.ndarray, usable: np.ndarray, k: int) -> list[np.ndarray]:
-    """Positions of the k largest usable similarities per row; the earlier wins ties."""
-    masked = np.where(usable, sims, -np.inf)
-    # a stable sort on the negated similarity keeps enrolment order for ties
-    order = np.argsort(-masked, axis=1, kind="stable")[:, :k]
-    counts = np.minimum(usable.sum(axis=1), k)
-    return [row[:n] for row, n in zip(order, counts)]
+# query rows that one task scores; busier epochs are dealt to several tasks
+EPOCH_QUERIES = 20_000
+MAX_EPOCHS = 50_000  # bound of what the driver gathers: one number each
+_ALWAYS = 2**62  # a run without a time sees the whole memory; an entry that still stands ends here
+_NEVER = -(2**62)  # an entry without a time precedes all runs
 
 
-# rows of one memory page that one task scores; busier pages are copied to several tasks
-PAGE_QUERIES = 20_000
-_ALWAYS = 2**62  # a run without a time sees the whole memory
+def with_intervals(memory: DataFrame, per_label: int = C.MEMORY_PER_LABEL) -> DataFrame:
+    """Memory entries with ``n``, ``since`` and ``until`` (long, microseconds).
 
+    ``n`` numbers the entries of a label in the order of (at, seq, file_id).  A run
+    at time t sees an entry if since < t <= until: it was there before, and fewer
+    than ``per_label`` entries of its label came after it and before t.  ``until``
+    is null for those that still stand.
+    """
+    rows = memory.withColumn("since", F.coalesce(F.unix_micros("at"), F.lit(_NEVER)))
+    order = [F.col(c) for c in ("since", "seq", "file_id", "claim_id")]
+    rows = dense_sequence(rows, "label", F.floor(F.col("since") / DAY), order, "n")
+    ends = rows.select("label", (F.col("n") - per_label).alias("n"), F.col("since").alias("until"))
+    return rows.join(ends, ["label", "n"], "left")
 
-def _numbered(memory: DataFrame) -> DataFrame:
-    """Entries numbered per label in the order of enrolment in time."""
-    at = F.unix_micros("at")
-    rows = memory.select("claim_id", "file_id", "label", "seq", "vec", at.alias("at"))
-    return dense_sequence(rows, "label", F.floor(F.col("at") / DAY), [F.col("at"), F.col("seq"), F.col("file_id")], "n")
 
+def _cuts(held: DataFrame, per_label: int) -> np.ndarray:
+    """Times at which a new epoch starts, at most MAX_EPOCHS a label."""
+    size = held.groupBy("label").agg(F.max("n").alias("n")).agg(F.max("n")).first()[0]
+    step = max(per_label, -(-(size or 0) // MAX_EPOCHS))
+    starts = held.where(F.col("n") % step == 0).select("since").distinct().toPandas()["since"]
+    return np.sort(starts.to_numpy(np.int64))
 
-def _known_before(entries: DataFrame, times: DataFrame) -> DataFrame:
-    """(time, label, m): how many entries of each label were there before each time.
 
-    Whole days are counted first; only entries and times of one day meet.
-    """
-    asked = times.select("time", F.explode(F.lit(list(LABELS))).alias("label"))
-    both = entries.select("label", F.col("at").alias("time"), F.lit(1).alias("entry")).unionByName(asked.select("label", "time", F.lit(0).alias("entry")))
-    both = both.withColumn("day", F.floor(F.col("time") / DAY))
-    days = both.groupBy("label", "day").agg(F.sum("entry").alias("_new"))
-    before = W.partitionBy("label").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    days = days.select("label", "day", F.coalesce(F.sum("_new").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("label", "day").orderBy("time", "entry").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = both.withColumn("_inside", F.sum("entry").over(inside)).where("entry = 0").join(days, ["label", "day"])
-    return counted.select("time", "label", (F.col("_inside") + F.col("_before")).alias("m"))
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    lists = column.combine_chunks()
+    if len(lists) == 0:
+        return np.zeros((0, 0))
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(lists), -1)
+
+
+def _best(sims: np.ndarray, usable: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest usable similarities of every row, nearest
+    first; the earlier column wins ties."""
+    masked = np.where(usable & ~np.isnan(sims), sims, -np.inf)
+    if masked.shape[1] > k:
+        least = -np.partition(-masked, k - 1, axis=1)[:, k - 1 : k]
+        rows, cols = np.nonzero((masked >= least) & (masked > -np.inf))
+    else:
+        rows, cols = np.nonzero(masked > -np.inf)
+    order = np.lexsort((cols, -masked[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[rank < k], cols[rank < k]
 
 
-_VOTE = "claim_id string, file_id string, seq int, run_at long, found array<struct<sim:double,seq:long,file:string,claim_id:string,label:string>>"
+_VOTE = (
+    "claim_id string, file_id string, seq int, fraud_score int, knn int, "
+    "matches array<struct<claim_id:string,label:string,similarity:double,pos:int>>"
+)
+_MATCHES = pa.list_(pa.struct([("claim_id", pa.string()), ("label", pa.string()), ("similarity", pa.float64()), ("pos", pa.int32())]))
 
 
 def knn_votes(
@@ -96,72 +117,87 @@ def knn_votes(
     ``queries`` has claim_id, file_id, seq, vec and, for as-of semantics, run_at:
     a run sees the newest ``per_label`` vectors of each label among those
     remembered before ``run_at``; without a time it sees the newest of all.
-    Output: claim_id, file_id, seq, fraud_score, knn, matches (array of
-    claim_id, label, similarity, pos).
-
-    The memory is cut into pages of ``per_label`` entries per label; what a run
-    sees lies on two neighbouring pages, so each query meets two pages of each
-    label, however long the memory is.
+    Output, one row per query: claim_id, file_id, seq, fraud_score, knn, matches
+    (array of claim_id, label, similarity, pos), nearest first, of equal ones the
+    earlier enrolment.  A query without a vector sees nothing; entries without one
+    are not seen.
+
+    ``memory`` either has the columns of ``with_intervals``, as the stream that
+    keeps them writes them, or gets them here.  Every ``per_label``-th entry of a
+    label starts a new epoch, and what runs of one epoch see is at most twice
+    ``per_label`` entries of each label (above MAX_EPOCHS times ``per_label`` entries of
+    a label: its share of an epoch and ``per_label`` more).  The driver gathers one
+    number an epoch, and how many queries each has.  A query
+    vector goes to the one group of its epoch and is voted on there; an entry goes
+    to the epochs that its interval touches.
     """
     time = F.coalesce(F.unix_micros("run_at"), F.lit(_ALWAYS)) if "run_at" in queries.columns else F.lit(_ALWAYS)
-    asked = queries.select("claim_id", "file_id", F.col("seq").cast("int").alias("seq"), "vec", time.cast("long").alias("run_at"))
-    entries = _numbered(memory).withColumn("page", F.floor(F.col("n") / per_label))
-    known = _known_before(entries, asked.select(F.col("run_at").alias("time")).distinct()).where("m > 0")
-    last = F.floor((F.col("m") - 1) / per_label)
-    first = F.floor(F.greatest(F.col("m") - per_label, F.lit(0)) / per_label)
-    pages = known.select(F.col("time").alias("run_at"), "label", "m", F.explode(F.sequence(first, last)).alias("page"))
-    meets = asked.join(pages, "run_at")
-    busy = meets.groupBy("label", "page").count().select("label", "page", F.ceil(F.col("count") / PAGE_QUERIES).alias("copies"))
-    meets = meets.join(busy, ["label", "page"]).withColumn("copy", F.pmod(F.xxhash64("file_id", "claim_id"), "copies")).drop("copies")
-    copied = entries.join(busy, ["label", "page"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
-
-    def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.rename(columns=lambda c: c.removeprefix("m_")).sort_values(["seq", "file_id"]).reset_index(drop=True)
-        vectors, owners, n = _matrix(right["vec"]), right["claim_id"].to_numpy(dtype=object), right["n"].to_numpy()
-        out = []
-        for at in range(0, len(left), 1024) if len(right) else ():
-            part = left.iloc[at : at + 1024]
-            sims = _dot(_matrix(part["vec"]), vectors)
-            m = part["m"].to_numpy()[:, None]
-            usable = (n[None, :] < m) & (n[None, :] >= m - per_label)
+    asked = queries.select("claim_id", "file_id", F.col("seq").cast("int").alias("seq"), "vec", time.cast("long").alias("time"))
+    held = memory if {"n", "since", "until"} <= set(memory.columns) else with_intervals(memory, per_label)
+    held = held.select("claim_id", "file_id", "label", "seq", "vec", "n", "since", F.coalesce("until", F.lit(_ALWAYS)).alias("until"))
+
+    cuts = _cuts(held, per_label)
+
+    @F.pandas_udf("long")
+    def epoch_of(times: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, times.to_numpy(np.int64)))
+
+    sizes = asked.groupBy("time").count().groupBy(epoch_of("time").alias("epoch")).agg(F.sum("count").alias("size")).toPandas()
+    copies = np.zeros(len(cuts) + 1, np.int64)
+    copies[sizes["epoch"].to_numpy(np.int64)] = -(-sizes["size"].to_numpy(np.int64) // EPOCH_QUERIES)
+    # groups of an epoch follow one another, and so do those of an interval
+    base = np.concatenate([[0], np.cumsum(copies)])
+
+    @F.pandas_udf("long")
+    def group_of(times: pd.Series, hashes: pd.Series) -> pd.Series:
+        epoch = np.searchsorted(cuts, times.to_numpy(np.int64))
+        return pd.Series(base[epoch] + hashes.to_numpy(np.int64) % copies[epoch])
+
+    @F.pandas_udf("long")
+    def first_group(since: pd.Series) -> pd.Series:
+        return pd.Series(base[np.searchsorted(cuts, since.to_numpy(np.int64), side="right")])
+
+    @F.pandas_udf("long")
+    def end_group(until: pd.Series) -> pd.Series:
+        return pd.Series(base[np.searchsorted(cuts, until.to_numpy(np.int64)) + 1])
+
+    left = asked.withColumn("group", group_of("time", F.xxhash64("file_id", "claim_id")))
+    spread = held.where(F.col("vec").isNotNull()).drop("n").withColumns({"first": first_group("since"), "end": end_group("until")})
+    right = spread.where("first < end").withColumn("group", F.explode(F.sequence("first", F.col("end") - 1))).drop("first", "end")
+
+    def score(ask: pa.Table, known: pa.Table) -> pa.Table:
+        ask = pa.concat_tables([ask.filter(ask["vec"].is_valid()), ask.filter(ask["vec"].is_null())])
+        known = known.sort_by([("seq", "ascending"), ("file_id", "ascending"), ("claim_id", "ascending"), ("label", "ascending")])
+        n = len(ask) - ask["vec"].null_count
+        vectors, since, until = _vectors(known["vec"]), known["since"].to_numpy(), known["until"].to_numpy()
+        owner = pd.factorize(np.concatenate([ask["claim_id"].to_numpy(), known["claim_id"].to_numpy()]))[0]
+        mine, theirs, times = owner[: len(ask)], owner[len(ask) :], ask["time"].to_numpy()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, n, 1024) if len(known) else ():
+            to = min(at + 1024, n)
+            sims = _dot(_vectors(ask["vec"].slice(at, to - at)), vectors)
+            usable = (since < times[at:to, None]) & (times[at:to, None] <= until)
             if exclude_self:
-                usable &= part["claim_id"].to_numpy(dtype=object)[:, None] != owners[None, :]
-            for i, (row, picks) in enumerate(zip(part.itertuples(), _nearest(sims, usable, k))):
-                found = [
-                    {"sim": float(sims[i, j]), "seq": int(right["seq"][j]), "file": right["file_id"][j], "claim_id": owners[j], "label": key[0]}
-                    for j in picks
-                ]
-                out.append((row.claim_id, row.file_id, row.seq, row.run_at, found))
-        return pd.DataFrame(out, columns=["claim_id", "file_id", "seq", "run_at", "found"])
-
-    keys = ["label", "page", "copy"]
-    other = copied.select(*[F.col(c).alias(f"m_{c}") for c in (*keys, "claim_id", "file_id", "seq", "n", "vec")])
-    parts = meets.groupBy(*keys).cogroup(other.groupBy(*[f"m_{c}" for c in keys])).applyInPandas(score, _VOTE)
-    # a query that sees nothing has a vote as well
-    none = asked.select("claim_id", "file_id", "seq", "run_at").withColumn("found", F.from_json(F.lit("[]"), parts.schema["found"].dataType))
-    each = parts.unionByName(none).groupBy("claim_id", "file_id", "seq", "run_at").agg(F.flatten(F.collect_list("found")).alias("found"))
-    # nearest first; of equal ones the earlier enrolment
-    ranked = F.array_sort(F.transform("found", lambda x: F.struct((-x["sim"]).alias("far"), x["seq"].alias("seq"), x["file"].alias("file"), x.alias("x"))))
-    each = each.withColumn("best", F.slice(ranked, 1, k))
-    knn = F.size("best")
-    fraud = F.size(F.filter("best", lambda b: b["x"]["label"] == "fraud"))
-    matches = F.transform(
-        "best",
-        lambda b, i: F.struct(
-            b["x"]["claim_id"].alias("claim_id"),
-            b["x"]["label"].alias("label"),
-            (F.floor(b["x"]["sim"] * 1000 + 0.5) / 1000).alias("similarity"),
-            i.alias("pos"),
-        ),
-    )
-    return each.select(
-        "claim_id",
-        "file_id",
-        "seq",
-        F.floor(100.0 * fraud / F.greatest(knn, F.lit(1)) + 0.5).cast("int").alias("fraud_score"),
-        knn.alias("knn"),
-        matches.alias("matches"),
-    )
+                usable &= mine[at:to, None] != theirs
+            rows, cols = _best(sims, usable, k)
+            found.append((rows + at, cols, sims[rows, cols]))
+        rows, cols, sims = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        knn = np.bincount(rows, minlength=len(ask))
+        offsets = np.concatenate([[0], np.cumsum(knn)])
+        picked = known.select(["claim_id", "label"]).take(pa.array(cols)).combine_chunks()
+        names = [pa.array(picked[c].to_pylist(), pa.string()) for c in ("claim_id", "label")]
+        fraud = np.bincount(rows, weights=np.array([x == "fraud" for x in names[1].to_pylist()], dtype=float), minlength=len(ask))
+        fields = [*names, pa.array(np.floor(sims * 1000 + 0.5) / 1000), pa.array((np.arange(len(rows)) - offsets[rows]).astype(np.int32))]
+        matches = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_MATCHES.value_type)))
+        vote = np.floor(100.0 * fraud / np.maximum(knn, 1) + 0.5).astype(np.int32)
+        return pa.table(
+            {
+                "claim_id": ask["claim_id"], "file_id": ask["file_id"], "seq": ask["seq"],
+                "fraud_score": pa.array(vote), "knn": pa.array(knn.astype(np.int32)), "matches": matches,
+            }
+        )
+
+    return left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(score, _VOTE)
 
 
 def similar_rows(votes: DataFrame) -> DataFrame:

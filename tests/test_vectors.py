@@ -68,8 +68,8 @@ def test_cap_applies_as_of_each_run(spark):
             assert [m.claim_id for m in got[f"q{i}"].matches] == [f"C{j}" for j in best], (cap, t)
 
 
-def test_busy_pages_are_split(spark, monkeypatch):
-    monkeypatch.setattr(VE, "PAGE_QUERIES", 3)
+def test_busy_epochs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(VE, "EPOCH_QUERIES", 3)
     test_cap_applies_as_of_each_run(spark)
 
 
