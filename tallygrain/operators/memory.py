@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallygrain import constants as C
 from tallygrain.functions.numeric import round_vector
 from tallygrain.operators.spread import first_per_key
+from tallygrain.operators.vectors import with_intervals
 
 PARTS = 64
 
@@ -41,6 +42,29 @@ def upsert_memory(memory: DataFrame, new: DataFrame, per_label: int = C.MEMORY_P
     return cap_memory(old.unionByName(kept), per_label)
 
 
+def advance_intervals(
+    standing: DataFrame, new: DataFrame, numbers: DataFrame, per_label: int = C.MEMORY_PER_LABEL
+) -> tuple[DataFrame, DataFrame]:
+    """Entries that stand (until is null) after the ``new`` ones came, with those that
+    end now, and the next number of each label.
+
+    ``numbers`` has label and next.  A claim's new entries end all its old ones; of
+    the rest an entry ends when ``per_label`` newer ones of its label stand.
+    """
+    fields = new.columns
+    later = new.groupBy("claim_id").agg(F.unix_micros(F.min("at")).alias("_at"))
+    replaced = standing.join(later, "claim_id").withColumn("until", F.greatest("since", "_at")).drop("_at")
+    kept = standing.join(later, "claim_id", "left_anti").select(*fields, "n")
+    counted = with_intervals(new, per_label).join(numbers, "label", "left")
+    fresh = counted.select(*fields, (F.col("n") + F.coalesce("next", F.lit(0))).alias("n"))
+    capped = with_intervals(kept.unionByName(fresh).withColumnRenamed("n", "number"), per_label)
+    rows = replaced.unionByName(capped.drop("n").withColumnRenamed("number", "n"))
+    come = new.groupBy("label").agg(F.count("*").alias("_come"))
+    nexts = numbers.join(come, "label", "full_outer")
+    total = F.coalesce("next", F.lit(0)) + F.coalesce("_come", F.lit(0))
+    return rows, nexts.select("label", total.cast("long").alias("next"))
+
+
 def verdict_label(verdict: Column) -> Column:
     """Label after a computed verdict."""
     return F.when(verdict == "AI_APPROVED", "genuine").otherwise("fraud")

@@ -25,6 +25,7 @@ from tallygrain.operators import kpi, maintain, memory as M, neardup
 from tallygrain.operators.guard import judge
 from tallygrain.operators.photoindex import PhotoIndex
 from tallygrain.operators.trail import payload_column, sealable, sha2_text
+from tallygrain.operators.vectors import with_intervals
 from tallygrain.plans.verify import ClaimTables, verify_claims
 from tallygrain.schemas import RUNS
 from tallygrain.session import work_dir
@@ -348,6 +349,52 @@ def memory_upkeep(
     return _latest_version(spark, folder, start)
 
 
+def memory_history(
+    labelled: DataFrame, vectors: DataFrame, start: DataFrame, source: str, folder: str | None = None,
+    per_label: int = C.MEMORY_PER_LABEL,
+) -> DataFrame:
+    """The memory with the interval of every entry, kept as decisions come.
+
+    Returns memory rows with n, since and until as ``vectors.with_intervals`` gives
+    them; ``knn_votes`` takes them as they are and shows each run the memory of its
+    time, replaced entries as well.  An entry ends when a newer decision on its
+    claim comes or ``per_label`` newer ones of its label stand.  A micro-batch reads
+    and writes only the entries that stand; those that ended are appended once.  In
+    a micro-batch replacement comes first, then the cap; a decision that comes late
+    counts from its time, but does not bring back what ended.
+    """
+    spark = labelled.sparkSession
+    folder = folder or work_dir(spark, "memory-history")
+    begun = with_intervals(start, per_label).select(*start.columns, "n", "since", "until")
+    shape = begun.schema
+
+    saved = T.StructType([*shape.fields, T.StructField("version", T.LongType()), T.StructField("ended", T.BooleanType())])
+
+    def entries() -> DataFrame:
+        return spark.read.schema(saved).parquet(f"{folder}/entries")
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        rows = rows.select(*shape.names, F.col("until").isNotNull().alias("ended"))
+        rows.write.partitionBy("ended").mode("overwrite").parquet(f"{folder}/entries/version={epoch}")
+
+    def numbers(epoch: int) -> DataFrame:
+        return spark.read.schema("label string, next long").parquet(f"{folder}/numbers/version={epoch}")
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        standing = entries().where(~F.col("ended") & (F.col("version") == epoch - 1)).select(*shape.names)
+        last = maintain.newest(batch.select("claim_id", "label", "at"), ["claim_id"], [F.col("at"), F.col("label")])
+        new = M.enrol(last, vectors, source, F.lit(None)).drop("at").join(last.select("claim_id", "at"), "claim_id")
+        rows, nexts = M.advance_intervals(standing, new.select(*start.columns), numbers(epoch - 1), per_label)
+        write(rows, epoch)
+        nexts.write.mode("overwrite").parquet(f"{folder}/numbers/version={epoch}")
+
+    write(begun, -1)
+    begun.groupBy("label").agg((F.max("n") + 1).alias("next")).write.mode("overwrite").parquet(f"{folder}/numbers/version=-1")
+    drain_batches(labelled, handle, folder)
+    latest = entries().agg(F.max("version")).scalar()
+    return entries().where(F.col("ended") | (F.col("version") == latest)).select(*shape.names)
+
+
 def _latest_version(spark: SparkSession, folder: str, start: DataFrame) -> DataFrame:
     saved = (
         spark.read.schema(_with(start.schema, "version"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrain.operators import memory as ME, trail as TR
+from tallygrain.operators.vectors import knn_votes
 from tallygrain.schemas import IMAGE_VECTORS, MEMORY
 from tallygrain.streaming import jobs as ST
 
@@ -77,6 +78,31 @@ def test_memory_versions(spark, tmp_path):
     assert got == {("A", "a1"): ("genuine", 0.12346), ("B", "b1"): ("fraud", 2.0)}
 
 
+def test_memory_history_shows_each_run_the_memory_of_its_time(spark, tmp_path):
+    """One decision a batch; a cap of two; B is decided twice, with another label."""
+    start = spark.createDataFrame([("S", "s0", "fraud", "seed", [9.0, 1.0], dt.datetime(2024, 1, 1), 0)], MEMORY)
+    decisions = [("A", "fraud"), ("B", "fraud"), ("B", "genuine"), ("D", "fraud")]
+    vectors = spark.createDataFrame([(f"{c.lower()}1", c, i, "photo", [float(i + 1), 1.0]) for i, c in enumerate("ABD")], IMAGE_VECTORS)
+    schema = "claim_id string, label string, at timestamp"
+    for day, (claim, label) in enumerate(decisions, 2):
+        spark.createDataFrame([(claim, label, dt.datetime(2024, 1, day))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = ST.read_files(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, 1)
+    kept = ST.memory_history(stream, vectors, start, "human", str(tmp_path / "history"), 2)
+    memory, shown = {"S": ("fraud", 1)}, {1: set()}
+    for day, (claim, label) in enumerate(decisions, 2):
+        shown[day] = {(c, lab) for c, (lab, _) in memory.items()}
+        memory[claim] = (label, day)
+        for lab in ("fraud", "genuine"):
+            for c in sorted((c for c in memory if memory[c][0] == lab), key=lambda c: memory[c][1])[:-2]:
+                del memory[c]
+    shown[6] = {(c, lab) for c, (lab, _) in memory.items()}
+    asked = spark.createDataFrame([("Q", f"q{d}", 1, [1.0, 1.0], dt.datetime(2024, 1, d)) for d in shown], "claim_id string, file_id string, seq int, vec array<float>, run_at timestamp")
+    got = {r.file_id: {(m.claim_id, m.label) for m in r.matches} for r in knn_votes(asked, kept, per_label=2).collect()}
+    assert got == {f"q{d}": s for d, s in shown.items()}
+    assert {(r.claim_id, r.label) for r in kept.where("until IS NULL").collect()} == shown[6]
+    assert kept.groupBy("label", "n").count().where("count > 1").isEmpty()
+
+
 def test_intake_goes_on_after_a_failure(spark, tmp_path):
     from test_verify import story
     from tallygrain.plans.verify import verify_claims
