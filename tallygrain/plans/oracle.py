@@ -652,7 +652,7 @@ _add("st2_sealing", ORACLES["win2_trail_sealing"][len(VIEWS):])
 _add("st5_audit_forever", ORACLES["agg12_audit_dedup"][len(VIEWS):])
 _add("st5_audit_append", f"SELECT claim_id, status, ts FROM ({ORACLES['agg12_audit_dedup'][len(VIEWS):]})")
 _add("st6_late_evidence", ORACLES["set2_st6_addendum"][len(VIEWS):])
-_add("st8_live_kpi", f"SELECT * EXCLUDE (verification_p50_ms) FROM ({ORACLES['agg1_agg2_kpi_strip'][len(VIEWS):]})")
+_add("st8_live_kpi", ORACLES["agg1_agg2_kpi_strip"][len(VIEWS):])
 _add("st4_intake_velocity", f"""SELECT user_id, {_SEC.format(t="CAST(CAST(ts AS DATE) AS TIMESTAMP)")} AS window_start, count(*) AS n
   FROM events GROUP BY user_id, CAST(ts AS DATE) HAVING count(*) > 3""")
 _KINDS = """SELECT *, CASE WHEN event_type = 'purchase' THEN 'pay' WHEN event_type IN ('view', 'signup') THEN 'verdict' ELSE 'human' END AS kind,

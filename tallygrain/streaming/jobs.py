@@ -224,18 +224,37 @@ def audit_forever(records: DataFrame, folder: str) -> DataFrame:
 
 
 def live_kpi(claims: DataFrame, now: Column, folder: str | None = None) -> DataFrame:
-    """Key figures kept up to date by a stream; the table holds the latest row."""
+    """Key figures kept up to date by a stream, the median duration among them.
+
+    Each micro-batch adds its figures to those before, and its durations to a table
+    of how often each occurs; so the state is one row and as many as there are
+    different durations, and a repeated batch writes the same version again.
+    """
     spark = claims.sparkSession
     folder = folder or work_dir(spark, "kpi")
-    figures = claims.agg(*kpi.kpi_columns(now))
 
-    def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/figures/epoch={epoch}")
+    def version(rows: DataFrame, name: str, epoch: int, add: Callable[[DataFrame], DataFrame]) -> None:
+        if epoch >= 0:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{folder}/{name}/version={epoch - 1}"))
+        add(rows).write.mode("overwrite").parquet(f"{folder}/{name}/version={epoch}")
 
-    drain_batches(figures, save, folder, mode="complete")
-    saved = spark.read.schema(_with(figures.schema, "epoch")).parquet(f"{folder}/figures")
-    latest = saved.agg(F.max("epoch")).scalar()
-    return saved.where(F.col("epoch") == latest).drop("epoch")
+    def durations(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("duration_ms").agg(F.sum("n").alias("n"))
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        version(batch.agg(*kpi.kpi_columns(now)), "figures", epoch, kpi.merged_kpi)
+        version(batch.select(F.col("duration_ms").cast("long").alias("duration_ms"), F.lit(1).cast("long").alias("n")), "durations", epoch, durations)
+
+    # figures of no claims, so that a stream without a batch has some
+    none = spark.createDataFrame([], claims.schema)
+    save(none, -1)
+    drain_batches(claims, save, folder)
+    shape = _with(none.agg(*kpi.kpi_columns(now)).schema, "version")
+    saved = spark.read.schema(shape).parquet(f"{folder}/figures")
+    latest = saved.agg(F.max("version")).first()[0]
+    counts = spark.read.schema("duration_ms long, n long").parquet(f"{folder}/durations/version={latest}")
+    figures = saved.where(F.col("version") == latest).drop("version")
+    return figures.withColumn("verification_p50_ms", kpi.counted_median(counts, "duration_ms", "n"))
 
 
 # --- intake, late evidence, memory ---------------------------------------------

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallygrain.operators import memory as ME, trail as TR
+from tallygrain.operators import kpi as KPI, memory as ME, trail as TR
 from tallygrain.operators.vectors import knn_votes
 from tallygrain.schemas import IMAGE_VECTORS, MEMORY
 from tallygrain.streaming import jobs as ST
@@ -244,3 +244,26 @@ def test_intake_with_a_stored_index_finds_what_came_two_batches_ago(spark, tmp_p
     stage = {r.claim_id: {s.stage: s for s in r.stages}["DUPLICATE_PHASH"] for r in runs.collect()}
     assert failed.count() == 0 and {c: s.result for c, s in stage.items()} == {"CLM-4102": "PASS", "CLM-8920": "PASS", "CLM-8919": "FAIL", "CLM-8930": "PASS"}
     assert "CLM-4102" in stage["CLM-8919"].details
+
+
+def test_live_figures_hold_the_median_over_all_batches(spark, tmp_path):
+    schema = "id string, status string, amount_requested long, submitted_at timestamp, duration_ms int"
+    at = dt.datetime(2024, 1, 1)
+    parts = [[5, 90_000, None, 7], [7, 30_000], [12, 12, 12]]
+    for i, part in enumerate(parts):
+        rows = [(f"C{i}{j}", "PAID" if j else "AI_FLAGGED", 10, at, d) for j, d in enumerate(part)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    shape = spark.createDataFrame([], schema).schema
+    stream = ST.read_files(spark, f"{tmp_path}/in", shape, 1)
+    got = ST.live_kpi(stream, F.lit(at), str(tmp_path / "kpi")).first()
+    want = KPI.kpi_strip(spark.read.schema(shape).parquet(f"{tmp_path}/in"), F.lit(at)).first()
+    assert got.asDict() == want.asDict() and got.verification_p50_ms == 12 and got.total == 9
+
+
+@pytest.mark.parametrize("values", [[], [3], [3, 3], [1, 2], [10_000, 9_999, 20_000, 20_001], [-5, 5, 5, 40_000], [None, 1]])
+def test_counted_median_equals_the_plain_one(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "v long")
+    counts = rows.groupBy("v").agg(F.count("*").alias("n"))
+    got = spark.range(1).select(KPI.counted_median(counts, "v", "n").alias("m")).first().m
+    known = sorted(v for v in values if v is not None)
+    assert got == rows.agg(KPI.upper_median("v").alias("m")).first().m == (known[len(known) // 2] if known else None)
