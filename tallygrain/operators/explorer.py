@@ -11,17 +11,25 @@ from tallygrain.functions.digest import Digest, claim_key, sha2_digest
 from tallygrain.functions.timefn import epoch_to_iso
 
 
+HASHES = ("claim_key", "state_hash", "record_hash", "prev_record_hash", "tx_hash")
+
+
 def sealed_events(trail: DataFrame, digest: Digest = sha2_digest) -> DataFrame:
-    """Trail rows as log events: claim id hashed, with block number and log index.
+    """Trail rows as log events: claim id hashed, with tx_hash, block_number and log_index.
 
-    Blocks follow time: one block per minute.
+    Of these three the trail's own columns are taken.  Where it has none, the
+    transaction is the record's digest, blocks follow time, one a minute, and the
+    index is the record's number.
     """
+    stand_ins = {
+        "tx_hash": digest(F.concat(F.col("record_hash"), F.lit("tx"))),
+        "block_number": F.floor(F.col("ts") / 60).cast("long"),
+        "log_index": F.col("seq").cast("long"),
+    }
     return trail.select(
         claim_key(F.col("claim_id"), digest).alias("claim_key"),
         *[c for c in trail.columns if c != "claim_id"],
-        digest(F.concat(F.col("record_hash"), F.lit("tx"))).alias("tx_hash"),
-        F.floor(F.col("ts") / 60).cast("long").alias("block_number"),
-        F.col("seq").cast("long").alias("log_index"),
+        *[value.alias(name) for name, value in stand_ins.items() if name not in trail.columns],
     )
 
 
@@ -63,9 +71,8 @@ def search_events(
         hit = F.lower("claim_key") == F.lower(claim_key(F.lit(q.upper()), digest))
         ref = F.lit(q.upper())
     elif kind == "hash":
-        columns = ["claim_key", "state_hash", "record_hash", "prev_record_hash", "tx_hash"]
         hit = F.lit(False)
-        for c in columns:
+        for c in HASHES:
             hit = hit | (F.lower(c) == q.lower())
         ref = F.lit(None).cast("string")
     else:

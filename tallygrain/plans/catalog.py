@@ -29,6 +29,7 @@ from tallygrain.operators import (
     validate as VA,
     vectors as VE,
 )
+from tallygrain.operators.eventindex import EventIndex
 from tallygrain.plans import explain as EP, verify as VP
 from tallygrain.session import configure, work_dir
 from tallygrain.schemas import EVENTS_RAW, LINEITEM_RAW, ORDERS_RAW
@@ -380,6 +381,16 @@ def jn11_event_search(spark, d):
     return by_claim.select(_long("seq").alias("seq"), *cols).unionByName(by_hash.select(_long("seq").alias("seq"), *cols))
 
 
+@query
+def jn11_indexed_search(spark, d):
+    """The same searches through a stored index of hashes."""
+    index = EventIndex(spark, work_dir(spark, "event-index"), 32)
+    index.append(EX.sealed_events(_sealed(spark, d)), 0)
+    cols = ["interpreted_as", "claim_key", "state_hash", "status"]
+    found = [index.search(q).select(_long("seq").alias("seq"), *cols) for q in ("clm-5", "0x" + "0" * 64)]
+    return found[0].unionByName(found[1])
+
+
 @query
 def jn12_claim_reference(spark, d):
     rows = V.trail_input(spark, d).withColumns({"prev_record_hash": F.lit(""), "record_hash": F.lit("")})

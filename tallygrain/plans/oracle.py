@@ -382,6 +382,7 @@ _add("jn10_reflectance_window", """SELECT tile_id, CAST(event_date AS VARCHAR) A
   round(red_post, 6) AS red_post, round(nir_post, 6) AS nir_post FROM refl""")
 _add("jn11_event_search", """SELECT seq, 'claimId' AS interpreted_as, '0x' || sha256(claim_id) AS claim_key, state_hash, status FROM sealed WHERE claim_id = 'CLM-5'
   UNION ALL SELECT seq, 'hash', '0x' || sha256(claim_id), state_hash, status FROM sealed WHERE seq = 0""")
+_add("jn11_indexed_search", ORACLES["jn11_event_search"][len(VIEWS):])
 _add("jn12_claim_reference", """SELECT '0x' || sha256(claim_id) AS claim_key, c.id AS claim_ref, count(*) AS n
   FROM trail t LEFT JOIN claims c ON c.id = t.claim_id GROUP BY 1, 2""")
 _LABEL = f"CASE WHEN status IN {_in(C.GENUINE_STATUSES)} THEN 'genuine' WHEN status IN {_in(C.FRAUD_STATUSES)} THEN 'fraud' END"

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallygrain.operators import explorer as EX, history as HI, maintain as MT, validate as VA
+from tallygrain.operators.eventindex import EventIndex
 from tallygrain.schemas import CLAIMS
 from tallygrain.sources import files as SF, snapshots as SN
 
@@ -51,6 +52,27 @@ def test_history_search_wildcards_and_case(spark):
     assert ids("kumar") == {"CLM-1"} and ids("clm-_") == {"CLM-1", "CLM-2"} and ids("a\\b") == {"CLM-1"} and ids("ÜNAL") == {"CLM-1"}
 
 
+def test_indexed_search_equals_the_plain_one_and_reads_one_bucket(spark, tmp_path):
+    zero = "0x" + "0" * 64
+    h = lambda i: "0x" + f"{i:064X}"
+    rows = [(f"CLM-{i % 5}", i // 5, h(i), zero if i < 5 else h(100 + i - 5), h(100 + i), "PAID", 60 * i) for i in range(40)]
+    rows.append(("CLM-9", 0, h(3), None, h(3), "PAID", 9_999))  # one hash in two columns, and a missing one
+    trail = spark.createDataFrame(rows, "claim_id string, seq long, state_hash string, prev_record_hash string, record_hash string, status string, ts long")
+    events = EX.sealed_events(trail)
+    index = EventIndex(spark, str(tmp_path), 16)
+    for epoch, part in enumerate(["ts < 1000", "ts >= 1000", "ts >= 1000"]):
+        index.append(events.where(part), min(epoch, 1))  # the last batch comes twice
+    key = events.where("ts = 60").first()
+    for query in ("clm-3", " CLM-77 ", zero, h(3), h(117), h(999), key.claim_key, key.tx_hash, "what"):
+        got, want = index.search(query), EX.search_events(events, query)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), query
+    plan = index.search(h(117))._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(bucket" in plan and "dynamicpruning" in plan.lower()
+    # a trail's own block and transaction count
+    own = EX.sealed_events(trail.withColumns({"block_number": F.lit(7).cast("long"), "tx_hash": F.lit(h(5))})).first()
+    assert (own.block_number, own.tx_hash) == (7, h(5))
+
+
 def test_search_by_any_hash(spark):
     h = "0x" + "ab" * 32
     trail = spark.createDataFrame([("A", 0, h, "0x1", "0x2", "PAID", 60), ("B", 0, "0x3", h, "0x4", "PAID", 120)],
