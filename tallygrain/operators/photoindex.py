@@ -21,6 +21,7 @@ from tallygrain.operators.spread import first_per_key
 GROUPS = "mask long, bits long, created_at timestamp, claim_id string, file_id string, code long, epoch int, bucket int"
 BLOCKS = "key long, code long, epoch int, bucket int"
 WHOLE = -1  # the mask that looks at every bit
+FEW_KEYS = 100_000  # keys of a batch that go to every task instead of shuffling what is stored
 
 
 def _chunk_masks() -> list[int]:
@@ -54,16 +55,29 @@ class PhotoIndex:
     def _bucket(self, *key: str) -> Column:
         return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
 
-    def _read(self, name: str, schema: str, asked: DataFrame | None = None) -> DataFrame:
+    def _touched(self, asked: DataFrame) -> dict[int, int]:
+        """How many keys fall into each bucket: at most ``buckets`` small numbers, whatever the number of pictures."""
+        return {r["bucket"]: r["count"] for r in asked.groupBy("bucket").count().collect()}
+
+    def _read(self, name: str, schema: str, asked: DataFrame | dict[int, int] | None = None) -> DataFrame:
         rows = self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}")
         if self.upto is not None:
             rows = rows.where(F.col("epoch") <= self.upto)
         if asked is not None:
-            # at most ``buckets`` small numbers, whatever the number of pictures
-            touched = [r[0] for r in asked.select("bucket").distinct().collect()]
-            rows = rows.where(F.col("bucket").isin(touched))
+            rows = rows.where(F.col("bucket").isin([*(asked if isinstance(asked, dict) else self._touched(asked))]))
         return rows
 
+    def _meet(self, asked: DataFrame, name: str, schema: str, on: list[str]) -> DataFrame:
+        """``asked`` with the stored rows of the same ``on``, their hashes as ``other``.
+
+        Only the buckets asked for are read.  Spark takes exploded keys for as few as
+        the hashes they come from, so the count decides whether they go to every task.
+        """
+        touched = self._touched(asked)
+        rows = self._read(name, schema, touched).drop("epoch").withColumnRenamed("code", "other")
+        few = sum(touched.values()) <= FEW_KEYS
+        return asked.hint("broadcast").join(rows, on) if few else asked.join(rows.hint("merge"), on)
+
     def append(self, photos: DataFrame, epoch: int) -> None:
         """Store a batch (claim_id, file_id, p_hash, created_at); the same epoch again replaces it."""
         rows = photos.select("claim_id", "file_id", "created_at", ND.code(F.col("p_hash")).alias("code"))
@@ -99,14 +113,14 @@ class PhotoIndex:
         if runs is None:
             asked = asked.withColumn("run_at", F.lit(None).cast("timestamp"))
         else:
-            asked = asked.join(runs.select("claim_id", "run_at"), "claim_id")
+            asked = asked.hint("merge").join(runs.select("claim_id", "run_at"), "claim_id")
         asked = ND.stored(asked, "index-asked")
 
         near = self._groups_met(asked.select("code").distinct(), _chunk_masks()).withColumn("tier", (F.col("mask") != WHOLE).cast("int"))
         first = ND.stored(self._best(asked, near), "index-first")
         left = asked.join(first.select("claim_id", "code"), ["claim_id", "code"], "left_anti")
         second = self._best(left, self._blocks_met(left.select("code").distinct()).withColumn("tier", F.lit(2)))
-        found = mine.join(first.unionByName(second), ["claim_id", "code"])
+        found = mine.hint("merge").join(first.unionByName(second), ["claim_id", "code"])
         return found.select(
             "claim_id", "file_id", *extra, "tier",
             F.col("hit.claim_id").alias("match_claim_id"), F.col("hit.file_id").alias("match_file_id"),
@@ -117,19 +131,17 @@ class PhotoIndex:
         """(code, mask, created_at, claim_id, file_id, other): entries that share the bits under a mask."""
         asked = codes.select("code", _masked().alias("m")).select("code", "m.mask", "m.bits").where(F.col("mask").isin(masks))
         asked = asked.withColumn("bucket", self._bucket("mask", "bits"))
-        rows = self._read("groups", GROUPS, asked).withColumnRenamed("code", "other").drop("epoch")
-        return asked.join(rows, ["bucket", "mask", "bits"]).drop("bucket", "bits")
+        return self._meet(asked, "groups", GROUPS, ["bucket", "mask", "bits"]).drop("bucket", "bits")
 
     def _blocks_met(self, codes: DataFrame) -> DataFrame:
         """(code, created_at, claim_id, file_id, other): entries of hashes that agree in enough blocks."""
         asked = codes.select("code", F.explode(ND.block_keys(F.col("code"), self.blocks)).alias("key"))
         asked = asked.withColumn("bucket", self._bucket("key"))
-        rows = self._read("blocks", BLOCKS, asked).select("bucket", "key", F.col("code").alias("other"))
         apart = F.bit_count(F.col("code").bitwiseXOR(F.col("other")))
-        pairs = asked.join(rows, ["bucket", "key"]).where((apart <= C.PHASH_CROSS) & (apart > 0)).select("code", "other").distinct()
+        pairs = self._meet(asked, "blocks", BLOCKS, ["bucket", "key"]).where((apart <= C.PHASH_CROSS) & (apart > 0)).select("code", "other").distinct()
         pairs = ND.stored(pairs, "index-pairs")
         entries = self._groups_met(pairs.select(F.col("other").alias("code")).distinct(), [WHOLE])
-        return pairs.join(entries.drop("code", "mask"), "other")
+        return pairs.hint("merge").join(entries.drop("code", "mask"), "other")
 
     def _best(self, asked: DataFrame, near: DataFrame) -> DataFrame:
         """(claim_id, code, tier, hit): the earliest known entry of another claim in the lowest tier."""
@@ -137,7 +149,7 @@ class PhotoIndex:
         # a hash's own crowd is cut to two claims before it meets the claims that ask
         two = _two_earliest(near.withColumnRenamed("of", "claim_id").withColumnRenamed("code", "asked").withColumnRenamed("other", "code"), ["asked", "tier"])
         two = two.select(F.col("asked").alias("code"), "tier", F.struct("created_at", "claim_id", "file_id", "code").alias("e"))
-        met = asked.join(two, "code").where(
+        met = asked.hint("merge").join(two, "code").where(
             (F.col("e.claim_id") != F.col("claim_id")) & (F.col("run_at").isNull() | (F.col("e.created_at") <= F.col("run_at")))
         )
         best = met.groupBy("claim_id", "code").agg(F.min(F.struct("tier", "e")).alias("b"))

@@ -183,3 +183,28 @@ def test_foreign_counts_equal_brute_force(spark):
     assert got == {
         c: (sum(r[0] == c for r in rows), sum(r[0] != c and (at is None or r[3] <= at) for r in rows)) for c, at in run_at.items()
     }
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_keys_do_not_go_through_the_driver(spark, tmp_path, monkeypatch):
+    """Spark takes the keys of a hash for one row, so by its own count it would broadcast them all."""
+    photos = frame(spark, crowd(6)).withColumn("seq", F.lit(1))
+    codes = ND.stored(photos.select(ND.code(F.col("p_hash")).alias("code")).distinct(), "codes")
+    for out in (ND.block_matches(codes, codes), ND.near_duplicates(photos), ND.within_claim(photos)):
+        assert "BroadcastExchange" not in plan(out)
+    index = PhotoIndex(spark, str(tmp_path / "index"), blocks=7, buckets=2)
+    index.append(photos, 0)
+    few = index_rows(index.duplicates(photos))
+    monkeypatch.setattr(PI, "FEW_KEYS", 0)
+    assert "BroadcastExchange" not in plan(index._blocks_met(codes)) + plan(index._groups_met(codes, PI._chunk_masks()))
+    assert index_rows(index.duplicates(photos)) == few
+
+
+def test_keys_of_a_small_batch_spare_the_archive_a_shuffle(spark, tmp_path):
+    index = PhotoIndex(spark, str(tmp_path / "index"), blocks=7, buckets=2)
+    photos = frame(spark, crowd(6))
+    index.append(photos, 0)
+    assert "BroadcastExchange" in plan(index._groups_met(photos.select(ND.code(F.col("p_hash")).alias("code")), [PI.WHOLE]))
