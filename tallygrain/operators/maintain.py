@@ -9,7 +9,7 @@ from tallygrain.functions.digest import Digest, packed, sha2_digest, state_hash
 from tallygrain.operators.guard import may_reopen, payout_code, walk_requests
 from tallygrain.operators.memory import human_label
 from tallygrain.operators.merkle import merkle_roots
-from tallygrain.operators.spread import dense_sequence
+from tallygrain.operators.spread import dense_sequence, first_per_key
 
 KEPT_ON_UPDATE = ["submitted_at", "assigned_to"]
 PLACES = 256  # file numbers that are sorted together
@@ -45,8 +45,12 @@ def upsert_claims(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def insert_absent(old: DataFrame, new: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Only rows whose key is new; of several new ones the first stays."""
-    return oldest(new, [key], order).join(old.select(key), key, "left_anti").select(*old.columns)
+    """Only rows whose key is new; of several new ones the first stays.
+
+    Known keys go first and rows are ranked column by column, not packed, so that
+    only the columns somebody reads are shuffled and sorted.
+    """
+    return first_per_key(new.join(old.select(key), key, "left_anti"), [key], order, 1).select(*old.columns)
 
 
 def fill_gaps(stored: DataFrame, spare: DataFrame, key: str = "id") -> DataFrame:
