@@ -58,7 +58,7 @@ def last_papers(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
     order = F.struct("seq", "file_id")
     readable = F.length(F.coalesce("text", F.lit(""))) > 0
     return (
-        evidence.join(ocr.select("file_id", "text"), "file_id", "left")
+        evidence.join(ocr.select("file_id", "text").hint("merge"), "file_id", "left")
         .groupBy("claim_id", "kind")
         .agg(
             F.count("*").alias("n_files"),
@@ -81,7 +81,8 @@ def claim_features(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
     Files meet their text once; each text is parsed where it is read, and only
     the small structs go into the one aggregation by claim.
     """
-    files = evidence.join(ocr.select("file_id", "text", "hindi"), "file_id", "left").withColumn(
+    # merge: by the packed size of its files Spark would take the texts for few enough to send to the driver
+    files = evidence.join(ocr.select("file_id", "text", "hindi").hint("merge"), "file_id", "left").withColumn(
         "text", F.coalesce("text", F.lit(""))
     )
     kind, text, read = F.col("kind"), F.col("text"), F.length("text") > 0
@@ -273,6 +274,6 @@ def evidence_list(evidence: DataFrame) -> DataFrame:
 
 def text_snippets(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
     """Start of every text read, shorter for plain files than for farmer papers."""
-    files = evidence.join(ocr.where(F.length("text") > 0).select("file_id", "text"), "file_id")
+    files = evidence.join(ocr.where(F.length("text") > 0).select("file_id", "text").hint("merge"), "file_id")
     limit = F.when(F.col("kind").isin(*C.FARMER_DOCS), 2000).otherwise(1500)
     return files.select("claim_id", "file_id", "kind", F.substring("text", F.lit(1), limit).alias("snippet"))

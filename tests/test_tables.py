@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallygrain.operators import explorer as EX, history as HI, maintain as MT, validate as VA
+from tallygrain.operators import documents as D
 from tallygrain.operators.eventindex import EventIndex
 from tallygrain.schemas import CLAIMS
 from tallygrain.sources import files as SF, snapshots as SN
@@ -194,3 +195,11 @@ def test_evidence_digest_tells_missing_fields_and_separators_apart(spark):
     found = {r["claim_id"]: r for r in MT.claim_digests(spark.createDataFrame(rows, schema)).collect()}
     assert len({found[c]["evidence_digest"] for c in "ABCDEFH"}) == 7
     assert found["F"]["evidence_digest"] == found["G"]["evidence_digest"] and found["F"]["n_files"] == 600
+
+
+def test_texts_of_files_do_not_go_through_the_driver(spark):
+    exif = "struct<present: boolean, software: string, gps: struct<lat: double, lon: double>>"
+    evidence = spark.createDataFrame([("A", "f1", "bill", 1, "bill.pdf", None)], f"claim_id string, file_id string, kind string, seq int, filename string, exif {exif}")
+    ocr = spark.createDataFrame([("f1", "policy MH-99-0001 claim amount 500", False)], "file_id string, text string, hindi boolean")
+    for out in (D.claim_features(evidence, ocr), D.last_papers(evidence, ocr), D.text_snippets(evidence, ocr)):
+        assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
