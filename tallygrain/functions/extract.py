@@ -15,7 +15,7 @@ from pyspark.sql import Column, functions as F
 
 from tallygrain.functions import patterns as P
 from tallygrain.functions.numeric import half_up, round_to
-from tallygrain.functions.text import ascii_digits, flatten, is_hindi, let, none_if_empty, plain_blanks
+from tallygrain.functions.text import flatten, is_hindi, let, none_if_empty, plain_blanks, plain_signs
 
 
 def _find(text: Column, pattern: str, group: int = 1) -> Column:
@@ -91,7 +91,7 @@ def identity_card(text: Column) -> Column:
 
     texts = let(
         plain_blanks(text),
-        lambda t: F.struct(t.alias("raw"), F.regexp_replace(ascii_digits(t), r"\s+", " ").alias("flat")),
+        lambda t: F.struct(t.alias("raw"), F.regexp_replace(plain_signs(t), r"\s+", " ").alias("flat")),
     )
     return _with_confidence(
         let(_searched(texts), fields),
@@ -125,7 +125,7 @@ def _owner(s: Column) -> Column:
 
 
 def _flat(text: Column) -> Column:
-    return F.struct(flatten(ascii_digits(text)).alias("flat"))
+    return F.struct(F.regexp_replace(plain_signs(text), r"\s+", " ").alias("flat"))
 
 
 def land_record_owner(text: Column) -> Column:
@@ -184,7 +184,7 @@ def policy_paper(text: Column) -> Column:
         )
 
     texts = let(
-        ascii_digits(plain_blanks(text)),
+        plain_signs(text),
         lambda t: F.struct(t.alias("text"), F.regexp_replace(t, r"\s+", " ").alias("flat")),
     )
     return _with_confidence(

@@ -6,6 +6,9 @@ Columns are added step by step so that each one is computed once.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrain.functions import patterns as P
@@ -13,16 +16,19 @@ from tallygrain.functions.extract import land_record_owner
 from tallygrain.functions.text import name_tokens, plain_blanks, token_match, token_score, transliterate
 from tallygrain import constants as C
 
-_TMP = ["_deed", "_latin", "_a", "_cands", "_scored", "_best_c", "_words", "_masks", "_best_w", "_first", "_owner"]
+_TMP = ["_low", "_latin", "_a", "_cands", "_scored", "_best_c", "_words", "_near", "_masks", "_starts", "_best_w", "_first", "_owner"]
+
 
+def _mask(word: Column, tokens: Column, near: Column) -> Column:
+    """Bit i is set when the word matches card token i; -1 marks an honorific.
 
-def _mask(word: Column, tokens: Column) -> Column:
-    """Bit i is set when the word matches card token i; -1 marks an honorific."""
+    ``near`` holds the words that match any token.
+    """
     bits = F.transform(
         tokens, lambda a, i: F.when(token_match(a, word), F.call_function("shiftleft", F.lit(1), i)).otherwise(0)
     )
     any_bits = F.aggregate(bits, F.lit(0), lambda acc, b: acc.bitwiseOR(b))
-    return F.when(word.isin(*C.NAME_STOPS), F.lit(-1)).otherwise(any_bits)
+    return F.when(word.isin(*C.NAME_STOPS), F.lit(-1)).when(F.array_contains(near, word), any_bits).otherwise(F.lit(0))
 
 
 def _window_score(masks: list[Column], n_tokens: Column) -> Column:
@@ -41,8 +47,9 @@ def with_identity(df: DataFrame, card_name: str, card_name_deva: str, deed_text:
     """Add ``identity``: struct(matched, inconclusive, score, aadhaar_name,
     registry_name, transliterated, detail)."""
     holder = F.coalesce(F.col(card_name), F.col(card_name_deva))
+    before_kin = F.regexp_extract_all(plain_blanks(F.col(deed_text)), F.lit(P.DEED_PERSON_LINES), F.lit(1))
     out = (
-        df.withColumn("_deed", plain_blanks(F.col(deed_text)))
+        df.withColumn("_low", F.lower(F.col(deed_text)))
         .withColumn("_owner", land_record_owner(F.col(deed_text)))
         .withColumn("_latin", transliterate(holder))
         .withColumn("_a", name_tokens(F.col("_latin")))
@@ -52,7 +59,10 @@ def with_identity(df: DataFrame, card_name: str, card_name_deva: str, deed_text:
             F.array_compact(
                 F.concat(
                     F.array(F.col("_owner")),
-                    F.transform(F.regexp_extract_all(F.col("_deed"), F.lit(P.DEED_PERSON_LINES), F.lit(1)), F.trim),
+                    # the pattern tries many lengths at every letter, so it runs only where a marker stands
+                    F.when(F.col(deed_text).isNull(), F.lit(None))
+                    .when(reduce(or_, [F.contains(F.col("_low"), F.lit(w)) for w in P.KIN]), F.transform(before_kin, F.trim))
+                    .otherwise(F.array().cast("array<string>")),
                 )
             ),
         )
@@ -66,11 +76,30 @@ def with_identity(df: DataFrame, card_name: str, card_name_deva: str, deed_text:
             ),
         )
         .withColumn("_best_c", F.array_max("_scored"))
-        # every run of two or three words of the whole text
+        # every run of two or three words of the whole text that holds a word near a card token; others score 0
+        .withColumn("_words", F.regexp_extract_all(transliterate(F.col(deed_text)), F.lit("(?<![^ ])[a-z]{3,}(?![^ ])"), F.lit(0)))
+        .withColumn(
+            "_near",
+            F.filter(
+                F.array_distinct("_words"), lambda w: ~w.isin(*C.NAME_STOPS) & F.exists(F.col("_a"), lambda a: token_match(a, w))
+            ),
+        )
         .withColumn(
-            "_words", F.filter(F.split(transliterate(F.col(deed_text)), " "), lambda w: w.rlike("^[a-z]{3,}$"))
+            "_masks", F.when(F.size("_near") > 0, F.transform("_words", lambda w: _mask(w, F.col("_a"), F.col("_near"))))
+        )
+        .withColumn(
+            "_starts",
+            F.array_distinct(
+                F.flatten(
+                    F.filter(
+                        F.transform(
+                            F.col("_masks"), lambda m, i: F.when(m > 0, F.sequence(F.greatest(i - 2, F.lit(0)), i))
+                        ),
+                        lambda near: near.isNotNull(),
+                    )
+                )
+            ),
         )
-        .withColumn("_masks", F.transform("_words", lambda w: _mask(w, F.col("_a"))))
     )
     n_words, n_tokens = F.size("_words"), F.size("_a")
 
@@ -78,11 +107,9 @@ def with_identity(df: DataFrame, card_name: str, card_name_deva: str, deed_text:
         return F.get(F.col("_masks"), i + step)
 
     def runs(length: int) -> Column:
-        last = n_words - length
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.array_max(
             F.transform(
-                starts,
+                F.filter("_starts", lambda i: i + length <= n_words),
                 lambda i: F.struct(
                     _window_score([at(i, s) for s in range(length)], n_tokens).alias("score"),
                     (-(i * 2 + (length - 2))).alias("rank"),

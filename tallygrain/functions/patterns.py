@@ -99,7 +99,7 @@ BILL_NAME_STOPS = ["total", "amount", "bill", "rs", "inr"]
 BILL_AMOUNT_LIMIT = 10_000_000
 
 # words of which one stands, lower-cased, in every match of a pattern; patterns are tried only where it does
-_DIGITS, _KIN = list("0123456789"), ["पुत्र", "पत्नी", "s/o", "d/o", "w/o"]
+_DIGITS, KIN = list("0123456789"), ["पुत्र", "पत्नी", "s/o", "d/o", "w/o"]
 _RUPEES = ["₹", "rs", "रू", "रु"]
 ANCHORS = {
     CARD_LATIN_NAME: ["dob", "जन्म"],
@@ -109,7 +109,7 @@ ANCHORS = {
     CARD_FEMALE: ["female", "महिला"],
     CARD_MALE: ["male", "पुरुष"],
     DEED_BUYER: ["क्रेता", "खरीदार", "प्रथम", "हकदार"],
-    DEED_RELATION: [*_KIN, "son of", "daughter of", "wife of"],
+    DEED_RELATION: [*KIN, "son of", "daughter of", "wife of"],
     DEED_LABELLED: ["नाम", "स्वामी", "खातेदार", "owner", "name"],
     DEED_DISTRICT: ["जिला", "dist"],
     DEED_DISTRICT_KNOWN: KNOWN_DISTRICTS,

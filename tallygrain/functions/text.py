@@ -32,12 +32,22 @@ def let(value: Column, body) -> Column:
 
 
 def none_if_empty(s: Column) -> Column:
-    return let(s, lambda v: F.when(v != "", v))
+    return F.get(F.array_remove(F.array(s), F.lit("")), F.lit(0))
+
+
+def _where_wide(s: Column, changed: Column) -> Column:
+    """``changed`` for texts with letters outside ASCII; others hold nothing to change."""
+    return F.when(F.octet_length(s) > F.length(s), changed).otherwise(s)
 
 
 def plain_blanks(s: Column) -> Column:
     """Turn every wide blank into an ordinary one."""
-    return F.translate(s, WIDE_BLANKS, " " * len(WIDE_BLANKS))
+    return _where_wide(s, F.translate(s, WIDE_BLANKS, " " * len(WIDE_BLANKS)))
+
+
+def plain_signs(s: Column) -> Column:
+    """Ordinary blanks and ASCII digits, in one pass."""
+    return _where_wide(s, F.translate(s, WIDE_BLANKS + DEVA_DIGITS, " " * len(WIDE_BLANKS) + "0123456789"))
 
 
 def flatten(s: Column) -> Column:
@@ -77,6 +87,16 @@ def indian_digits(n: Column) -> Column:
 
 def transliterate(s: Column) -> Column:
     """Devanagari to lower-case Latin letters; other scripts are dropped."""
+    return F.when(is_hindi(s), _from_devanagari(s)).otherwise(_from_latin(s))
+
+
+def _from_latin(s: Column) -> Column:
+    """``transliterate`` of a text without Devanagari."""
+    kept = F.lower(F.regexp_replace(s, "[^A-Za-z0-9 \\-_./]+", ""))
+    return F.trim(F.regexp_replace(kept, "[ \\-_./]+", " "))
+
+
+def _from_devanagari(s: Column) -> Column:
     consonants = "".join(C.CONSONANTS)
     matras = "".join(C.MATRAS)
     out = s

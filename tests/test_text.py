@@ -139,6 +139,28 @@ def test_identity_finds_the_best_window_of_a_long_text(spark):
     assert got.matched and got.score == 100 and "devendr sing" in got.registry_name
 
 
+def test_person_lines_are_looked_for_only_beside_a_marker(spark, monkeypatch):
+    from tallygrain.functions import identity as I
+
+    monkeypatch.setattr(I.P, "DEED_PERSON_LINES", "(Meera Joshi)")
+    rows = spark.createDataFrame(
+        [(1, "Meera Joshi", None, "Meera Joshi torn"), (2, "Meera Joshi", None, "Meera Joshi torn W/O page"), (3, "Meera Joshi", None, None)],
+        "k int, n string, nd string, t string",
+    )
+    got = {r.k: r.identity for r in I.with_identity(rows, "n", "nd", "t").select("k", "identity").collect()}
+    assert [got[k].registry_name for k in (1, 2, 3)] == ["meera joshi", "Meera Joshi", None]
+    assert [got[k].score for k in (1, 2, 3)] == [100, 100, 0]
+
+
+def test_letters_outside_devanagari(spark):
+    rng = random.Random(5)
+    signs = list("aZ09 -_./\t\n,'") + ["é", "İ", "\u212a", "\u200d", "\u00a0", "中", "₹"]
+    texts = [rng.choice(["", " "]).join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    both = df.select(X.transliterate(F.col("t")).alias("a"), X._from_devanagari(F.col("t")).alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both]
+
+
 def test_anchors_change_no_field(spark, monkeypatch):
     from tallygrain.functions import extract as E, patterns as P
 
