@@ -78,8 +78,8 @@ def last_papers(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
 def claim_features(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
     """One row per claim with everything the stages need from its files.
 
-    Files meet their text once; each text is parsed where it is read, and only
-    the small structs go into the one aggregation by claim.
+    Files meet their text once.  The one aggregation by claim keeps the last
+    readable text of every sort of paper, and only these are parsed.
     """
     # merge: by the packed size of its files Spark would take the texts for few enough to send to the driver
     files = evidence.join(ocr.select("file_id", "text", "hindi").hint("merge"), "file_id", "left").withColumn(
@@ -92,7 +92,7 @@ def claim_features(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
         F.lower(text),
         lambda t: F.struct(*[(word_hits(t, C.LOSS_META[loss]["terms"]) > 0).alias(loss) for loss in C.LOSS_TYPES]),
     )
-    parsed = files.select(
+    rows = files.select(
         "claim_id",
         "kind",
         order.alias("ord"),
@@ -100,10 +100,10 @@ def claim_features(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
         F.length("text").alias("chars"),
         F.coalesce("hindi", F.lit(False)).alias("hindi"),
         "exif",
-        F.when(kind.isin("bill", "id") & read, E.bill(text)).alias("bill"),
-        F.when((kind == "aadhaar") & read, E.identity_card(text)).alias("card"),
-        F.when((kind == "registry") & read, E.land_record(text)).alias("deed"),
-        F.when((kind == "policy") & read, E.policy_paper(text)).alias("paper"),
+        F.when(kind.isin("bill", "id") & read, text).alias("bill"),
+        F.when((kind == "aadhaar") & read, text).alias("card"),
+        F.when((kind == "registry") & read, text).alias("deed"),
+        F.when((kind == "policy") & read, text).alias("paper"),
         F.when(kind == "registry", text).alias("deed_text"),
         F.when(kind.isin(*C.FARMER_DOCS) & read, document_role(text, F.col("filename"))["role"]).alias("role"),
         F.when(photo, shows).alias("shows"),
@@ -126,7 +126,7 @@ def claim_features(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
             F.min(F.when(mine & ~read, F.col("ord"))).alias(f"first_unread_{name}"),
             F.max_by(F.when(mine, doc), F.when(mine, F.col("ord"))).alias(f"doc_{name}"),
         ]
-    return parsed.groupBy("claim_id").agg(
+    last_texts = rows.groupBy("claim_id").agg(
         F.count_if(photo).alias("n_photos"),
         F.count_if(photo & ~F.coalesce(F.col("exif.present"), F.lit(False))).alias("n_no_exif"),
         F.count_if(edited).alias("n_edited"),
@@ -147,6 +147,8 @@ def claim_features(evidence: DataFrame, ocr: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "satellite").alias("n_satellite"),
         *per_kind,
     )
+    parsers = {"bill": E.bill, "card": E.identity_card, "deed": E.land_record, "paper": E.policy_paper}
+    return last_texts.withColumns({n: F.when(F.col(n).isNotNull(), parse(F.col(n))) for n, parse in parsers.items()})
 
 
 def with_cross_check(features: DataFrame) -> DataFrame:
@@ -195,7 +197,9 @@ def entities() -> Column:
 
 
 def entity_rows(features: DataFrame) -> DataFrame:
-    return features.select("claim_id", F.explode(entities()).alias("e")).select("claim_id", "e.*")
+    # outer: else Spark filters by the array first and parses every text once more for that
+    found = features.select("claim_id", F.explode_outer(entities()).alias("e"))
+    return found.where(F.col("e").isNotNull()).select("claim_id", "e.*")
 
 
 def entities_by_kind(rows: DataFrame) -> DataFrame:
