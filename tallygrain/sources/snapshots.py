@@ -10,6 +10,7 @@ from tallygrain.operators.maintain import oldest
 from tallygrain.operators.merkle import merkle_roots
 from tallygrain.operators.trail import chain_breaks
 from tallygrain.schemas import RELATIONAL, SNAPSHOT
+from tallygrain.session import work_dir
 
 
 def read_snapshot(spark: SparkSession, path: str, contract: str | None) -> DataFrame:
@@ -108,10 +109,14 @@ def dossier_headers(trail: DataFrame, generated_at: Column, digest: Digest = sha
 
     The records enter through the Merkle root of their canonical JSON, so a
     claim with very many records needs no single huge document; the records
-    themselves are written as lines beside it.
+    themselves are written as lines beside it.  The trail is written once and
+    read for both trees and the chain check, since sealing it is dear.
     """
+    path = work_dir(trail.sparkSession, "dossier-trail")
+    trail.write.parquet(path)
+    trail = trail.sparkSession.read.schema(trail.schema).parquet(path)
     records = dossier_records(trail)
-    content = merkle_roots(records.select("claim_id", "seq", F.col("record").alias("record_hash")), digest)
+    content = merkle_roots(records.select("claim_id", "seq", F.col("record").alias("record_hash")), digest, counted=trail)
     marks = merkle_roots(trail, digest)
     breaks = chain_breaks(trail, digest)
     joined = (

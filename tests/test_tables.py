@@ -166,6 +166,24 @@ def test_csv_and_dossier(spark, tmp_path):
     assert list(document) == sorted(document) and document["recordCount"] == 1 and document["integrity"]["valid"]
 
 
+def test_a_dossier_seals_its_trail_once(spark):
+    from tallygrain.operators.trail import seal, sha2_text
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        calls.add(1)
+        return sha2_text(text)
+
+    rows = spark.createDataFrame(
+        [(c, i, f"0x{c}{i}", "PAID", i, "svc", "") for c in "AB" for i in range(3)],
+        "claim_id string, seq long, state_hash string, status string, ts long, recorded_by string, note string",
+    )
+    headers = SN.dossier_headers(seal(rows, python_digest=counted), F.lit("now")).collect()
+    assert calls.value == 6
+    assert sorted((h.claim_id, h.record_count, h.valid) for h in headers) == [("A", 3, True), ("B", 3, True)]
+
+
 def test_second_payment_and_contrary_decision_are_refused(spark):
     import datetime as dt
 
