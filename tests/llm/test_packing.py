@@ -25,6 +25,19 @@ def test_ids_are_the_librarys(library, text):
     assert encoded_ids(text).tolist() == library(text)  # once more, from the cache
 
 
+def test_places_of_ids_are_not_worked_out(monkeypatch):
+    from tallygrain.llm import wordpiece as W
+
+    class Fast:
+        def __init__(self, tokenizer):
+            self.encode_batch_fast = tokenizer.encode_batch_fast  # and no ``encode``
+
+    tokenizer, ends = W._library()
+    ids = tokenizer.encode("It's brand-new", add_special_tokens=False).ids
+    monkeypatch.setattr(W, "_tokenizer", (Fast(tokenizer), ends))
+    assert W.encoded_ids("It's brand-new").tolist() == ids
+
+
 def checked(rows, texts, library, length):
     """Every id in one piece, offsets gapless, all windows full but the last."""
     got = {}
