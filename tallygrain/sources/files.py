@@ -53,14 +53,12 @@ def _in_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a == b:
                 continue
             now = (files[a].as_py(), int(starts[a]))
+            opens_file = now != key and now[1] == 0
             if now != key:
                 if held:
                     yield row(bytes(held))
                 key, n, held = now, 0, bytearray()
-                first = now[1] == 0
-            else:
-                first = False
-            if not first:
+            if not opens_file:
                 held += b"\n"
             held += b"\n".join(batch.column(2).slice(a, b - a).to_pylist())
             while len(held) > ROW_BYTES:
