@@ -1,4 +1,5 @@
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallygrain.operators import neardup as ND, photoindex as PI
 from tallygrain.operators.photoindex import PhotoIndex
+from tallygrain.session import SHUFFLE_CLEANUP
 
 
 def flip(bits, places):
@@ -208,3 +210,30 @@ def test_keys_of_a_small_batch_spare_the_archive_a_shuffle(spark, tmp_path):
     photos = frame(spark, crowd(6))
     index.append(photos, 0)
     assert "BroadcastExchange" in plan(index._groups_met(photos.select(ND.code(F.col("p_hash")).alias("code")), [PI.WHOLE]))
+
+
+@pytest.mark.parametrize("blocks, group", [(7, 5), (9, 7), (10, 1000)])
+def test_hashes_of_a_busy_value_meet_in_parts(spark, monkeypatch, blocks, group):
+    """Pairs equal brute force and come once, whatever is cut; a hash is not laid out by all its keys."""
+    monkeypatch.setattr(ND, "GROUP_CODES", group)
+    hashes = sorted({r[2] for r in crowd(31, n_copies=80)})
+    number = {h: int(h, 2) - (1 << 64 if h[0] == "1" else 0) for h in hashes}
+    asked, stored = hashes[::2], hashes[: len(hashes) * 2 // 3]
+    table = lambda some: spark.createDataFrame([(number[h],) for h in some] + [(None,)], "code long")
+    out = ND.block_matches(table(asked), table(stored), 6, blocks)
+    assert "Generate" not in plan(out)
+    found = [tuple(r) for r in out.collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {(number[a], number[b], distance(a, b)) for a in asked for b in stored if distance(a, b) <= 6}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"))
+    before = disk.getAllFiles().size()
+    kept = ND.stored(rows.groupBy("k").count(), "left")
+    until = time.time() + 20
+    while disk.getAllFiles().size() > before and time.time() < until:
+        time.sleep(0.2)
+    assert disk.getAllFiles().size() <= before and kept.count() == 7
+    assert spark.conf.get(SHUFFLE_CLEANUP, "false") == "false"
