@@ -237,3 +237,18 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert disk.getAllFiles().size() <= before and kept.count() == 7
     assert spark.conf.get(SHUFFLE_CLEANUP, "false") == "false"
+
+
+def test_only_pictures_that_may_repeat_are_laid_out_by_bands(spark, monkeypatch):
+    """Texts that are no hash can only equal each other; a claim of one picture, or of far ones, goes no further."""
+    a = "01" * 32
+    rows = [("A", "1", 1, "x"), ("A", "2", 2, "x"), ("A", "3", 3, "y"), ("A", "4", 4, None), ("A", "5", 5, None), ("A", "6", 6, "0" * 64), ("A", "7", 7, "0" * 64)]
+    rows += [("B", "1", 1, a), ("C", "1", 1, a), ("C", "2", 2, flip(a, set(range(0, 64, 2)))), ("D", "1", None, a), ("D", "2", 1, flip(a, {9}))]
+    kept = {}
+    write = ND.stored
+    monkeypatch.setattr(ND, "stored", lambda df, purpose: kept.setdefault(purpose, write(df, purpose)))
+    out = ND.within_claim(spark.createDataFrame(rows, "claim_id string, file_id string, seq int, p_hash string"))
+    assert sorted(map(tuple, out.collect())) == [("A", "2", "1", 0), ("A", "7", "6", 0), ("D", "2", "1", 1)]
+    assert {r.claim_id for r in kept["claim-photos"].collect()} == {"A", "C", "D"}
+    # a hash is a number where bands meet
+    assert dict(kept["claim-hashes"].dtypes)["code"] == "bigint"
