@@ -252,3 +252,31 @@ def test_only_pictures_that_may_repeat_are_laid_out_by_bands(spark, monkeypatch)
     assert {r.claim_id for r in kept["claim-photos"].collect()} == {"A", "C", "D"}
     # a hash is a number where bands meet
     assert dict(kept["claim-hashes"].dtypes)["code"] == "bigint"
+
+
+def test_the_stored_index_keeps_few_rows_of_a_hash(spark, tmp_path):
+    """Two rows by halves, one for each block a choice can start with, and names once; a search of many and one of few agree."""
+    index = PhotoIndex(spark, str(tmp_path / "index"), blocks=9, buckets=2)
+    photos = frame(spark, crowd(8))
+    index.append(photos, 0)
+    n = photos.select("p_hash").distinct().count()
+    count = lambda name, schema: index._read(name, schema).count()
+    assert (count("groups", PI.GROUPS), count("blocks", PI.BLOCKS)) == (2 * n, 7 * n)
+    assert count("entries", PI.ENTRIES) <= 2 * n
+    assert {f.name for f in (tmp_path / "index").iterdir()} == {"entries", "groups", "blocks"}
+
+
+def test_halves_that_many_share_do_not_meet_in_pairs(spark, tmp_path, monkeypatch):
+    """Hashes that share a half, stored by two batches and asked for with new ones."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("01") for _ in range(64))
+    rows = [(f"C{i % 9}", f"F{i}", flip(base, {rng.randrange(30, 64) for _ in range(8)}), i) for i in range(40)]
+    rows += [("D", f"G{i}", flip(r[2], {rng.randrange(64)}), 50 + i) for i, r in enumerate(rows[:15])]
+    photos = frame(spark, rows)
+    index = PhotoIndex(spark, str(tmp_path / "index"), buckets=3)
+    index.append(photos.where("claim_id < 'C5'"), 0)
+    index.append(photos.where("claim_id >= 'C3'"), 1)
+    want = index_rows(ND.near_duplicates(photos))
+    assert index_rows(index.duplicates(photos)) == want and any(r[2] == 1 for r in want)
+    monkeypatch.setattr(PI, "FEW_KEYS", 0)
+    assert index_rows(index.duplicates(photos)) == want
