@@ -116,11 +116,13 @@ class PhotoIndex:
             asked = asked.hint("merge").join(runs.select("claim_id", "run_at"), "claim_id")
         asked = ND.stored(asked, "index-asked")
 
-        # where one claim alone asks about a hash, its own entries go as soon as they are read
+        # where one claim alone asks about a hash, its own entries go no further than the cut to two
         alone = F.when(F.min("claim_id") == F.max("claim_id"), F.min("claim_id"))
         codes = ND.stored(asked.groupBy("code").agg(alone.alias("only")), "index-hashes")
-        near = self._groups_met(codes, _chunk_masks()).where(F.col("only").isNull() | (F.col("only") != F.col("claim_id")))
-        first = ND.stored(self._best(asked, near.withColumn("tier", (F.col("mask") != WHOLE).cast("int"))), "index-first")
+        own = _two_earliest(self._groups_met(codes, [WHOLE]).drop("mask"), ["bucket", "other", "only"])
+        own = own.where(F.col("only").isNull() | (F.col("only") != F.col("claim_id"))).withColumn("tier", F.lit(0))
+        chunks = self._groups_met(codes.select("code"), _chunk_masks()[1:]).withColumn("tier", F.lit(1))
+        first = ND.stored(self._best(asked, own.drop("only").unionByName(chunks.drop("mask"))), "index-first")
         left = ND.stored(asked.hint("merge").join(first.select("claim_id", "code"), ["claim_id", "code"], "left_anti"), "index-left")
         open_ = ND.stored(left.select("code").distinct(), "index-open")
         second = self._best(left, self._blocks_met(open_).withColumn("tier", F.lit(2)))
@@ -134,21 +136,26 @@ class PhotoIndex:
     def _groups_met(self, codes: DataFrame, masks: list[int]) -> DataFrame:
         """(code, mask, created_at, claim_id, file_id, other): entries that share the bits under a mask.
 
-        Other columns of ``codes`` stay with the entries of the hash itself.
+        Of the masks of chunks, those under which another hash is found.
         """
         found = []
         if WHOLE in masks:
             found.append(codes.withColumns({"mask": F.lit(WHOLE).cast("long"), "other": F.col("code")}))
-        if chunks := [m for m in masks if m != WHOLE]:
-            found.append(self._chunks_met(codes.select("code")).where(F.col("mask").isin(chunks)))
-        return self._entries_of(found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True))
+        if rest := [m for m in masks if m != WHOLE]:
+            others = self._chunks_met(codes.select("code")).where(F.col("mask").isin(rest))
+            # a hash belongs to its own group
+            found += [others, others.select("code", "mask", F.col("code").alias("other")).distinct()]
+        pairs = found[0]
+        for more in found[1:]:
+            pairs = pairs.unionByName(more, allowMissingColumns=True)
+        return self._entries_of(pairs)
 
     def _entries_of(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` with the entries of ``other``."""
         asked = pairs.withColumn("bucket", self._bucket("other"))
         touched = self._touched(asked)
         entries = self._read("entries", ENTRIES, touched).drop("epoch").withColumnRenamed("code", "other")
-        return self._met(asked, entries, ["bucket", "other"], self._few(touched)).drop("bucket")
+        return self._met(asked, entries, ["bucket", "other"], self._few(touched))
 
     def _chunks_met(self, codes: DataFrame) -> DataFrame:
         """(code, mask, other): different hashes that agree outside one chunk.
