@@ -159,3 +159,9 @@ def test_duplicate_stage_names_copies_within_a_claim_and_counts(spark):
     assert found["CLM-1", "DUPLICATE_PHASH"].details == "intra-claim duplicates: a≈b (d=0); a≈c (d=2)"
     assert found["CLM-1", "DUPLICATE_PHASH"].result == "PASS"
     assert found["CLM-2", "DUPLICATE_PHASH"].details == "1 photo pHash(es) unique across 3 stored foreign photos"
+
+
+def test_images_and_pictures_are_settled_before_the_texts(spark):
+    """The last job joins small tables; vectors and hashes are not shuffled beside the texts."""
+    plan = VP.verify_claims(story(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "p_hash" not in plan
